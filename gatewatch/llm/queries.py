@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, sharding
+from . import exact_dedup, mixing, pieces, sharding
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_mixing": mixing.op2_mixing,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op10_sentencepiece": pieces.op10_sentencepiece,
 }
 
 ORACLE_SQL = {
