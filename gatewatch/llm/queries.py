@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, pieces, sharding
+from . import exact_dedup, language, mixing, pieces, quality, sharding, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_mixing": mixing.op2_mixing,
+    "op3_language": language.op3_language,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op9_quality": quality.op9_quality,
     "op10_sentencepiece": pieces.op10_sentencepiece,
 }
 
