@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language, mixing, pieces, quality, sharding, toxicity
+from . import exact_dedup, fingerprints, language, mixing, pieces, quality, sharding, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_language": language.op3_language,
     "op4_toxicity": toxicity.op4_toxicity,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op8_fingerprints": fingerprints.op8_fingerprints,
     "op9_quality": quality.op9_quality,
     "op10_sentencepiece": pieces.op10_sentencepiece,
 }
