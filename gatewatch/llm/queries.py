@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprints, jaccard_join, language, mixing, pieces, quality, sharding, toxicity
+from . import exact_dedup, fingerprints, jaccard_join, language, mixing, pieces, quality, sharding, substrings, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_mixing": mixing.op2_mixing,
     "op3_language": language.op3_language,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op5_substrings": substrings.op5_substrings,
     "op6_jaccard_join": jaccard_join.op6_jaccard_join,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_fingerprints": fingerprints.op8_fingerprints,
