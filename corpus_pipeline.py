@@ -1,13 +1,73 @@
-"""Corpus pipeline (stages are added as their operators land)."""
+"""Corpus pipeline: documents in, token ids of a deduplicated weighted mix out.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
+documents. Every stage works on all that its predecessor kept.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gatewatch.llm import exact_dedup, jaccard_join, mixing, pieces, quality
+from gatewatch.llm.common import labels, written
+
+#: Share of good labels below which a document goes.
+LEAST_QUALITY = 0.3
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    model = quality.fit_on(docs, labels(spark, sf_dir))
+    return quality.score(docs, model, score_col="__quality").where(F.col("__quality") >= LEAST_QUALITY).drop("__quality")
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts that are equal but for white space, the longest (then the smallest id)."""
+    return exact_dedup.deduplicated(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that links of 0.8 or more (on five-word shingles) connect, the one with the smallest id."""
+    found = jaccard_join.jaccard_join(docs, words=5, percent=80)
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    return docs.join(kept.withColumnRenamed("doc_id", "__kept"), docs["doc_id"].eqNullSafe(F.col("__kept")), "left_semi")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Whole documents to each source's target weight: one row for each time that a document is taken.
+
+    Words are cut at whole documents here: a document that the budget's end falls into is not taken again.
+    """
+    mixed = mixing.mix(docs, mixing.word_count(F.col("text"))).where("whole > 0").select(F.col("doc_id").alias("__id"), "whole")
+    rows = docs.join(mixed, docs["doc_id"].eqNullSafe(F.col("__id")))
+    return rows.withColumn("__time", F.explode(F.sequence(F.lit(1).cast("long"), "whole"))).select(*docs.columns)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text, with whether they decode to it."""
+    path = pieces.default_model()
+    ids = pieces.encode(docs.select("doc_id", "source", "text"), path)
+    back = pieces.decode(ids, path)
+    return back.select("doc_id", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+
+
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("exact dedup", drop_copies),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("mixing to target weights", mix_sources),
+    ("sentencepiece", tokenize),
+]
+
+#: The classifier and the tokenizer are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = written(docs, f"stage-{k}").read()
     return docs

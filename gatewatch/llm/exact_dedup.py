@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE, written
@@ -170,13 +170,16 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Rows that repeat a kept row's id and text leave one of them. A null id is matched like any other value.
     """
-    found = exact_dedup(docs, id_col, text_col)
-    kept = found.where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest")).distinct()
+    found = exact_dedup(docs, id_col, text_col).where("kept")
+    kept = written(found.groupBy(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest")).agg(F.count("*").alias("__copies")), "exact-kept").read()
     text = F.coalesce(F.col(text_col), F.lit(""))
-    digest = F.sha2(F.translate(text, SPACE, "").cast("binary"), 256)
-    rows = docs.withColumn("__digest_of", digest)
+    rows = docs.withColumn("__digest_of", F.sha2(F.translate(text, SPACE, "").cast("binary"), 256))
     out = rows.join(kept, rows[id_col].cast("long").eqNullSafe(kept["__id"]) & (rows["__digest_of"] == kept["__digest"]), "left_semi")
-    return out.drop("__digest_of").dropDuplicates([id_col])
+    if kept.where("__copies > 1").limit(1).count():
+        # equal ids and digests: keep the kept one's text, of rows that repeat it one
+        longest = F.row_number().over(Window.partitionBy(id_col, "__digest_of").orderBy(F.length(text).desc(), text))
+        out = out.withColumn("__nth", longest).where("__nth = 1").drop("__nth")
+    return out.drop("__digest_of")
 
 
 OP7_SQL = r"""
