@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import threat_band
+from ..functions.scalars import subnet24, threat_band
 from ..tables import written
 from .epochs import MARKER_MS, millis
 from .strategies import STRATEGIES, Context, Strategy
@@ -41,6 +41,20 @@ def active_markers(markers: DataFrame, as_of_ms: int) -> DataFrame:
     return markers.where(F.col("expires_ms") > as_of_ms).withColumn("ttl_ms", F.col("expires_ms") - as_of_ms)
 
 
+def markers_for(markers: DataFrame, rows: DataFrame, as_of_ms: int) -> DataFrame:
+    """Active markers of the addresses, networks or subnets that ``rows`` (``ip, asn``) name."""
+    scopes = rows.select(
+        F.explode(
+            F.array(
+                F.struct(F.lit("ip").alias("scope_type"), F.col("ip").alias("scope_value")),
+                F.struct(F.lit("asn").alias("scope_type"), F.col("asn").cast("string").alias("scope_value")),
+                F.struct(F.lit("asn_subnet").alias("scope_type"), subnet24(F.col("ip")).alias("scope_value")),
+            )
+        ).alias("s")
+    ).select("s.*").where("scope_value IS NOT NULL").distinct()
+    return active_markers(markers, as_of_ms).join(scopes, ["scope_type", "scope_value"], "left_semi")
+
+
 def _first_seen(rows: DataFrame, value: str, most: int | None) -> DataFrame:
     """Distinct values of each fire in the order in which they were first seen, ``most`` at most."""
     group = ["strategy_id", "epoch", "key"]

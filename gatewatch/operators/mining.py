@@ -73,6 +73,10 @@ def clusters(rows: DataFrame, kind: str) -> DataFrame:
     top = hits.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy(F.col("n").desc(), "at"))).where("nth <= 40")
     top = top.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", F.concat(F.col("n").cast("string"), F.lit("x "), "full_url").alias("v")))), lambda x: x["v"]).alias("top_paths"))
     parts = [top, _samples(keyed, ["key"], F.col("ip"), "ips", 15), _samples(keyed, ["key"], agent_text(keyed), "user_agents", 8)]
+    for name, most in (("asn", 1000), ("org", 5), ("ip_type", 10)):
+        if name in rows.columns:
+            value = F.when(F.col(name) != 0, F.col(name)) if name == "asn" else F.when(F.col(name) != "", F.col(name))
+            parts.append(_samples(keyed, ["key"], value, f"{name}s", most))
     return _joined(base.where(enough), ["key"], parts).orderBy(F.col("request_count").desc(), "key")
 
 

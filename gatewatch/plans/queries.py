@@ -245,7 +245,7 @@ def uncaught_shapes(spark, sf_dir):
 def _clusters(kind: str):
     def run(spark, sf_dir):
         found = mining.clusters(_classified(spark, sf_dir), kind)
-        return found.withColumn("methods", F.concat_ws(",", "methods")).drop("top_paths", "ips", "user_agents")
+        return found.withColumn("methods", F.concat_ws(",", "methods")).drop("top_paths", "ips", "user_agents", "asns")
 
     return run
 

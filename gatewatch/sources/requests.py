@@ -7,7 +7,9 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import is_ipv4
+from ..catalogs import Catalog, load
+from ..functions.scalars import is_ipv4, source_of
+from ..operators.classify import classify
 
 #: The log that the test data implies, from its ``events`` table; the same text runs in other SQL engines.
 DERIVED_SQL = """
@@ -41,6 +43,7 @@ FROM (SELECT event_id, ts, user_id AS u, event_type,
 #: Fixed value: the combined log format.
 _COMBINED = r'^(\S+) (\S+) (\S+) \[([^\]]+)\] "(\S+) (.+?) (\S+)" (\d+) (\d+|-) "([^"]*)" "([^"]*)"\z'
 _STAMP = r"^\d{2}/\w{3}/\d{4}:\d{2}:\d{2}:\d{2} [+-]\d{4}\z"
+CHAIN = "struct<chain:array<string>,cf_connecting_ip:string,cf_ip_country:string,spoofed:boolean,claimed_ip:string>"
 _DUMP = re.compile(r"logs_requests_\d{12}\.json$")
 
 
@@ -86,6 +89,16 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     return parsed_log(lines.select("value"))
 
 
+def imported(parsed: DataFrame, catalog: Catalog | None = None) -> DataFrame:
+    """Parsed log lines as request rows: classified without a body, source from the agent, no proxy chain.
+
+    ``is_tor`` stays null, the mark of imported rows; the response time is 0.
+    """
+    catalog = catalog or load()
+    rows = classify(parsed.drop("referer", "protocol"), catalog)
+    return rows.withColumns({"source": source_of(F.col("user_agent"), catalog), "request_body": F.lit(None).cast("string"), "response_time_ms": F.lit(0), "forwarding_chain": F.lit(None).cast(CHAIN)})
+
+
 def gap(rows: DataFrame, after, until) -> DataFrame:
     """Rows to import: after < created_at <= until."""
     return rows.where((F.col("created_at") > F.lit(after)) & (F.col("created_at") <= F.lit(until)))

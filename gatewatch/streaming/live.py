@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..catalogs import Catalog, load
-from ..functions.scalars import source_of
+from ..functions.scalars import level_of, source_of
+from ..operators.campaigns import MIN_CONFIDENCE, fold, upsert
 from ..operators.classify import SIGNALS, method_signals, no_signals, signal, top_rank, url_signals
-from ..functions.scalars import level_of
+from ..operators.epochs import MARKER_MS, WINDOW_MS, millis
+from ..plans.detect import detect
 
 
 def requests_stream(spark: SparkSession, path: str, schema, skip_paths: tuple[str, ...] = ()) -> DataFrame:
@@ -36,6 +38,50 @@ def level_windows(rows: DataFrame, window: str = "6 hours", late: str = "1 hour"
     return rows.withWatermark("created_at", late).groupBy(F.window("created_at", window).alias("w"), "threat_level").agg(F.count("*").alias("requests")).select("w.start", "w.end", "threat_level", "requests")
 
 
+class Detector:
+    """Micro-batches into a request table, closed epochs into campaign records.
+
+    ``folder`` holds ``requests`` (a folder a batch, so that a repeated batch replaces itself) and numbered
+    versions of ``campaigns``. An epoch is closed when a request after its end has come; every closed epoch
+    is detected once, because a version's name says up to which epoch it goes.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, start_ms: int, window_ms: int = WINDOW_MS, min_confidence: float = MIN_CONFIDENCE):
+        self.spark, self.folder, self.start_ms, self.window_ms, self.min_confidence = spark, folder.rstrip("/"), start_ms, window_ms, min_confidence
+
+    def _version(self) -> int:
+        """Epochs that the newest version covers; 0 without one."""
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/campaigns")
+        fs = where.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(where):
+            return 0
+        whole = [s.getPath() for s in fs.listStatus(where) if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+        return max([int(p.getName().rpartition("=")[2]) for p in whole], default=0)
+
+    def campaigns(self) -> DataFrame | None:
+        version = self._version()
+        return self.spark.read.parquet(f"{self.folder}/campaigns/epochs={version}") if version else None
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{self.folder}/requests/batch={number}")
+        rows = self.spark.read.parquet(f"{self.folder}/requests").drop("batch")
+        newest = rows.agg(F.max(millis(F.col("created_at"))).alias("m")).first()["m"]
+        done = self._version()
+        closed = 0 if newest is None else max(0, (newest - self.start_ms) // self.window_ms)
+        if closed <= done:
+            return
+        # markers of the epochs before reach into the new ones, hence some epochs more are scored than folded
+        back = -(-MARKER_MS // self.window_ms)
+        first = max(0, done - back)
+        ends = self.start_ms + closed * self.window_ms
+        mine = rows.where((millis(F.col("created_at")) >= self.start_ms + first * self.window_ms) & (millis(F.col("created_at")) < ends))
+        found = detect(mine, self.min_confidence, window_ms=self.window_ms, step_ms=self.window_ms, from_ms=self.start_ms + first * self.window_ms, to_ms=ends)
+        new = found.candidates.withColumn("epoch", F.col("epoch") + first).where(F.col("epoch") >= done)
+        old = self.campaigns()
+        table = fold(new, source="live") if old is None else upsert(old, new, source="live")
+        table.write.mode("overwrite").parquet(f"{self.folder}/campaigns/epochs={closed}")
+
+
 def append_to(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 

@@ -29,6 +29,8 @@ def test_access_log(spark, tmp_path):
     a, b = rows["1.2.3.4", "/.env"], rows["1.2.3.4", "/a b c"]
     assert (a.created_at, a.response_size, a.user_agent, a.referer, a.is_tor) == (dt.datetime(2024, 1, 5, 9), 12, "curl/8", None, None)
     assert (b.response_size, b.user_agent, b.referer) == (None, None, "http://r")
+    done = {r.full_url: r for r in requests.imported(requests.read_log(spark, str(tmp_path))).collect()}
+    assert (done["/.env"].threat_level, done["/.env"].source, done["/a b c"].source, done["/.env"].is_tor, done["/.env"].forwarding_chain) == ("high", "curl", "no-agent", None, None)
     with pytest.raises(ValueError):
         requests.not_imported_yet(requests.read_log(spark, str(tmp_path)))
     assert requests.gap(requests.read_log(spark, str(tmp_path)), dt.datetime(2024, 1, 5, 9), dt.datetime(2024, 1, 5, 10, 0, 1)).count() == 1
@@ -76,6 +78,7 @@ def test_mining(spark):
     assert (shape.full_url, shape["count"], shape.sample_ids, shape.ips, shape.user_agents) == ("/calm", 12, [1, 3, 5, 7, 9], ["10.0.0.1", "10.0.0.0", "10.0.0.2"], [("ua" * 100)[:160]])
     (by_net,) = mining.clusters(rows, "subnet").collect()
     assert (by_net.key, by_net.request_count, by_net.top_paths, by_net.high_count) == ("10.0.0.0/24", 24, ["12x /.env", "12x /calm"], 12)
+    assert by_net.asns == [5]
     assert mining.clusters(rows, "asn").count() == 0 and mining.clusters(rows.limit(0), "ip").count() == 0
     found = {r.name: r for r in mining.validate_patterns(rows, [{"name": "c", "pattern": "^/CALM$"}, {"name": "r", "pattern": "^/$"}]).collect()}
     assert (found["c"].shapes_hit, found["c"].rows_newly_caught, found["c"].ordinary_hits, found["r"].ordinary_hits) == (1, 12, 0, 1)
