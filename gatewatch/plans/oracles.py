@@ -5,6 +5,7 @@ from __future__ import annotations
 from ..catalogs import Catalog, Pattern
 from ..operators.epochs import MARKER_MS
 from ..operators.mining import ORDINARY_ROUTES
+from ..operators.strategies import STRATEGIES
 from ..sources.requests import DERIVED_SQL
 from .settings import MIN_CONFIDENCE, PROPOSALS, SINCE_ID, SLIDE_STEP_MS, SLIDE_WINDOW_MS, WINDOW_MS
 
@@ -81,23 +82,23 @@ dominant AS (SELECT epoch, asn, fingerprint, ip_count, path_union_size FROM grou
         days = "(CASE WHEN isinf(burst_sec) THEN 0 ELSE burst_sec / 86400.0 END)"
         burst = f"(CASE WHEN burst_sec < 60 THEN 1.0 ELSE greatest({_ZERO}, 1 - (burst_sec - 60) / 540.0) END)"
         self.scores = self.metrics + f""",
-s1 AS (SELECT 'subnet-fingerprint-overlap' AS strategy_id, epoch, end_ms, g.subnet AS key, 'subnet-fingerprint-overlap|subnet=' || g.subnet AS identifier, {size} * 0.4 + greatest({alike}, {broad}) * 0.6 AS confidence
+s1 AS (SELECT 'subnet-fingerprint-overlap' AS strategy_id, epoch, end_ms, g.subnet AS key, 'subnet-fingerprint-overlap|subnet=' || g.subnet AS identifier, {size} * 0.4 + greatest({alike}, {broad}) * 0.6 AS confidence, concat_ws('|', cohesion, ips, attack, paths) AS ev
   FROM (SELECT g.*, coalesce(c.cohesion, 0) AS cohesion FROM (SELECT epoch, end_ms, subnet, first(asn ORDER BY ms, id) AS asn, count(DISTINCT ip) AS ips, count(DISTINCT CASE WHEN is_attack THEN route END) AS attack, count(DISTINCT route) AS paths
     FROM nt GROUP BY ALL) g LEFT JOIN cohesion c USING (epoch, asn, subnet)) g WHERE asn IS NOT NULL AND ips >= 3 AND attack >= 1 AND paths >= 2),
-s2 AS (SELECT 'asn-path-fingerprint-cluster' AS strategy_id, epoch, end_ms, CAST(asn AS VARCHAR) AS key, 'asn-path-fingerprint-cluster|asn=' || asn || '|fp=' || fingerprint AS identifier, {turns} * 0.5 + {many} * 0.3 + {wide} * 0.2 AS confidence
+s2 AS (SELECT 'asn-path-fingerprint-cluster' AS strategy_id, epoch, end_ms, CAST(asn AS VARCHAR) AS key, 'asn-path-fingerprint-cluster|asn=' || asn || '|fp=' || fingerprint AS identifier, {turns} * 0.5 + {many} * 0.3 + {wide} * 0.2 AS confidence, concat_ws('|', fingerprint, ip_count, path_union_size, rotation) AS ev
   FROM dominant JOIN (SELECT p.epoch, p.asn, avg(ua_diversity) AS rotation FROM prints p JOIN dominant d USING (epoch, asn, fingerprint) JOIN per_ip q ON q.epoch = p.epoch AND q.ip = p.ip GROUP BY ALL) USING (epoch, asn)
   JOIN (SELECT DISTINCT epoch, end_ms FROM e) USING (epoch) WHERE ip_count >= 3),
 tool AS (SELECT * FROM e WHERE {' OR '.join(f'regexp_matches(user_agent, {_re(p)})' for p in catalog.tools)}),
-s3 AS (SELECT 'ua-reputation' AS strategy_id, epoch, end_ms, ip AS key, 'ua-reputation|ip=' || ip AS identifier, CAST(0.5 AS DOUBLE) AS confidence FROM tool GROUP BY ALL),
-s4 AS (SELECT 'single-ip-burst' AS strategy_id, g.epoch, end_ms, g.ip AS key, 'single-ip-burst|ip=' || g.ip AS identifier, {vol} * 0.4 + {div} * 0.4 + greatest({burst}, {sig(f'({days} - 7) / 3.0')}) * 0.2 AS confidence
+s3 AS (SELECT 'ua-reputation' AS strategy_id, epoch, end_ms, ip AS key, 'ua-reputation|ip=' || ip AS identifier, CAST(0.5 AS DOUBLE) AS confidence, concat_ws('|', array_to_string(list_sort(list(DISTINCT user_agent)), ','), count(*)) AS ev FROM tool GROUP BY epoch, end_ms, ip),
+s4 AS (SELECT 'single-ip-burst' AS strategy_id, g.epoch, end_ms, g.ip AS key, 'single-ip-burst|ip=' || g.ip AS identifier, {vol} * 0.4 + {div} * 0.4 + greatest({burst}, {sig(f'({days} - 7) / 3.0')}) * 0.2 AS confidence, concat_ws('|', volume, unique_paths, burst_sec) AS ev
   FROM (SELECT epoch, end_ms, ip, any_value(subnet) AS subnet FROM t GROUP BY epoch, end_ms, ip) g JOIN per_ip p ON g.epoch = p.epoch AND g.ip = p.ip
   WHERE NOT EXISTS (SELECT 1 FROM s1 f WHERE f.confidence >= {MIN_CONFIDENCE} AND f.key = g.subnet AND f.epoch <= g.epoch AND f.end_ms + {MARKER_MS} > g.end_ms)),
 fired AS (SELECT * FROM (SELECT * FROM s1 UNION ALL SELECT * FROM s2 UNION ALL SELECT * FROM s3 UNION ALL SELECT * FROM s4) WHERE confidence >= {MIN_CONFIDENCE}),
 seen AS (SELECT 'subnet-fingerprint-overlap' AS strategy_id, subnet AS key, nt.* FROM nt UNION ALL SELECT 'asn-path-fingerprint-cluster', CAST(asn AS VARCHAR), t.* FROM t SEMI JOIN (SELECT epoch, asn, ip FROM prints JOIN dominant USING (epoch, asn, fingerprint)) m USING (epoch, asn, ip)
   UNION ALL SELECT 'ua-reputation', ip, tool.* FROM tool UNION ALL SELECT 'single-ip-burst', ip, t.* FROM t),
-cand AS (SELECT f.strategy_id, f.epoch, f.key, f.identifier, f.confidence, min(created_at) AS first_seen, max(created_at) AS last_seen, count(*) AS request_count, count(DISTINCT ip) AS n_ips, list_sort(list(DISTINCT ip)) AS ips,
+cand AS (SELECT f.strategy_id, f.epoch, f.key, f.identifier, f.confidence, f.ev, min(created_at) AS first_seen, max(created_at) AS last_seen, count(*) AS request_count, count(DISTINCT ip) AS n_ips, list_sort(list(DISTINCT ip)) AS ips,
   least(10, count(DISTINCT route)) AS n_paths, least(5, count(DISTINCT user_agent)) AS n_agents, first(route ORDER BY ms, id) AS first_path
-  FROM fired f JOIN seen s ON s.strategy_id = f.strategy_id AND s.epoch = f.epoch AND s.key = f.key GROUP BY f.strategy_id, f.epoch, f.key, f.identifier, f.confidence)"""
+  FROM fired f JOIN seen s ON s.strategy_id = f.strategy_id AND s.epoch = f.epoch AND s.key = f.key GROUP BY f.strategy_id, f.epoch, f.key, f.identifier, f.confidence, f.ev)"""
 
     def of(self, ctes: str, query: str) -> str:
         return f"WITH {ctes}\n{query}"
@@ -178,6 +179,9 @@ FROM (SELECT id, CASE id % 4 WHEN 0 THEN NULL WHEN 1 THEN ip WHEN 2 THEN ip || '
             "campaign_fold": o(self.scores, """SELECT identifier, any_value(strategy_id) AS strategy_id, count(*) AS times_fired, min(first_seen) AS first_seen, max(last_seen) AS last_seen, round(max(confidence), 6) AS peak_confidence, round(arg_max(confidence, epoch), 6) AS confidence,
   array_to_string(list_sort(list_distinct(flatten(list(ips)))), ',') AS contributing_ips FROM cand GROUP BY identifier"""),
             "campaigns_active": o(self.scores, "SELECT identifier, round(max(confidence), 6) AS peak_confidence FROM cand GROUP BY identifier"),
+            "evidence_history": o(self.scores, """SELECT identifier, CAST(row_number() OVER (PARTITION BY identifier ORDER BY epoch) - 1 AS INT) AS nth, last_seen AS observed_at, round(confidence, 6) AS confidence
+FROM (SELECT *, lag(ev) OVER (PARTITION BY identifier ORDER BY epoch) AS before FROM cand) WHERE before IS DISTINCT FROM ev"""),
+            "catalog_coverage": "SELECT * FROM (VALUES " + ", ".join(f"({_text(x.campaign_type)}, {_text(x.strategy_id)})" for x in STRATEGIES) + ") v(campaign_type, strategy_id) WHERE campaign_type NOT IN (" + ", ".join(_text(x.campaign_id) for x in c.campaigns) + ")",
             "uncaught_shapes": o(self.cls, "SELECT method, full_url, count(*) AS count, count(DISTINCT ip) AS ip_count, array_to_string(list_sort(list(id))[1:5], ',') AS sample_ids FROM cls WHERE threat_rank = 0 GROUP BY ALL"),
             "clusters_by_ip": self.clusters("ip", "count(*) >= 10 OR count(DISTINCT full_url) >= 5"),
             "clusters_by_subnet": self.clusters(subnet("ip"), "count(DISTINCT ip) >= 2 AND (count(*) >= 10 OR count(DISTINCT full_url) >= 3)"),

@@ -234,7 +234,8 @@ def campaigns_active(spark, sf_dir):
 
 @query
 def evidence_history(spark, sf_dir):
-    return _detected(spark, sf_dir).campaigns.select("identifier", F.posexplode("evidence_history").alias("nth", "h")).select("identifier", "nth", "h.observed_at", "h.confidence", "h.evidence")
+    entries = _detected(spark, sf_dir).campaigns.select("identifier", F.posexplode("evidence_history").alias("nth", "h"))
+    return _rounded(entries.select("identifier", "nth", "h.observed_at", "h.confidence"), "confidence")
 
 
 @query
