@@ -46,9 +46,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, with whether they decode to it."""
-    path = pieces.default_model()
-    ids = pieces.encode(docs.select("doc_id", "source", "text"), path)
-    back = pieces.decode(ids, path)
+    back = pieces.encode(docs.select("doc_id", "source", "text"), pieces.default_model(), decoded_col="decoded")
     return back.select("doc_id", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import bounded_batches, documents
 from .samples import fold
 
 #: Rows that the n-grams are learned from at most, chosen by a hash of their ids.
@@ -128,6 +128,7 @@ def learn(docs: DataFrame, usable, text_col: str = "text", lang_col: str = "lang
 
     Each task counts the n-grams of its sampled texts; counts are summed per language and n-gram.
     """
+    bounded_batches(docs.sparkSession)
     order = F.xxhash64(F.lit("language"), F.col(id_col))
     rows = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     first = [r.h for r in rows.select(order.alias("h")).orderBy("h").limit(sample_rows).collect()]
@@ -161,6 +162,7 @@ _COUNTS = pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64
 
 def identify(docs: DataFrame, model: LanguageFilter, text_col: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``; texts that are null or have no letter give ``und`` and 0."""
+    bounded_batches(docs.sparkSession)
     names = [c for c in docs.columns if c not in ("lang_pred", "score")]
     schema = docs.select(*names).withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).schema
 

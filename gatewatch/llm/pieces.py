@@ -16,15 +16,16 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import bounded_batches, documents
 
 #: Characters of text that are encoded at once.
-SLICE_CHARS = 1 << 20
+SLICE_CHARS = 1 << 19
 #: Words that a task remembers before it starts afresh.
-POOL_WORDS = 400_000
+POOL_WORDS = 150_000
 _NONE = np.int32(2**31 - 1)
 _BLANK = "▁"
 _UNKNOWN = " ⁇ "
@@ -282,42 +283,46 @@ def decode_ids(m: PieceModel, flat: np.ndarray, counts: np.ndarray) -> list[str]
     return out
 
 
-def sliced(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Bounds of runs of texts with about ``SLICE_CHARS`` characters."""
-    start = size = 0
-    for k, t in enumerate(texts):
-        size += len(t)
-        if size >= SLICE_CHARS:
-            yield start, k + 1
-            start, size = k + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+def sliced(column: pa.Array) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of texts with about ``SLICE_CHARS`` bytes, so that few texts are Python objects at once."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(ends):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + SLICE_CHARS, side="right")))
+        yield start, stop
+        start = stop
 
 
-def encode(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
     """``docs`` with the token ids of ``text_col`` in ``ids_col`` (array of int; replaces such a column).
 
-    Null counts as empty, and an empty text has no ids. Long texts are encoded whole. All other columns and
-    all rows pass unchanged, repeated rows too.
+    With ``decoded_col``, the ids are decoded again in the same pass. Null counts as empty, and an empty text
+    has no ids. Long texts are encoded whole. All other columns and all rows pass unchanged, repeated rows too.
     """
-    names = [c for c in docs.columns if c != ids_col]
-    schema = docs.select(*names).withColumn(ids_col, F.array(F.lit(0))).schema
+    bounded_batches(docs.sparkSession)
+    names = [c for c in docs.columns if c not in (ids_col, decoded_col)]
+    schema = docs.select(*names).withColumn(ids_col, F.array(F.lit(0)))
+    schema = (schema if decoded_col is None else schema.withColumn(decoded_col, F.lit(""))).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(model_path)
         for batch in batches:
-            texts = [t or "" for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
-            for a, b in sliced(texts):
-                flat, counts = encoder.encode(texts[a:b])
+            column = batch.column(batch.schema.get_field_index(text_col))
+            for a, b in sliced(column):
+                flat, counts = encoder.encode([t or "" for t in column.slice(a, b - a).to_pylist()])
                 offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+                made = [pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int32()))]
+                if decoded_col is not None:
+                    made.append(pa.array(decode_ids(encoder.model, flat, counts), pa.string()))
                 part = batch.slice(a, b - a).select(names)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int32()))], names=[*names, ids_col])
+                yield pa.RecordBatch.from_arrays([*part.columns, *made], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, model_path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """``encoded`` with the text of ``ids_col`` in ``text_col``. Null or empty lists give an empty text."""
+    bounded_batches(encoded.sparkSession)
     names = [c for c in encoded.columns if c != text_col]
     schema = encoded.select(*names).withColumn(text_col, F.lit("")).schema
 
@@ -346,12 +351,10 @@ def default_model() -> str:
 
 
 def op10_sentencepiece(spark, sf_dir: str, model_path: str | None = None) -> DataFrame:
-    path = model_path or default_model()
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    ids = encode(docs, path).select(
+    return encode(docs, model_path or default_model(), decoded_col="decoded").select(
         "doc_id",
-        "ids",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
-    return decode(ids, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, labels
+from .common import bounded_batches, documents, labels
 from .samples import ROWS_PER_CLASS, fold, labelled_texts, platt
 
 BITS = 18
@@ -150,6 +150,7 @@ def score(docs: DataFrame, model: QualityModel, text_col: str = "text", score_co
 
     All rows and columns pass; a column called ``score_col`` is replaced.
     """
+    bounded_batches(docs.sparkSession)
     names = [c for c in docs.columns if c != score_col]
     schema = docs.select(*names).withColumn(score_col, F.lit(0.0)).schema
 

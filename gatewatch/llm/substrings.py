@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Table, documents, shuffle_partitions, written
+from .common import Table, bounded_batches, documents, shuffle_partitions, written
 from .shingles import SLICE_BYTES, mixed
 
 #: Bytes that the rolling hash sees.
@@ -179,6 +179,7 @@ def repeated_passages(docs: DataFrame, passage_chars: int = PASSAGE_CHARS, id_co
     only, or in rows that repeat an id, are no passages. Null or empty texts have none; rows without an id
     are one document with a null id. Other columns are not read.
     """
+    bounded_batches(docs.sparkSession)
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     shared = shared_chunks(ids, "doc_id", "text").read()
     found = occurrences(ids, "doc_id", "text").join(shared, ["hi", "lo"])
