@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -24,6 +25,16 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes of text whose parts one bucket takes at most on average; a task keeps its bucket in memory.
+BUCKET_BYTES = 64 << 20
+
+
+def text_buckets(docs: DataFrame, text_col: str, bucket_bytes: int = BUCKET_BYTES) -> int:
+    """Buckets for what is made of all texts: the session's shuffle partitions, or more where these would hold too much."""
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    return max(shuffle_partitions(docs.sparkSession), math.ceil(size / bucket_bytes))
+
+
 #: Rows of text in one Arrow batch; Spark's default of 10,000 long texts would take hundreds of MB on either side.
 BATCH_ROWS = 500
 

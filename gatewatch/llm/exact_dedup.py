@@ -10,6 +10,7 @@ inserted. An insertion that finds no place doubles the filter and re-inserts all
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,8 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, written
+from .common import SPACE, shuffle_partitions, written
 
+#: Live digests at which a reading task hands its index on and starts an empty one.
+READING_KEYS = 200_000
+#: Digests that the index of one bucket holds on average at most.
+BUCKET_KEYS = 500_000
 _SLOTS = 4
 _KICKS = 256
 _MASK = (1 << 64) - 1
@@ -123,18 +128,7 @@ def _better(a: tuple, b: tuple) -> bool:
 _PARTIAL = pa.schema([("digest", pa.binary()), ("n_points", pa.int64()), ("keep_id", pa.int64()), ("group_size", pa.int64())])
 
 
-def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    index = CuckooIndex()
-    for batch in batches:
-        for key, points, doc, size in zip(*(batch.column(n).to_pylist() for n in _PARTIAL.names), strict=True):
-            known = index.find(key)
-            if known is None:
-                index.insert(key, (points, doc, size))
-            elif _better((points, doc), known):
-                index.delete(key)
-                index.insert(key, (points, doc, known[2] + size))
-            else:
-                index.live[key] = (known[0], known[1], known[2] + size)
+def _drained(index: CuckooIndex) -> Iterator[pa.RecordBatch]:
     items = list(index.live.items())
     for at in range(0, len(items), 10_000):
         part = items[at : at + 10_000]
@@ -142,6 +136,37 @@ def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PARTIAL, strict=True)], schema=_PARTIAL)
 
 
+def _read(batches: Iterator[pa.RecordBatch], most: int = READING_KEYS) -> Iterator[pa.RecordBatch]:
+    """Partial groups of a reading task: its index never holds many more than ``most`` digests."""
+    index = CuckooIndex()
+    for batch in batches:
+        _take(index, batch)
+        if len(index.live) >= most:
+            yield from _drained(index)
+            index = CuckooIndex()
+    yield from _drained(index)
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole groups of the bucket that owns the digests."""
+    index = CuckooIndex()
+    for batch in batches:
+        _take(index, batch)
+    yield from _drained(index)
+
+
+def _take(index: CuckooIndex, batch: pa.RecordBatch) -> None:
+    for key, points, doc, size in zip(*(batch.column(n).to_pylist() for n in _PARTIAL.names), strict=True):
+        known = index.find(key)
+        if known is None:
+            index.insert(key, (points, doc, size))
+        elif _better((points, doc), known):
+            index.delete(key)
+            index.insert(key, (points, doc, known[2] + size))
+        else:
+            index.live[key] = (known[0], known[1], known[2] + size)
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
@@ -159,8 +184,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
     keyed = written(keyed, "exact-keys").read()
     kind = "digest binary, n_points bigint, keep_id bigint, group_size bigint"
-    local = keyed.select("digest", "n_points", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size")).mapInArrow(_indexed, kind)
-    groups = local.repartition("digest").mapInArrow(_indexed, kind).select("digest", "keep_id", "group_size")
+    local = keyed.select("digest", "n_points", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size")).mapInArrow(_read, kind)
+    buckets = max(shuffle_partitions(docs.sparkSession), math.ceil(keyed.count() / BUCKET_KEYS))
+    groups = local.repartition(buckets, "digest").mapInArrow(_grouped, kind).select("digest", "keep_id", "group_size")
     joined = keyed.select("doc_id", "digest").join(groups, "digest")
     return joined.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 

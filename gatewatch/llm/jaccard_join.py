@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Table, bounded_batches, documents, shuffle_partitions, written
+from .common import Table, bounded_batches, documents, text_buckets, written
 from .components import components
 from .shingles import SLICE_BYTES, shingle_sets
 
@@ -222,7 +222,7 @@ def _dealt(rows: DataFrame, buckets: int) -> DataFrame:
 def shared_sets(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> tuple[Table, Table]:
     """The table ``doc_id, n, class`` of all documents, and the classes that may have links."""
     bounded_batches(docs.sparkSession)
-    buckets = shuffle_partitions(docs.sparkSession)
+    buckets = text_buckets(docs, text_col)
     rows = docs.select(id_col, text_col).mapInArrow(_sets(words, buckets, id_col, text_col), _PACKED)
     counted = written(_dealt(rows, buckets).mapInArrow(_count(buckets), _PACKED), "shingle-counts")
     members = written(counted.read().where("payload IS NULL").select("doc_id", "n", "class"), "shingle-members")

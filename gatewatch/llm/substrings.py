@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Table, bounded_batches, documents, shuffle_partitions, written
+from .common import Table, bounded_batches, documents, text_buckets, written
 from .shingles import SLICE_BYTES, mixed
 
 #: Bytes that the rolling hash sees.
@@ -150,7 +150,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def shared_chunks(docs: DataFrame, id_col: str, text_col: str) -> Table:
     """``hi, lo, first_doc_id, first_start`` of the chunks that several documents share."""
-    buckets = shuffle_partitions(docs.sparkSession)
+    buckets = text_buckets(docs, text_col)
     packed = docs.select(id_col, text_col).mapInArrow(_packed(buckets, id_col, text_col), "bucket int, payload binary")
     kind = "hi bigint, lo bigint, first_doc_id bigint, first_start bigint"
     return written(packed.repartitionById(buckets, F.col("bucket")).mapInArrow(_shared, kind), "shared-chunks")

@@ -1,6 +1,8 @@
 import random
 
-from gatewatch.llm.exact_dedup import CuckooIndex, deduplicated, exact_dedup
+import pyarrow as pa
+
+from gatewatch.llm.exact_dedup import _PARTIAL, CuckooIndex, _grouped, _read, deduplicated, exact_dedup
 
 
 def test_index_inserts_finds_deletes_and_grows():
@@ -29,3 +31,14 @@ def test_keeps_the_longest_then_smallest(spark):
     apart = spark.createDataFrame([(None, "one"), (None, "two"), (3, "x"), (3, "y"), (3, "y ")], "doc_id long, text string")
     assert sorted(r.text for r in deduplicated(apart).collect()) == ["one", "two", "x", "y "]
     assert exact_dedup(docs.limit(0)).count() == 0 and deduplicated(docs.limit(0)).count() == 0
+
+
+def test_a_reading_task_hands_its_index_on():
+    columns = [[k.to_bytes(8, "little") for k in (1, 2, 1, 3, 1)], [5, 1, 9, 1, 2], [10, 20, 30, 40, 50], [1] * 5]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PARTIAL, strict=True)], schema=_PARTIAL)
+    for most in (1, 100):
+        partial = [r for b in _read(iter([batch, batch]), most) for r in b.to_pylist()]
+        assert len(partial) == (6 if most == 1 else 3)
+        again = pa.RecordBatch.from_pylist(partial, schema=_PARTIAL)
+        whole = sorted((r["digest"][0], r["n_points"], r["keep_id"], r["group_size"]) for b in _grouped(iter([again])) for r in b.to_pylist())
+        assert whole == [(1, 9, 30, 6), (2, 1, 20, 2), (3, 1, 40, 2)]
