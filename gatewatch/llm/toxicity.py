@@ -10,6 +10,7 @@ their words and trigrams, then from the network of the first round.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -32,21 +33,36 @@ GRAM_ROWS = 1 << 15
 FIT_WINDOWS = 4_000
 POOL_WORDS = 200_000
 BLOCK = 1_024
+#: Longer runs without white space are cut at their joiners, and parts that are still longer into pieces of
+#: ``PIECE`` characters, ``PIECE_STEP`` apart.
 LETTERS = 40
+PIECE = 6
+PIECE_STEP = 2
+_JOINERS = re.compile(r"[-_/\\|.,;:+=&~]+")
+
+
+def pieces(run: str) -> list[str]:
+    """A run without white space as words of at most ``LETTERS`` characters that cover all but its joiners."""
+    if len(run) <= LETTERS:
+        return [run]
+    parts = [p for p in _JOINERS.split(run) if p] or [run]
+    out = []
+    for p in parts:
+        out += [p] if len(p) <= LETTERS else [p[s : s + PIECE] for s in range(0, len(p) - PIECE + PIECE_STEP, PIECE_STEP)]
+    return out
 
 
 def split(text: str) -> list[str]:
-    """Words in lower case; a run of one word counts once, for its repeats say nothing new."""
+    """Words in lower case, long runs in pieces; a run of one word counts once, for its repeats say nothing new."""
     words = text.lower().split()
+    if max(map(len, words), default=0) > LETTERS:
+        words = [p for w in words for p in pieces(w)]
     return [w for w, before in zip(words, [None, *words], strict=False) if w != before]
 
 
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the words' character trigrams, flat, and each word's count.
-
-    Of a word beyond ``LETTERS`` characters, that many from its start and as many from its end are read.
-    """
-    marked = [f"^{w}$" if len(w) <= 2 * LETTERS else f"^{w[:LETTERS]}{w[-LETTERS:]}$" for w in words]
+    """Rows of the words' character trigrams, flat, and each word's count."""
+    marked = [f"^{w}$" for w in words]
     counts = np.fromiter(map(len, marked), dtype=np.int64, count=len(marked)) - 2
     points = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     h = points[:-2] * np.uint32(0x9E3779B1) ^ points[1:-1] * np.uint32(0x85EBCA77) ^ points[2:] * np.uint32(0xC2B2AE3D)
@@ -277,13 +293,13 @@ def _log_odds(word_lists: list[list[str]], y: np.ndarray) -> dict[str, float]:
     count = [Counter(), Counter()]
     for ws, label in zip(word_lists, y.tolist(), strict=True):
         distinct = set(ws)
-        count[label].update(distinct | {f"~{m[k : k + 4]}" for w in distinct for m in (f"^{w[:LETTERS]}$",) for k in range(len(m) - 3)})
+        count[label].update(distinct | {f"~{m[k : k + 4]}" for w in distinct for m in (f"^{w}$",) for k in range(len(m) - 3)})
     n0, n1 = max(1, int((y == 0).sum())), max(1, int((y == 1).sum()))
     return {k: float(np.log((c + 0.5) / n1) - np.log((count[0][k] + 0.5) / n0)) for k, c in count[1].items() if c >= 3}
 
 
 def _evidence(word: str, odds: dict[str, float]) -> float:
-    marked = f"^{word[:LETTERS]}$"
+    marked = f"^{word}$"
     return max([odds.get(word, 0.0), *(odds.get(f"~{marked[k : k + 4]}", 0.0) for k in range(len(marked) - 3))])
 
 

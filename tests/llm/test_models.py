@@ -124,3 +124,21 @@ def test_samples_are_bounded_and_skip_nulls(spark):
     assert samples.best_cut([0.0, 1.0, 2.0, 3.0], [0, 0, 1, 1]) == 1.5
     a, b = samples.platt([-2, -1, 1, 2] * 20, [0, 0, 1, 1] * 20)
     assert a > 0 and abs(b) < 0.5
+
+
+def test_unspaced_texts_are_read_whole(spark, toxic_corpus):
+    rng = random.Random(9)
+    for n in (40, 41, 42, 47, 1_001):
+        run = "".join(chr(0x4E00 + k) for k in range(n))
+        found, read = toxicity.split(run), set()
+        assert max(map(len, found)) <= toxicity.LETTERS
+        for p in found:
+            read |= set(p)
+        assert read == set(run)
+    net = toxicity.fit([("".join(t.split()) if k % 2 else t, y) for k, (t, y) in enumerate(toxic_corpus[:500])], {0: 0.67, 1: 0.33})
+    calm = ["".join(prose(rng, lang, 3_000).split())[:10_000] for lang in ("aa", "bb") for _ in range(5)]
+    toxic = [t[:5_000] + "zwurkgloppigxaxaa" + t[5_000:] for t in calm]
+    joined = [j.join([*prose(rng, "aa", 800).split(), "gloppig", *prose(rng, "aa", 800).split()]) for j in "-_/"]
+    docs = spark.createDataFrame(list(enumerate(calm + toxic + joined)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in toxicity.score(docs, net).collect()}
+    assert all(got[k] < 0.5 for k in range(10)) and all(got[k] > 0.5 for k in range(10, 23))
