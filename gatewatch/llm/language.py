@@ -12,14 +12,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, documents
+from .common import bounded_batches, documents, small, written
 from .samples import fold
 
-#: Rows that the n-grams are learned from at most, chosen by a hash of their ids.
+#: Rows of each language that its n-grams are learned from, about, chosen by a hash of their ids.
 SAMPLE_ROWS = 6_000
+#: A language with fewer learned rows keeps the n-grams of a single row too.
+FEW_ROWS = 20
+#: Distinct n-grams that a task counts before it hands them on.
+HELD_GRAMS = 100_000
 #: n-grams kept for each language at most, the most frequent first, and the share of its texts that an n-gram must be in.
 GRAMS_PER_LANGUAGE = 6_000
 LEAST_SHARE = 0.01
@@ -27,6 +31,8 @@ GRAM_SIZES = (2, 3, 4)
 SLOT_BITS = 17
 HASHES = 3
 UNDETERMINED = "und"
+#: Most distinct languages whose numbers are broadcast; beyond it the joins shuffle.
+BROADCAST_LANGUAGES = 100_000
 _PIECE = 1 << 19
 
 
@@ -124,42 +130,50 @@ class LanguageFilter:
 
 
 def learn(docs: DataFrame, usable, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> LanguageFilter:
-    """Learns the n-grams of each language from a bounded sample of the rows where ``usable`` holds.
+    """Learns the n-grams of each language from a bounded sample of its rows where ``usable`` holds.
 
-    Each task counts the n-grams of its sampled texts; counts are summed per language and n-gram.
+    A language with up to ``sample_rows`` rows is learned from all of them, a larger one from those whose hash
+    lies in the share that holds ``sample_rows`` on average. Each task counts the n-grams of its sampled texts;
+    counts are summed per language and n-gram.
     """
-    bounded_batches(docs.sparkSession)
-    order = F.xxhash64(F.lit("language"), F.col(id_col))
-    rows = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    first = [r.h for r in rows.select(order.alias("h")).orderBy("h").limit(sample_rows).collect()]
-    if not first:
-        return LanguageFilter({})
-    sample = rows.where(order <= first[-1]).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    rows = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
+    sizes = written(rows.groupBy("lang").agg(F.count("*").alias("size")).coalesce(1), "language-sizes").read()
+    languages = sizes.count()
+    aimed = small(sizes.withColumnRenamed("lang", "of"), languages, BROADCAST_LANGUAGES)
+    at = F.shiftrightunsigned(F.xxhash64(F.lit("language"), F.col("id")), 11) / F.lit(float(1 << 53))
+    sample = rows.join(aimed, F.col("lang") == F.col("of")).where(at * F.col("size") < sample_rows).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, texts = defaultdict(Counter), Counter()
+        found, held = defaultdict(Counter), 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for lang, counted in found.items():
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counted)), pa.array(list(counted), pa.int64()), pa.array(list(counted.values()), pa.int64())], names=["lang", "gram", "n"])
+
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                texts[lang] += 1
+                held -= len(found[lang])
                 for code in _grams(_letters(text)):
                     found[lang].update(np.unique(code).view(np.int64).tolist())
-        for lang, counted in found.items():
-            counted = counted.items()
-            yield pa.RecordBatch.from_pydict({"lang": [lang] * len(counted), "gram": [g for g, _ in counted], "n": [n for _, n in counted]})
-        yield pa.RecordBatch.from_pydict({"lang": list(texts), "gram": [None] * len(texts), "n": list(texts.values())}, schema=_COUNTS)
+                held += len(found[lang])
+                if held > HELD_GRAMS:
+                    yield from flush()
+                    found, held = defaultdict(Counter), 0
+        yield from flush()
 
     counts = sample.mapInArrow(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    totals = {r.lang: r.n for r in counts.where("gram IS NULL").collect()}
-    grams = {}
-    for lang, n in sorted(totals.items()):
-        top = counts.where((F.col("lang") == lang) & F.col("gram").isNotNull() & (F.col("n") >= max(2.0, LEAST_SHARE * n))).orderBy(F.col("n").desc(), "gram").limit(GRAMS_PER_LANGUAGE)
-        grams[lang] = np.array([r.gram for r in top.select("gram").collect()], dtype=np.int64).view(np.uint64)
+    learned = F.least("size", F.lit(sample_rows))
+    least = F.when(learned < FEW_ROWS, 1.0).otherwise(F.greatest(F.lit(2.0), learned * LEAST_SHARE))
+    frequent = counts.join(aimed, F.col("lang") == F.col("of")).where(F.col("n") >= least)
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram"))
+    top = frequent.withColumn("nth", nth).where(F.col("nth") <= GRAMS_PER_LANGUAGE).groupBy("lang").agg(F.collect_list("gram").alias("grams"))
+    grams = {r.lang: np.zeros(0, np.uint64) for r in sizes.select("lang").collect()}
+    grams |= {r.lang: np.array(r.grams, dtype=np.int64).view(np.uint64) for r in top.collect()}
     return LanguageFilter(grams)
 
 
-_COUNTS = pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64())])
-
-
 def identify(docs: DataFrame, model: LanguageFilter, text_col: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``; texts that are null or have no letter give ``und`` and 0."""
     bounded_batches(docs.sparkSession)

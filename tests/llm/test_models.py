@@ -142,3 +142,12 @@ def test_unspaced_texts_are_read_whole(spark, toxic_corpus):
     docs = spark.createDataFrame(list(enumerate(calm + toxic + joined)), "doc_id long, text string")
     got = {r.doc_id: r.score for r in toxicity.score(docs, net).collect()}
     assert all(got[k] < 0.5 for k in range(10)) and all(got[k] > 0.5 for k in range(10, 23))
+
+
+def test_rare_languages_are_learned(spark):
+    rng = random.Random(4)
+    rows = [(k, prose(rng, "aa", 20), "aa") for k in range(3_000)] + [(5_000 + k, prose(rng, "bb", 20), "bb") for k in range(3)] + [(6_000, prose(rng, "cc", 200), "cc")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.learn(docs, docs["doc_id"] >= 0, sample_rows=100)
+    assert model.languages == ["aa", "bb", "cc"]
+    assert [model.predict(prose(rng, lang, 50))[0] for lang in ("aa", "bb", "cc")] == ["aa", "bb", "cc"]
