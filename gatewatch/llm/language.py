@@ -81,39 +81,41 @@ def _slots(code: np.ndarray) -> Iterator[np.ndarray]:
 
 
 class LanguageFilter:
-    """Bloom filters of up to 64 languages, sliced by bit."""
+    """Bloom filters of any number of languages, sliced by bit: 64 languages a word, one row of slots for each word."""
 
     def __init__(self, grams: dict[str, np.ndarray]):
         self.languages = sorted(grams)
-        if len(self.languages) > 64:
-            raise ValueError("at most 64 languages share a filter")
-        self.slots = np.zeros(1 << SLOT_BITS, dtype=np.uint64)
-        for bit, language in enumerate(self.languages):
+        self.slots = np.zeros((-(-len(self.languages) // 64), 1 << SLOT_BITS), dtype=np.uint64)
+        for k, language in enumerate(self.languages):
             for at in _slots(np.asarray(grams[language], dtype=np.uint64)):
-                np.bitwise_or.at(self.slots, at, np.uint64(1 << bit))
-        fill = np.array([(self.slots >> np.uint64(b) & np.uint64(1)).mean() for b in range(len(self.languages))])
+                np.bitwise_or.at(self.slots[k // 64], at, np.uint64(1 << k % 64))
+        fill = np.array([(self.slots[k // 64] >> np.uint64(k % 64) & np.uint64(1)).mean() for k in range(len(self.languages))])
         self.false_rate = fill**HASHES
+        self.everyone = np.array([(1 << min(64, len(self.languages) - 64 * w)) - 1 for w in range(len(self.slots))], dtype=np.uint64)
 
-    def containing(self, code: np.ndarray) -> np.ndarray:
-        """Bitmask of the languages that (seem to) contain each n-gram."""
+    def containing(self, code: np.ndarray, word: int = 0) -> np.ndarray:
+        """Bitmask of the word's languages that (seem to) contain each n-gram."""
         out = None
         for at in _slots(code):
-            out = self.slots[at] if out is None else out & self.slots[at]
+            out = self.slots[word][at] if out is None else out & self.slots[word][at]
         return out
 
     def votes(self, text: str) -> np.ndarray | None:
         """Corrected votes per language; None for a text without letters. Long texts are read whole, by pieces."""
         hits, n, any_letter = np.zeros(len(self.languages)), 0, False
-        everyone = np.uint64((1 << len(self.languages)) - 1)
         for start in range(0, len(text), _PIECE):
             points = _letters(text[max(0, start - max(GRAM_SIZES) + 1) : start + _PIECE])
             any_letter |= bool(points.any())
-            for code in _grams(points):
-                mask = self.containing(code)
-                mask = mask[mask != everyone] if len(self.languages) > 1 else mask  # what all contain tells nothing
-                n += len(mask)
-                for bit in range(len(self.languages)):
-                    hits[bit] += np.count_nonzero(mask & np.uint64(1 << bit))
+            for code in _grams(points) if self.languages else ():
+                masks = [self.containing(code, word) for word in range(len(self.slots))]
+                if len(self.languages) > 1:  # what all contain tells nothing
+                    tells = masks[0] != self.everyone[0]
+                    for mask, everyone in zip(masks[1:], self.everyone[1:], strict=True):
+                        tells |= mask != everyone
+                    masks = [mask[tells] for mask in masks]
+                n += len(masks[0])
+                for k in range(len(self.languages)):
+                    hits[k] += np.count_nonzero(masks[k // 64] & np.uint64(1 << k % 64))
         if not any_letter:
             return None
         return np.maximum(hits - n * self.false_rate, 0) / (1 - self.false_rate)

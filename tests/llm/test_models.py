@@ -151,3 +151,16 @@ def test_rare_languages_are_learned(spark):
     model = language.learn(docs, docs["doc_id"] >= 0, sample_rows=100)
     assert model.languages == ["aa", "bb", "cc"]
     assert [model.predict(prose(rng, lang, 50))[0] for lang in ("aa", "bb", "cc")] == ["aa", "bb", "cc"]
+
+
+def test_more_languages_than_a_word_has_bits(spark):
+    letters = np.random.default_rng(8).permutation(np.arange(0x4E00, 0x9000))
+    own = {f"l{k:03}": [chr(c) for c in letters[20 * k : 20 * k + 20]] for k in range(150)}
+    rng = random.Random(8)
+    text = lambda lang: " ".join("".join(rng.choices(own[lang], k=4)) for _ in range(30))
+    docs = spark.createDataFrame([(10 * k + j, text(lang), lang) for k, lang in enumerate(own) for j in range(3)], "doc_id long, text string, lang string")
+    model = language.learn(docs, docs["doc_id"] >= 0)
+    assert model.languages == sorted(own)
+    asked = spark.createDataFrame([(k, text(lang)) for k, lang in enumerate(own)], "doc_id long, text string")
+    got = {r.doc_id: r.lang_pred for r in language.identify(asked, model).collect()}
+    assert got == dict(enumerate(own))
