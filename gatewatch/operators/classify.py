@@ -70,6 +70,15 @@ def method_signals(methods: DataFrame, catalog: Catalog) -> DataFrame:
     return methods.withColumns({"method_signals": exact.cast(SIGNALS), "line_signals": scan("method", catalog.bodies, "method")})
 
 
+def body_signals(rows: DataFrame, catalog: Catalog) -> Column:
+    """Signals of ``request_body`` where it is a JSON object or list that is not empty; none without the column."""
+    if "request_body" not in rows.columns:
+        return no_signals()
+    text = F.trim("request_body")
+    is_object = text.rlike(r"^[\[{]") & ~text.isin("{}", "[]")
+    return F.when(F.coalesce(is_object, F.lit(False)), scan("request_body", catalog.bodies, "body")).otherwise(no_signals())
+
+
 def top_rank(signals: Column) -> Column:
     return F.coalesce(F.array_max(F.transform(signals, lambda s: rank_of(s["severity"]))), F.lit(0))
 
@@ -86,11 +95,7 @@ def classify(requests: DataFrame, catalog: Catalog | None = None, body_is_object
     rows = requests.drop(*made)
     rows = per_distinct(rows, "full_url", lambda u: url_signals(u, catalog))
     rows = per_distinct(rows, "method", lambda m: method_signals(m, catalog))
-    body = no_signals()
-    if body_is_object and "request_body" in rows.columns:
-        text = F.trim("request_body")
-        is_object = text.rlike(r"^[\[{]") & ~text.isin("{}", "[]")
-        body = F.when(F.coalesce(is_object, F.lit(False)), scan("request_body", catalog.bodies, "body")).otherwise(no_signals())
+    body = body_signals(rows, catalog) if body_is_object else no_signals()
     agent = F.when(F.coalesce("user_agent", F.lit("")) == "", F.array(signal("agent", "low", "no user agent")).cast(SIGNALS)).otherwise(no_signals())
     rows = rows.withColumn("threat_details", F.concat("path_signals", "method_signals", body, "url_signals", "line_signals", agent))
     rows = rows.withColumn("threat_rank", top_rank(F.col("threat_details")))

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..catalogs import Catalog, load
 from ..functions.scalars import level_of, source_of
 from ..operators.campaigns import MIN_CONFIDENCE, fold, upsert
-from ..operators.classify import SIGNALS, method_signals, no_signals, signal, top_rank, url_signals
+from ..operators.classify import SIGNALS, body_signals, method_signals, no_signals, signal, top_rank, url_signals
 from ..operators.epochs import MARKER_MS, WINDOW_MS, millis
 from ..plans.detect import detect
 
@@ -22,12 +22,16 @@ def requests_stream(spark: SparkSession, path: str, schema, skip_paths: tuple[st
     return rows.where(~F.col("route").isin(*skip_paths)) if skip_paths else rows
 
 
-def classified(rows: DataFrame, catalog: Catalog | None = None) -> DataFrame:
-    """Stateless classification of a stream, row by row (distinct values would need state)."""
+def classified(rows: DataFrame, catalog: Catalog | None = None, body_is_object: bool = True) -> DataFrame:
+    """Stateless classification of a stream, row by row (distinct values would need state).
+
+    Levels and details are those of ``classify``, bodies included.
+    """
     catalog = catalog or load()
     rows = method_signals(url_signals(rows, catalog), catalog)
+    body = body_signals(rows, catalog) if body_is_object else no_signals()
     agent = F.when(F.coalesce("user_agent", F.lit("")) == "", F.array(signal("agent", "low", "no user agent")).cast(SIGNALS)).otherwise(no_signals())
-    rows = rows.withColumn("threat_details", F.concat("path_signals", "method_signals", "url_signals", "line_signals", agent))
+    rows = rows.withColumn("threat_details", F.concat("path_signals", "method_signals", body, "url_signals", "line_signals", agent))
     rows = rows.withColumn("threat_rank", top_rank(F.col("threat_details")))
     named = rows.withColumns({"threat_level": level_of(F.col("threat_rank")), "source": source_of(F.col("user_agent"), catalog), "threat_details": F.when(F.size("threat_details") > 0, F.col("threat_details"))})
     return named.drop("path_signals", "url_signals", "method_signals", "line_signals")

@@ -99,3 +99,21 @@ def test_streaming(spark, tmp_path):
     live.each_batch(stream, lambda df, n: seen.append(df.count()), str(tmp_path / "cp2")).awaitTermination(60)
     assert sum(seen) == 2
     assert live.level_windows(stream).isStreaming
+
+
+def test_streamed_bodies(spark, tmp_path):
+    schema = "id long, route string, full_url string, method string, user_agent string, request_body string, created_at timestamp"
+    at = dt.datetime(2024, 1, 1)
+    bodies = [(1, '{"q": "1 UNION SELECT password FROM users"}'), (2, '{"q": "hello"}'), (3, "{}"), (4, None), (5, "1 UNION SELECT password FROM users")]
+    rows = spark.createDataFrame([(k, "/", "/", "POST", "ua", body, at) for k, body in bodies], schema)
+    rows.write.json(str(tmp_path / "in"))
+    (tmp_path / "in" / "nested.json").write_text(json.dumps({"id": 6, "route": "/", "full_url": "/", "method": "POST", "user_agent": "ua", "request_body": {"q": "1 UNION SELECT password FROM users"}}))
+    raw = live.requests_stream(spark, str(tmp_path / "in"), schema)
+    live.append_to(live.classified(raw), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
+    got = {r.id: r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    want = {r.id: r for r in classify(rows).collect()}
+    assert want[1].threat_level == "high" and len(got) == 6
+    assert all((got[k].threat_level, got[k].threat_details) == (want[k].threat_level, want[k].threat_details) for k in want)
+    assert got[6].threat_level == "high" and got[5].threat_level == "none"
+    live.append_to(live.classified(raw, body_is_object=False), str(tmp_path / "out2"), str(tmp_path / "cp2")).awaitTermination(60)
+    assert {r.threat_level for r in spark.read.parquet(str(tmp_path / "out2")).collect()} == {"none"}
