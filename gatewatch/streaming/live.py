@@ -46,12 +46,13 @@ class Detector:
     """Micro-batches into a request table, closed epochs into campaign records.
 
     ``folder`` holds ``requests`` (a folder a batch, so that a repeated batch replaces itself) and numbered
-    versions of ``campaigns``. An epoch is closed when a request after its end has come; every closed epoch
-    is detected once, because a version's name says up to which epoch it goes.
+    versions of ``campaigns``. An epoch is closed when a request that is ``late_ms`` past its end has come;
+    every closed epoch is detected once, because a version's name says up to which epoch it goes. A request
+    that comes after its epoch was closed stays in ``requests`` and counts in no campaign.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, start_ms: int, window_ms: int = WINDOW_MS, min_confidence: float = MIN_CONFIDENCE):
-        self.spark, self.folder, self.start_ms, self.window_ms, self.min_confidence = spark, folder.rstrip("/"), start_ms, window_ms, min_confidence
+    def __init__(self, spark: SparkSession, folder: str, start_ms: int, window_ms: int = WINDOW_MS, min_confidence: float = MIN_CONFIDENCE, late_ms: int = 0):
+        self.spark, self.folder, self.start_ms, self.window_ms, self.min_confidence, self.late_ms = spark, folder.rstrip("/"), start_ms, window_ms, min_confidence, late_ms
 
     def _version(self) -> int:
         """Epochs that the newest version covers; 0 without one."""
@@ -71,7 +72,7 @@ class Detector:
         rows = self.spark.read.parquet(f"{self.folder}/requests").drop("batch")
         newest = rows.agg(F.max(millis(F.col("created_at"))).alias("m")).first()["m"]
         done = self._version()
-        closed = 0 if newest is None else max(0, (newest - self.start_ms) // self.window_ms)
+        closed = 0 if newest is None else max(0, (newest - self.late_ms - self.start_ms) // self.window_ms)
         if closed <= done:
             return
         # markers of the epochs before reach into the new ones, hence some epochs more are scored than folded

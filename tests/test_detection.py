@@ -177,6 +177,22 @@ def test_live_detector_matches_batches(spark, tmp_path):
     assert key(live.campaigns()) == key(batch.campaigns) and batch.campaigns.count() > 0
 
 
+def test_live_detector_waits_for_late_requests(spark, tmp_path):
+    from gatewatch.streaming.live import Detector
+
+    start, hour = int(T0.replace(tzinfo=dt.UTC).timestamp() * 1000), 3_600_000
+    rows = [(f"71.0.0.{k}", p, h * 3600 + 10 * k + j) for h in range(4) for k in range(6) for j, p in enumerate(POOL[: 8 + h])]
+    whole = log(spark, rows).drop("request_body")
+    second = F.col("created_at").cast("double") - start / 1000
+    live = Detector(spark, str(tmp_path), start, hour, 0.3, late_ms=hour)
+    for n, part in enumerate([second < 30, (second >= 3600) & (second < 7200), (second >= 30) & (second < 3600), second >= 7200]):
+        live(whole.where(part), n)
+        assert n == 3 or live.campaigns() is None
+    batch = detect(whole, 0.3, window_ms=hour, step_ms=hour, from_ms=start, to_ms=start + 2 * hour)
+    key = lambda t: sorted((r.identifier, r.times_fired, r.peak_confidence, r.contributing_ips, len(r.evidence_history)) for r in t.collect())
+    assert key(live.campaigns()) == key(batch.campaigns) and batch.campaigns.count() > 0
+
+
 def test_marker_scan(spark):
     marks = spark.createDataFrame([("ip", "1.1.1.1", "m", 10), ("asn", "7", "m", 20), ("asn_subnet", "2.2.2.0/24", "m", 30), ("asn_subnet", "9.9.9.0/24", "m", 30)], "scope_type string, scope_value string, marker_name string, expires_ms long")
     rows = spark.createDataFrame([("1.1.1.1", 7), ("2.2.2.9", None)], "ip string, asn int")
