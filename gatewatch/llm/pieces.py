@@ -4,6 +4,10 @@ The words of a batch become one flat numpy array of symbols. A round looks up th
 pair, takes the minimum per word (a segmented reduction), merges its leftmost places in all words at once
 and compacts the array; words in which no pair is left drop out. Every task keeps what it found for a word
 in a bounded pool, so frequent words are merged once.
+
+In a long word a round takes the minimum of every neighbourhood instead. No piece is longer than K characters,
+so what happens more than K symbols away cannot reach a pair before its turn: all pairs that are the least
+within K places merge in one round, and the number of rounds hardly grows with the word.
 """
 
 from __future__ import annotations
@@ -26,7 +30,10 @@ from .common import bounded_batches, documents
 SLICE_CHARS = 1 << 19
 #: Words that a task remembers before it starts afresh.
 POOL_WORDS = 150_000
+#: Words with more characters are merged by neighbourhoods.
+LONG_WORD = 64
 _NONE = np.int32(2**31 - 1)
+_APART = -(1 << 40)
 _BLANK = "▁"
 _UNKNOWN = " ⁇ "
 
@@ -76,8 +83,11 @@ class PieceModel:
         scores = sorted({pieces[i][1] for i in ids.values()}, reverse=True)
         place = {s: k for k, s in enumerate(scores)}
         rank = {p: place[pieces[i][1]] for p, i in ids.items()}
-        if any(a != _BLANK and b == _BLANK for p in ids for a, b in zip(p, p[1:], strict=False)):
+        if any(kind in (4, 5) for _, _, kind in pieces):
+            raise ValueError("models with user-defined or unused pieces are not supported")
+        if any(a != _BLANK and b == _BLANK for p in ids for a, b in zip(p, p[1:], strict=False)) or any("\n" in p and p != "\n" for p in ids):
             raise ValueError("a piece spans words")
+        self.longest = max(map(len, ids), default=1)
         self.joined = {c for p in ids if len(p) > 1 for c in p}
         #: Symbols beyond the vocabulary: characters that only occur inside pieces.
         symbols = dict(ids)
@@ -100,6 +110,7 @@ class PieceModel:
             for x in (a, b):
                 if merged_rank[x] >= r:
                     self.safe[x] = False
+        self.pairs = {a << 32 | b: found for (a, b), found in pairs.items()}
         self._hash(pairs)
         self.bytes_from = next(i for i, (_, _, kind) in enumerate(pieces) if kind == 6)
         out = [b"" if kind == 3 else _UNKNOWN.encode() if kind == 2 else bytes([int(p[3:5], 16)]) if kind == 6 else p.replace(_BLANK, " ").encode() for p, _, kind in pieces]
@@ -138,13 +149,26 @@ class PieceModel:
             open_ = open_[~hit & (found != -1)]
         return out
 
+    def _symbols(self, words: list[str]) -> np.ndarray:
+        points = np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32)
+        distinct, where = np.unique(points, return_inverse=True)
+        return np.array([self.chars.get(chr(c), -1 - int(c)) for c in distinct.tolist()], dtype=np.int64)[where]
+
     def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Final symbols of all words, flat, and each word's count. Unknown characters are negative."""
+        size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        longs = np.flatnonzero(size > LONG_WORD)
+        if not len(longs):
+            return self._merge_words(words)
+        shorts = np.flatnonzero(size <= LONG_WORD)
+        found = [self._merge_words([words[k] for k in shorts]), self._merge_long([words[k] for k in longs])]
+        owner = np.concatenate([np.repeat(which, counts) for which, (_, counts) in zip((shorts, longs), found, strict=True)])
+        sym = np.concatenate([x for x, _ in found])
+        return sym[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(words))
+
+    def _merge_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         n = len(words)
-        points = np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32)
-        distinct, where = np.unique(points, return_inverse=True)
-        known = np.array([self.chars.get(chr(c), -1 - int(c)) for c in distinct.tolist()], dtype=np.int64)
-        sym = known[where]
+        sym = self._symbols(words)
         seg = np.repeat(np.arange(n), np.fromiter(map(len, words), dtype=np.int64, count=n))
         done_sym, done_seg = [], []
 
@@ -194,6 +218,117 @@ class PieceModel:
         sym = sym[np.argsort(seg, kind="stable")]
         return sym, np.bincount(seg, minlength=n)
 
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and table slot of pairs; no symbol that is negative has any."""
+        at = np.full(len(a), -1, dtype=np.int64)
+        ok = np.flatnonzero((a >= 0) & (b >= 0))
+        at[ok] = self.lookup(a[ok], b[ok])
+        return np.where(at >= 0, self.ranks[at], _NONE), at
+
+    def _merge_long(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``merge``, by neighbourhoods. Words lie one after another, with a symbol between that joins nothing.
+
+        A pair merges if none of a lower rank starts within ``longest`` places. Of pairs of the same rank the
+        left one comes first; they merge in one round too if none gives rise to a pair that ranks before it.
+        """
+        sizes = [len(w) for w in words]
+        sym = np.insert(self._symbols(words), np.cumsum(sizes)[:-1], _APART)
+        near = self.longest - 1
+        rank, slot = self._ranks(sym[:-1], sym[1:])
+        while len(live := np.flatnonzero(rank != _NONE)):
+            least = rank == _nearby_min(rank, near)
+            place = np.arange(len(rank))
+            first = np.ones(len(rank), dtype=bool)
+            first[1:] = rank[1:] != rank[:-1]
+            run = np.maximum.accumulate(np.where(first, place, 0))
+            waits = np.maximum.accumulate(np.where((rank != _NONE) & ~least, place, -1))
+            take = least & (rank != _NONE) & (waits < run) & ((place - run) % 2 == 0)
+            hit = np.flatnonzero(take)
+            made = self.merged[slot[hit]].astype(np.int64)
+            loud = self._loud(sym, rank, take, hit, made)
+            swept: list[tuple[int, int, list[int]]] = []
+            if len(odd := np.flatnonzero(~self.safe[made])):
+                self._order_equals(sym, rank, live, least, take, hit[odd], hit[loud], swept)
+            hit = np.flatnonzero(take)
+            sym[hit] = self.merged[slot[hit]]
+            keep = np.ones(len(sym), dtype=bool)
+            keep[hit + 1] = False
+            for a, b, symbols in swept:
+                sym[a : a + len(symbols)] = symbols
+                keep[a + len(symbols) : b] = False
+            sym = sym[keep]
+            rank, slot = self._ranks(sym[:-1], sym[1:])
+        owner = np.cumsum(sym == _APART)
+        real = sym != _APART
+        return sym[real], np.bincount(owner[real], minlength=len(words))
+
+    def _loud(self, sym: np.ndarray, rank: np.ndarray, take: np.ndarray, hit: np.ndarray, made: np.ndarray) -> np.ndarray:
+        """Which hits give rise to a pair that ranks before their own, or equal to it: then it is further to the left."""
+        odd = np.flatnonzero(~self.safe[made])
+        at, m = hit[odd], made[odd]
+        padded = np.concatenate([[_APART], sym, [_APART, _APART]])
+        beside = np.concatenate([[False, False], take, [False, False, False]])
+        next_too = beside[at] | beside[at + 4]  # a hit two places off becomes a neighbour
+        born = np.minimum(self._ranks(padded[at], m)[0], self._ranks(m, padded[at + 3])[0])
+        born = np.where(next_too, np.minimum(born, self._ranks(m, m)[0]), born)
+        return odd[born <= rank[at]]
+
+    def _order_equals(self, sym: np.ndarray, rank: np.ndarray, live: np.ndarray, least: np.ndarray, take: np.ndarray, hits: np.ndarray, loud: np.ndarray, swept: list) -> None:
+        """Puts off hits (in ``take``) that an equal pair to their left may reach first.
+
+        Equal pairs less than two ``longest`` places apart are a group, so what arises in two groups never meets. All before the first one that
+        waits or is loud may merge, and that one if it is loud. A group with nothing near that ranks before it
+        is merged one after another instead, with all that arises, and goes to ``swept``.
+        """
+        wanted = np.zeros(int(rank[hits].max()) + 1, dtype=bool)
+        wanted[rank[hits]] = True
+        some = live[rank[live] < len(wanted)]
+        some = some[wanted[rank[some]]]
+        some = some[np.argsort(rank[some], kind="stable")]
+        start = np.flatnonzero(np.concatenate([[True], (rank[some[1:]] != rank[some[:-1]]) | (some[1:] - some[:-1] >= 2 * self.longest)]))
+        noisy = np.zeros(len(rank), dtype=bool)
+        noisy[loud] = True
+        trouble = np.where(noisy[some] | ~least[some], np.arange(len(some)), len(some))
+        stop = np.minimum.reduceat(trouble, start)
+        group = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(some))))
+        late = np.arange(len(some)) > stop[group]
+        take[some[late]] = False
+        far = None
+        for g in np.flatnonzero(stop < len(some)).tolist():
+            places = some[start[g] : start[g + 1] if g + 1 < len(start) else len(some)]
+            if not noisy[some[stop[g]]]:
+                continue
+            far = rank == _nearby_min(rank, 2 * self.longest) if far is None else far
+            clear = far[places]
+            places = places[: len(places) if clear.all() else int(clear.argmin())]
+            if len(places) and places[-1] >= some[stop[g]]:
+                take[places] = False
+                a, b = max(0, int(places[0]) - self.longest + 2), min(len(sym), int(places[-1]) + self.longest)
+                swept.append((a, b, self._sweep(sym[a:b].tolist(), (places - a).tolist(), int(rank[places[0]]))))
+
+    def _sweep(self, right: list[int], places: list[int], rank: int) -> list[int]:
+        """Merges equal pairs from left to right, after each one all that arises from it and ranks no later."""
+        none = (_NONE, 0)
+        left, at = [], 0
+        for p in places:
+            if p < at:
+                continue
+            left += right[at:p]
+            made, at = self.pairs[right[p] << 32 | right[p + 1]][1], p + 2
+            while True:
+                before = self.pairs.get(left[-1] << 32 | made, none) if left and left[-1] >= 0 else none
+                after = self.pairs.get(made << 32 | right[at], none) if at < len(right) and right[at] >= 0 else none
+                if min(before[0], after[0]) > rank:
+                    break
+                if before[0] <= after[0]:
+                    left.pop()
+                    made = before[1]
+                else:
+                    at += 1
+                    made = after[1]
+            left.append(made)
+        return left + right[at:]
+
     def word_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, flat, and each word's count. Characters without a piece become their bytes."""
         sym, counts = self.merge(words)
@@ -212,6 +347,16 @@ class PieceModel:
         return sym.astype(np.int32), counts
 
 
+def _nearby_min(values: np.ndarray, reach: int) -> np.ndarray:
+    """The least value within ``reach`` places of each, by doubling windows."""
+    edge = np.full(reach, _NONE, dtype=values.dtype)
+    out, have, want = np.concatenate([edge, values, edge]), 1, 2 * reach + 1
+    while have < want:
+        step = min(have, want - have)
+        out, have = np.minimum(out[:-step], out[step:]), have + step
+    return out
+
+
 @lru_cache(maxsize=2)
 def model(path: str) -> PieceModel:
     return PieceModel(path)

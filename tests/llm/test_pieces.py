@@ -1,4 +1,7 @@
 import hashlib
+import random
+import string
+import time
 
 import pytest
 
@@ -26,6 +29,47 @@ def test_like_the_library():
     assert got == [lib.decode(x) for x in lists]
 
 
+def test_long_unbroken_words():
+    lib = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+    encoder = pieces.Encoder(pieces.default_model())
+    rng = random.Random(0)
+    parts = "the quick internationalization representation ing tion ation ofthe andthe springframework s es ed er".split()
+    kinds = [
+        lambda n: "".join(rng.choices(string.ascii_lowercase, k=n)),
+        lambda n: "".join(rng.choices(parts, k=n // 5 + 14)),
+        lambda n: "".join(rng.choices(string.ascii_lowercase, k=rng.randint(1, 9))) * n,
+        lambda n: "".join(rng.choices(parts, k=rng.randint(1, 3))) * (n // 3),
+        lambda n: "".join(rng.choices("etainos", k=n)),
+        lambda n: "".join(rng.choices("0123456789abcdef", k=n)),
+        lambda n: "".join(rng.choices(string.printable.strip() + "é日", k=n)),
+        lambda n: " " * rng.randint(1, 90) + "".join(rng.choice("-=*#/. ") * rng.randint(1, 70) for _ in range(5)),
+    ]
+    texts = [kind(rng.randint(65, 400)) for kind in kinds for _ in range(25)]
+    texts += [(string.ascii_lowercase * 16_000)[:400_000], "".join(rng.choices("0123456789abcdef", k=400_000)), "ing" * 50_000]
+    begin = time.perf_counter()
+    flat, counts = encoder.encode(texts)
+    assert time.perf_counter() - begin < 30
+    at = 0
+    for t, n in zip(texts, counts.tolist(), strict=True):
+        assert flat[at : at + n].tolist() == lib.encode(t), t[:50]
+        at += n
+
+
+def _field(number: int, value) -> bytes:
+    def varint(x: int) -> bytes:
+        return bytes([x & 127 | (128 if x > 127 else 0)]) + (varint(x >> 7) if x > 127 else b"")
+
+    return varint(number << 3) + varint(value) if isinstance(value, int) else varint(number << 3 | 2) + varint(len(value)) + value
+
+
+@pytest.mark.parametrize(("piece", "kind"), [("own", 4), ("a\nb", 1), ("a▁b", 1)])
+def test_models_that_need_more_are_refused(tmp_path, piece, kind):
+    path = tmp_path / "m.model"
+    path.write_bytes(_field(1, _field(1, piece.encode()) + _field(3, kind)) + _field(2, _field(3, 2)) + _field(3, _field(3, 1) + _field(4, 0)))
+    with pytest.raises(ValueError, match="pieces|piece spans"):
+        pieces.PieceModel(str(path))
+
+
 def test_operator_on_frames(spark):
     rows = [(k, t, "kept") for k, t in enumerate(ODD)] + [(1, "", "kept"), (None, "again", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, decoded string")
