@@ -37,31 +37,50 @@ _PIECE = 1 << 19
 
 
 def _letters(text: str) -> np.ndarray:
-    """Code points of the text in lower case, with runs of anything but letters as one 0, between two 0s."""
-    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    """Code points of a text in lower case, with anything but letters as 0."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     top = int(points.max()) if len(points) else 0
     if top < 0x250:
         letter = _LATIN[points]
     else:
         distinct, where = np.unique(points, return_inverse=True)
         letter = np.array([chr(c).isalpha() for c in distinct.tolist()])[where]
-    points = np.where(letter, points, np.uint32(0))
-    keep = np.ones(len(points), dtype=bool)
-    keep[1:] = (points[1:] != 0) | (points[:-1] != 0)
-    zero = np.zeros(1, dtype=np.uint32)
-    return np.concatenate([zero, points[keep], zero])
+    return np.where(letter, points, np.uint32(0))
+
+
+def _blocks(text: str) -> Iterator[tuple[np.ndarray, int]]:
+    """The letters of a text, runs of other characters as one 0, between two 0s; long texts in several blocks.
+
+    A block begins with the end of the one before. Its second part says how much of it that is: n-grams that
+    end there were counted before.
+    """
+    text = text.lower()
+    tail = np.zeros(1, dtype=np.uint32)
+    for start in range(0, len(text), _PIECE):
+        points = _letters(text[start : start + _PIECE])
+        if start + _PIECE >= len(text):
+            points = np.concatenate([points, np.zeros(1, dtype=np.uint32)])
+        points = np.concatenate([tail, points])
+        keep = np.ones(len(points), dtype=bool)
+        keep[1:] = (points[1:] != 0) | (points[:-1] != 0)
+        points = points[keep]
+        yield points, len(tail)
+        tail = points[1 - max(GRAM_SIZES) :]
 
 
 _LATIN = np.array([chr(c).isalpha() for c in range(0x250)])
 
 
-def _grams(points: np.ndarray) -> Iterator[np.ndarray]:
-    """64-bit codes of the n-grams, one array for each size; a blank stands only at an n-gram's ends."""
-    wide = points.astype(np.uint64)
+def _grams(points: np.ndarray, old: int = 0) -> Iterator[np.ndarray]:
+    """64-bit codes of the n-grams that end after the first ``old`` points, one array for each size.
+
+    A blank stands only at an n-gram's ends.
+    """
     for n in GRAM_SIZES:
-        if len(points) < n:
+        wide = points[max(0, old - n + 1) :].astype(np.uint64)
+        if len(wide) < n:
             continue
-        code = np.full(len(points) - n + 1, n, dtype=np.uint64)
+        code = np.full(len(wide) - n + 1, n, dtype=np.uint64)
         inner = np.ones(len(code), dtype=bool)
         for k in range(n):
             part = wide[k : k + len(code)]
@@ -73,6 +92,11 @@ def _grams(points: np.ndarray) -> Iterator[np.ndarray]:
         yield code[inner]
 
 
+def _distinct_grams(text: str) -> np.ndarray:
+    found = [np.unique(code) for points, old in _blocks(text) for code in _grams(points, old)]
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.uint64)
+
+
 def _slots(code: np.ndarray) -> Iterator[np.ndarray]:
     h = (code ^ (code >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(29)
@@ -101,12 +125,11 @@ class LanguageFilter:
         return out
 
     def votes(self, text: str) -> np.ndarray | None:
-        """Corrected votes per language; None for a text without letters. Long texts are read whole, by pieces."""
+        """Corrected votes per language; None for a text without letters. Long texts are read whole, in blocks."""
         hits, n, any_letter = np.zeros(len(self.languages)), 0, False
-        for start in range(0, len(text), _PIECE):
-            points = _letters(text[max(0, start - max(GRAM_SIZES) + 1) : start + _PIECE])
+        for points, old in _blocks(text):
             any_letter |= bool(points.any())
-            for code in _grams(points) if self.languages else ():
+            for code in _grams(points, old) if self.languages else ():
                 masks = [self.containing(code, word) for word in range(len(self.slots))]
                 if len(self.languages) > 1:  # what all contain tells nothing
                     tells = masks[0] != self.everyone[0]
@@ -136,7 +159,8 @@ def learn(docs: DataFrame, usable, text_col: str = "text", lang_col: str = "lang
 
     A language with up to ``sample_rows`` rows is learned from all of them, a larger one from those whose hash
     lies in the share that holds ``sample_rows`` on average. Each task counts the n-grams of its sampled texts;
-    counts are summed per language and n-gram.
+    counts are summed per language and n-gram. Null texts and languages teach nothing, repeated rows count as
+    often as they come, rows without an id share a hash and are drawn together, an empty table gives no languages.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -157,8 +181,7 @@ def learn(docs: DataFrame, usable, text_col: str = "text", lang_col: str = "lang
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 held -= len(found[lang])
-                for code in _grams(_letters(text)):
-                    found[lang].update(np.unique(code).view(np.int64).tolist())
+                found[lang].update(_distinct_grams(text).view(np.int64).tolist())
                 held += len(found[lang])
                 if held > HELD_GRAMS:
                     yield from flush()
@@ -177,7 +200,11 @@ def learn(docs: DataFrame, usable, text_col: str = "text", lang_col: str = "lang
 
 
 def identify(docs: DataFrame, model: LanguageFilter, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``; texts that are null or have no letter give ``und`` and 0."""
+    """``docs`` with ``lang_pred`` and ``score``; texts that are null or have no letter give ``und`` and 0.
+
+    Of equal votes the language that comes first by its name wins. All rows pass, repeated ones too; columns
+    called ``lang_pred`` or ``score`` are replaced.
+    """
     bounded_batches(docs.sparkSession)
     names = [c for c in docs.columns if c not in ("lang_pred", "score")]
     schema = docs.select(*names).withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).schema
@@ -193,5 +220,5 @@ def identify(docs: DataFrame, model: LanguageFilter, text_col: str = "text") ->
 def op3_language(spark, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     held_out = fold(F.col("doc_id"), 3) == 1
-    model = learn(docs, ~held_out)
-    return identify(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+    model = learn(docs, ~held_out)  # a null id is in no fold
+    return identify(docs.select("doc_id", "text"), model).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")

@@ -148,7 +148,7 @@ def fit(texts: list[tuple[str, int]]) -> QualityModel:
 def score(docs: DataFrame, model: QualityModel, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """``docs`` with the score of the whole text (null: of an empty one) in ``score_col``.
 
-    All rows and columns pass; a column called ``score_col`` is replaced.
+    All rows and columns pass, repeated rows and null ids too; a column called ``score_col`` is replaced.
     """
     bounded_batches(docs.sparkSession)
     names = [c for c in docs.columns if c != score_col]
@@ -172,5 +172,5 @@ def fit_on(docs: DataFrame, label_rows: DataFrame, rows_per_class: int = ROWS_PE
 def op9_quality(spark, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     model = fit_on(docs, labels(spark, sf_dir))
-    held_out = (fold(F.col("doc_id"), 5) == 0).alias("held_out")
+    held_out = F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out")
     return score(docs, model).select("doc_id", held_out, "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 #: Rows of each class that a model is fitted on at most.
 ROWS_PER_CLASS = 2_500
-#: Longer texts are not sampled for fitting (they are scored like all others).
-SAMPLE_CHARS = 20_000
+#: Bytes of text of each class from which on no further row is drawn. Texts are drawn whole, whatever their
+#: length: the one that passes the bound is the last, so the driver holds this and one text more of each class.
+BYTES_PER_CLASS = 16 << 20
 
 
 def fold(id_col: Column, folds: int) -> Column:
@@ -23,18 +24,28 @@ def class_shares(labels: DataFrame, label: str, learn: Column) -> dict[int, floa
     return {r.y: r["count"] / total for r in rows}
 
 
-def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, learn: Column, rows_per_class: int = ROWS_PER_CLASS) -> list[tuple[str, int]]:
-    """Texts and labels of at most ``rows_per_class`` rows of each class, chosen by a hash of their ids.
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, learn: Column, rows_per_class: int = ROWS_PER_CLASS, bytes_per_class: int = BYTES_PER_CLASS) -> list[tuple[str, int]]:
+    """Whole texts and labels of at most ``rows_per_class`` rows of each class, in the order of a hash of their ids.
 
-    ``learn`` says which ids may be learned from. Ids are picked from the short label rows first, so no text
-    is shuffled. Null labels, null ids and null texts are left out; an id with several labels counts once.
+    ``learn`` says which ids may be learned from. Ids are picked from the short label rows first, then rows by
+    their sizes, so no text is shuffled. A class ends early when its texts have ``bytes_per_class``. Null
+    labels, null ids and null texts are left out; an id with several labels counts once, with the greatest.
     """
     usable = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & learn).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     order = F.xxhash64(F.lit("sample"), F.col("doc_id"))
-    picked = [usable.where(F.col("y") == y).orderBy(order, "doc_id").limit(rows_per_class) for y in (0, 1)]
-    ids = F.broadcast(picked[0].unionByName(picked[1]))  # 2 * rows_per_class rows at most
-    texts = docs.where(F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS)).select("doc_id", "text").join(ids, "doc_id")
-    texts = texts.orderBy(F.xxhash64(F.lit("sample"), F.col("doc_id")), "doc_id", "text").limit(2 * rows_per_class)
+    drawn = [usable.where(F.col("y") == y).orderBy(order, "doc_id").limit(rows_per_class) for y in (0, 1)]
+    ids = F.broadcast(drawn[0].unionByName(drawn[1]))  # 2 * rows_per_class rows at most
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("th"), F.octet_length("text").alias("size"), "text").join(ids, "doc_id")
+    held, taken = {0: 0, 1: 0}, []
+    for r in rows.select("doc_id", "th", "size", "y").orderBy(order, "doc_id", "th").limit(2 * rows_per_class).collect():
+        if held[r.y] < bytes_per_class:
+            taken.append((r.doc_id, r.th))
+            held[r.y] += r.size
+    if not taken:
+        return []
+    chosen = F.broadcast(docs.sparkSession.createDataFrame(sorted(set(taken)), "c_id long, c_th long"))
+    texts = rows.join(chosen, (F.col("doc_id") == F.col("c_id")) & (F.col("th") == F.col("c_th")))
+    texts = texts.orderBy(order, "doc_id", "th").limit(2 * rows_per_class)
     return [(r.text, r.y) for r in texts.select("text", "y").collect()]
 
 

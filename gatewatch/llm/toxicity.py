@@ -14,6 +14,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -41,23 +42,48 @@ PIECE_STEP = 2
 _JOINERS = re.compile(r"[-_/\\|.,;:+=&~]+")
 
 
-def pieces(run: str) -> list[str]:
+#: Texts with more characters are cut into words a part at a time, and scored by blocks of windows.
+LONG_CHARS = 1 << 18
+_GAP = re.compile(r"\s")
+
+
+def pieces(run: str) -> Iterator[str]:
     """A run without white space as words of at most ``LETTERS`` characters that cover all but its joiners."""
     if len(run) <= LETTERS:
-        return [run]
-    parts = [p for p in _JOINERS.split(run) if p] or [run]
-    out = []
-    for p in parts:
-        out += [p] if len(p) <= LETTERS else [p[s : s + PIECE] for s in range(0, len(p) - PIECE + PIECE_STEP, PIECE_STEP)]
-    return out
+        yield run
+        return
+    at, any_part = 0, False
+    while at < len(run):
+        joiner = _JOINERS.search(run, at)
+        end = joiner.start() if joiner else len(run)
+        if end > at:
+            any_part = True
+            if end - at <= LETTERS:
+                yield run[at:end]
+            else:
+                yield from (run[s : min(s + PIECE, end)] for s in range(at, end - PIECE + PIECE_STEP, PIECE_STEP))
+        at = joiner.end() if joiner else len(run)
+    if not any_part:  # joiners only
+        yield from (run[s : s + LETTERS] for s in range(0, len(run), LETTERS))
 
 
 def split(text: str) -> list[str]:
-    """Words in lower case, long runs in pieces; a run of one word counts once, for its repeats say nothing new."""
+    """All words in lower case, long runs in pieces."""
     words = text.lower().split()
     if max(map(len, words), default=0) > LETTERS:
         words = [p for w in words for p in pieces(w)]
-    return [w for w, before in zip(words, [None, *words], strict=False) if w != before]
+    return words
+
+
+def split_long(text: str) -> Iterator[str]:
+    """The words of :func:`split`, without a list of all of them: parts end at white space."""
+    at = 0
+    while at < len(text):
+        gap = _GAP.search(text, at + LONG_CHARS)
+        end = gap.start() if gap else len(text)
+        for w in text[at:end].lower().split():
+            yield from pieces(w)
+        at = end
 
 
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -257,8 +283,33 @@ class Scorer:
         self.px = np.zeros((1, 2, 3 * HIDDEN), np.float32)  # row 0: padding
 
     def logits(self, texts: list[str]) -> np.ndarray:
-        """The largest window logit of each text."""
-        lists = [split(t) for t in texts]
+        """The largest window logit of each text. Few words are held at once, however long the texts are."""
+        out, at = np.empty(len(texts), np.float32), 0
+        while at < len(texts):
+            if len(texts[at]) > LONG_CHARS:
+                out[at] = self._long(split_long(texts[at]))
+                at += 1
+                continue
+            stop, size = at, 0
+            while stop < len(texts) and len(texts[stop]) <= LONG_CHARS and (stop == at or size < 4 * LONG_CHARS):
+                size += len(texts[stop])
+                stop += 1
+            out[at:stop] = self._short([split(t) for t in texts[at:stop]])
+            at = stop
+        return out
+
+    def _long(self, words: Iterator[str]) -> float:
+        """Of one text, by blocks of its windows; the windows are those of :func:`windows_of` for the whole text."""
+        best, held = -np.inf, []
+        while more := list(islice(words, BLOCK * STRIDE)):
+            held += more
+            whole = (len(held) - STRIDE - 1) // STRIDE  # windows that do not reach the last word held
+            if whole > 0:
+                best = max(best, float(self._short([held[: (whole - 1) * STRIDE + WINDOW]])[0]))
+                held = held[whole * STRIDE :]
+        return max(best, float(self._short([held])[0]))
+
+    def _short(self, lists: list[list[str]]) -> np.ndarray:
         if len(self.known) > self.pool_words:
             self._clear()
         new = sorted({w for ws in lists for w in ws}.difference(self.known))
@@ -272,7 +323,7 @@ class Scorer:
         counts = [len(ws) for ws in lists]
         begins = np.concatenate([[0], np.cumsum(counts)])
         starts = [windows_of(n) for n in counts]
-        owner = np.repeat(np.arange(len(texts)), [len(s) for s in starts])
+        owner = np.repeat(np.arange(len(lists)), [len(s) for s in starts])
         start = begins[owner] + np.fromiter((k for s in starts for k in s), dtype=np.int64, count=len(owner))
         end = begins[owner + 1]
         out = np.empty(len(owner), np.float32)
@@ -358,8 +409,8 @@ def fit(texts: list[tuple[str, int]], shares: dict[int, float] | None = None, se
 def score(docs: DataFrame, net: Network, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """``docs`` with the toxicity of the whole text (null: of an empty one) in ``score_col``.
 
-    A text is scored in slices of whole windows, so very long texts stay bounded. All rows and columns pass;
-    a column called ``score_col`` is replaced.
+    A very long text is scored by blocks of its windows, so no list of all its words is held. All rows and
+    columns pass, repeated rows and null ids too; a column called ``score_col`` is replaced.
     """
     bounded_batches(docs.sparkSession)
     names = [c for c in docs.columns if c != score_col]
@@ -369,8 +420,7 @@ def score(docs: DataFrame, net: Network, text_col: str = "text", score_col: str
         scorer = Scorer(net)
         for batch in batches:
             texts = [t or "" for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
-            found = [scorer.scores(texts[s : s + 200]) for s in range(0, len(texts), 200)]
-            scores = np.concatenate(found) if found else np.zeros(0)
+            scores = scorer.scores(texts)
             yield pa.RecordBatch.from_arrays([*batch.select(names).columns, pa.array(scores, pa.float64())], names=[*names, score_col])
 
     return docs.mapInArrow(run, schema)
@@ -385,5 +435,5 @@ def fit_on(docs: DataFrame, label_rows: DataFrame, rows_per_class: int = ROWS_PE
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     net = fit_on(docs, labels(spark, sf_dir))
-    held_out = (fold(F.col("doc_id"), 5) == 0).alias("held_out")
+    held_out = F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out")
     return score(docs, net).select("doc_id", held_out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

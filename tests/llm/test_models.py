@@ -1,4 +1,5 @@
 import random
+from zlib import crc32
 
 import numpy as np
 import pytest
@@ -120,7 +121,12 @@ def test_samples_are_bounded_and_skip_nulls(spark):
     labels = spark.createDataFrame([(k, k % 2) for k in range(50)] + [(60, 1), (61, 1), (3, None), (None, 1), (4, 0)], "doc_id long, quality int")
     learn = samples.fold(labels["doc_id"], 5) != 0
     got = samples.labelled_texts(docs, labels, "quality", learn, 10)
-    assert 18 <= len(got) <= 20 and sum(y for _, y in got) >= 8 and not any(t.startswith("y") for t, _ in got)
+    assert 18 <= len(got) <= 20 and sum(y for _, y in got) >= 8
+    whole = samples.labelled_texts(docs, labels, "quality", learn, 100)
+    assert len(whole) == sum(k % 2 >= 0 for k in range(50) if crc32(str(k).encode()) % 5) + (crc32(b"61") % 5 > 0)
+    assert any(len(t) == 30_000 for t, _ in whole)
+    few = samples.labelled_texts(docs, labels, "quality", learn, 100, bytes_per_class=20)
+    assert few == [x for y in (0, 1) for x in [z for z in whole if z[1] == y][:0]] + few and all(0 < sum(len(t) for t, y in few[:-1] if y == k) < 30_000 + 25 for k in (0, 1))
     assert samples.best_cut([0.0, 1.0, 2.0, 3.0], [0, 0, 1, 1]) == 1.5
     a, b = samples.platt([-2, -1, 1, 2] * 20, [0, 0, 1, 1] * 20)
     assert a > 0 and abs(b) < 0.5
@@ -130,7 +136,7 @@ def test_unspaced_texts_are_read_whole(spark, toxic_corpus):
     rng = random.Random(9)
     for n in (40, 41, 42, 47, 1_001):
         run = "".join(chr(0x4E00 + k) for k in range(n))
-        found, read = toxicity.split(run), set()
+        found, read = list(toxicity.pieces(run)), set()
         assert max(map(len, found)) <= toxicity.LETTERS
         for p in found:
             read |= set(p)
@@ -144,6 +150,49 @@ def test_unspaced_texts_are_read_whole(spark, toxic_corpus):
     assert all(got[k] < 0.5 for k in range(10)) and all(got[k] > 0.5 for k in range(10, 23))
 
 
+def test_windows_of_long_texts_are_those_of_short_ones(monkeypatch):
+    rng = random.Random(3)
+    scorer = toxicity.Scorer(toxicity.Network(4))
+    words = ["".join(rng.choices("abcde-_", k=rng.choice([1, 3, 5, 50, 90]))) for _ in range(3_000)]
+    text = " ".join(words)
+    assert list(toxicity.split_long(text)) == toxicity.split(text)
+    monkeypatch.setattr(toxicity, "LONG_CHARS", 1_000)
+    assert list(toxicity.split_long(text)) == toxicity.split(text)
+    for n in [*range(70), 500, 2_000]:
+        want = scorer._short([words[:n]])[0]
+        for block in (1, 3, 1_024):
+            monkeypatch.setattr(toxicity, "BLOCK", block)
+            assert abs(scorer._long(iter(words[:n])) - want) < 1e-5
+
+
+def test_a_word_that_repeats_is_read_each_time():
+    assert toxicity.split("a a  A b") == ["a", "a", "a", "b"]
+    joiners = "-" * 100
+    assert "".join(toxicity.split(joiners)) == joiners
+
+
+@pytest.mark.parametrize("piece", [5, 64, 1_000])
+def test_votes_do_not_depend_on_the_blocks(monkeypatch, piece):
+    rng = random.Random(6)
+    text = "".join(rng.choices("abcdeéßΣ ñ,.日 \n", k=4_000))
+    grams = lambda: sorted(x for points, old in language._blocks(text) for code in language._grams(points, old) for x in code.tolist())
+    want = grams()
+    model = language.LanguageFilter({"x": np.unique(np.array(want, np.uint64)[::3]), "y": np.unique(np.array(want, np.uint64)[::5])})
+    votes = model.votes(text)
+    monkeypatch.setattr(language, "_PIECE", piece)
+    assert grams() == want and (model.votes(text) == votes).all()
+
+
+def test_empty_tables_and_equal_votes(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert language.identify(docs, language.learn(docs, docs["doc_id"] >= 0)).count() == 0
+    assert quality.score(docs, quality.fit_on(docs, labels)).count() == 0
+    assert toxicity.score(docs, toxicity.fit_on(docs, labels)).count() == 0
+    both = language.LanguageFilter({"b": np.array([1], np.uint64), "a": np.array([1], np.uint64)})
+    assert both.predict("some letters") == ("a", 0.0)
+
+
 def test_rare_languages_are_learned(spark):
     rng = random.Random(4)
     rows = [(k, prose(rng, "aa", 20), "aa") for k in range(3_000)] + [(5_000 + k, prose(rng, "bb", 20), "bb") for k in range(3)] + [(6_000, prose(rng, "cc", 200), "cc")]
