@@ -2,9 +2,9 @@
 
 A gear rolling hash over the last 16 bytes proposes cuts; a proposal stands if none came shortly before it,
 and long gaps are cut at a fixed size. Cuts thus depend on nearby content only, and an insertion shifts no
-chunk but those around it. Chunks are compared by a 128-bit digest: of the chunks that several documents
-share, the first occurrence (smallest id, then place) is kept, all others are repeats. Contiguous shared
-chunks form passages.
+chunk but those around it. Chunks are compared by a 128-bit digest: of the chunks that occur several times,
+in different documents or in one, the first occurrence (smallest id, then place) is kept, all others are
+repeats. Contiguous repeated chunks form passages.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Table, bounded_batches, documents, text_buckets, written
+from .common import Table, bounded_batches, documents, shuffle_partitions, text_buckets, unused, written
 from .shingles import SLICE_BYTES, mixed
 
 #: Bytes that the rolling hash sees.
@@ -30,7 +30,6 @@ LARGEST = 256
 #: Characters from which a run of shared chunks counts as a repeated passage. The chunks at a passage's ends
 #: take in what stands around it, so a run is about 75 bytes shorter than its passage.
 PASSAGE_CHARS = 120
-_NO_ID = -(1 << 63)
 _GEAR = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.uint32)
 
 
@@ -86,30 +85,38 @@ def chunks(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return owner, chars[begin] - chars[starts[owner]] if len(begin) else begin, (chars[end] - chars[begin]) if len(begin) else begin, both
 
 
-def _sliced(batch: pa.RecordBatch, id_col: str, text_col: str) -> Iterator[tuple[np.ndarray, list[str]]]:
-    ids = np.array([_NO_ID if x is None else x for x in batch.column(batch.schema.get_field_index(id_col)).to_pylist()], dtype=np.int64)
-    texts = [t or "" for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
+def _sliced(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[str]]]:
+    """Numbers and texts of rows (columns ``row, text``), about ``SLICE_BYTES`` at once."""
+    rows, texts = batch.column(0).to_numpy(), [t or "" for t in batch.column(1).to_pylist()]
     at = 0
     while at < len(texts):
         stop, size = at, 0
         while stop < len(texts) and (stop == at or size < SLICE_BYTES):
             size += len(texts[stop])
             stop += 1
-        yield ids[at:stop], texts[at:stop]
+        yield rows[at:stop], texts[at:stop]
         at = stop
 
 
 def _per_digest(columns: list[np.ndarray]) -> list[np.ndarray]:
-    """One entry for each digest: its first occurrence and its greatest id."""
-    hi, lo, first, place, greatest = columns
+    """One entry for each digest: its first row, its first place there, and its last row.
+
+    Places are doubled; an odd one says that a row has the digest several times.
+    """
+    hi, lo, first, place, last = columns
+    if not len(hi):
+        return columns
     order = np.lexsort((place, first, lo, hi))
-    hi, lo, first, place, greatest = (c[order] for c in (hi, lo, first, place, greatest))
-    new = np.flatnonzero(np.concatenate([[True], (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])])) if len(hi) else np.zeros(0, np.int64)
-    most = np.maximum.reduceat(greatest, new) if len(hi) else greatest
-    return [hi[new], lo[new], first[new], place[new], most]
+    hi, lo, first, place, last = (c[order] for c in columns)
+    same = (hi[1:] == hi[:-1]) & (lo[1:] == lo[:-1])
+    again = np.zeros(len(hi), dtype=np.int64)
+    again[1:] = same & (first[1:] == first[:-1])
+    new = np.flatnonzero(np.concatenate([[True], ~same]))
+    several = np.maximum.reduceat(again | place & 1, new)
+    return [hi[new], lo[new], first[new], place[new] & ~1 | several, np.maximum.reduceat(last, new)]
 
 
-def _packed(buckets: int, id_col: str, text_col: str):
+def _packed(buckets: int):
     """The distinct chunks of a task, packed by bucket of their digest."""
 
     def flush(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
@@ -126,9 +133,9 @@ def _packed(buckets: int, id_col: str, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, waiting = [], 0
         for batch in batches:
-            for ids, texts in _sliced(batch, id_col, text_col):
+            for rows, texts in _sliced(batch):
                 owner, start, _, both = chunks(texts)
-                held.append([both[:, 0], both[:, 1], ids[owner], start, ids[owner]])
+                held.append([both[:, 0], both[:, 1], rows[owner], start * 2, rows[owner]])
                 waiting += len(owner)
                 if waiting > 1_000_000:
                     yield from flush(held)
@@ -139,71 +146,107 @@ def _packed(buckets: int, id_col: str, text_col: str):
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In a bucket: the digests that several documents have, with their first occurrence."""
+    """In a bucket: the digests that occur several times, with their first occurrence."""
     held = [np.frombuffer(p, np.int64).reshape(5, -1) for batch in batches for p in batch.column(1).to_pylist()]
-    hi, lo, first, place, most = _per_digest(list(np.concatenate(held, axis=1))) if held else [np.zeros(0, np.int64)] * 5
-    several = first != most
-    columns = [c[several] for c in (hi, lo, first, place)]
+    hi, lo, first, place, last = _per_digest(list(np.concatenate(held, axis=1))) if held else [np.zeros(0, np.int64)] * 5
+    several = (first != last) | (place & 1 == 1)
+    columns = [c[several] for c in (hi, lo, first, place >> 1, first == last)]
     for a in range(0, len(columns[0]), 50_000):
-        yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 50_000]) for c in columns], names=["hi", "lo", "first_doc_id", "first_start"])
+        yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 50_000]) for c in columns], names=["hi", "lo", "first_row", "first_start", "inside"])
+
 
+def shared_chunks(rows: DataFrame) -> Table:
+    """``hi, lo, first_row, first_start, inside`` of the chunks of ``row, text`` that occur several times.
 
-def shared_chunks(docs: DataFrame, id_col: str, text_col: str) -> Table:
-    """``hi, lo, first_doc_id, first_start`` of the chunks that several documents share."""
-    buckets = text_buckets(docs, text_col)
-    packed = docs.select(id_col, text_col).mapInArrow(_packed(buckets, id_col, text_col), "bucket int, payload binary")
-    kind = "hi bigint, lo bigint, first_doc_id bigint, first_start bigint"
+    ``inside``: in one row only. A chunk that all texts have is one entry for each reading task.
+    """
+    buckets = text_buckets(rows, "text")
+    packed = rows.select("row", "text").mapInArrow(_packed(buckets), "bucket int, payload binary")
+    kind = "hi bigint, lo bigint, first_row bigint, first_start bigint, inside boolean"
     return written(packed.repartitionById(buckets, F.col("bucket")).mapInArrow(_shared, kind), "shared-chunks")
 
 
-def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, start, n_chars, hi, lo`` of all chunks."""
+def occurrences(rows: DataFrame) -> DataFrame:
+    """``row, start, n_chars, hi, lo`` of all chunks of ``row, text``; an empty text has none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, texts in _sliced(batch, id_col, text_col):
+            for rows, texts in _sliced(batch):
                 owner, start, n, both = chunks(texts)
                 for a in range(0, len(owner), 50_000):
                     s = slice(a, a + 50_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[owner[s]]), pa.array(start[s].astype(np.int64)), pa.array(n[s].astype(np.int64)), pa.array(both[s, 0]), pa.array(both[s, 1])], names=["doc_id", "start", "n_chars", "hi", "lo"])
+                    yield pa.RecordBatch.from_arrays([pa.array(rows[owner[s]]), pa.array(start[s].astype(np.int64)), pa.array(n[s].astype(np.int64)), pa.array(both[s, 0]), pa.array(both[s, 1])], names=["row", "start", "n_chars", "hi", "lo"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, "doc_id bigint, start bigint, n_chars bigint, hi bigint, lo bigint")
+    return rows.select("row", "text").mapInArrow(run, "row bigint, start bigint, n_chars bigint, hi bigint, lo bigint")
 
 
-def repeated_passages(docs: DataFrame, passage_chars: int = PASSAGE_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Passages that several documents share: ``doc_id, start, n_chars, kept, first_doc_id``.
+def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str = "row") -> tuple[DataFrame, bool]:
+    """``docs`` with ``row_col``, a number that tells rows apart and orders them by id; and whether it differs from the id.
 
-    ``start`` and ``n_chars`` are in characters. A run of adjacent shared chunks of at least
+    It is the id itself, if none is null or repeated; only then is nothing written. Else null ids come last.
+    """
+    key, arrived = F.col(id_col).cast("long"), unused(docs, "__arrived")
+    if not docs.groupBy(key.alias("i")).agg(F.count("*").alias("n")).where("n > 1 OR i IS NULL").limit(1).count():
+        return docs.withColumn(row_col, key), False
+    order = [key.asc_nulls_last(), F.xxhash64(text_col), F.col(arrived)]
+    dealt = docs.withColumn(arrived, F.monotonically_increasing_id()).repartitionByRange(shuffle_partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
+    return written(dealt.withColumn(row_col, F.monotonically_increasing_id()).drop(arrived), "numbered-rows").read(), True
+
+
+def repeated_passages(docs: DataFrame, passage_chars: int = PASSAGE_CHARS, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """Passages that occur several times: ``doc_id, start, n_chars, kept, first_doc_id, inside, row``.
+
+    ``start`` and ``n_chars`` are in characters. A run of adjacent repeated chunks of at least
     ``passage_chars`` is listed, cut where its chunks change between ``kept`` (the first occurrence) and
-    repeated; ``first_doc_id`` is where the first of its chunks occurs first. Repeats inside one document
-    only, or in rows that repeat an id, are no passages. Null or empty texts have none; rows without an id
-    are one document with a null id. Other columns are not read.
+    repeated; ``first_doc_id`` is where the first of its chunks occurs first. ``inside`` passages have all
+    their chunks in this row only, several times. Every row is a text of its own, also without an id or with
+    another row's: ``row`` tells rows apart, by the number in ``row_col`` or else by that of :func:`numbered`,
+    where the first of equal ids is the first by its text's hash and null ids come after all others. Null or
+    empty texts have no passages, nor has an empty table. Other columns are not read.
     """
     bounded_batches(docs.sparkSession)
-    ids = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    shared = shared_chunks(ids, "doc_id", "text").read()
-    found = occurrences(ids, "doc_id", "text").join(shared, ["hi", "lo"])
-    in_doc = Window.partitionBy("doc_id").orderBy("start")
-    found = found.withColumn("same", F.lag("start").over(in_doc) == F.col("start")).where(~F.coalesce("same", F.lit(False)))
-    found = found.withColumn("kept", (F.col("first_doc_id") == F.col("doc_id")) & (F.col("first_start") == F.col("start")))
-    adjacent = F.coalesce(F.lag(F.col("start") + F.col("n_chars")).over(in_doc) == F.col("start"), F.lit(False))
-    found = found.withColumn("opens", (~adjacent).cast("int")).withColumn("turns", (~adjacent | (F.lag("kept").over(in_doc) != F.col("kept"))).cast("int"))
-    so_far = in_doc.rowsBetween(Window.unboundedPreceding, 0)
+    rows, apart = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *([F.col(row_col).alias("row")] if row_col else [])), True
+    if row_col is None:
+        rows, apart = numbered(rows)
+    shared = shared_chunks(rows).read()
+    found = occurrences(rows).join(shared, ["hi", "lo"])
+    in_row = Window.partitionBy("row").orderBy("start")
+    found = found.withColumn("kept", (F.col("first_row") == F.col("row")) & (F.col("first_start") == F.col("start")))
+    adjacent = F.coalesce(F.lag(F.col("start") + F.col("n_chars")).over(in_row) == F.col("start"), F.lit(False))
+    found = found.withColumn("opens", (~adjacent).cast("int")).withColumn("turns", (~adjacent | (F.lag("kept").over(in_row) != F.col("kept"))).cast("int"))
+    so_far = in_row.rowsBetween(Window.unboundedPreceding, 0)
     found = found.withColumn("run", F.sum("opens").over(so_far)).withColumn("piece", F.sum("turns").over(so_far))
-    pieces = found.groupBy("doc_id", "run", "piece").agg(F.min("start").alias("start"), F.sum("n_chars").alias("n_chars"), F.first("kept").alias("kept"), F.min_by("first_doc_id", "start").alias("first_doc_id"))
-    total = F.sum("n_chars").over(Window.partitionBy("doc_id", "run"))
-    known = lambda c: F.when(F.col(c) != _NO_ID, F.col(c))
-    return pieces.withColumn("total", total).where(F.col("total") >= passage_chars).select(known("doc_id").alias("doc_id"), "start", "n_chars", "kept", known("first_doc_id").alias("first_doc_id"))
-
-
-def without_repeats(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the passages that are not ``kept`` cut out of their texts; all rows and columns stay."""
-    out = passages.where("NOT kept AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).agg(F.array_sort(F.collect_list(F.struct("start", "n_chars"))).alias("__out"))
-    rows = docs.join(out, docs[id_col] == out["__id"], "left")
-    begins = f"concat(transform(__out, x -> x.start), array(CAST(length(`{text_col}`) AS BIGINT)))"
-    ends = "concat(array(0L), transform(__out, x -> x.start + x.n_chars))"
+    pieces = found.groupBy("row", "run", "piece").agg(
+        F.min("start").alias("start"), F.sum("n_chars").alias("n_chars"), F.first("kept").alias("kept"),
+        F.min_by("first_row", "start").alias("first_row"), F.min("inside").alias("inside"),
+    )
+    total = F.sum("n_chars").over(Window.partitionBy("row", "run"))
+    out = pieces.withColumn("total", total).where(F.col("total") >= passage_chars)
+    if apart:
+        ids = rows.select(F.col("row").alias("r"), "doc_id")
+        first = ids.toDF("f", "first_doc_id")
+        out = out.join(ids, out["row"] == ids["r"]).join(first, out["first_row"] == first["f"])
+    else:
+        out = out.withColumn("doc_id", F.col("row")).withColumn("first_doc_id", F.col("first_row"))
+    return out.select("doc_id", "start", "n_chars", "kept", "first_doc_id", "inside", "row")
+
+
+def without_repeats(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """``docs`` with the passages that are not ``kept`` cut out of their texts; all rows and columns stay.
+
+    Passages find their row by ``row_col`` (see :func:`numbered`), or by its id where no id is null or repeated;
+    otherwise it is an error, for they would be cut out of the wrong rows.
+    """
+    if row_col is None and passages.where("NOT row <=> doc_id").limit(1).count():
+        raise ValueError("ids are null or repeat: number the rows first")
+    row, out_col = unused(docs, "__row"), unused(docs, "__out")
+    places = F.array_sort(F.collect_list(F.struct("start", "n_chars")))
+    out = passages.where("NOT kept").groupBy(F.col("row").alias(row)).agg(places.alias(out_col))
+    rows = docs.join(out, docs[row_col or id_col].cast("long") == out[row], "left")
+    begins = f"concat(transform(`{out_col}`, x -> x.start), array(CAST(length(`{text_col}`) AS BIGINT)))"
+    ends = f"concat(array(0L), transform(`{out_col}`, x -> x.start + x.n_chars))"
     rest = F.expr(f"array_join(zip_with({ends}, {begins}, (a, b) -> substring(`{text_col}`, CAST(a + 1 AS INT), CAST(b - a AS INT))), '')")
-    return rows.select(*[F.when(F.col("__out").isNull(), F.col(c)).otherwise(rest).alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    return rows.select(*[F.when(F.col(out_col).isNull(), F.col(c)).otherwise(rest).alias(c) if c == text_col else F.col(c) for c in docs.columns])
 
 
 def op5_substrings(spark, sf_dir: str) -> DataFrame:
