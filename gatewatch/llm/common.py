@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: White space of every contract here: space and U+0009 to U+000D.
 SPACE = " \t\n\x0b\x0c\r"
+#: A word of every contract here.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,9 +50,11 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a local one only where the setting is absent."""
+    """The shared folder of ``spark.checkpoint.dir``; a local one only where it is unset and all tasks run in this process."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if not known:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         known = tempfile.mkdtemp(prefix="scratch-")
         spark.conf.set("spark.checkpoint.dir", known)
     return known.rstrip("/")
@@ -90,6 +94,38 @@ def small(df: DataFrame, rows: int, max_rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= max_rows else df
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``docs`` is called so."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name = f"_{name}"
+    return name
+
+
+def row_key(docs: DataFrame) -> Column:
+    """128 bits of a row's content, as text: rows that agree in all columns (but for maps) share it, others don't."""
+    names = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    seen = [x for n in names for x in (F.col(f"`{n}`"), F.col(f"`{n}`").isNull())]  # a hash skips nulls
+    return F.concat_ws(":", F.xxhash64(F.lit(1), *seen), F.xxhash64(F.lit(2), *seen))
+
+
+#: Most rows of fixed width that are broadcast to pick rows out of a table; beyond it that join shuffles.
+BROADCAST_KEYS = 100_000
+
+
+def picked(rows: DataFrame, kept: DataFrame, key: str) -> DataFrame:
+    """One of ``rows`` for each ``key`` in ``kept`` (``key, copies``, keys distinct), with the other columns of ``kept``.
+
+    Where a key has several copies, its rows agree in all columns; they collapse in the reading tasks.
+    """
+    out = rows.join(kept.where("copies = 1").drop("copies"), key)
+    several = kept.where("copies > 1").drop("copies")
+    n = several.count()
+    if n:
+        found = rows.join(small(several, n, BROADCAST_KEYS), key)
+        out = out.unionByName(found.dropDuplicates([key]))
+    return out
+
+
 def null_safe(left: DataFrame, right: DataFrame, *names: str) -> Column:
     found = [left[n].eqNullSafe(right[n]) for n in names]
     out = found[0]

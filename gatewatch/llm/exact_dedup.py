@@ -3,8 +3,8 @@
 Every text is reduced to the SHA-256 of its normalised form in the JVM. The digests then meet a
 :class:`CuckooIndex` twice: once in the task that read the rows, which leaves one row for each digest and
 task (so a text that a third of all rows share is cheap to shuffle), and once in the bucket that owns the
-digest. The filter answers "surely new" or "maybe known"; a maybe is verified against the digests kept in
-the bucket. A better copy replaces the live one: the old entry is deleted from the filter and the new one
+digest. The filter answers "surely new" or "maybe known"; a maybe is verified against the 256-bit digests
+that the bucket keeps beside it (texts themselves are not compared again). A better copy replaces the live one: the old entry is deleted from the filter and the new one
 inserted. An insertion that finds no place doubles the filter and re-inserts all stored keys.
 """
 
@@ -15,10 +15,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, shuffle_partitions, written
+from .common import SPACE, picked, row_key, shuffle_partitions, unused, written
 
 #: Live digests at which a reading task hands its index on and starts an empty one.
 READING_KEYS = 200_000
@@ -192,20 +192,29 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with the columns of ``docs``.
+    """The rows of ``docs`` that stay, with the columns of ``docs``: one of each group of equal texts.
 
-    Rows that repeat a kept row's id and text leave one of them. A null id is matched like any other value.
+    Of rows that share the kept row's id and differ in white space or other columns, the longest text stays,
+    then one chosen by a hash of the whole row; of rows that agree in everything, one. A null id is matched like
+    any other value, null texts are empty ones, and columns of any name pass.
     """
     found = exact_dedup(docs, id_col, text_col).where("kept")
     kept = written(found.groupBy(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest")).agg(F.count("*").alias("__copies")), "exact-kept").read()
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.withColumn("__digest_of", F.sha2(F.translate(text, SPACE, "").cast("binary"), 256))
-    out = rows.join(kept, rows[id_col].cast("long").eqNullSafe(kept["__id"]) & (rows["__digest_of"] == kept["__digest"]), "left_semi")
-    if kept.where("__copies > 1").limit(1).count():
-        # equal ids and digests: keep the kept one's text, of rows that repeat it one
-        longest = F.row_number().over(Window.partitionBy(id_col, "__digest_of").orderBy(F.length(text).desc(), text))
-        out = out.withColumn("__nth", longest).where("__nth = 1").drop("__nth")
-    return out.drop("__digest_of")
+    text, digest = F.coalesce(F.col(text_col), F.lit("")), unused(docs, "__text_digest")
+    rows = docs.withColumn(digest, F.sha2(F.translate(text, SPACE, "").cast("binary"), 256))
+    same = lambda left, right: left[id_col].cast("long").eqNullSafe(right["__id"]) & (left[digest] == right["__digest"])
+    single, several = kept.where("__copies = 1"), kept.where("__copies > 1")
+    out = rows.join(single, same(rows, single), "left_semi").drop(digest)
+    if not several.limit(1).count():
+        return out
+    # several rows with the kept id and digest: one of them stays. They are compared by keys of fixed width.
+    row = unused(rows, "__row")
+    keyed = rows.withColumn(row, row_key(docs))
+    best = F.max(F.struct(F.length(text).alias("n"), F.col(row).alias("row"), F.lit(2).alias("copies")))
+    chosen = keyed.groupBy(F.col(id_col).cast("long").alias("i"), F.col(digest).alias("d")).agg(best.alias("b"))
+    chosen = chosen.join(several, chosen["i"].eqNullSafe(several["__id"]) & (chosen["d"] == several["__digest"]), "left_semi")
+    chosen = written(chosen.select(F.col("b.row").alias(row), "b.copies"), "exact-chosen").read()
+    return out.unionByName(picked(keyed, chosen, row).select(*docs.columns))
 
 
 OP7_SQL = r"""

@@ -8,17 +8,16 @@ ordinal in their fingerprint.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, shuffle_partitions, small, written
+from .common import BROADCAST_KEYS, documents, shuffle_partitions, small, written
 
 #: Bits of each hash value that are used; fewer only to force shared digests in tests.
 HASH_BITS = 64
-#: Most keys that are broadcast to pick the texts that need a comparison; beyond it the join shuffles.
-BROADCAST_KEYS = 200_000
 _SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
 #: Runs of white space except single plain spaces, which are as they should be.
 _FOLDED = rf" {_SPACE}+|[\s\x1c-\x1f\x85\p{{Z}}&&[^ ]]{_SPACE}*"
@@ -57,10 +56,15 @@ def ordinals(forms: DataFrame) -> DataFrame | None:
     """Compares the bytes of forms inside equal buckets.
 
     ``forms`` has ``digest, form`` of the texts that share a digest. Returns ``digest, form, ordinal`` for
-    buckets with several forms, or None if there is none. Copies meet in partial aggregates, so a bucket
-    that a third of all rows share is cheap.
+    buckets with several forms, or None if there is none. The least and greatest form are taken in three
+    steps: in the reading task, among about a square root of the tasks, then of those, so that a digest that a
+    third of all rows share sends few forms to any one task.
     """
-    split = forms.groupBy("digest").agg(F.min("form").alias("low"), F.max("form").alias("high")).where("low <> high").select("digest")
+    lots = math.isqrt(shuffle_partitions(forms.sparkSession) - 1) + 1
+    lot = F.pmod(F.spark_partition_id(), F.lit(lots))
+    bounds = lambda low, high: (F.min(low).alias("low"), F.max(high).alias("high"))
+    split = forms.withColumn("lot", lot).groupBy("digest", "lot").agg(*bounds("form", "form")).groupBy("digest").agg(*bounds("low", "high"))
+    split = split.where("low <> high").select("digest")
     split = written(split, "fingerprint-split").read()
     n = split.count()
     if not n:

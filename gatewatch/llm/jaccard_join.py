@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Table, bounded_batches, documents, text_buckets, written
+from .common import WORD, Table, bounded_batches, documents, picked, row_key, text_buckets, unused, written
 from .components import components
 from .shingles import SLICE_BYTES, shingle_sets
 
@@ -34,12 +34,17 @@ PACK = 2_000_000
 #: Rounds of counting in how many of the remaining classes a shingle is.
 COUNTS = 2
 
-_PACKED = "bucket int, doc_id bigint, n bigint, class bigint, payload binary"
-_PACKED_ARROW = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("class", pa.int64()), ("payload", pa.binary())])
+_PACKED = "bucket int, doc_id bigint, row string, n bigint, class bigint, payload binary"
+_PACKED_ARROW = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("row", pa.string()), ("n", pa.int64()), ("class", pa.int64()), ("payload", pa.binary())])
 
 
-def _batch(bucket, doc_id, n, cls, payload) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((bucket, doc_id, n, cls, payload), _PACKED_ARROW, strict=True)], schema=_PACKED_ARROW)
+def _batch(bucket, doc_id, row, n, cls, payload) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((bucket, doc_id, row, n, cls, payload), _PACKED_ARROW, strict=True)], schema=_PACKED_ARROW)
+
+
+def _payload_batch(buckets: list[int], payloads: list[bytes]) -> pa.RecordBatch:
+    none = [None] * len(buckets)
+    return _batch(buckets, none, none, none, none, payloads)
 
 
 def _pack(bucket: np.ndarray, cls: np.ndarray, n: np.ndarray, owner: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -60,10 +65,10 @@ def _pack(bucket: np.ndarray, cls: np.ndarray, n: np.ndarray, owner: np.ndarray,
         names.append(int(bucket[a]))
         rows.append(b"".join([np.array([len(who), b - a], dtype=np.int64).tobytes(), cls[who].tobytes(), n[who].astype(np.int32).tobytes(), counts.astype(np.int32).tobytes(), *(c[a:b].tobytes() for c in columns)]))
         if len(rows) == 64:
-            yield _batch(names, [None] * len(rows), [None] * len(rows), [None] * len(rows), rows)
+            yield _payload_batch(names, rows)
             names, rows = [], []
     if rows:
-        yield _batch(names, [None] * len(rows), [None] * len(rows), [None] * len(rows), rows)
+        yield _payload_batch(names, rows)
 
 
 def _unpack(payloads: list[bytes], dtypes: list[type]) -> tuple[np.ndarray, ...]:
@@ -92,15 +97,15 @@ def _payloads(batches: Iterator[pa.RecordBatch]) -> tuple[list[bytes], list[pa.R
     """Packed rows, and the batches of the others."""
     packed, others = [], []
     for batch in batches:
-        column = batch.column(4)
+        column = batch.column(5)
         packed += [x for x in column.to_pylist() if x is not None]
         if column.null_count:
             others.append(batch.filter(column.is_null()))
     return packed, others
 
 
-def _sets(words: int, buckets: int, id_col: str, text_col: str):
-    """Rows of the documents (id, set size, class), and their classes' shingles packed by bucket."""
+def _sets(words: int, buckets: int):
+    """Rows of the documents (id, row key, set size, class), and their classes' shingles packed by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
@@ -115,8 +120,7 @@ def _sets(words: int, buckets: int, id_col: str, text_col: str):
                 yield from _pack((hashes % np.uint64(buckets)).astype(np.int32), cls, n, owner, hashes)
 
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-            ids = batch.column(batch.schema.get_field_index(id_col)).to_pylist()
+            ids, rows, texts = (batch.column(k).to_pylist() for k in range(3))
             at = 0
             while at < len(texts):
                 stop, size = at, 0
@@ -134,7 +138,7 @@ def _sets(words: int, buckets: int, id_col: str, text_col: str):
                         seen.add((cls, n))
                         held.append((cls, n, mine))
                         waiting += n
-                yield _batch([(i or 0) % buckets for i in ids[at:stop]], ids[at:stop], counts, found, [None] * (stop - at))
+                yield _batch([k % buckets for k in range(at, stop)], ids[at:stop], rows[at:stop], counts, found, [None] * (stop - at))
                 if waiting >= PACK:
                     yield from flush()
                     held.clear()
@@ -219,13 +223,13 @@ def _dealt(rows: DataFrame, buckets: int) -> DataFrame:
     return rows.repartitionById(buckets, F.col("bucket"))
 
 
-def shared_sets(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> tuple[Table, Table]:
-    """The table ``doc_id, n, class`` of all documents, and the classes that may have links."""
+def shared_sets(docs: DataFrame, words: int, percent: int) -> tuple[Table, Table]:
+    """Of ``doc_id, row, text``: the table ``doc_id, row, n, class``, and the classes that may have links."""
     bounded_batches(docs.sparkSession)
-    buckets = text_buckets(docs, text_col)
-    rows = docs.select(id_col, text_col).mapInArrow(_sets(words, buckets, id_col, text_col), _PACKED)
+    buckets = text_buckets(docs, "text")
+    rows = docs.select("doc_id", "row", "text").mapInArrow(_sets(words, buckets), _PACKED)
     counted = written(_dealt(rows, buckets).mapInArrow(_count(buckets), _PACKED), "shingle-counts")
-    members = written(counted.read().where("payload IS NULL").select("doc_id", "n", "class"), "shingle-members")
+    members = written(counted.read().where("payload IS NULL").select("doc_id", "row", "n", "class"), "shingle-members")
     left = written(_dealt(counted.read().where("payload IS NOT NULL"), buckets).mapInArrow(_survivors(percent), _SURVIVORS), "shingle-sets")
     counted.drop()
     for _ in range(COUNTS - 1):
@@ -326,25 +330,53 @@ def _ordered(pairs: DataFrame, a: str, na: str, b: str, nb: str) -> DataFrame:
     return pairs.select(pick(a, b).alias("x"), pick(na, nb).alias("nx"), pick(b, a).alias("y"), pick(nb, na).alias("ny")).distinct()
 
 
-def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id``, one row per input row.
+def linked(docs: DataFrame, words: int, percent: int, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """``doc_id, row, n, component, component_id``, one row per input row.
 
-    Two documents link when 100 * intersection >= percent * union of their sets of ``words``-word shingles
-    (A to Z in lower case; a text with fewer words is one shingle). ``component_id`` is the smallest id that
-    links reach, the row's own included. A text without words, or null, has no shingles and no links. A null
-    id has no say in the smallest; rows that repeat an id count by their texts. Classes are told apart by a
-    64-bit hash of the set together with its size. Other columns are not read; empty tables stay empty.
+    ``row`` is ``row_col`` (a text that tells rows apart) or null, ``component`` a number that the rows of one
+    component share (null without shingles), whether they have ids or not.
     """
-    members, sets = shared_sets(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), words, percent, "doc_id", "text")
+    row = F.col(row_col) if row_col else F.lit(None).cast("string")
+    members, sets = shared_sets(docs.select(F.col(id_col).cast("long").alias("doc_id"), row.alias("row"), F.col(text_col).alias("text")), words, percent)
     labels = class_components(sets.read(), percent).read()
     rows = members.read()
     classes = rows.where("n > 0").groupBy("class", "n").agg(F.min("doc_id").alias("least"))
     classes = classes.join(labels, classes["class"] == labels["node"], "left").select("class", "n", "least", F.coalesce("component", "class").alias("component"))
     classes = written(classes, "class-components").read()
     least = written(classes.groupBy("component").agg(F.min("least").alias("component_id")), "component-ids").read()
-    named = written(classes.join(least, "component").select(F.col("class").alias("c"), F.col("n").alias("m"), "component_id"), "class-ids").read()
+    named = written(classes.join(least, "component").select(F.col("class").alias("c"), F.col("n").alias("m"), "component", "component_id"), "class-ids").read()
     out = rows.join(named, (rows["class"] == named["c"]) & (rows["n"] == named["m"]), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", "row", "n", "component", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_shingles, component_id``, one row per input row.
+
+    Two documents link when 100 * intersection >= percent * union of their sets of ``words``-word shingles
+    (A to Z in lower case; a text with fewer words is one shingle). ``component_id`` is the smallest id that
+    links reach, the row's own included. A text without words, or null, has no shingles and no links. A null
+    id has no say in the smallest; rows that repeat an id count by their texts. Shingles are told apart by a
+    64-bit hash, classes by a 64-bit hash of the set together with its size: two different ones among k share
+    it with a chance of about k * k / 2**65. Other columns are not read; empty tables stay empty.
+    """
+    return linked(docs, words, percent, id_col, text_col).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def deduplicated(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, with the columns of ``docs``: one of each component of :func:`jaccard_join`.
+
+    The smallest id stays, null after all others, then the smallest hash of the whole row; so neither null nor
+    repeated ids keep a near copy. Of rows that agree in everything one stays. Rows without a word all stay.
+    """
+    row = unused(docs, "__row")
+    keyed = docs.withColumn(row, row_key(docs))
+    found = linked(keyed, words, percent, id_col, text_col, row)
+    found = written(found.groupBy("doc_id", "row", "n", "component").agg(F.count("*").alias("copies")), "near-rows").read()
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "copies")
+    best = found.where("n > 0").groupBy("component").agg(F.min(order).alias("b")).select(F.col("b.row").alias(row), "b.copies")
+    out = picked(keyed, written(best, "near-kept").read(), row)
+    wordless = keyed.where(~F.coalesce(F.col(text_col).rlike(WORD), F.lit(False)))
+    return out.unionByName(wordless).select(*docs.columns)
 
 
 def op6_jaccard_join(spark, sf_dir: str) -> DataFrame:

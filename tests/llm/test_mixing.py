@@ -1,6 +1,6 @@
 import hashlib
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from gatewatch.llm import mixing
@@ -33,7 +33,7 @@ def mixed_by_hand(rows, seed="mix"):
         for d in sorted(by[s], key=lambda d: hashlib.md5(f"{seed}:{d}".encode()).hexdigest()):
             part = max(0, min(size[d], left))
             left -= part
-            out[d] = (epochs * size[d] + part, epochs + (1 if part == size[d] and size[d] else 0))
+            out[d] = (epochs * size[d] + part, epochs + (1 if 2 * part >= size[d] > 0 else 0))
     return out
 
 
@@ -43,8 +43,32 @@ ROWS = [(k, f"s{k % 4}" if k % 9 else None, "w " * (k * 7 % 23)) for k in range(
 @pytest.mark.parametrize("rows", [ROWS, [(1, "a", "x y"), (2, "b", "")], [(1, None, None)]])
 def test_against_a_loop(spark, rows):
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("size", F.lit("other"))
-    got = {r.doc_id: (r.taken, r.whole) for r in mixing.mix(docs, mixing.word_count(F.col("text"))).collect()}
-    assert got == mixed_by_hand(rows)
+    got = {r.doc_id: r.taken for r in mixing.mix(docs, mixing.word_count(F.col("text"))).collect()}
+    want = mixed_by_hand(rows)
+    assert got == {d: taken for d, (taken, _) in want.items()}
+    made = mixing.mixed(docs, mixing.word_count(F.col("text")))
+    assert made.columns == docs.columns
+    assert Counter(r.doc_id for r in made.collect()) == Counter({d: n for d, (_, n) in want.items() if n})
+
+
+def test_null_and_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "LISTED", 3)
+    rows = [(None, "a", "w " * (k % 5)) for k in range(40)] + [(5, "a", "x y")] * 10 + [(5, "a", "y x"), (6, None, "z " * 9), (None, None, None)] + [(7, "b", "long " * 30_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("__row", F.lit(1)).withColumn("copies", F.lit(2))
+    got = mixing.mix(docs, mixing.word_count(F.col("text"))).collect()
+    words = lambda t: len((t or "").split())
+    assert Counter((r.doc_id, r.source, r.size) for r in got) == Counter((d, s, words(t)) for d, s, t in rows)
+    for s in ("a", "b", None):
+        mine = [r for r in got if r.source == s]
+        assert sum(r.taken for r in mine) == int(mine[0].target) and all(0 <= r.taken <= 3 * r.size for r in mine)
+    made = mixing.mixed(docs, mixing.word_count(F.col("text")))
+    assert made.columns == docs.columns
+    counts = Counter((r.doc_id, r.source, r.text) for r in made.collect())
+    assert set(counts) <= set(rows)
+    for s in ("a", "b", None):
+        target = next(r.target for r in got if r.source == s)
+        total = sum(words(t) * n for (_, x, t), n in counts.items() if x == s)
+        assert abs(total - target) <= max(words(t) for _, x, t in rows if x == s) / 2 + 1
 
 
 def test_empty(spark):

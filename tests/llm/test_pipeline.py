@@ -40,6 +40,37 @@ def test_stages(spark, stages):
     assert all(r.round_trip for r in tokens)
 
 
+ODD = (
+    [(None, "alpha beta gamma delta epsilon zeta eta theta iota kappa lam mu", "a")] * 3
+    + [(None, "alpha beta gamma delta epsilon zeta eta theta iota kappa lam mu nu", "a"), (None, "all of its own one two three", "b"), (None, None, "b")]
+    + [(7, "one two three four five six seven eight nine ten eleven twelve", None), (7, "one two three four five six seven eight nine ten eleven twelve more", None)]
+    + [(9, "", "a"), (9, "", "a"), (10, "very long " * 40_000, "a"), (11, "very  long " * 40_000, "a")]
+)
+
+
+def test_stages_with_null_and_repeated_ids(spark):
+    docs = spark.createDataFrame([(d, t, None, s, len(t or ""), "x") for d, t, s in ODD], "doc_id long, text string, lang string, source string, n_chars long, __row string")
+    rows = lambda df: sorted(((r.doc_id, r.text, r.source) for r in df.collect()), key=repr)
+    exact = cp.drop_copies(spark, docs, SF)
+    assert exact.columns == docs.columns
+    assert rows(exact) == sorted(set(ODD) - {(10, "very long " * 40_000, "a"), (None, None, "b")}, key=repr)
+    near = cp.drop_near_copies(spark, docs, SF)
+    assert near.columns == docs.columns
+    found = rows(near)
+    # one of each component, and all rows without a word
+    assert len(found) == 7 and found.count((9, "", "a")) == 2 and (10, "very long " * 40_000, "a") in found and (None, None, "b") in found
+    assert sum("alpha" in (t or "") for _, t, _ in found) == 1 and sum(d == 7 for d, _, _ in found) == 1
+    mixed = cp.mix_sources(spark, docs, SF)
+    assert mixed.columns == docs.columns and set(rows(mixed)) <= set(ODD)
+    words = {s: sum(len((t or "").split()) for _, t, x in ODD if x == s) for s in ("a", "b", None)}
+    got = {s: sum(len((t or "").split()) for _, t, x in rows(mixed) if x == s) for s in words}
+    assert all(got[s] <= 3 * words[s] + 1 for s in words) and got[None] == 3 * words[None] and got["b"] == 3 * words["b"]
+    tokens = cp.tokenize(spark, docs, SF).collect()
+    assert len(tokens) == len(ODD) and all(r.round_trip for r in tokens)
+    for _, stage in cp.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0
+
+
 def test_run_gives_the_same(spark, stages):
     got = cp.run(spark, SF).select("doc_id", "n_tokens").collect()
     assert Counter(map(tuple, got)) == Counter((r.doc_id, r.n_tokens) for r in stages[-1])
