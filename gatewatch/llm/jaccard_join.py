@@ -2,7 +2,9 @@
 
 1. A document is its set of word shingles; documents with equal sets are one class from then on.
 2. Shingles meet in buckets of their hash, packed as arrays, and learn in how many classes they are. Only
-   shared ones go on to their class. The global order is (number of classes, hash): rare first.
+   shared ones go on to their class. The global order is (number of classes, hash): rare first. A shingle
+   that many classes of one flush of a task have goes there as a number only; the flush's entries wait in its
+   home bucket for the answer. So a shingle of all classes fills no bucket.
 3. Two sets that are similar enough share a shingle in their prefixes. A class whose prefix is all its own is
    out; the rest is counted once more among itself.
 4. A pair's overlap is counted by vertical partitions: the global order is cut into fragments, partial
@@ -15,11 +17,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +35,12 @@ from .shingles import SLICE_BYTES, shingle_sets
 FRAGMENTS = 8
 #: Shingles that a task packs at once.
 PACK = 2_000_000
+#: Classes of one flush (about ``PACK`` shingles) from which on a shingle is sent to its bucket as a number.
+OFTEN = 16
 #: Rounds of counting in how many of the remaining classes a shingle is.
 COUNTS = 2
+#: What a packed row holds, in its column ``n``; ``class`` is the number of the flush, if it matters.
+_SETS, _ASKED, _HELD, _TOLD = range(4)
 
 _PACKED = "bucket int, doc_id bigint, row string, n bigint, class bigint, payload binary"
 _PACKED_ARROW = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("row", pa.string()), ("n", pa.int64()), ("class", pa.int64()), ("payload", pa.binary())])
@@ -42,12 +50,12 @@ def _batch(bucket, doc_id, row, n, cls, payload) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((bucket, doc_id, row, n, cls, payload), _PACKED_ARROW, strict=True)], schema=_PACKED_ARROW)
 
 
-def _payload_batch(buckets: list[int], payloads: list[bytes]) -> pa.RecordBatch:
-    none = [None] * len(buckets)
-    return _batch(buckets, none, none, none, none, payloads)
+def _payload_batch(buckets: list[int], payloads: list[bytes], kind: int = _SETS, flush: int = 0) -> pa.RecordBatch:
+    k = len(buckets)
+    return _batch(buckets, [None] * k, [None] * k, [kind] * k, [flush] * k, payloads)
 
 
-def _pack(bucket: np.ndarray, cls: np.ndarray, n: np.ndarray, owner: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _pack(bucket: np.ndarray, cls: np.ndarray, n: np.ndarray, owner: np.ndarray, *columns: np.ndarray, kind: int = _SETS, flush: int = 0) -> Iterator[pa.RecordBatch]:
     """One row per bucket: the classes with their set sizes and counts here, then the columns.
 
     ``owner`` numbers the class of each entry, ascending.
@@ -65,10 +73,10 @@ def _pack(bucket: np.ndarray, cls: np.ndarray, n: np.ndarray, owner: np.ndarray,
         names.append(int(bucket[a]))
         rows.append(b"".join([np.array([len(who), b - a], dtype=np.int64).tobytes(), cls[who].tobytes(), n[who].astype(np.int32).tobytes(), counts.astype(np.int32).tobytes(), *(c[a:b].tobytes() for c in columns)]))
         if len(rows) == 64:
-            yield _payload_batch(names, rows)
+            yield _payload_batch(names, rows, kind, flush)
             names, rows = [], []
     if rows:
-        yield _payload_batch(names, rows)
+        yield _payload_batch(names, rows, kind, flush)
 
 
 def _unpack(payloads: list[bytes], dtypes: list[type]) -> tuple[np.ndarray, ...]:
@@ -93,15 +101,49 @@ def _unpack(payloads: list[bytes], dtypes: list[type]) -> tuple[np.ndarray, ...]
     return distinct[:, 0].copy(), distinct[:, 1].copy(), number.reshape(-1)[owner], *columns
 
 
-def _payloads(batches: Iterator[pa.RecordBatch]) -> tuple[list[bytes], list[pa.RecordBatch]]:
-    """Packed rows, and the batches of the others."""
-    packed, others = [], []
+def _payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, bytes]]:
+    """Kind, flush and payload of packed rows."""
     for batch in batches:
-        column = batch.column(5)
-        packed += [x for x in column.to_pylist() if x is not None]
-        if column.null_count:
-            others.append(batch.filter(column.is_null()))
-    return packed, others
+        yield from zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)
+
+
+def _flushed(number: int, cls: np.ndarray, n: np.ndarray, owner: np.ndarray, hashes: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """The shingles of some classes, packed by their buckets; of those that many have, questions instead."""
+    cell = hashes >> np.uint64(44)
+    busy = np.flatnonzero(np.bincount(cell.astype(np.int64), minlength=1 << 20)[cell.astype(np.int64)] >= OFTEN)
+    often = np.zeros(len(hashes), dtype=bool)
+    if len(busy):
+        values, where, counts = np.unique(hashes[busy], return_inverse=True, return_counts=True)
+        often[busy[counts[where] >= OFTEN]] = True
+        values, counts = values[counts >= OFTEN], counts[counts >= OFTEN]
+    bucket = (hashes % np.uint64(buckets)).astype(np.int32)
+    yield from _pack(bucket[~often], cls, n, owner[~often], hashes[~often])
+    if often.any():
+        home = np.full(int(often.sum()), number % buckets, dtype=np.int32)
+        yield from _pack(home, cls, n, owner[often], hashes[often], kind=_HELD, flush=number)
+        yield from _lists((values % np.uint64(buckets)).astype(np.int64), values, counts, _ASKED, number)
+
+
+def _lists(bucket: np.ndarray, values: np.ndarray, counts: np.ndarray, kind: int, flush: int) -> Iterator[pa.RecordBatch]:
+    """Hashes with numbers, one row a bucket."""
+    order = np.argsort(bucket, kind="stable")
+    cut = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+    names, rows = [], []
+    for a, b in zip(cut, [*cut[1:], len(order)], strict=True):
+        part = order[a:b]
+        names.append(int(bucket[part[0]]))
+        rows.append(values[part].astype(np.uint64).tobytes() + counts[part].astype(np.int64).tobytes())
+    yield _payload_batch(names, rows, kind, flush)
+
+
+def _listed(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    k = len(raw) // 16
+    return np.frombuffer(raw, np.uint64, k), np.frombuffer(raw, np.int64, k, 8 * k)
+
+
+def _number(k: int) -> int:
+    """Of a task's k-th flush; a repeated task gives the same."""
+    return TaskContext.get().partitionId() << 24 | k
 
 
 def _sets(words: int, buckets: int):
@@ -110,14 +152,14 @@ def _sets(words: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         held: list[tuple[int, int, np.ndarray]] = []
-        waiting = 0
+        waiting = flushes = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             if held:
                 hashes = np.concatenate([h for _, _, h in held])
                 owner = np.repeat(np.arange(len(held)), [len(h) for _, _, h in held])
                 cls, n = np.array([c for c, _, _ in held]), np.array([k for _, k, _ in held])
-                yield from _pack((hashes % np.uint64(buckets)).astype(np.int32), cls, n, owner, hashes)
+                yield from _flushed(_number(flushes), cls, n, owner, hashes, buckets)
 
         for batch in batches:
             ids, rows, texts = (batch.column(k).to_pylist() for k in range(3))
@@ -142,7 +184,7 @@ def _sets(words: int, buckets: int):
                 if waiting >= PACK:
                     yield from flush()
                     held.clear()
-                    waiting = 0
+                    waiting, flushes = 0, flushes + 1
                 at = stop
         yield from flush()
 
@@ -150,28 +192,71 @@ def _sets(words: int, buckets: int):
 
 
 def _count(buckets: int):
-    """In a bucket of shingles: the number of classes of each; those in several go on, packed by class."""
+    """In a bucket of shingles: the number of classes of each; those in several go on, packed by class.
+
+    Questions are answered to the flush's home bucket. A class that several flushes counted counts several
+    times in a number; such a shingle is in many classes anyway, and its place in the order is the same to all.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed, others = _payloads(batches)
-        yield from others
+        packed, asked = [], []
+        for batch in batches:
+            kinds = batch.column(3).to_numpy(zero_copy_only=False)
+            rest = np.array(batch.column(5).is_null()) | (kinds == _HELD)
+            if rest.any():
+                yield batch.filter(pa.array(rest))
+            for kind, flush, raw in _payloads(iter([batch.filter(pa.array(~rest))])):
+                (asked.append((flush, *_listed(raw))) if kind == _ASKED else packed.append(raw))
         cls, n, owner, hashes = _unpack(packed, [np.uint64])
         del packed
-        if not len(hashes):
-            return
         order = np.lexsort((owner, hashes))
         hashes, owner = hashes[order], owner[order]
-        new = np.concatenate([[True], hashes[1:] != hashes[:-1]])
-        keep = new | np.concatenate([[True], owner[1:] != owner[:-1]])
-        hashes, owner, new = hashes[keep], owner[keep], new[keep]
-        first = np.flatnonzero(new)
-        df = np.repeat(np.diff(np.append(first, len(hashes))), np.diff(np.append(first, len(hashes)))).astype(np.int32)
+        keep = np.ones(len(hashes), dtype=bool)
+        keep[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+        hashes, owner = hashes[keep], owner[keep]
+        values, where, counts = np.unique(hashes, return_inverse=True, return_counts=True)
+        if asked:
+            every = np.unique(np.concatenate([values, *(v for _, v, _ in asked)]))
+            total = np.zeros(len(every), dtype=np.int64)
+            total[np.searchsorted(every, values)] = counts
+            for _, v, c in asked:
+                total[np.searchsorted(every, v)] += c
+            for flush, v, _ in asked:
+                yield from _lists(np.full(len(v), flush % buckets), v, total[np.searchsorted(every, v)], _TOLD, flush)
+            counts = total[np.searchsorted(every, values)]
+        df = np.minimum(counts[where], _MOST).astype(np.int32) if len(hashes) else np.zeros(0, np.int32)
         many = df > 1
         hashes, owner, df = hashes[many], owner[many], df[many]
         order = np.argsort(owner, kind="stable")
         hashes, owner, df = hashes[order], owner[order], df[order]
-        bucket = (cls.view(np.uint64) % np.uint64(buckets)).astype(np.int32)[owner]
-        yield from _pack(bucket, cls, n, owner, hashes, df)
+        yield from _pack(_class_bucket(cls, buckets)[owner], cls, n, owner, hashes, df)
+
+    return run
+
+
+_MOST = 2**31 - 1
+
+
+def _class_bucket(cls: np.ndarray, buckets: int) -> np.ndarray:
+    return (cls.view(np.uint64) % np.uint64(buckets)).astype(np.int32)
+
+
+def _answered(buckets: int):
+    """In a home bucket: what flushes held, with the numbers that they were told, packed by class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, told = {}, {}
+        for kind, flush, raw in _payloads(batches):
+            (held if kind == _HELD else told).setdefault(flush, []).append(raw)
+        for flush, raws in held.items():
+            cls, n, owner, hashes = _unpack(raws, [np.uint64])
+            parts = [_listed(raw) for raw in told[flush]]
+            values, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.argsort(values)
+            df = np.minimum(counts[order][np.searchsorted(values[order], hashes)], _MOST).astype(np.int32)
+            order = np.argsort(owner, kind="stable")
+            hashes, owner, df = hashes[order], owner[order], df[order]
+            yield from _pack(_class_bucket(cls, buckets)[owner], cls, n, owner, hashes, df)
 
     return run
 
@@ -188,14 +273,16 @@ def _survivors(percent: int):
     """In a bucket of classes: those whose prefix holds a shared shingle, with their shared shingles in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed, _ = _payloads(batches)
-        cls, n, owner, hashes, df = _unpack(packed, [np.uint64, np.int32])
-        shared = np.bincount(owner, minlength=len(cls))
-        stays = n - shared < prefix(n, percent)
-        keep = stays[owner]
-        hashes, owner, df = hashes[keep].view(np.int64), owner[keep], df[keep]
+        cls, n, owner, hashes, df = _unpack([raw for _, _, raw in _payloads(batches)], [np.uint64, np.int32])
+        hashes = hashes.view(np.int64)
         order = np.lexsort((hashes, df, owner))
-        hashes, df = hashes[order], df[order]
+        hashes, df, owner = hashes[order], df[order], owner[order]
+        keep = np.ones(len(hashes), dtype=bool)  # several flushes may have held a class
+        keep[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+        shared = np.bincount(owner[keep], minlength=len(cls))
+        stays = n - shared < prefix(n, percent)
+        keep &= stays[owner]
+        hashes, df = hashes[keep], df[keep]
         ends = np.concatenate([[0], np.cumsum(shared[stays])])
         for a in range(0, int(stays.sum()), 500):
             b = min(a + 500, int(stays.sum()))
@@ -210,11 +297,24 @@ def _survivors(percent: int):
 
 
 def _repacked(buckets: int):
+    """The shared shingles of the classes that are left, packed by bucket again."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, waiting, flushes = [], 0, 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if held:
+                cls, n, counts, hashes = (np.concatenate(x) for x in zip(*held, strict=True))
+                yield from _flushed(_number(flushes), cls, n, np.repeat(np.arange(len(cls)), counts), hashes, buckets)
+
         for batch in batches:
-            counts = batch.column(2).value_lengths().to_numpy()
-            hashes = batch.column(2).flatten().to_numpy().view(np.uint64)
-            yield from _pack((hashes % np.uint64(buckets)).astype(np.int32), batch.column(0).to_numpy(), batch.column(1).to_numpy(), np.repeat(np.arange(len(counts)), counts), hashes)
+            lists = batch.column(2)
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), lists.value_lengths().to_numpy(), lists.flatten().to_numpy().view(np.uint64)))
+            waiting += len(held[-1][3])
+            if waiting >= PACK:
+                yield from flush()
+                held, waiting, flushes = [], 0, flushes + 1
+        yield from flush()
 
     return run
 
@@ -230,16 +330,23 @@ def shared_sets(docs: DataFrame, words: int, percent: int) -> tuple[Table, Table
     rows = docs.select("doc_id", "row", "text").mapInArrow(_sets(words, buckets), _PACKED)
     counted = written(_dealt(rows, buckets).mapInArrow(_count(buckets), _PACKED), "shingle-counts")
     members = written(counted.read().where("payload IS NULL").select("doc_id", "row", "n", "class"), "shingle-members")
-    left = written(_dealt(counted.read().where("payload IS NOT NULL"), buckets).mapInArrow(_survivors(percent), _SURVIVORS), "shingle-sets")
-    counted.drop()
+    left = _remaining(counted, buckets, percent)
     for _ in range(COUNTS - 1):
-        again = _dealt(left.read().mapInArrow(_repacked(buckets), _PACKED), buckets).mapInArrow(_count(buckets), _PACKED)
-        fewer = written(_dealt(again, buckets).mapInArrow(_survivors(percent), _SURVIVORS), "shingle-sets")
+        counted = written(_dealt(left.read().mapInArrow(_repacked(buckets), _PACKED), buckets).mapInArrow(_count(buckets), _PACKED), "shingle-counts")
         left.drop()
-        left = fewer
+        left = _remaining(counted, buckets, percent)
     return members, left
 
 
+def _remaining(counted: Table, buckets: int, percent: int) -> Table:
+    packed = counted.read().where("payload IS NOT NULL")
+    told = _dealt(packed.where(F.col("n").isin(_HELD, _TOLD)), buckets).mapInArrow(_answered(buckets), _PACKED)
+    sets = packed.where(F.col("n") == _SETS).unionAll(told)
+    left = written(_dealt(sets, buckets).mapInArrow(_survivors(percent), _SURVIVORS), "shingle-sets")
+    counted.drop()
+    return left
+
+
 def _order_key(shingle: Column, df: Column) -> Column:
     return df.cast("double") + shingle.cast("double") / float(2**64) + 0.5
 
@@ -313,8 +420,12 @@ def class_components(sets: DataFrame, percent: int) -> Table:
     led = written(led, "prefix-main").read()
     placed = written(placed, "prefix-placed").read()
     placed = written(placed.join(led, placed["shingle"] == led["s"]).select("shingle", "class", "n", "place", "component", (F.col("component") != F.col("main")).alias("outside")), "prefix-outside").read()
-    outside = placed.where("outside").toDF("s", "y", "ny", "py", "other", "y_outside").drop("y_outside")
-    across = placed.join(outside, placed["shingle"] == outside["s"]).where((F.col("component") != F.col("other")) & (~F.col("outside") | (F.col("class") < F.col("y"))) & _possible(percent, "n", "place", "ny", "py"))
+    # sets whose sizes are too far apart never meet: sizes form blocks, and only neighbouring blocks are joined
+    block = F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / percent) * (1 + 1e-6))).cast("int") if percent < 100 else F.col("n").cast("int")
+    placed = placed.withColumn("block", block)
+    outside = placed.where("outside").withColumn("near", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)))
+    outside = outside.select(F.col("shingle").alias("s"), F.col("class").alias("y"), F.col("n").alias("ny"), F.col("place").alias("py"), F.col("component").alias("other"), "near")
+    across = placed.join(outside, (placed["shingle"] == outside["s"]) & (placed["block"] == outside["near"])).where((F.col("component") != F.col("other")) & (~F.col("outside") | (F.col("class") < F.col("y"))) & _possible(percent, "n", "place", "ny", "py"))
     rest = _ordered(across, "class", "n", "y", "ny").join(tried, ["x", "nx", "y", "ny"], "left_anti")
     rest = written(rest, "pairs-across").read()
     more = written(links(rest, sets, cuts, percent).select(F.col("x").alias("a"), F.col("y").alias("b")), "links-across").read()
@@ -381,3 +492,31 @@ def deduplicated(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
 
 def op6_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return jaccard_join(documents(spark, sf_dir), words=4, percent=85)
+
+
+OP6_SQL = r"""
+WITH RECURSIVE
+words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+         ELSE list_distinct([array_to_string(w[i : i + 3], ' ') FOR i IN range(1, len(w) - 2)]) END AS s
+  FROM words),
+classes AS (SELECT min(doc_id) AS c, list_sort(s) AS s FROM sets WHERE len(s) > 0 GROUP BY list_sort(s)),
+shingles AS (SELECT c, len(s) AS n, unnest(s) AS g FROM classes),
+pairs AS (
+  SELECT a.c AS a, b.c AS b, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS k
+  FROM shingles a JOIN shingles b ON a.g = b.g AND a.c < b.c AND a.n * 100 >= b.n * 85 AND b.n * 100 >= a.n * 85
+  GROUP BY a.c, b.c),
+links AS (SELECT a, b FROM pairs WHERE 100 * k >= 85 * (n + m - k)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(c, least) AS (
+  SELECT c, c FROM classes
+  UNION
+  SELECT e.b, r.least FROM reach r JOIN edges e ON e.a = r.c WHERE r.least < e.b),
+component AS (SELECT c, min(least) AS component_id FROM reach GROUP BY c)
+SELECT d.doc_id, len(d.s)::BIGINT AS n_shingles, coalesce(component_id, d.doc_id) AS component_id
+FROM sets d LEFT JOIN classes ON list_sort(d.s) = classes.s LEFT JOIN component ON component.c = classes.c
+"""

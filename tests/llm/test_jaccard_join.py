@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from gatewatch.llm import jaccard_join as jj
@@ -63,6 +64,24 @@ def test_against_all_pairs(spark, seed, k, percent):
     assert got == brute(rows, k, percent)
 
 
+def test_shingles_of_all_texts_fill_no_bucket(spark, monkeypatch):
+    """With small flushes, so that most shared shingles go as numbers."""
+    monkeypatch.setattr(jj, "PACK", 400)
+    monkeypatch.setattr(jj, "OFTEN", 3)
+    rows = corpus(5) + [(5_000 + k, f"all of these begin alike but end w{k} x{k} y{k}") for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(tuple(r) for r in jj.jaccard_join(docs, 3, 80).collect())
+    assert got == brute(rows, 3, 80)
+    texts = [f"one two three four five six s{k} t{k} u{k}" for k in range(4_000)]
+    flat, counts = jj.shingle_sets(texts, 4)
+    owner = np.repeat(np.arange(len(texts)), counts)
+    packed = [r for b in jj._flushed(7, np.arange(len(texts)), counts, owner, flat, 5) for r in b.to_pylist()]
+    held = [r for r in packed if r["n"] == jj._HELD]
+    in_buckets = sum(len(r["payload"]) for r in packed if r["n"] == jj._SETS)
+    assert {r["bucket"] for r in held} == {7 % 5} and sum(len(jj._listed(r["payload"])[0]) for r in packed if r["n"] == jj._ASKED) == 3
+    assert in_buckets < 4_000 * 3 * 8 + 4_000 * 5 * 16 + 100
+
+
 def test_edges(spark):
     docs = spark.createDataFrame([(5, "a b c d e", 1), (5, "a b c d e", 2), (None, "A B C D E", 3), (9, None, 4), (8, "", 5)], "doc_id long, text string, n long")
     got = sorted((tuple(r) for r in jj.jaccard_join(docs).collect()), key=repr)
