@@ -19,6 +19,8 @@ from .common import documents, shuffle_partitions, small, written
 
 #: Bytes of text that a bucket holds on average; a task keeps one bucket in memory.
 BUCKET_BYTES = 16 << 20
+#: A bucket this many times larger than aimed at is dealt out again by the places of its rows in the input.
+CROWDED = 8
 #: Most buckets whose offsets are broadcast; beyond it that join shuffles.
 BROADCAST_BUCKETS = 100_000
 
@@ -42,32 +44,46 @@ def external_shuffle(docs: DataFrame, seed: int = 0, bucket_bytes: int = BUCKET_
 
     The bucket depends on the seed and the id (of rows without an id: on the text), so neither a hot source
     nor many copies of a text fill a bucket. A rerun gives the same order, whatever tasks were lost: rows
-    are put in a fixed order before they are shuffled. Rows with equal id and text are interchangeable. Null
-    or empty texts are ordinary rows, an empty table stays empty, and columns called ``position`` or
-    ``__bucket`` in ``docs`` are replaced.
+    are put in a fixed order before they are shuffled. Rows with equal id and text are interchangeable. Where
+    one id, or one text of rows without an id, fills a bucket many times over, that bucket is split by the
+    rows' places in the input; the order then also depends on how the input is partitioned. Null or empty
+    texts are ordinary rows, an empty table stays empty, and columns called ``position``, ``__bucket``,
+    ``__part`` or ``__offset`` in ``docs`` are replaced.
     """
     spark = docs.sparkSession
-    docs = docs.drop("position", "__bucket", "__offset")
-    sized = docs.agg(F.sum(text_bytes(F.col(text_col)) + 64).alias("b")).first()["b"] or 0
+    docs = docs.drop("position", "__bucket", "__part", "__offset")
+    size = text_bytes(F.col(text_col)) + 64
+    sized = docs.agg(F.sum(size).alias("b")).first()["b"] or 0
     buckets = max(2 * shuffle_partitions(spark), math.ceil(sized / bucket_bytes))
     spread = F.when(F.col(id_col).isNotNull(), F.xxhash64(F.lit(seed), F.col(id_col).cast("string"))).otherwise(F.xxhash64(F.lit(seed), F.lit("text"), F.col(text_col)))
-    bucket = F.pmod(spread, F.lit(buckets)).cast("long")
-    before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    counts = docs.groupBy(bucket.alias("__bucket")).agg(F.count("*").alias("n"))
-    offsets = written(counts.select("__bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__offset")), "shuffle-offsets").read()
-    rows = docs.withColumn("__bucket", bucket).join(small(offsets, buckets, BROADCAST_BUCKETS), "__bucket")
+    place = ["__bucket", "__part"]
+    rows = docs.withColumns({"__bucket": F.pmod(spread, F.lit(buckets)).cast("long"), "__part": F.lit(0).cast("long")})
+    count = lambda: rows.groupBy(*place).agg(F.count("*").alias("n"), F.sum(size).alias("held"))
+    counts = written(count(), "shuffle-counts").read()
+    crowded = counts.where(F.col("held") > CROWDED * bucket_bytes).select(F.col("__bucket").alias("b"), F.ceil(F.col("held") / bucket_bytes).alias("parts"))
+    n_crowded = crowded.count()
+    if n_crowded:
+        numbered = rows.withColumn("__part", F.monotonically_increasing_id())
+        split = numbered.join(small(crowded, n_crowded, BROADCAST_BUCKETS), F.col("__bucket") == F.col("b"), "left")
+        part = F.pmod(F.xxhash64("__part"), F.coalesce("parts", F.lit(1).cast("long")))
+        rows = written(split.withColumn("__part", part).drop("b", "parts"), "shuffle-split").read()
+        counts = written(count(), "shuffle-counts").read()
+    before = Window.orderBy(*place).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = written(counts.select(*place, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__offset")), "shuffle-offsets").read()
+    rows = rows.join(small(offsets, counts.count(), BROADCAST_BUCKETS), place)
     names = docs.columns
 
     def shuffled(pdf: pd.DataFrame) -> pd.DataFrame:
         keys = pd.DataFrame({"id": pdf[id_col], "text": pdf[text_col].fillna("")})
         pdf = pdf.loc[keys.sort_values(["id", "text"], kind="stable").index].reset_index(drop=True)
-        place = np.empty(len(pdf), dtype=np.int64)
-        place[fisher_yates(len(pdf), hash((seed, int(pdf["__bucket"].iat[0]))) & 0x7FFFFFFF)] = np.arange(len(pdf))
-        pdf["position"] = place + int(pdf["__offset"].iat[0])
+        places = np.empty(len(pdf), dtype=np.int64)
+        which = (seed, int(pdf["__bucket"].iat[0]), int(pdf["__part"].iat[0]))
+        places[fisher_yates(len(pdf), hash(which) & 0x7FFFFFFF)] = np.arange(len(pdf))
+        pdf["position"] = places + int(pdf["__offset"].iat[0])
         return pdf[[*names, "position"]]
 
     schema = docs.withColumn("position", F.lit(0).cast("long")).schema
-    return rows.groupBy("__bucket").applyInPandas(shuffled, schema)
+    return rows.groupBy(*place).applyInPandas(shuffled, schema)
 
 
 def shard(docs: DataFrame, shards: int, seed: int = 0, **how) -> DataFrame:

@@ -29,3 +29,15 @@ def test_shards_differ_by_one_row_and_reruns_agree(spark, tmp_path):
     write_shards(docs, str(tmp_path / "out"), 24)
     assert spark.read.parquet(str(tmp_path / "out")).count() == len(rows)
     assert shard(docs.limit(0), 24).count() == 0
+
+
+def test_a_hot_id_is_split(spark):
+    rows = [(7, "same", k) for k in range(900)] + [(None, "none", k) for k in range(400)] + [(k, "long " * 5_000, k) for k in range(100, 110)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __bucket long").repartition(4)
+    placed = external_shuffle(docs, bucket_bytes=4_000).collect()
+    assert sorted(r.position for r in placed) == list(range(len(rows)))
+    hot = sorted(r.position for r in placed if r.doc_id == 7)
+    assert len(hot) == 900 and external_shuffle(docs, bucket_bytes=4_000).columns == ["doc_id", "text", "position"]
+    got = shard(docs, 5, bucket_bytes=4_000).collect()
+    sizes = [sum(r.shard == k for r in got) for k in range(5)]
+    assert max(sizes) - min(sizes) <= 1 and all(sorted(r.slot for r in got if r.shard == k) == list(range(sizes[k])) for k in range(5))
