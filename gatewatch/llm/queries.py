@@ -19,5 +19,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op2_mixing": mixing.OP2_SQL,
+    "op6_jaccard_join": jaccard_join.OP6_SQL,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
 }
