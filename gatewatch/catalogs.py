@@ -1,11 +1,13 @@
 """Threat catalogs. They are data: a text file with tables is the parameter, this module only reads it.
 
 The tables are tab-separated blocks (``L sev flags description pattern`` and the like) under numbered
-headings, as in the blueprint at the top of this repository, which is the default file.
+headings. Which file: the parameter, else the one that ``GATEWATCH_CATALOG`` names, else the blueprint at the
+top of this repository. Only the driver reads it; patterns reach executors as literals of the plan.
 """
 
 from __future__ import annotations
 
+import os
 import re
 from dataclasses import dataclass
 from functools import lru_cache
@@ -67,9 +69,15 @@ def _flags(text: str) -> str:
     return "" if text == "-" else text
 
 
-@lru_cache(maxsize=4)
 def load(path: str | None = None) -> Catalog:
-    text = Path(path or DEFAULT).read_text(encoding="utf-8")
+    return _load(str(path or os.environ.get("GATEWATCH_CATALOG") or DEFAULT))
+
+
+@lru_cache(maxsize=4)
+def _load(path: str) -> Catalog:
+    if not Path(path).is_file():
+        raise FileNotFoundError(f"no catalog at {path}: name one in GATEWATCH_CATALOG")
+    text = Path(path).read_text(encoding="utf-8")
     threats = lambda h: tuple(Pattern(r[4], _flags(r[2]), r[1], r[3]) for r in _rows(_section(text, h)))
     agents = lambda h: tuple(Pattern(r[2], _flags(r[1])) for r in _rows(_section(text, h)))
     network = _section(text, "Appendix B")

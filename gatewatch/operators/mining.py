@@ -21,10 +21,10 @@ ORDINARY_ROUTES = (
 )
 
 
-def _samples(rows: DataFrame, group: list[str], value: Column, name: str, most: int) -> DataFrame:
-    """The first ``most`` distinct values of each group, by the smallest id that has them."""
+def _samples(rows: DataFrame, group: list[str], value: Column, name: str, most: int | None) -> DataFrame:
+    """The first ``most`` distinct values (None: all) of each group, by the smallest id that has them."""
     seen = rows.select(*group, "id", value.alias("v")).where("v IS NOT NULL").groupBy(*group, "v").agg(F.min("id").alias("at"))
-    top = seen.withColumn("nth", F.row_number().over(Window.partitionBy(*group).orderBy("at", "v"))).where(F.col("nth") <= most)
+    top = seen if most is None else seen.withColumn("nth", F.row_number().over(Window.partitionBy(*group).orderBy("at", "v"))).where(F.col("nth") <= most)
     return top.groupBy(*group).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda x: x["v"]).alias(name))
 
 
@@ -37,30 +37,34 @@ def agent_text(rows: DataFrame) -> Column:
 
 
 def uncaught_shapes(rows: DataFrame) -> DataFrame:
-    """Method and URL of requests that match nothing: counts and samples, the most frequent first."""
+    """Method and URL of requests that match nothing: counts and samples, the most frequent first.
+
+    ``stored_level`` is the level that a row came with, if it came with one.
+    """
     group = ["method", "full_url"]
     calm = rows.where("threat_rank = 0")
     base = calm.groupBy(*group).agg(F.count("*").alias("count"), F.count_distinct("ip").alias("ip_count"))
     parts = [_samples(calm, group, F.col("id"), "sample_ids", 5), _samples(calm, group, agent_text(calm), "user_agents", 5), _samples(calm, group, F.col("ip"), "ips", 10)]
-    for name, most in (("status_code", 100), ("request_body", 3)):
+    for name, most in (("status_code", None), ("stored_level", None), ("request_body", 3)):
         if name in rows.columns:
-            value = F.when(F.col(name) != "{}", F.substring(name, 1, 300)) if name == "request_body" else F.col(name)
-            parts.append(_samples(calm, group, value, {"status_code": "status_codes", "request_body": "request_bodies"}[name], most))
+            value = F.when(~F.col(name).isin("{}", ""), F.substring(name, 1, 300)) if name == "request_body" else F.col(name)
+            parts.append(_samples(calm, group, value, {"request_body": "request_bodies"}.get(name, f"{name}s"), most))
     return _joined(base, group, parts).orderBy(F.col("count").desc(), "method", "full_url")
 
 
-def cluster_key(kind: str) -> Column:
-    """Key of a cluster kind: ``ip``, ``subnet`` (IPv4 only) or ``asn`` (with the organisation, if known)."""
+def cluster_key(kind: str, org: Column | None = None) -> Column:
+    """Key of a cluster kind: ``ip``, ``subnet`` (IPv4 only) or ``asn`` (number, blank, organisation if known)."""
     if kind == "ip":
         return F.col("ip")
     if kind == "subnet":
         return subnet24(F.col("ip"))
-    return F.when(F.coalesce("asn", F.lit(0)) != 0, F.concat(F.lit("AS"), F.col("asn").cast("string")))
+    named = F.lit("") if org is None else F.coalesce(org, F.lit(""))
+    return F.when(F.coalesce("asn", F.lit(0)) != 0, F.concat(F.lit("AS"), F.col("asn").cast("string"), F.lit(" "), named))
 
 
 def clusters(rows: DataFrame, kind: str) -> DataFrame:
     """Requests by address, /24 or network, of clusters large or broad enough, the largest first."""
-    keyed = rows.withColumn("key", cluster_key(kind)).where("key IS NOT NULL")
+    keyed = rows.withColumn("key", cluster_key(kind, F.col("org") if "org" in rows.columns else None)).where("key IS NOT NULL")
     count = lambda level: F.count_if(F.col("threat_level") == level).alias(f"{level}_count")
     base = keyed.groupBy("key").agg(
         F.count("*").alias("request_count"), F.count_distinct("ip").alias("unique_ips"), F.count_distinct("full_url").alias("unique_paths"), F.count_distinct(agent_text(keyed)).alias("ua_count"),
@@ -73,7 +77,7 @@ def clusters(rows: DataFrame, kind: str) -> DataFrame:
     top = hits.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy(F.col("n").desc(), "at"))).where("nth <= 40")
     top = top.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", F.concat(F.col("n").cast("string"), F.lit("x "), "full_url").alias("v")))), lambda x: x["v"]).alias("top_paths"))
     parts = [top, _samples(keyed, ["key"], F.col("ip"), "ips", 15), _samples(keyed, ["key"], agent_text(keyed), "user_agents", 8)]
-    for name, most in (("asn", 1000), ("org", 5), ("ip_type", 10)):
+    for name, most in (("asn", None), ("org", 5), ("ip_type", None)):
         if name in rows.columns:
             value = F.when(F.col(name) != 0, F.col(name)) if name == "asn" else F.when(F.col(name) != "", F.col(name))
             parts.append(_samples(keyed, ["key"], value, f"{name}s", most))
@@ -85,8 +89,9 @@ def level_counts(rows: DataFrame, *by: str) -> DataFrame:
 
 
 def unknown_networks(rows: DataFrame) -> DataFrame:
-    """Networks whose type is unknown, by hits."""
-    return rows.where("ip_type = 'unknown'").groupBy("asn").agg(F.count("*").alias("hits")).orderBy(F.col("hits").desc(), "asn")
+    """Networks whose type is unknown, with their organisations, by hits."""
+    org = F.col("org") if "org" in rows.columns else F.lit(None).cast("string").alias("org")
+    return rows.where("ip_type = 'unknown'").groupBy("asn", org).agg(F.count("*").alias("hits")).orderBy(F.col("hits").desc(), "asn", "org")
 
 
 def score_tuning(rows: DataFrame, window_ms: int = STEP_MS) -> DataFrame:
@@ -110,7 +115,7 @@ def score_tuning(rows: DataFrame, window_ms: int = STEP_MS) -> DataFrame:
     return scored.withColumn("nth", best).where("nth = 1").drop("nth").orderBy(F.col("max_or").desc(), "subnet")
 
 
-def validate_patterns(rows: DataFrame, proposals: list[dict]) -> DataFrame:
+def validate_patterns(rows: DataFrame, proposals: list[dict], ordinary_routes: tuple[str, ...] = ORDINARY_ROUTES) -> DataFrame:
     """What proposals (``name, pattern, flags, target``) would catch.
 
     Shapes they hit, shapes and rows that nothing catches yet, and ordinary routes that they match by
@@ -118,7 +123,7 @@ def validate_patterns(rows: DataFrame, proposals: list[dict]) -> DataFrame:
     """
     spark: SparkSession = rows.sparkSession
     shapes = rows.groupBy("method", "full_url").agg(F.count_if(F.col("threat_rank") == 0).alias("uncaught")) if "request_body" not in rows.columns else None
-    ordinary = spark.createDataFrame([(r,) for r in ORDINARY_ROUTES], "full_url string")
+    ordinary = spark.createDataFrame([(r,) for r in ordinary_routes], "full_url string")
     out = []
     for p in proposals:
         pattern = to_java(p["pattern"], "i" in p.get("flags", "i"))

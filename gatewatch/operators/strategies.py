@@ -6,7 +6,8 @@ Only gates that hold give a row. Confidence bands, midpoints and steepnesses are
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..catalogs import Catalog
 from ..functions.scalars import is_exploit_tool, is_ipv4, sigmoid, subnet24
+from ..tables import written
 from . import metrics
 from .epochs import MARKER_MS, millis
 
@@ -28,6 +30,13 @@ class Context:
     rows: DataFrame
     catalog: Catalog
     markers: DataFrame | None = None
+    _made: dict[str, DataFrame] = field(default_factory=dict, compare=False)
+
+    def once(self, name: str, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """What ``make`` computes from the requests, written when it is first asked for."""
+        if name not in self._made:
+            self._made[name] = written(make(self.rows), name)
+        return self._made[name]
 
 
 class Strategy(Protocol):
@@ -68,8 +77,9 @@ class SubnetOverlap:
             F.count_distinct(F.when(F.col("is_attack"), F.col("route"))).alias("attack"),
             F.count_distinct("route").alias("paths"),
         )
-        passed = grouped.where("asn IS NOT NULL AND ips >= 3 AND attack >= 1 AND paths >= 2")
-        cohesion = metrics.subnet_cohesion(context.rows).withColumnRenamed("subnet", "key")
+        passed = written(grouped.where("asn IS NOT NULL AND ips >= 3 AND attack >= 1 AND paths >= 2"), "subnets-passed")
+        some = context.rows.withColumn("key", subnet24(F.col("ip"))).join(passed.select("epoch", "key", "asn"), ["epoch", "key", "asn"], "left_semi").drop("key")
+        cohesion = metrics.subnet_cohesion(some).withColumnRenamed("subnet", "key")
         found = passed.join(cohesion, ["epoch", "asn", "key"], "left").withColumn("cohesion", F.coalesce("cohesion", F.lit(0.0)))
         size, alike, broad = sigmoid((F.col("ips") - 5) / 2), sigmoid((F.col("cohesion") - 0.4) / 0.12), sigmoid((F.col("attack") - 8) / 5)
         return _groups(
@@ -86,7 +96,7 @@ class FingerprintCluster:
     tags = ("coordinated_scan", "volume_anomaly")
 
     def _members(self, context: Context) -> tuple[DataFrame, DataFrame]:
-        prints = metrics.fingerprints(context.rows)
+        prints = context.once("fingerprints", metrics.fingerprints)
         best = metrics.dominant_clusters(prints)
         return best, prints.join(best, ["epoch", "asn", "fingerprint"]).select("epoch", "asn", "ip")
 
@@ -97,7 +107,7 @@ class FingerprintCluster:
 
     def scored(self, context: Context, fired: dict[str, DataFrame]) -> DataFrame:
         best, members = self._members(context)
-        rotation = members.join(metrics.per_ip(context.rows).select("epoch", "ip", "ua_diversity"), ["epoch", "ip"]).groupBy("epoch", "asn").agg(F.avg("ua_diversity").alias("rotation"))
+        rotation = members.join(context.once("per-ip", metrics.per_ip).select("epoch", "ip", "ua_diversity"), ["epoch", "ip"]).groupBy("epoch", "asn").agg(F.avg("ua_diversity").alias("rotation"))
         ends = context.rows.select("epoch", "end_ms").distinct()
         found = best.where("ip_count >= 3 AND path_union_size >= 2").join(rotation, ["epoch", "asn"]).join(ends, "epoch").withColumn("key", F.col("asn"))
         turns, size, broad = sigmoid((F.col("rotation") - 0.8) / 0.1), sigmoid((F.col("ip_count") - 5) / 2), sigmoid((F.col("path_union_size") - 20) / 10)
@@ -145,7 +155,7 @@ class SingleBurst:
             networks = m.where("scope_type = 'asn' AND marker_name = 'seen_in_tor_distributed_scan'")
             groups = groups.join(subnets, (F.col("subnet") == F.col("scope_value")) & (F.col("expires_ms") > F.col("end_ms")), "left_anti")
             groups = groups.join(networks, (F.col("asn").cast("string") == F.col("scope_value")) & (F.col("expires_ms") > F.col("end_ms")), "left_anti")
-        found = groups.join(metrics.per_ip(context.rows).withColumnRenamed("ip", "key"), ["epoch", "key"])
+        found = groups.join(context.once("per-ip", metrics.per_ip).withColumnRenamed("ip", "key"), ["epoch", "key"])
         volume, diversity = sigmoid((F.col("volume") - 100) / 50), sigmoid((F.col("unique_paths") - 80) / 40)
         burst = F.when(F.col("burst_sec") < 60, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), 1 - (F.col("burst_sec") - 60) / 540))
         days = F.when(F.col("burst_sec") == float("inf"), F.lit(0.0)).otherwise(F.col("burst_sec") / 86_400)

@@ -13,10 +13,10 @@ from ..functions import scalars
 from ..operators import campaigns, enrich, epochs, metrics, mining
 from ..operators.classify import classify, scan, url_signals
 from ..operators.strategies import STRATEGIES
-from ..sources import requests
+from ..sources import requests, sinks
 from .detect import context_of, detect
 from .oracles import Oracles
-from .settings import MIN_CONFIDENCE, PROPOSALS, SINCE_ID, SLIDE_STEP_MS, SLIDE_WINDOW_MS, WINDOW_MS
+from .settings import KNOWN_ASN, MIN_CONFIDENCE, PAGE_ENDS, PROPOSALS, SIBLING, SINCE_ID, SLIDE_STEP_MS, SLIDE_WINDOW_MS, WINDOW_MS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -34,6 +34,11 @@ def _context(spark: SparkSession, sf_dir: str):
     return context_of(requests.derived(spark, sf_dir), WINDOW_MS, WINDOW_MS)
 
 
+def _text(name: str, sep: str = "|"):
+    """A list column as one text, so that a comparison covers its members and their order."""
+    return F.concat_ws(sep, F.col(name).cast("array<string>")).alias(name)
+
+
 def _rounded(rows: DataFrame, *names: str, digits: int = 6) -> DataFrame:
     return rows.withColumns({n: F.round(n, digits) for n in names})
 
@@ -72,7 +77,10 @@ def body_threats_documents(spark, sf_dir):
 
 @query
 def url_threats_pages(spark, sf_dir):
-    return _hit_counts(spark.read.parquet(f"{sf_dir}/pages.parquet"), scan("url", load().paths, "path"), "pages")
+    """Page addresses, with suspicious ends by the page's number."""
+    end = F.element_at(F.array(*map(F.lit, PAGE_ENDS)), (F.pmod("page_id", F.lit(len(PAGE_ENDS))) + 1).cast("int"))
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").withColumn("url", F.concat("url", end))
+    return _hit_counts(pages, scan("url", load().paths, "path"), "pages")
 
 
 @query
@@ -89,18 +97,20 @@ def bot_user_agents(spark, sf_dir):
 
 @query
 def ip_type(spark, sf_dir):
-    return enrich.with_ip_type(requests.derived(spark, sf_dir)).groupBy("asn", "ip_type").agg(F.count("*").alias("requests"))
+    return enrich.with_ip_type(requests.derived(spark, sf_dir), org="org").groupBy("asn", "org", "ip_type").agg(F.count("*").alias("requests"))
 
 
 @query
 def ip_type_unknown_triage(spark, sf_dir):
-    return mining.unknown_networks(enrich.with_ip_type(requests.derived(spark, sf_dir)))
+    return mining.unknown_networks(enrich.with_ip_type(requests.derived(spark, sf_dir), org="org"))
 
 
 @query
 def tor_flag(spark, sf_dir):
+    """Against a list of some addresses by their last part, with blanks around and repeats."""
     rows = requests.derived(spark, sf_dir)
-    return enrich.with_tor_flag(rows, rows.where("is_tor").select("ip")).groupBy("ip", "is_tor").agg(F.count("*").alias("requests"))
+    exits = rows.where("ip LIKE '192.42.116.%' AND CAST(substring_index(ip, '.', -1) AS INT) % 3 = 0").select(F.trim(F.concat(F.lit(" "), "ip")).alias("ip"))
+    return enrich.with_tor_flag(rows, exits).groupBy("ip", "is_tor").agg(F.count("*").alias("requests"))
 
 
 @query
@@ -117,7 +127,9 @@ def forwarding_chain(spark, sf_dir):
 
 @query
 def redaction(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", scalars.redacted(F.col("props"), "^K$").alias("props"))
+    body = F.format_string('{"user":{"PassWord":"p%d","id":%d},"list":[{"token":[1,2]},{"note":"%s"}],"k":null}', "event_id", "user_id", "event_type")
+    body = F.when(F.col("event_id") % 3 == 0, F.col("event_type")).otherwise(body)
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", scalars.redacted(body).alias("body"))
 
 
 @query
@@ -216,9 +228,20 @@ def _detected(spark, sf_dir):
 @query
 def candidates_all(spark, sf_dir):
     found = _rounded(_detected(spark, sf_dir).candidates, "confidence")
-    counts = {"n_ips": F.size("contributing_ips"), "n_paths": F.size("sample_paths_probed"), "n_agents": F.size("sample_user_agents")}
-    found = found.withColumns({k: v.cast("long") for k, v in counts.items()}).withColumn("first_path", F.element_at("sample_paths_probed", 1))
-    return found.select("strategy_id", "epoch", "identifier", "confidence", "campaign_threat_level", "first_seen", "last_seen", "request_count", *counts, "first_path")
+    lists = ("sample_paths_probed", "sample_user_agents", "contributing_ips", "related_strategy_tags")
+    return found.select("strategy_id", "epoch", "identifier", "confidence", "campaign_threat_level", "campaign_type", "first_seen", "last_seen", "request_count", *map(_text, lists))
+
+
+@query
+def candidate_report(spark, sf_dir):
+    return _rounded(sinks.report(_detected(spark, sf_dir).candidates), "confidence").select("identifier", "epoch", "confidence", "outcome", F.col("times_fired").cast("long").alias("times_fired"))
+
+
+@query
+def known_answer_replay(spark, sf_dir):
+    """Whether the network known for a cluster of equal route sets still shows one of three addresses or more."""
+    found = metrics.dominant_clusters(metrics.fingerprints(_context(spark, sf_dir).rows)).where(F.col("asn") == KNOWN_ASN)
+    return found.select("epoch", "ip_count", "path_union_size", (F.col("ip_count") >= 3).alias("as_expected"))
 
 
 @query
@@ -240,13 +263,15 @@ def evidence_history(spark, sf_dir):
 
 @query
 def uncaught_shapes(spark, sf_dir):
-    return mining.uncaught_shapes(_classified(spark, sf_dir)).select("method", "full_url", "count", "ip_count", F.concat_ws(",", F.col("sample_ids").cast("array<string>")).alias("sample_ids"))
+    lists = ("sample_ids", "user_agents", "ips", "status_codes", "stored_levels", "request_bodies")
+    return mining.uncaught_shapes(_classified(spark, sf_dir)).select("method", "full_url", "count", "ip_count", *map(_text, lists))
 
 
 def _clusters(kind: str):
     def run(spark, sf_dir):
         found = mining.clusters(_classified(spark, sf_dir), kind)
-        return found.withColumn("methods", F.concat_ws(",", "methods")).drop("top_paths", "ips", "user_agents", "asns")
+        lists = ("methods", "top_paths", "ips", "user_agents", "asns", "orgs")
+        return found.select(*[_text(c) if c in lists else F.col(c) for c in found.columns])
 
     return run
 
@@ -284,10 +309,11 @@ def catalog_campaigns(spark, sf_dir):
 
 @query
 def catalog_coverage(spark, sf_dir):
-    """Strategies whose campaign type is not in the catalog: none."""
-    types = spark.createDataFrame([(s.strategy_id, s.campaign_type) for s in STRATEGIES], "strategy_id string, campaign_type string")
-    known = catalog_campaigns(spark, sf_dir).select(F.col("campaign_id").alias("campaign_type"))
-    return types.join(known, "campaign_type", "left_anti")
+    """Whether the campaign type of each strategy, and the known sibling, is in the catalog."""
+    types = [(s.strategy_id, s.campaign_type) for s in STRATEGIES] + [("sibling", SIBLING)]
+    known = catalog_campaigns(spark, sf_dir).select(F.col("campaign_id").alias("campaign_type"), F.lit(True).alias("found"))
+    rows = spark.createDataFrame(types, "strategy_id string, campaign_type string").join(known, "campaign_type", "left")
+    return rows.select("campaign_type", "strategy_id", F.coalesce("found", F.lit(False)).alias("catalogued"))
 
 
 @lru_cache(maxsize=1)

@@ -11,3 +11,7 @@ PROPOSALS = [
     {"name": "root", "pattern": "^/$", "flags": "", "target": "PATH_THREATS"},
     {"name": "union", "pattern": r"union\s+select", "target": "BODY_THREATS"},
 ]
+#: The network and the campaign type that the catalog's checks name.
+KNOWN_ASN = 396982
+SIBLING = "rotating-ua-env-sweep"
+PAGE_ENDS = ["", "/.ssh/id", "/vendor/phpunit/x", "/security.txt", "/plain"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,12 +29,16 @@ SELECT event_id AS id, ts AS created_at,
     WHEN 3 THEN CASE k % 4 WHEN 0 THEN '/' WHEN 1 THEN '/favicon.ico' WHEN 2 THEN '/api/inventory?category=potions' ELSE '/search?q=1 UNION SELECT 1' END
     ELSE '/.env'
   END AS full_url,
-  CASE event_type WHEN 'signup' THEN 'POST' WHEN 'error' THEN 'PROPFIND' ELSE 'GET' END AS method,
+  CASE WHEN k = 41 THEN 'GET<script>' WHEN event_type = 'signup' THEN 'POST' WHEN event_type = 'error' THEN 'PROPFIND' ELSE 'GET' END AS method,
   CASE WHEN k % 17 = 0 THEN NULL
        WHEN u % 5 = 0 THEN concat('ua-', CAST(event_id AS STRING))
        WHEN u % 13 = 0 THEN 'libredtail-http'
        ELSE 'Mozilla/5.0 (X11; Linux x86_64) Chrome/120.0' END AS user_agent,
-  CASE u % 5 WHEN 0 THEN 396982 WHEN 1 THEN 204428 WHEN 2 THEN 51396 WHEN 3 THEN 7922 ELSE NULL END AS asn,
+  CASE u % 5 WHEN 0 THEN 396982 WHEN 1 THEN 204428 WHEN 2 THEN 51396 WHEN 3 THEN 7922 ELSE CASE WHEN k % 9 = 2 THEN 64500 ELSE NULL END END AS asn,
+  CASE WHEN k % 9 = 2 THEN CASE WHEN u % 5 = 4 AND k % 2 = 0 THEN 'Quiet Valley University' ELSE 'Hill Side' END WHEN u % 5 = 0 THEN 'Example Cloud' ELSE NULL END AS org,
+  CASE WHEN event_type <> 'signup' THEN NULL WHEN k % 5 = 0 THEN '{"q":"1 UNION SELECT name FROM users"}' WHEN k % 5 = 1 THEN '{}' WHEN k % 5 = 2 THEN 'UNION SELECT' WHEN k % 5 = 3 THEN '[{"note":"<script>"}]' ELSE '{"note":"hello"}' END AS request_body,
+  CASE WHEN k % 4 = 0 THEN 404 WHEN k % 4 = 1 THEN 403 ELSE 200 END AS status_code,
+  CASE WHEN k % 6 = 0 THEN 'low' ELSE 'none' END AS stored_level,
   (u % 5 = 4 AND g % 2 = 1) AS is_tor
 FROM (SELECT event_id, ts, user_id AS u, event_type,
              CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k, CAST(floor(user_id / 5) AS INT) AS g
@@ -49,7 +54,8 @@ _DUMP = re.compile(r"logs_requests_\d{12}\.json$")
 
 def derived(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The derived log with ``route`` (the URL as it is, as in imported logs)."""
-    rows = spark.sql(DERIVED_SQL, events=spark.read.parquet(f"{sf_dir}/events.parquet"))
+    text = DERIVED_SQL.replace("{", "{{").replace("}", "}}").replace("{{events}}", "{events}")  # only this one is a place to fill
+    rows = spark.sql(text, events=spark.read.parquet(f"{sf_dir}/events.parquet"))
     return rows.withColumn("route", F.col("full_url"))
 
 
@@ -130,9 +136,14 @@ def latest_dump(spark: SparkSession, folder: str) -> str:
 
 
 def read_dump(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of a JSON dump ``{"logs_requests": [...]}``. Locations are text in it; malformed ones become null."""
+    """Rows of a JSON dump ``{"logs_requests": [...]}``. Locations are text in it; malformed ones become null.
+
+    An object that spans lines is read by one task, however large. Where each line is an object of its own, as
+    :func:`gatewatch.sources.sinks.write_dump` writes them, all tasks read.
+    """
     kind = f"logs_requests array<struct<{_DUMPED.replace(' ', ':').replace(',:', ', ')}>>"
-    table = spark.read.schema(kind).option("multiLine", True).json(path)
+    start = spark.read.text(path).where("trim(value) <> ''").first()
+    table = spark.read.schema(kind).option("multiLine", start is None or not start.value.rstrip().endswith("]}")).json(path)
     if table.where("logs_requests IS NULL").limit(1).count():
         raise ValueError("the dump has no list of requests")
     rows = table.select(F.explode("logs_requests").alias("r")).select("r.*")
@@ -140,6 +151,11 @@ def read_dump(spark: SparkSession, path: str) -> DataFrame:
     return located.withColumn("asn", F.col("ip_location.asn"))
 
 
+def dump_name(at: datetime) -> str:
+    """The name by which :func:`latest_dump` finds a dump."""
+    return f"logs_requests_{at:%Y%m%d%H%M}.json"
+
+
 def max_id(rows: DataFrame) -> int:
     found = rows.agg(F.max("id")).first()[0]
     if found is None:

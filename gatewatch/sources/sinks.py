@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -11,22 +11,58 @@ def append_requests(rows: DataFrame, path: str) -> None:
     rows.withColumn("day", F.to_date("created_at")).write.mode("append").partitionBy("day").parquet(path)
 
 
+#: Requests in one object of a dump.
+DUMP_ROWS = 1_000
+
+
 def write_dump(rows: DataFrame, path: str) -> None:
-    """JSON lines with nested columns as text and times as ISO strings."""
+    """A folder of JSON lines ``{"logs_requests": [...]}`` that ``read_dump`` takes back.
+
+    Nested columns are text and times ISO strings. A line holds ``DUMP_ROWS`` rows at most.
+    """
     nested = [f.name for f in rows.schema.fields if f.dataType.typeName() in ("struct", "array", "map")]
     iso = F.date_format(F.col("created_at").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
-    rows.withColumns({**{c: F.to_json(c) for c in nested}, "created_at": iso}).write.mode("overwrite").json(path)
+    flat = rows.withColumns({**{c: F.to_json(c) for c in nested}, "created_at": iso})
+    arrived = F.monotonically_increasing_id()
+    chunks = flat.select(F.struct(arrived.alias("at"), F.struct(*flat.columns).alias("row")).alias("x")).groupBy(F.floor(F.col("x.at") / DUMP_ROWS).alias("chunk"))
+    lists = chunks.agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["row"]).alias("logs_requests"))
+    lists.select("logs_requests").write.mode("overwrite").json(path)
 
 
 def write_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
-def rendered(candidates: DataFrame) -> DataFrame:
-    """Lines of a report, the most confident first."""
+def report(candidates: DataFrame) -> DataFrame:
+    """Fires as a report shows them: with ``times_fired`` (of the identifier so far) and ``outcome``, most confident first."""
+    so_far = F.row_number().over(Window.partitionBy("identifier").orderBy("epoch"))
+    rows = candidates.withColumn("times_fired", so_far)
+    outcome = F.when(F.col("times_fired") > 1, "updated").otherwise("inserted")
+    return rows.withColumn("outcome", outcome).orderBy(F.col("confidence").desc(), "identifier", "epoch")
+
+
+def report_lines(candidates: DataFrame, form: str = "table") -> DataFrame:
+    """The report's text in ``line``: a paragraph a fire, or with ``form`` ``jsonl`` one JSON object a line."""
+    rows = report(candidates)
+    if form == "jsonl":
+        return rows.select("confidence", F.to_json(F.struct(*rows.columns)).alias("line"))
+    if form != "table":
+        raise ValueError("a report is a table or jsonl")
+    shown = lambda v: F.when(v.rlike(r"^-?\d+\.\d+(E-?\d+)?$"), F.format_string("%.3f", v.cast("double"))).otherwise(v)
+    pairs = F.map_entries(F.from_json("evidence", "map<string,string>"))
+    facts = F.array_join(F.transform(pairs, lambda e: F.concat(e["key"], F.lit("="), shown(e["value"]))), " ")
+    head = F.format_string("%.3f  %s", "confidence", "identifier")
+    again = F.format_string("%s  (re-fire #%d)", head, "times_fired")
+    span = F.concat_ws(" -> ", *[F.date_format(F.col(c).cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'") for c in ("first_seen", "last_seen")])
+    paths = F.concat(F.lit("paths: "), F.array_join(F.slice("sample_paths_probed", 1, 3), ", "))
+    return rows.select("confidence", F.when(F.col("outcome") == "updated", again).otherwise(F.concat_ws("\n        ", head, facts, span, paths)).alias("line"))
+
+
+def rendered(campaigns: DataFrame) -> DataFrame:
+    """Lines of campaign records, the most confident first."""
     again = F.when(F.col("times_fired") > 1, F.concat(F.lit(" (re-fire #"), (F.col("times_fired") - 1).cast("string"), F.lit(")"))).otherwise("")
     line = F.concat(F.format_string("%.3f ", F.col("confidence")), F.rpad("campaign_threat_level", 7, " "), "identifier", again)
-    return candidates.select("confidence", "identifier", line.alias("line")).orderBy(F.col("confidence").desc(), "identifier")
+    return campaigns.select("confidence", "identifier", line.alias("line")).orderBy(F.col("confidence").desc(), "identifier")
 
 
 def dry_run(rows: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -9,14 +9,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Most rows of a lookup that are broadcast; larger ones join by shuffle.
-BROADCAST_ROWS = 100_000
+#: Most bytes (as JSON text) of a lookup that is broadcast; larger ones join by shuffle.
+BROADCAST_BYTES = 32 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a local one only where the setting is absent."""
+    """The shared folder of ``spark.checkpoint.dir``; a local one only where it is unset and all tasks run in this process."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if not known:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         known = tempfile.mkdtemp(prefix="scratch-")
         spark.conf.set("spark.checkpoint.dir", known)
     return known.rstrip("/")
@@ -32,17 +34,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks ``df`` for broadcast if its counted ``rows`` are within ``max_rows``."""
-    return F.broadcast(df) if rows <= max_rows else df
+def small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Marks ``df``, a written table, for broadcast if the texts of its rows have at most ``max_bytes``."""
+    held = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("b")).first()["b"] or 0
+    return F.broadcast(df) if held <= max_bytes else df
 
 
 def per_distinct(rows: DataFrame, key: str, enrich: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``rows`` with the columns that ``enrich`` adds to each distinct value of ``key`` (null included).
 
-    Costly expressions thus run once per value. The values come back by broadcast if they are few, else by a
+    Costly expressions thus run once per value. The values come back by broadcast if they are small, else by a
     shuffle join, whose skewed keys Spark splits.
     """
     found = written(enrich(rows.select(key).distinct()), f"distinct-{key}")
-    found = small(found, found.count()).withColumnRenamed(key, "__key")
+    found = small(found).withColumnRenamed(key, "__key")
     return rows.join(found, rows[key].eqNullSafe(found["__key"]), "left").drop("__key")

@@ -1,7 +1,10 @@
 """Scenarios of small request logs."""
 
 import datetime as dt
+import itertools
 import json
+import math
+import re
 
 import pytest
 from gatewatch import catalogs
@@ -9,10 +12,24 @@ from gatewatch.operators import campaigns, epochs, metrics
 from gatewatch.operators.classify import add_rate_limits, check_addresses, classify, is_attack_path, path_severity
 from gatewatch.operators.strategies import STRATEGIES, FingerprintCluster, SingleBurst, SubnetOverlap, ToolReputation
 from gatewatch.plans.detect import context_of, detect
+from gatewatch.sources import sinks
 from pyspark.sql import functions as F
 
-T0 = dt.datetime(2026, 6, 12, 3)
-POOL = ["/.env", "/.env.local", "/.env.production", "/.git/config", "/.aws/credentials", "/.ssh/id_rsa", "/wp-config.php", "/phpinfo.php", "/config.php", "/backup.sql", "/admin/.env", "/api/.env", "/staging/.env", "/laravel/.env", "/server/.env", "/actuator/env", "/actuator/heapdump", "/.svn/entries", "/.DS_Store", "/credentials.json", "/.env.dev", "/.env.staging", "/.env.bak", "/database.yml", "/secrets.yml"]
+T0 = dt.datetime(2025, 2, 3, 7)
+START = int(T0.replace(tzinfo=dt.UTC).timestamp() * 1000)
+
+
+def catalog_routes(most: int) -> list[str]:
+    """Routes from those path patterns of the catalog that are plain text."""
+    plain = [p.pattern.replace("\\", "") for p in catalogs.load().paths if re.fullmatch(r"(\\[/.]|[\w/-])+", p.pattern)]
+    return [r if r.startswith("/") else f"/{r}" for r in plain][:most]
+
+
+ROUTES = catalog_routes(30)
+
+
+def sigmoid(x: float) -> float:
+    return 1 / (1 + math.exp(-x))
 
 
 def log(spark, rows):
@@ -20,7 +37,7 @@ def log(spark, rows):
     full = []
     for k, (ip, route, at, *more) in enumerate(rows):
         extra = more[0] if more else {}
-        full.append((k + 1, ip, route, route, extra.get("method", "GET"), extra.get("ua", "ua"), T0 + dt.timedelta(seconds=at), extra.get("asn", 396982), extra.get("tor", False), extra.get("body")))
+        full.append((k + 1, ip, route, route, extra.get("method", "GET"), extra.get("ua", "ua"), T0 + dt.timedelta(seconds=at), extra.get("asn", 64500), extra.get("tor", False), extra.get("body")))
     return spark.createDataFrame(full, "id long, ip string, route string, full_url string, method string, user_agent string, created_at timestamp, asn int, is_tor boolean, request_body string")
 
 
@@ -29,10 +46,16 @@ def scored(spark, strategy, rows, markers=None):
     return {r.key: (r.confidence, json.loads(r.evidence), r.identifier) for r in strategy.scored(context, {}).collect()}, context
 
 
-def test_attack_pool(spark):
-    df = spark.createDataFrame([(p,) for p in [*POOL, "/", "/favicon.ico"]], "p string")
-    rows = df.select("p", is_attack_path(F.col("p"), catalogs.load()).alias("a"), path_severity(F.col("p"), catalogs.load()).alias("s")).collect()
-    assert [r.a for r in rows] == [True] * 25 + [False] * 2 and rows[0].s == "high" and rows[-1].s == "none"
+def test_routes_of_the_catalog(spark):
+    paths = catalogs.load().paths
+    rank = {"low": 1, "medium": 2, "high": 3}
+    calm = ["/", "/about-us", "/img/cat.png"]
+    df = spark.createDataFrame([(r,) for r in ROUTES + calm], "p string")
+    got = {r.p: (r.a, r.s) for r in df.select("p", is_attack_path(F.col("p"), catalogs.load()).alias("a"), path_severity(F.col("p"), catalogs.load()).alias("s")).collect()}
+    for route in ROUTES:
+        hits = [p.severity for p in paths if re.search(p.pattern, route, re.I if p.ignore_case else 0)]
+        assert got[route] == (True, max(hits, key=rank.get))
+    assert all(got[r] == (False, "none") for r in calm) and len(ROUTES) == 30
 
 
 def test_classification(spark):
@@ -47,75 +70,121 @@ def test_classification(spark):
     assert last.threat_level == "medium" and last.threat_details[0].description == "burst rate limit exceeded (9/5)"
 
 
-def test_metrics(spark):
-    rows = [("10.0.0.1", "/.env", k, {"ua": f"u{k}" if k else None}) for k in range(4)] + [("10.0.0.2", "/.env", k) for k in range(4)] + [("10.0.0.3", "/x", 0, {"method": "TRACE"})]
-    m = {r.ip: r for r in metrics.per_ip(context_of(log(spark, rows)).rows).collect()}
-    assert (m["10.0.0.1"].ua_diversity, m["10.0.0.2"].ua_diversity, m["10.0.0.3"].burst_sec, m["10.0.0.1"].burst_sec) == (1.0, 0.25, float("inf"), 3.0)
-    ten = [(f"20.0.{k}.1", p, 10 * k + j) for k in range(3) for j, p in enumerate(["/.env", "/.git/config"])] + [(f"30.0.0.{k}", "/.env.bak", 100 + k) for k in range(5)]
-    (best,) = metrics.dominant_clusters(metrics.fingerprints(context_of(log(spark, ten)).rows)).collect()
-    assert (best.ip_count, best.path_union_size) == (3, 2)
-    only = [(f"30.0.0.{k}", "/.env.bak", k) for k in range(3)]
-    assert metrics.dominant_clusters(metrics.fingerprints(context_of(log(spark, only)).rows)).count() == 0
-    pair = [("40.0.0.1", "/.env", 0), ("40.0.0.1", "/.git/config", 1), ("40.0.0.2", "/.env", 2), ("40.0.0.3", "/x", 3, {"method": "TRACE"}), ("40.0.0.4", "/.env", 4, {"tor": True})]
-    (cohesion,) = metrics.subnet_cohesion(context_of(log(spark, pair)).rows).collect()
-    assert cohesion.cohesion == pytest.approx(0.5 / 3)
+def test_agents_and_bursts_of_an_address(spark):
+    """A missing agent is one more agent; the burst is the time from first to last."""
+    cases = {"198.51.100.4": (6, 6), "198.51.100.5": (6, 2), "198.51.100.6": (5, 1)}
+    rows = [(ip, ROUTES[k % 3], 7 * k, {"ua": f"u{k % agents}" if k % agents else None}) for ip, (requests, agents) in cases.items() for k in range(requests)]
+    m = {r.ip: r for r in metrics.per_ip(context_of(log(spark, [*rows, ("198.51.100.7", ROUTES[0], 3)])).rows).collect()}
+    for ip, (requests, agents) in cases.items():
+        assert (m[ip].volume, m[ip].unique_paths, m[ip].burst_sec) == (requests, min(3, requests), 7.0 * (requests - 1))
+        assert m[ip].ua_diversity == pytest.approx(agents / requests)
+    assert m["198.51.100.7"].burst_sec == float("inf")
+
+
+def test_dominant_cluster_is_the_largest_of_two_routes_or_more(spark):
+    wide = [(f"198.51.{k}.9", r, 100 + 10 * k + j) for k in range(4) for j, r in enumerate(ROUTES[:3])]
+    early = [(f"203.0.{k}.9", r, 10 * k + j) for k in range(4) for j, r in enumerate(ROUTES[3:5])]
+    single = [(f"192.0.2.{k}", ROUTES[9], 200 + k) for k in range(9)]
+    best = lambda rows: [(r.ip_count, r.path_union_size) for r in metrics.dominant_clusters(metrics.fingerprints(context_of(log(spark, rows)).rows)).collect()]
+    assert best(wide + single) == [(4, 3)] and best(wide + early + single) == [(4, 2)] and best(single) == []  # of equal ones the first seen
+
+
+def test_cohesion_is_the_mean_likeness_of_all_pairs(spark):
+    sets = [ROUTES[:2], ROUTES[:3], ROUTES[1:2], []]
+    rows = [(f"203.0.113.{k}", r, 10 * k + j) for k, some in enumerate(sets) for j, r in enumerate(some)] + [("203.0.113.3", "/calm", 90, {"method": "TRACE"}), ("203.0.113.77", ROUTES[0], 95, {"tor": True})]
+    pairs = [len(set(x) & set(y)) / len(set(x) | set(y)) for x, y in itertools.combinations(sets, 2)]
+    (got,) = metrics.subnet_cohesion(context_of(log(spark, rows)).rows).collect()
+    assert got.cohesion == pytest.approx(sum(pairs) / len(pairs))
 
 
 def test_subnet_overlap(spark):
-    census = [(f"69.5.169.{k}", "/onvif/device_service", k) for k in range(4)]
-    spray = [(f"70.0.0.{k}", POOL[4 * k + j], 100 + k) for k in range(6) for j in range(4)]
-    alike = [(f"71.0.0.{k}", p, 200 + k) for k in range(4) for p in POOL[:5]]
-    tor = [(f"72.0.0.{k}", p, 300, {"tor": True}) for k in range(5) for p in POOL[:5]]
-    got, _ = scored(spark, SubnetOverlap(), census + spray + alike + tor)
-    assert set(got) == {"70.0.0.0/24", "71.0.0.0/24"} and got["70.0.0.0/24"][0] >= 0.55
-    assert got["71.0.0.0/24"][1]["cohesion"] == 1.0 and got["71.0.0.0/24"][2] == "subnet-fingerprint-overlap|subnet=71.0.0.0/24"
-    none, _ = scored(spark, SubnetOverlap(), [(ip, p, at, {"asn": None if at == 200 else 5}) for ip, p, at in alike])
-    assert none == {}
+    """/24s of some widths whose addresses all probe five routes, share out routes by three, or probe one."""
+    spreads = {"same": lambda k: ROUTES[:5], "shared out": lambda k: [ROUTES[(3 * k + j) % 30] for j in range(3)], "one each": lambda k: ROUTES[:1]}
+    cases = {f"10.7.{n}": (width, routes) for n, (width, routes) in enumerate(itertools.product((3, 7, 20), spreads.values()))}
+    probes = [(net, k, j, r) for net, (width, routes) in cases.items() for k in range(width) for j, r in enumerate(routes(k))]
+    rows = [(f"{net}.{k + 1}", r, 10 * k + j) for net, k, j, r in probes]
+    rows += [(f"{net}.{k + 1}".replace("10.7", "10.8"), r, 10 * k + j, {"tor": True}) for net, k, j, r in probes]
+    rows += [(f"{net}.{k + 1}".replace("10.7", "10.9"), r, 10 * k + j, {"asn": None}) for net, k, j, r in probes]
+    got, _ = scored(spark, SubnetOverlap(), rows)
+    for net, (width, routes) in cases.items():
+        union = {r for k in range(width) for r in routes(k)}
+        if len(union) < 2:
+            continue
+        sets = [set(routes(k)) for k in range(width)]
+        likeness = [len(x & y) / len(x | y) for x, y in itertools.combinations(sets, 2)]
+        cohesion = sum(likeness) / len(likeness)
+        want = 0.4 * sigmoid((width - 5) / 2) + 0.6 * max(sigmoid((cohesion - 0.4) / 0.12), sigmoid((len(union) - 8) / 5))
+        confidence, evidence, identifier = got.pop(f"{net}.0/24")
+        assert confidence == pytest.approx(want) and evidence["cohesion"] == pytest.approx(cohesion)
+        assert (evidence["distinctIpsInSubnet"], evidence["attackPathCount"], identifier) == (width, len(union), f"subnet-fingerprint-overlap|subnet={net}.0/24")
+    assert got == {}
 
 
 def test_fingerprint_cluster(spark):
-    ips, paths = ["34.150.99.95", "34.6.141.86", "8.235.68.101"], ["/.env", "/.git/config", "/phpinfo.php"]
-    rows = [(ip, p, 10 * i + j, {"ua": f"u{i}{j}"}) for i, ip in enumerate(ips) for j, p in enumerate(paths)] + [("9.9.9.9", "/.env", 99)]
+    """Networks of addresses in different subnets with the same routes, each with some agents; one address goes elsewhere."""
+    cases = {64501: (2, 4, 9), 64502: (3, 2, 1), 64503: (6, 4, 9), 64504: (12, 25, 2)}
+    rows = [(f"{n - 64400}.51.{k}.20", r, 40 * k + j, {"ua": f"a{k}-{j % agents}", "asn": n}) for n, (width, depth, agents) in cases.items() for k in range(width) for j, r in enumerate(ROUTES[:depth])]
+    rows += [(f"203.0.113.{k}", ROUTES[29], 5, {"asn": n}) for k, n in enumerate(cases)]
     got, context = scored(spark, FingerprintCluster(), rows)
-    confidence, evidence, identifier = got["396982"]
-    assert 0.5 < confidence < 0.65 and (evidence["ipCount"], evidence["pathUnionSize"]) == (3, 3) and identifier.endswith(evidence["fingerprint"])
-    assert {r.ip for r in FingerprintCluster().observed(context).collect()} == set(ips)
-    assert scored(spark, FingerprintCluster(), rows[:6])[0] == {}
+    members = {r.ip for r in FingerprintCluster().observed(context).collect()}
+    for n, (width, depth, agents) in cases.items():
+        assert members >= {f"{n - 64400}.51.{k}.20" for k in range(width)}
+        if width < 3:
+            continue
+        want = 0.5 * sigmoid((min(agents, depth) / depth - 0.8) / 0.1) + 0.3 * sigmoid((width - 5) / 2) + 0.2 * sigmoid((depth - 20) / 10)
+        confidence, evidence, identifier = got.pop(str(n))
+        assert confidence == pytest.approx(want) and (evidence["ipCount"], evidence["pathUnionSize"]) == (width, depth) and identifier.endswith(evidence["fingerprint"])
+    assert got == {} and not any(ip.startswith("203.") for ip in members)
 
 
 def test_tool_reputation(spark):
-    rows = [("1.1.1.1", "/", 0, {"ua": "libredtail-http"}), ("1.1.1.1", "/", 1, {"ua": "libredtail-http"}), ("2.2.2.2", "/", 2, {"ua": "Mozilla/5.0"}), ("3.3.3.3", "/", 3, {"ua": None})]
+    agents = ["libredtail-http", "Opera/9", None, "", "x libredtail-http y"]
+    rows = [(f"203.0.113.{k}", "/", 10 * k + j, {"ua": agent}) for k, agent in enumerate(agents) for j in range(k + 1)]
     got, _ = scored(spark, ToolReputation(), rows)
-    assert got == {"1.1.1.1": (0.5, {"matchedUas": ["libredtail-http"], "requestCount": 2}, "ua-reputation|ip=1.1.1.1")}
+    tools = [re.compile(p.pattern, re.I if p.ignore_case else 0) for p in catalogs.load().tools]
+    want = {f"203.0.113.{k}": {"matchedUas": [a], "requestCount": k + 1} for k, a in enumerate(agents) if a and any(t.search(a) for t in tools)}
+    assert {k: e for k, (_, e, _) in got.items()} == want and want and {c for c, _, _ in got.values()} == {0.5}
 
 
 def test_single_burst(spark):
-    day = 86_400
-    slow = [("80.94.95.211", f"/.env.{k}", k * 13 * day // 119) for k in range(120)]
-    fast = [("80.94.96.1", f"/.env.{k}", k // 4) for k in range(120)]
-    one = [("80.94.97.1", "/.env", 5)]
-    got, _ = scored(spark, SingleBurst(), slow + fast + one)
-    e = {k: v[1] for k, v in got.items()}
-    assert e["80.94.95.211"]["burstScore"] == 0 and e["80.94.95.211"]["persistenceScore"] > 0.8
-    assert e["80.94.96.1"]["burstScore"] == 1 and e["80.94.96.1"]["timeScore"] == 1
-    assert e["80.94.97.1"]["spanDays"] == 0 and e["80.94.97.1"]["persistenceScore"] < 0.1 and e["80.94.97.1"]["burstSec"] == "Infinity"
-    marks = spark.createDataFrame([("asn_subnet", "80.94.95.0/24", "seen_in_subnet_spray", 1 << 50), ("asn", "396982", "seen_in_tor_distributed_scan", 5)], "scope_type string, scope_value string, marker_name string, expires_ms long")
-    assert set(scored(spark, SingleBurst(), slow + fast, marks)[0]) == {"80.94.96.1"}
+    """So many requests to as many routes, evenly over a time."""
+    cases = {f"203.0.{k}.50": case for k, case in enumerate([(1, 0), (90, 20), (150, 300), (150, 20 * 86_400)])}
+    rows = [(ip, f"{ROUTES[k % 30]}/{k}", k * seconds // max(1, requests - 1)) for ip, (requests, seconds) in cases.items() for k in range(requests)]
+    got, _ = scored(spark, SingleBurst(), [*rows, ("2001:db8::1", ROUTES[0], 1)])
+    for ip, (requests, seconds) in cases.items():
+        confidence, evidence, _ = got.pop(ip)
+        burst = 0 if requests == 1 else 1 if seconds < 60 else max(0, 1 - (seconds - 60) / 540)
+        lasting = sigmoid(((0 if requests == 1 else seconds / 86_400) - 7) / 3)
+        want = 0.4 * sigmoid((requests - 100) / 50) + 0.4 * sigmoid((requests - 80) / 40) + 0.2 * max(burst, lasting)
+        assert confidence == pytest.approx(want) and (evidence["burstSec"] == "Infinity") == (requests == 1)
+        assert evidence["burstScore"] == pytest.approx(burst) and evidence["persistenceScore"] == pytest.approx(lasting) and evidence["timeScore"] == pytest.approx(max(burst, lasting))
+    assert got == {}
+
+
+def test_outside_markers_suppress_single_bursts(spark):
+    rows = [(ip, f"{ROUTES[k % 30]}/{k}", k) for ip in ("203.0.113.50", "198.51.100.50") for k in range(40)]
+    kinds = "scope_type string, scope_value string, marker_name string, expires_ms long"
+    for mark, left in [
+        (("asn_subnet", "203.0.113.0/24", "seen_in_subnet_spray", 1 << 50), {"198.51.100.50"}),
+        (("asn_subnet", "203.0.113.0/24", "seen_in_subnet_spray", 5), {"203.0.113.50", "198.51.100.50"}),
+        (("asn", "64500", "seen_in_tor_distributed_scan", 1 << 50), set()),
+    ]:
+        assert set(scored(spark, SingleBurst(), rows, spark.createDataFrame([mark], kinds))[0]) == left
 
 
 @pytest.mark.parametrize(("hours", "suppressed"), [(0, True), (7.9, True), (8.1, False)])
 def test_marker_hand_over(spark, hours, suppressed):
-    spray = [(f"70.0.0.{k}", POOL[4 * k + j], 0) for k in range(6) for j in range(4)]
-    burst = [("70.0.0.200", f"/.env.{k}", 60 + int(hours * 3600) + k // 3) for k in range(300)]
+    spray = [(f"203.0.113.{k}", ROUTES[3 * k + j], 0) for k in range(8) for j in range(3)]
+    burst = [("203.0.113.200", f"{ROUTES[k % 30]}/{k}", 60 + int(hours * 3600) + k // 3) for k in range(300)]
     minute = 60_000
-    found = detect(log(spark, spray + burst), window_ms=minute, step_ms=minute, from_ms=int(T0.replace(tzinfo=dt.UTC).timestamp() * 1000), to_ms=int(T0.replace(tzinfo=dt.UTC).timestamp() * 1000) + int(hours * 3_600_000) + 5 * minute, min_confidence=0.5)
+    found = detect(log(spark, spray + burst), window_ms=minute, step_ms=minute, from_ms=START, to_ms=START + int(hours * 3_600_000) + 5 * minute, min_confidence=0.5)
     keys = {r.identifier for r in found.fired.collect()}
-    assert "subnet-fingerprint-overlap|subnet=70.0.0.0/24" in keys and ("single-ip-burst|ip=70.0.0.200" in keys) != suppressed
+    assert "subnet-fingerprint-overlap|subnet=203.0.113.0/24" in keys and ("single-ip-burst|ip=203.0.113.200" in keys) != suppressed
 
 
 def test_epochs(spark):
     rows = log(spark, [("1.1.1.1", "/", 0), ("1.1.1.1", "/", 10), ("1.1.1.1", "/", 25)])
-    start = int(T0.replace(tzinfo=dt.UTC).timestamp() * 1000)
+    start = START
     assert epochs.scan_range(rows) == (start, start + 25_001)
     tumbling = epochs.epochs(spark, start, start + 25_001, 10_000, 10_000).collect()
     assert [(r.start_ms - start, r.end_ms - start) for r in tumbling] == [(0, 10_000), (10_000, 20_000), (20_000, 25_001)]
@@ -130,16 +199,28 @@ def test_epochs(spark):
 
 
 def test_candidates_and_report(spark):
-    rows = [(f"71.0.0.{k}", p, 10 * k + j, {"ua": f"agent{j % 7}"}) for k in range(4) for j, p in enumerate(POOL[:12])]
+    rows = [(f"198.51.100.{k}", p, 10 * k + j, {"ua": f"agent{j % 7}"}) for k in range(4) for j, p in enumerate(ROUTES[:12])]
     found = detect(log(spark, rows), only="subnet-fingerprint-overlap", min_confidence=0.1)
     (c,) = found.candidates.collect()
-    assert c.sample_paths_probed == POOL[:10] and c.sample_user_agents == [f"agent{k}" for k in range(5)] and c.contributing_ips == [f"71.0.0.{k}" for k in range(4)]
+    assert c.sample_paths_probed == ROUTES[:10] and c.sample_user_agents == [f"agent{k}" for k in range(5)] and c.contributing_ips == [f"198.51.100.{k}" for k in range(4)]
     assert c.first_seen == T0 and c.request_count == 48 and c.campaign_type in {x.campaign_id for x in catalogs.load().campaigns}
     assert {s.campaign_type for s in STRATEGIES} <= {x.campaign_id for x in catalogs.load().campaigns}
 
 
+def test_report(spark):
+    fires = candidate(spark, (0, 0.7, '{"score":0.25,"n":4}', 10, 45, ["x"]), (1, 0.9, '{"score":0.5,"n":5}', 50, 60, ["y"]))
+    first, second = [r.line for r in sinks.report_lines(fires).orderBy("confidence").collect()]
+    assert first.splitlines() == ["0.700  single-ip-burst|ip=192.0.2.31", "        score=0.250 n=4", "        2025-02-03T07:10:00.000Z -> 2025-02-03T07:45:00.000Z", "        paths: /.env"]
+    assert second == "0.900  single-ip-burst|ip=192.0.2.31  (re-fire #2)"
+    rows = [json.loads(r.line) for r in sinks.report_lines(fires, "jsonl").collect()]
+    assert [(r["confidence"], r["outcome"], r["times_fired"]) for r in rows] == [(0.9, "updated", 2), (0.7, "inserted", 1)]
+    assert sinks.rendered(campaigns.fold(fires)).first().line.endswith("(re-fire #1)")
+    with pytest.raises(ValueError):
+        sinks.report_lines(fires, "xml")
+
+
 def candidate(spark, *rows):
-    full = [("single-ip-burst", e, "single-ip-burst|ip=203.0.113.7", c, ev, "medium", "generic-burst", ["burst"], T0 + dt.timedelta(minutes=a), T0 + dt.timedelta(minutes=b), ["/.env"], ["ua"], ips) for e, c, ev, a, b, ips in rows]
+    full = [("single-ip-burst", e, "single-ip-burst|ip=192.0.2.31", c, ev, "medium", "some-campaign", ["tag"], T0 + dt.timedelta(minutes=a), T0 + dt.timedelta(minutes=b), ["/.env"], ["ua"], ips) for e, c, ev, a, b, ips in rows]
     return spark.createDataFrame(full, "strategy_id string, epoch int, identifier string, confidence double, evidence string, campaign_threat_level string, campaign_type string, related_strategy_tags array<string>, first_seen timestamp, last_seen timestamp, sample_paths_probed array<string>, sample_user_agents array<string>, contributing_ips array<string>")
 
 
@@ -157,15 +238,15 @@ def test_fold_and_upsert(spark):
     again = campaigns.upsert(closed, candidate(spark, (9, 0.5, "c", 90, 99, ["q"])))
     assert sorted((x.status, x.times_fired) for x in again.collect()) == [("active", 1), ("closed", 4)]
     other = campaigns.upsert(table, candidate(spark, (9, 0.5, "c", 90, 99, ["q"])), source="live")
-    assert sorted(x.source for x in other.collect()) == ["backtest", "live"] and campaigns.find_open(other, "single-ip-burst|ip=203.0.113.7").count() == 2
+    assert sorted(x.source for x in other.collect()) == ["backtest", "live"] and campaigns.find_open(other, "single-ip-burst|ip=192.0.2.31").count() == 2
     assert campaigns.by_status(again, "closed").count() == 1
 
 
 def test_live_detector_matches_batches(spark, tmp_path):
     from gatewatch.streaming.live import Detector
 
-    start, hour = int(T0.replace(tzinfo=dt.UTC).timestamp() * 1000), 3_600_000
-    rows = [(f"71.0.0.{k}", p, h * 3600 + 10 * k + j) for h in range(4) for k in range(6) for j, p in enumerate(POOL[: 8 + h])]
+    start, hour = START, 3_600_000
+    rows = [(f"198.51.100.{k}", p, h * 3600 + 10 * k + j) for h in range(4) for k in range(6) for j, p in enumerate(ROUTES[: 8 + h])]
     whole = log(spark, rows).drop("request_body")
     live = Detector(spark, str(tmp_path), start, hour, 0.3)
     cut = lambda a, b: whole.where((F.col("created_at") >= T0 + dt.timedelta(minutes=a)) & (F.col("created_at") < T0 + dt.timedelta(minutes=b)))
@@ -180,8 +261,8 @@ def test_live_detector_matches_batches(spark, tmp_path):
 def test_live_detector_waits_for_late_requests(spark, tmp_path):
     from gatewatch.streaming.live import Detector
 
-    start, hour = int(T0.replace(tzinfo=dt.UTC).timestamp() * 1000), 3_600_000
-    rows = [(f"71.0.0.{k}", p, h * 3600 + 10 * k + j) for h in range(4) for k in range(6) for j, p in enumerate(POOL[: 8 + h])]
+    start, hour = START, 3_600_000
+    rows = [(f"198.51.100.{k}", p, h * 3600 + 10 * k + j) for h in range(4) for k in range(6) for j, p in enumerate(ROUTES[: 8 + h])]
     whole = log(spark, rows).drop("request_body")
     second = F.col("created_at").cast("double") - start / 1000
     live = Detector(spark, str(tmp_path), start, hour, 0.3, late_ms=hour)

@@ -50,9 +50,18 @@ def test_dumps(spark, tmp_path):
     (tmp_path / "bad.json").write_text(json.dumps({"other": 1}))
     with pytest.raises(ValueError):
         requests.read_dump(spark, str(tmp_path / "bad.json"))
-    sinks.write_dump(rows, str(tmp_path / "out"))
-    back = spark.read.json(str(tmp_path / "out")).orderBy("id").collect()
-    assert json.loads(back[0].ip_location)["asn"] == 5 and back[0].created_at == "2024-01-05T09:00:00.000Z"
+    name = requests.dump_name(dt.datetime(2024, 2, 1, 3, 4))
+    sinks.write_dump(rows.drop("asn"), str(tmp_path / name))
+    assert requests.latest_dump(spark, str(tmp_path)).endswith(name) and name == "logs_requests_202402010304.json"
+    back = requests.read_dump(spark, str(tmp_path / name))
+    assert back.columns == rows.columns and sorted(map(repr, back.collect())) == sorted(map(repr, rows.collect()))
+    pretty = tmp_path / "logs_requests_202501010000.json"
+    pretty.write_text(json.dumps({"logs_requests": [row, row]}, indent=1))
+    assert requests.read_dump(spark, str(pretty)).count() == 2
+    many = rows.crossJoin(spark.range(2_500).select("id").toDF("k"))
+    sinks.write_dump(many.withColumn("id", F.col("k")).drop("k", "asn"), str(tmp_path / "many"))
+    assert requests.read_dump(spark, str(tmp_path / "many")).select("id").distinct().count() == 2_500
+    assert max(len(json.loads(line)["logs_requests"]) for f in (tmp_path / "many").glob("*.json") for line in f.read_text().splitlines()) <= sinks.DUMP_ROWS
     with pytest.raises(ValueError):
         requests.since(rows, -1)
 
@@ -79,6 +88,11 @@ def test_mining(spark):
     (by_net,) = mining.clusters(rows, "subnet").collect()
     assert (by_net.key, by_net.request_count, by_net.top_paths, by_net.high_count) == ("10.0.0.0/24", 24, ["12x /.env", "12x /calm"], 12)
     assert by_net.asns == [5]
+    named = rows.withColumn("org", F.when(F.col("id") % 2 == 0, "Two Words")).withColumn("ip", F.concat(F.lit("10.1.0."), F.col("id") % 8)).withColumn("full_url", F.concat("full_url", F.lit("/"), F.col("id") % 6))
+    assert {r.key: r.orgs for r in mining.clusters(named, "asn").collect()} == {"AS5 ": None, "AS5 Two Words": ["Two Words"]}
+    levels = rows.withColumn("stored_level", F.when(F.col("id") > 8, "low").otherwise("none")).withColumn("status_code", F.col("id") + 100)
+    (shape,) = mining.uncaught_shapes(levels).collect()
+    assert shape.stored_levels == ["none", "low"] and len(shape.status_codes) == 12
     assert mining.clusters(rows, "asn").count() == 0 and mining.clusters(rows.limit(0), "ip").count() == 0
     found = {r.name: r for r in mining.validate_patterns(rows, [{"name": "c", "pattern": "^/CALM$"}, {"name": "r", "pattern": "^/$"}]).collect()}
     assert (found["c"].shapes_hit, found["c"].rows_newly_caught, found["c"].ordinary_hits, found["r"].ordinary_hits) == (1, 12, 0, 1)
