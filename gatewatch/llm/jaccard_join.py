@@ -214,7 +214,9 @@ def _count(buckets: int):
         keep = np.ones(len(hashes), dtype=bool)
         keep[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
         hashes, owner = hashes[keep], owner[keep]
-        values, where, counts = np.unique(hashes, return_inverse=True, return_counts=True)
+        new = np.ones(len(hashes), dtype=bool)
+        new[1:] = hashes[1:] != hashes[:-1]
+        values, where, counts = hashes[new], np.cumsum(new) - 1, np.diff(np.append(np.flatnonzero(new), len(hashes)))
         if asked:
             every = np.unique(np.concatenate([values, *(v for _, v, _ in asked)]))
             total = np.zeros(len(every), dtype=np.int64)
