@@ -110,17 +110,24 @@ def forwarding_chain(xff: Column, connecting_ip: Column, country: Column) -> Col
 
 
 def redacted(body: Column, keys: str = SENSITIVE_KEYS) -> Column:
-    """JSON text with the values of sensitive keys replaced, at any depth. Text that is no JSON stays."""
-    sensitive = re.compile(keys, re.I)
+    """JSON text with the values of sensitive keys replaced, at any depth.
 
-    def clean(value):
-        if isinstance(value, dict):
-            return {k: "[REDACTED]" if sensitive.search(k) else clean(v) for k, v in value.items()}
-        return [clean(v) for v in value] if isinstance(value, list) else value
+    Text without such a key stays as it is, as does text that is no JSON; JSON too deep to read is replaced whole.
+    """
+    sensitive = re.compile(keys, re.I)
 
     def one(text):
+        found = []
+
+        def clean(pairs):
+            found.extend(k for k, _ in pairs if sensitive.search(k))
+            return {k: "[REDACTED]" if sensitive.search(k) else v for k, v in pairs}
+
         try:
-            return None if text is None else json.dumps(clean(json.loads(text)), separators=(",", ":"), ensure_ascii=False)
+            value = json.loads(text, object_pairs_hook=clean)
+            return json.dumps(value, separators=(",", ":"), ensure_ascii=False) if found else text
+        except RecursionError:
+            return '"[REDACTED]"'
         except ValueError:
             return text
 
@@ -131,6 +138,15 @@ def redacted(body: Column, keys: str = SENSITIVE_KEYS) -> Column:
     return redact(body)
 
 
+def token_of(cookies: Column, headers: Column, names: tuple[str, ...]) -> Column:
+    """The first token by name, in the given order: of a name the cookie, else the header in lower case.
+
+    Both are maps of text, or null. Empty values do not count.
+    """
+    found = [F.try_element_at(of.cast("map<string,string>"), F.lit(name)) for n in names for of, name in ((cookies, n), (headers, n.lower()))]
+    return F.coalesce(*[F.when(f != "", f) for f in found])
+
+
 def token_claims(token: Column, secret: str) -> Column:
     """Struct ``user_id, session_id`` of an HS256 token; nulls if it is malformed, forged or expired."""
 

@@ -95,6 +95,11 @@ def classify(requests: DataFrame, catalog: Catalog | None = None, body_is_object
     rows = requests.drop(*made)
     rows = per_distinct(rows, "full_url", lambda u: url_signals(u, catalog))
     rows = per_distinct(rows, "method", lambda m: method_signals(m, catalog))
+    return leveled(rows, catalog, body_is_object)
+
+
+def leveled(rows: DataFrame, catalog: Catalog, body_is_object: bool = True) -> DataFrame:
+    """Level and details of rows that have the signals of their URL and method, which go."""
     body = body_signals(rows, catalog) if body_is_object else no_signals()
     agent = F.when(F.coalesce("user_agent", F.lit("")) == "", F.array(signal("agent", "low", "no user agent")).cast(SIGNALS)).otherwise(no_signals())
     rows = rows.withColumn("threat_details", F.concat("path_signals", "method_signals", body, "url_signals", "line_signals", agent))
@@ -112,9 +117,10 @@ def _with_signal(rows: DataFrame, when: Column, added: Column, rank: Column) ->
 def check_addresses(rows: DataFrame) -> DataFrame:
     """An address with characters that no address has becomes 0.0.0.0, at level high, with a signal.
 
-    ``x_forwarded_for``, if there, is what the signal shows.
+    ``x_forwarded_for``, if there, is what the signal shows. No address is 0.0.0.0 as well, without a signal.
     """
     header = F.col("x_forwarded_for") if "x_forwarded_for" in rows.columns else F.lit(None)
+    rows = rows.withColumn("ip", F.when(F.coalesce("ip", F.lit("")) == "", "0.0.0.0").otherwise(F.col("ip")))
     rows = _with_signal(rows.withColumn("__bad", ~is_valid_ip(F.col("ip"))), F.col("__bad"), signal("ip", "high", "IP spoof via X-Forwarded-For", raw_xff=header), F.lit(3))
     return rows.withColumn("ip", F.when(F.col("__bad"), "0.0.0.0").otherwise(F.col("ip"))).drop("__bad")
 

@@ -7,7 +7,7 @@ from ..operators.epochs import MARKER_MS
 from ..operators.mining import ORDINARY_ROUTES
 from ..operators.strategies import STRATEGIES
 from ..sources.requests import DERIVED_SQL
-from .settings import KNOWN_ASN, MIN_CONFIDENCE, PAGE_ENDS, PROPOSALS, SIBLING, SINCE_ID, SLIDE_STEP_MS, SLIDE_WINDOW_MS, WINDOW_MS
+from .settings import KNOWN_ASN, MIN_CONFIDENCE, PAGE_ENDS, PROPOSALS, RECENT_ROWS, SIBLING, SINCE_ID, SLIDE_STEP_MS, SLIDE_WINDOW_MS, WINDOW_MS
 
 _RANK = {"low": 1, "medium": 2, "high": 3}
 _ZERO = "CAST(0 AS DOUBLE)"
@@ -200,6 +200,7 @@ FROM (SELECT id, CASE id % 4 WHEN 0 THEN NULL WHEN 1 THEN ip WHEN 2 THEN ip || '
             "window_scan": o(self.req, "SELECT id, ip, created_at FROM req WHERE created_at >= TIMESTAMP '2024-01-05' AND created_at < TIMESTAMP '2024-01-12' AND NOT contains(ip, ':')"),
             "threats_only": o(self.cls, "SELECT id, ip, threat_rank FROM cls WHERE NOT contains(ip, ':') AND threat_rank > 0 AND NOT coalesce(is_tor, false)"),
             "incremental_rows": o(self.req, f"SELECT id, ip, full_url FROM req WHERE id > {SINCE_ID}"),
+            "recent_requests": o(self.req, f"SELECT id, created_at, ip, full_url FROM req ORDER BY created_at DESC, id DESC LIMIT {RECENT_ROWS}"),
             "epochs_tumbling": epochs(WINDOW_MS, WINDOW_MS), "epochs_sliding": epochs(SLIDE_WINDOW_MS, SLIDE_STEP_MS),
             "per_ip_metrics": o(self.metrics, "SELECT epoch, ip, volume, unique_paths, round(burst_sec, 3) AS burst_sec, round(ua_diversity, 6) AS ua_diversity FROM per_ip"),
             "asn_metrics": o(self.metrics, "SELECT epoch, asn, count(DISTINCT ip) AS distinct_ips, count(DISTINCT CASE WHEN is_attack THEN route END) AS path_union_size FROM nt WHERE asn IS NOT NULL GROUP BY ALL"),

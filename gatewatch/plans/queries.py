@@ -16,7 +16,7 @@ from ..operators.strategies import STRATEGIES
 from ..sources import requests, sinks
 from .detect import context_of, detect
 from .oracles import Oracles
-from .settings import KNOWN_ASN, MIN_CONFIDENCE, PAGE_ENDS, PROPOSALS, SIBLING, SINCE_ID, SLIDE_STEP_MS, SLIDE_WINDOW_MS, WINDOW_MS
+from .settings import KNOWN_ASN, MIN_CONFIDENCE, PAGE_ENDS, PROPOSALS, RECENT_ROWS, SIBLING, SINCE_ID, SLIDE_STEP_MS, SLIDE_WINDOW_MS, WINDOW_MS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -160,6 +160,11 @@ def incremental_rows(spark, sf_dir):
     return requests.since(requests.derived(spark, sf_dir), SINCE_ID).select("id", "ip", "full_url")
 
 
+@query
+def recent_requests(spark, sf_dir):
+    return requests.recent(requests.derived(spark, sf_dir), RECENT_ROWS).select("id", "created_at", "ip", "full_url")
+
+
 def _epochs(spark, sf_dir, window_ms, step_ms):
     rows = requests.derived(spark, sf_dir).where(scalars.is_ipv4(F.col("ip")))
     a, b = epochs.scan_range(rows)

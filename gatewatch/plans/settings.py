@@ -5,6 +5,7 @@ WINDOW_MS = 432_000_000
 SLIDE_WINDOW_MS, SLIDE_STEP_MS = 432_000_000, 172_800_000
 MIN_CONFIDENCE = 0.5
 SINCE_ID = 500
+RECENT_ROWS = 50
 PROPOSALS = [
     {"name": "search with a query", "pattern": r"/search\?q=", "flags": "i"},
     {"name": "inventory", "pattern": r"/api/inventory", "flags": "i"},

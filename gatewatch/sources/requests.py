@@ -75,6 +75,11 @@ def since(rows: DataFrame, last_id: int) -> DataFrame:
     return rows.where(F.col("id") > last_id).orderBy("id")
 
 
+def recent(rows: DataFrame, most: int) -> DataFrame:
+    """The ``most`` newest rows, newest first, of equal times the greatest id."""
+    return rows.orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(most)
+
+
 def parsed_log(lines: DataFrame, line: str = "value") -> DataFrame:
     """Requests of combined-format lines; lines of any other form, or with an impossible time, are left out.
 

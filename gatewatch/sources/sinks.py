@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from typing import Protocol
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import campaigns as records
+
 
 def append_requests(rows: DataFrame, path: str) -> None:
     """Adds requests to a table partitioned by day, so that time windows prune folders."""
@@ -68,3 +72,62 @@ def rendered(campaigns: DataFrame) -> DataFrame:
 def dry_run(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The first rows, and how many there are of each level."""
     return rows.orderBy("created_at", "ip").limit(3), rows.groupBy("threat_level").agg(F.count("*").alias("requests"))
+
+
+class CampaignStore(Protocol):
+    """Where campaign records live. A store of one's own has these three methods."""
+
+    def upsert(self, found: DataFrame, source: str) -> DataFrame:
+        """Takes candidates in; ``identifier`` and ``outcome`` (inserted or updated) of their records."""
+
+    def find_open(self, identifier: str) -> DataFrame: ...
+
+    def by_status(self, status: str) -> DataFrame: ...
+
+
+class CampaignFolder:
+    """Campaign records as numbered Parquet versions in a folder; an unfinished version does not count.
+
+    One writer at a time. Versions before the last stay, for readers that still use them.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def version(self) -> int:
+        """The newest whole version; 0 without one."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        fs = path(self.folder).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(path(self.folder)):
+            return 0
+        whole = [s.getPath() for s in fs.listStatus(path(self.folder)) if fs.exists(path(s.getPath(), "_SUCCESS"))]
+        return max([int(p.getName().rpartition("=")[2]) for p in whole], default=0)
+
+    def table(self, version: int | None = None) -> DataFrame | None:
+        """All records of a version (the newest if none is given), or none if nothing was stored yet."""
+        version = self.version() if version is None else version
+        return self.spark.read.parquet(f"{self.folder}/version={version}") if version else None
+
+    def put(self, table: DataFrame, version: int) -> None:
+        table.write.mode("overwrite").parquet(f"{self.folder}/version={version}")
+
+    def _records(self) -> DataFrame:
+        table = self.table()
+        if table is None:
+            raise LookupError(f"no campaigns in {self.folder}")
+        return table
+
+    def upsert(self, found: DataFrame, source: str) -> DataFrame:
+        version, old = self.version(), self.table()
+        self.put(records.fold(found, source=source) if old is None else records.upsert(old, found, source=source), version + 1)
+        mine = found.select("identifier").distinct()
+        if old is None:
+            return mine.withColumn("outcome", F.lit("inserted"))
+        known = old.where((F.col("status") != "closed") & (F.col("source") == source)).select("identifier").distinct().withColumn("__known", F.lit(True))
+        return mine.join(known, "identifier", "left").select("identifier", F.when(F.col("__known"), "updated").otherwise("inserted").alias("outcome"))
+
+    def find_open(self, identifier: str) -> DataFrame:
+        return records.find_open(self._records(), identifier)
+
+    def by_status(self, status: str) -> DataFrame:
+        return records.by_status(self._records(), status)

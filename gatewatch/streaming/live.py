@@ -9,11 +9,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..catalogs import Catalog, load
-from ..functions.scalars import level_of, source_of
+from ..functions.scalars import SENSITIVE_KEYS, forwarding_chain, redacted, source_of, token_claims, token_of
 from ..operators.campaigns import MIN_CONFIDENCE, fold, upsert
-from ..operators.classify import SIGNALS, body_signals, method_signals, no_signals, signal, top_rank, url_signals
+from ..operators.classify import add_rate_limits, check_addresses, leveled, method_signals, url_signals
 from ..operators.epochs import MARKER_MS, WINDOW_MS, millis
 from ..plans.detect import detect
+from ..sources.sinks import CampaignFolder
+
+#: What a raw request has beyond the columns that are stored.
+_TRANSIENT = ("x_forwarded_for", "cf_connecting_ip", "cf_ip_country", "rate_tier", "rate_severity", "rate_count", "rate_limit", "cookies", "headers")
 
 
 def requests_stream(spark: SparkSession, path: str, schema, skip_paths: tuple[str, ...] = ()) -> DataFrame:
@@ -28,13 +32,31 @@ def classified(rows: DataFrame, catalog: Catalog | None = None, body_is_object:
     Levels and details are those of ``classify``, bodies included.
     """
     catalog = catalog or load()
-    rows = method_signals(url_signals(rows, catalog), catalog)
-    body = body_signals(rows, catalog) if body_is_object else no_signals()
-    agent = F.when(F.coalesce("user_agent", F.lit("")) == "", F.array(signal("agent", "low", "no user agent")).cast(SIGNALS)).otherwise(no_signals())
-    rows = rows.withColumn("threat_details", F.concat("path_signals", "method_signals", body, "url_signals", "line_signals", agent))
-    rows = rows.withColumn("threat_rank", top_rank(F.col("threat_details")))
-    named = rows.withColumns({"threat_level": level_of(F.col("threat_rank")), "source": source_of(F.col("user_agent"), catalog), "threat_details": F.when(F.size("threat_details") > 0, F.col("threat_details"))})
-    return named.drop("path_signals", "url_signals", "method_signals", "line_signals")
+    rows = leveled(method_signals(url_signals(rows, catalog), catalog), catalog, body_is_object)
+    return rows.withColumn("source", source_of(F.col("user_agent"), catalog))
+
+
+def captured(rows: DataFrame, catalog: Catalog | None = None, secret: str | None = None, token_names: tuple[str, ...] = ("token",), sensitive: str = SENSITIVE_KEYS) -> DataFrame:
+    """A stream of raw requests as they are stored: classified, addresses checked, chained, redacted.
+
+    Beside the columns of ``classified`` it reads those of these that are there: ``rate_tier, rate_severity,
+    rate_count, rate_limit``; ``x_forwarded_for, cf_connecting_ip, cf_ip_country`` (they become
+    ``forwarding_chain``); ``cookies`` and ``headers``, maps of text (with a secret, the first token by
+    ``token_names`` gives ``user_id`` and ``session_id``). None of them is stored. Bodies are scanned as they
+    came and stored redacted. Rows are independent of each other, so there is no state.
+    """
+    rows = check_addresses(classified(rows, catalog))
+    if "rate_tier" in rows.columns:
+        rows = add_rate_limits(rows)
+    none = F.lit(None).cast("string")
+    given = lambda name: F.col(name) if name in rows.columns else none
+    rows = rows.withColumn("forwarding_chain", forwarding_chain(*map(given, ("x_forwarded_for", "cf_connecting_ip", "cf_ip_country"))))
+    if "request_body" in rows.columns:
+        rows = rows.withColumn("request_body", redacted(F.col("request_body"), sensitive))
+    if secret is not None:
+        claims = token_claims(token_of(given("cookies"), given("headers"), token_names), secret)
+        rows = rows.withColumn("__claims", claims).withColumns({"user_id": F.col("__claims.user_id"), "session_id": F.col("__claims.session_id")})
+    return rows.drop("__claims", *_TRANSIENT)
 
 
 def level_windows(rows: DataFrame, window: str = "6 hours", late: str = "1 hour") -> DataFrame:
@@ -47,31 +69,22 @@ class Detector:
 
     ``folder`` holds ``requests`` (a folder a batch, so that a repeated batch replaces itself) and numbered
     versions of ``campaigns``. An epoch is closed when a request that is ``late_ms`` past its end has come;
-    every closed epoch is detected once, because a version's name says up to which epoch it goes. A request
+    every closed epoch is detected once, because a version's number says up to which epoch it goes. A request
     that comes after its epoch was closed stays in ``requests`` and counts in no campaign.
     """
 
     def __init__(self, spark: SparkSession, folder: str, start_ms: int, window_ms: int = WINDOW_MS, min_confidence: float = MIN_CONFIDENCE, late_ms: int = 0):
         self.spark, self.folder, self.start_ms, self.window_ms, self.min_confidence, self.late_ms = spark, folder.rstrip("/"), start_ms, window_ms, min_confidence, late_ms
-
-    def _version(self) -> int:
-        """Epochs that the newest version covers; 0 without one."""
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/campaigns")
-        fs = where.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(where):
-            return 0
-        whole = [s.getPath() for s in fs.listStatus(where) if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-        return max([int(p.getName().rpartition("=")[2]) for p in whole], default=0)
+        self.store = CampaignFolder(spark, f"{self.folder}/campaigns")
 
     def campaigns(self) -> DataFrame | None:
-        version = self._version()
-        return self.spark.read.parquet(f"{self.folder}/campaigns/epochs={version}") if version else None
+        return self.store.table()
 
     def __call__(self, batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{self.folder}/requests/batch={number}")
         rows = self.spark.read.parquet(f"{self.folder}/requests").drop("batch")
         newest = rows.agg(F.max(millis(F.col("created_at"))).alias("m")).first()["m"]
-        done = self._version()
+        done = self.store.version()
         closed = 0 if newest is None else max(0, (newest - self.late_ms - self.start_ms) // self.window_ms)
         if closed <= done:
             return
@@ -84,7 +97,7 @@ class Detector:
         new = found.candidates.withColumn("epoch", F.col("epoch") + first).where(F.col("epoch") >= done)
         old = self.campaigns()
         table = fold(new, source="live") if old is None else upsert(old, new, source="live")
-        table.write.mode("overwrite").parquet(f"{self.folder}/campaigns/epochs={closed}")
+        self.store.put(table, closed)
 
 
 def append_to(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

@@ -242,6 +242,21 @@ def test_fold_and_upsert(spark):
     assert campaigns.by_status(again, "closed").count() == 1
 
 
+def test_campaign_folder(spark, tmp_path):
+    store = sinks.CampaignFolder(spark, str(tmp_path / "campaigns"))
+    with pytest.raises(LookupError):
+        store.by_status("active")
+    one, two = candidate(spark, (0, 0.7, "a", 10, 45, ["x"])), candidate(spark, (1, 0.9, "b", 50, 60, ["y"]))
+    name = "single-ip-burst|ip=192.0.2.31"
+    outcome = lambda found, source: [(r.identifier, r.outcome) for r in store.upsert(found, source).collect()]
+    assert outcome(one, "live") == [(name, "inserted")] and outcome(two, "live") == [(name, "updated")]
+    assert outcome(two, "backtest") == [(name, "inserted")] and store.version() == 3
+    assert sorted((r.source, r.times_fired) for r in store.find_open(name).collect()) == [("backtest", 1), ("live", 2)]
+    store.put(store.table(2).withColumn("status", F.lit("closed")), 4)
+    (tmp_path / "campaigns" / "version=9").mkdir()  # not whole
+    assert store.version() == 4 and store.by_status("closed").count() == 1 and store.find_open(name).count() == 0
+
+
 def test_live_detector_matches_batches(spark, tmp_path):
     from gatewatch.streaming.live import Detector
 

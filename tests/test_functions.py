@@ -77,6 +77,10 @@ def test_redaction_and_tokens(spark):
     df = spark.createDataFrame([(body,), (None,), ("not json",), ('"text"',), ("[]",)], "b string")
     got = [r.r for r in df.select(s.redacted(F.col("b")).alias("r")).collect()]
     assert got == ['{"user":"a","Password":"[REDACTED]","deep":[{"api_token":"[REDACTED]","n":2}],"t":null}', None, "not json", '"text"', "[]"]
+    same = ['{"n": 1e5, "n": 2}', "[" * 3]
+    hidden = ['{"a":{"token":1},"a":2}', '{"\\u0074oken":1}', '{"a":' * 100_000]
+    odd = spark.createDataFrame([(k, b) for k, b in enumerate(same + hidden)], "k int, b string").orderBy("k")
+    assert [r.r for r in odd.select(s.redacted(F.col("b")).alias("r")).collect()] == [*same, '{"a":2}', '{"token":"[REDACTED]"}', '"[REDACTED]"']
     code = lambda x: base64.urlsafe_b64encode(x).rstrip(b"=").decode()
 
     def token(claims, key=b"k"):

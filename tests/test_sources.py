@@ -1,5 +1,8 @@
+import base64
 import datetime as dt
 import gzip
+import hashlib
+import hmac
 import json
 
 import pytest
@@ -131,3 +134,40 @@ def test_streamed_bodies(spark, tmp_path):
     assert got[6].threat_level == "high" and got[5].threat_level == "none"
     live.append_to(live.classified(raw, body_is_object=False), str(tmp_path / "out2"), str(tmp_path / "cp2")).awaitTermination(60)
     assert {r.threat_level for r in spark.read.parquet(str(tmp_path / "out2")).collect()} == {"none"}
+
+
+def test_capture(spark, tmp_path):
+    """The live path stores what the batch functions give: checked addresses, rate limits, chains, redaction, tokens."""
+    code = lambda x: base64.urlsafe_b64encode(x).rstrip(b"=").decode()
+    text = f"{code(b'{\"alg\":\"HS256\"}')}.{code(b'{\"user_id\":7,\"session_id\":\"s\"}')}"
+    token = f"{text}.{code(hmac.new(b'k', text.encode(), hashlib.sha256).digest())}"
+    calm = {"route": "/", "full_url": "/", "method": "GET", "user_agent": "ua", "created_at": "2024-01-01T00:00:00Z"}
+    rows = [
+        {"id": 1, "ip": "no address", "x_forwarded_for": "no address"},
+        {"id": 2, "ip": "1.1.1.1", "rate_tier": "burst", "rate_severity": "medium", "rate_count": 9, "rate_limit": 5},
+        {"id": 3, "ip": "1.1.1.1", "x_forwarded_for": "9.9.9.9, 8.8.8.8, 7.7.7.7"},
+        {"id": 4, "ip": "1.1.1.1", "request_body": '{"password": "1 UNION SELECT x FROM y"}'},
+        {"id": 5, "ip": "1.1.1.1", "cookies": {"b": token}, "headers": {"a": ""}},
+        {"id": 6, "ip": "1.1.1.1", "cookies": {"b": "forged"}, "headers": {"auth": token}},
+        {"id": 7, "cookies": None, "headers": None},
+    ]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "rows.json").write_text("\n".join(json.dumps(calm | r) for r in rows))
+    schema = "id long, ip string, route string, full_url string, method string, user_agent string, created_at timestamp, request_body string, x_forwarded_for string, rate_tier string, rate_severity string, rate_count int, rate_limit int, cookies map<string,string>, headers map<string,string>"
+    stored = live.captured(live.requests_stream(spark, str(tmp_path / "in"), schema), secret="k", token_names=("Auth", "b"))
+    live.append_to(stored, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
+    got = {r.id: r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert [got[k].threat_level for k in range(1, 8)] == ["high", "medium", "none", "high", "none", "none", "none"]
+    assert (got[1].ip, got[1].threat_details[0].raw_xff, got[7].ip) == ("0.0.0.0", "no address", "0.0.0.0")
+    assert got[2].threat_details[0].description == "burst rate limit exceeded (9/5)"
+    assert (got[3].forwarding_chain.spoofed, got[3].forwarding_chain.claimed_ip, got[4].forwarding_chain) == (True, "9.9.9.9", None)
+    assert got[4].request_body == '{"password":"[REDACTED]"}' and got[4].threat_details[0].category == "body"
+    assert [(got[k].user_id, got[k].session_id) for k in (4, 5, 6, 7)] == [(None, None), (7, "s"), (7, "s"), (None, None)]
+    assert not set(live._TRANSIENT) & set(got[1].asDict())
+    plain = live.captured(live.requests_stream(spark, str(tmp_path / "in"), "id long, ip string, route string, full_url string, method string, user_agent string"))
+    assert {"forwarding_chain", "threat_level", "source"} <= set(plain.columns) and "user_id" not in plain.columns
+
+
+def test_recent(spark):
+    rows = spark.createDataFrame([(k, dt.datetime(2024, 1, 1, k // 2)) for k in range(9)], "id long, created_at timestamp")
+    assert [r.id for r in requests.recent(rows, 3).collect()] == [8, 7, 6] and requests.recent(rows.limit(0), 3).count() == 0
