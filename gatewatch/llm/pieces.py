@@ -428,12 +428,12 @@ def decode_ids(m: PieceModel, flat: np.ndarray, counts: np.ndarray) -> list[str]
     return out
 
 
-def sliced(column: pa.Array) -> Iterator[tuple[int, int]]:
-    """Bounds of runs of texts with about ``SLICE_CHARS`` bytes, so that few texts are Python objects at once."""
+def sliced(column: pa.Array, size: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of texts with about ``size`` bytes, so that few texts are Python objects at once."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     start = 0
     while start < len(ends):
-        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + SLICE_CHARS, side="right")))
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + size, side="right")))
         yield start, stop
         start = stop
 

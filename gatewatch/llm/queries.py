@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprints, jaccard_join, language, mixing, pieces, quality, sharding, substrings, toxicity
+from . import alignment, exact_dedup, fingerprints, jaccard_join, language, mixing, packing, pieces, quality, sharding, substrings, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_fingerprints": fingerprints.op8_fingerprints,
     "op9_quality": quality.op9_quality,
     "op10_sentencepiece": pieces.op10_sentencepiece,
+    "op11_packing": packing.op11_packing,
+    "op13_alignment": alignment.op13_alignment,
 }
 
 ORACLE_SQL = {
