@@ -8,6 +8,8 @@ one co-grouping. A lot is closed at a bounded size, so its group fits in a task,
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark import TaskContext
 
 #: Bits of a lot's number within its task; the task's number stands above them.
@@ -20,8 +22,11 @@ def lot_number(k: int) -> int:
 
 
 class Numbered(dict):
-    """Numbers keys from 0 as they come."""
+    """Numbers keys as they come, from 0, or along with others that share ``numbers``."""
+
+    def __init__(self, numbers: count | None = None):
+        self.numbers = numbers if numbers is not None else count()
 
     def __missing__(self, key) -> int:
-        self[key] = found = len(self)
+        self[key] = found = next(self.numbers)
         return found

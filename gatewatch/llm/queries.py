@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, exact_dedup, fingerprints, jaccard_join, language, mixing, packing, pieces, quality, sharding, substrings, toxicity
+from . import alignment, collocations, exact_dedup, fingerprints, jaccard_join, language, mixing, packing, pieces, quality, sharding, substrings, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_quality": quality.op9_quality,
     "op10_sentencepiece": pieces.op10_sentencepiece,
     "op11_packing": packing.op11_packing,
+    "op12_collocations": collocations.op12_collocations,
     "op13_alignment": alignment.op13_alignment,
 }
 
@@ -23,4 +24,5 @@ ORACLE_SQL = {
     "op2_mixing": mixing.OP2_SQL,
     "op6_jaccard_join": jaccard_join.OP6_SQL,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
+    "op12_collocations": collocations.OP12_SQL,
 }
