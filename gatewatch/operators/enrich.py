@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalogs import Catalog, load
 from ..functions.scalars import ip_type
-from ..tables import per_distinct
+from ..tables import per_distinct, written
+from .networks import address_key, intervals, looked_up, prefixes
 
 LOCATION = "struct<country:string,city:string,latitude:double,longitude:double,asn:int,org:string>"
 
@@ -31,52 +34,43 @@ def with_tor_flag(rows: DataFrame, exits: DataFrame, ip: str = "ip") -> DataFram
     return rows.drop("is_tor").join(listed, F.trim(rows[ip]) == F.col("__ip"), "left").withColumn("is_tor", F.coalesce("__listed", F.lit(False))).drop("__ip", "__listed")
 
 
-def ip_number(ip: Column) -> Column:
-    """An IPv4 address as a number; null for any other text."""
-    parts = F.split(ip, r"\.")
-    number = sum(F.element_at(parts, k + 1).cast("long") * 256 ** (3 - k) for k in range(4))
-    return F.when(ip.rlike(r"^\d{1,3}(\.\d{1,3}){3}\z"), number)
-
+@dataclass(frozen=True)
+class Geography:
+    """Networks of two tables, with their intervals, all written once."""
 
-def cidr_ranges(networks: DataFrame, cidr: str = "network") -> DataFrame:
-    """``first, last`` address numbers of IPv4 networks like ``10.0.0.0/8``."""
-    bits = F.substring_index(cidr, "/", -1).cast("int")
-    base = ip_number(F.substring_index(cidr, "/", 1))
-    size = F.pow(F.lit(2.0), F.lit(32) - bits).cast("long")
-    first = base - F.pmod(base, size)
-    return networks.withColumns({"first": first, "last": first + size - 1})
+    cities: DataFrame
+    city_intervals: DataFrame
+    networks: DataFrame
+    network_intervals: DataFrame
 
 
-def _best_ranges(numbers: DataFrame, ranges: DataFrame, prefix: str) -> DataFrame:
-    """For each ``n`` the columns of the narrowest range around it, prefixed.
+def geography(cities: DataFrame, networks: DataFrame) -> Geography:
+    """Prepares ``cities`` (``network, country, city, latitude, longitude``) and ``networks`` (``network, asn, org``) for lookups.
 
-    Both sides meet on the upper 16 bits; a range is listed under each block that it touches.
+    Networks of both families may nest as they like; rows that are no network are left out.
     """
-    names = [c for c in ranges.columns if c not in ("first", "last", "network")]
-    blocks = ranges.withColumn("__block", F.explode(F.sequence(F.shiftright("first", 16), F.shiftright("last", 16))))
-    hit = numbers.join(blocks, (F.shiftright("n", 16) == F.col("__block")) & F.col("n").between(F.col("first"), F.col("last")))
-    best = hit.groupBy("n").agg(F.min_by(F.struct(*names), F.struct(F.col("last") - F.col("first"), "first")).alias("best"))
-    return best.select("n", *[F.col(f"best.{c}").alias(f"{prefix}{c}") for c in names])
+    c = written(prefixes(cities.select("network", "country", "city", F.col("latitude").cast("double").alias("latitude"), F.col("longitude").cast("double").alias("longitude"))).drop("network"), "cities")
+    n = written(prefixes(networks.select("network", F.col("asn").cast("int").alias("asn"), "org")).drop("network"), "networks")
+    return Geography(c, written(intervals(c), "city-intervals"), n, written(intervals(n), "network-intervals"))
 
 
-def with_location(rows: DataFrame, cities: DataFrame, networks: DataFrame, ip: str = "ip") -> DataFrame:
+def with_location(rows: DataFrame, places: Geography, ip: str = "ip") -> DataFrame:
     """``rows`` with ``ip_location``.
 
-    ``cities`` has ``network, country, city, latitude, longitude``, ``networks`` has ``network, asn, org``. Each
-    distinct address is looked up once; the narrowest network wins. Null for loopback and unspecified
-    addresses, IPv6, and addresses that neither table has. Empty names become null; zero coordinates stay.
+    Each distinct address is looked up once; the narrowest network of each table wins. Null for loopback and
+    unspecified addresses, for texts that are no address, and for addresses that neither table has. Empty names
+    become null; zero coordinates stay.
     """
-    cities, networks = cidr_ranges(cities), cidr_ranges(networks)
 
     def look_up(addresses: DataFrame) -> DataFrame:
         a = F.col(ip)
-        plain = F.when(~a.isin("0.0.0.0", "127.0.0.1"), ip_number(a))
-        numbered = addresses.withColumn("__n", plain)
-        numbers = numbered.where("__n IS NOT NULL").select(F.col("__n").alias("n")).distinct()
-        city, net = _best_ranges(numbers, cities, "c_"), _best_ranges(numbers, networks, "a_")
-        found = numbered.join(city.withColumnRenamed("n", "__c"), F.col("__n") == F.col("__c"), "left").join(net.withColumnRenamed("n", "__a"), F.col("__n") == F.col("__a"), "left")
+        keyed = addresses.withColumn("__key", F.when(~a.isin("0.0.0.0", "127.0.0.1", "::1") & ~a.startswith("::ffff:127."), address_key(a)))
+        keys = written(keyed.where("__key IS NOT NULL").select("__key").distinct(), "address-keys")
+        city = looked_up(keys, places.city_intervals, places.cities, "__key").toDF("__c", "c")
+        net = looked_up(keys, places.network_intervals, places.networks, "__key").toDF("__n", "n")
+        found = keyed.join(city, F.col("__key") == F.col("__c"), "left").join(net, F.col("__key") == F.col("__n"), "left")
         name = lambda c: F.when(F.col(c) != "", F.col(c))
-        where = F.struct(name("c_country").alias("country"), name("c_city").alias("city"), F.col("c_latitude").cast("double").alias("latitude"), F.col("c_longitude").cast("double").alias("longitude"), F.col("a_asn").cast("int").alias("asn"), name("a_org").alias("org"))
-        return found.select(ip, F.when(F.col("__c").isNotNull() | F.col("__a").isNotNull(), where).alias("ip_location"))
+        where = F.struct(name("c.country").alias("country"), name("c.city").alias("city"), F.col("c.latitude").alias("latitude"), F.col("c.longitude").alias("longitude"), F.col("n.asn").alias("asn"), name("n.org").alias("org"))
+        return found.select(ip, F.when(F.col("c").isNotNull() | F.col("n").isNotNull(), where).alias("ip_location"))
 
     return per_distinct(rows.drop("ip_location"), ip, look_up)

@@ -6,7 +6,7 @@ from ..catalogs import Catalog, Pattern
 from ..operators.epochs import MARKER_MS
 from ..operators.mining import ORDINARY_ROUTES
 from ..operators.strategies import STRATEGIES
-from ..sources.requests import DERIVED_SQL
+from ..sources.requests import CITIES_SQL, DERIVED_SQL, NETWORKS_SQL
 from .settings import KNOWN_ASN, MIN_CONFIDENCE, PAGE_ENDS, PROPOSALS, RECENT_ROWS, SIBLING, SINCE_ID, SLIDE_STEP_MS, SLIDE_WINDOW_MS, WINDOW_MS
 
 _RANK = {"low": 1, "medium": 2, "high": 3}
@@ -51,6 +51,30 @@ def samples(rows: str, value: str, most: int | None = None) -> str:
     return f"coalesce(array_to_string(list_transform({firsts}, lambda p: p[2]){cut}, '|'), '')"
 
 
+def key_bits(ip: str) -> str:
+    """The 128 bits of an address as text. IPv6 in any form without an IPv4 tail."""
+    side = lambda k: f"list_filter(string_split(coalesce(string_split(lower({ip}), '::')[{k}], ''), ':'), lambda g: g <> '')"
+    fill = f"list_transform(range(8 - len({side(1)}) - len({side(2)})), lambda i: '0')"
+    v6 = f"array_to_string(list_transform(list_concat({side(1)}, {fill}, {side(2)}), lambda g: lpad(g, 4, '0')), '')"
+    v4 = f"repeat('0', 20) || 'ffff' || array_to_string(list_transform(string_split({ip}, '.'), lambda p: lpad(lower(to_hex(CAST(p AS INT))), 2, '0')), '')"
+    digits = f"CASE WHEN contains({ip}, ':') THEN {v6} ELSE {v4} END"
+    return f"array_to_string(list_transform(string_split({digits}, ''), lambda c: lpad(bin(strpos('0123456789abcdef', c) - 1), 4, '0')), '')"
+
+
+def located(name: str, table: str, values: list[str]) -> str:
+    """Two relations: the networks of ``table`` with their bits, and for each address the values of the narrowest."""
+    listed = ", ".join(values)
+    length = "CASE WHEN contains(network, '/') THEN CAST(split_part(network, '/', 2) AS INT) WHEN contains(network, ':') THEN 128 ELSE 32 END"
+    return f"""{name}_nets AS (
+  SELECT {listed}, {key_bits("split_part(network, '/', 1)")} AS bits, {length} + CASE WHEN contains(network, ':') THEN 0 ELSE 96 END AS n
+  FROM ({table.replace("{events}", "events")})
+), {name} AS (
+  SELECT a.ip, {listed}
+  FROM addresses a JOIN {name}_nets t ON left(a.bits, t.n) = left(t.bits, t.n)
+  QUALIFY row_number() OVER (PARTITION BY a.ip ORDER BY t.n DESC, {listed}) = 1
+)"""
+
+
 class Oracles:
     def __init__(self, catalog: Catalog):
         self.c = catalog
@@ -121,8 +145,9 @@ cand AS (
   FROM fired f JOIN shown s ON s.strategy_id = f.strategy_id AND s.epoch = f.epoch AND s.key = f.key
   GROUP BY f.strategy_id, f.epoch, f.key, f.identifier, f.confidence, f.ev)"""
 
-    def of(self, ctes: str, query: str) -> str:
-        return f"WITH {ctes}\n{query}"
+    def of(self, *parts: str) -> str:
+        *ctes, query = parts
+        return "WITH " + ",\n".join(ctes) + f"\n{query}"
 
     def source(self) -> str:
         bots = " OR ".join(f"regexp_matches(user_agent, {_re(p)})" for p in self.c.bots)
@@ -190,6 +215,14 @@ UNION ALL SELECT id, 'agent', 'low', 'no user agent', NULL FROM req WHERE coales
             "ip_type": o(f"{self.req}, {types}", f"SELECT req.asn, org, {ip_type} AS ip_type, count(*) AS requests FROM req LEFT JOIN asn_types USING (asn) GROUP BY ALL"),
             "ip_type_unknown_triage": o(f"{self.req}, {types}", f"SELECT asn, org, count(*) AS hits FROM (SELECT req.asn, org, {ip_type} AS kind FROM req LEFT JOIN asn_types USING (asn)) WHERE kind = 'unknown' GROUP BY ALL"),
             "tor_flag": o(self.req, "SELECT ip, starts_with(ip, '192.42.116.') AND CAST(CASE WHEN contains(ip, ':') THEN '1' ELSE string_split(ip, '.')[4] END AS INT) % 3 = 0 AS is_tor, count(*) AS requests FROM req GROUP BY ALL"),
+            "address_locations": o(
+                self.req,
+                f"addresses AS (SELECT ip, {key_bits('ip')} AS bits FROM (SELECT DISTINCT ip FROM req))",
+                located("city_of", CITIES_SQL, ["country", "city", "latitude", "longitude"]),
+                located("net_of", NETWORKS_SQL, ["asn", "org"]),
+                """SELECT ip, country, nullif(city, '') AS city, latitude, longitude, CAST(net_of.asn AS INT) AS asn, net_of.org AS org, count(*) AS requests
+FROM req LEFT JOIN city_of USING (ip) LEFT JOIN net_of USING (ip) GROUP BY ALL""",
+            ),
             "forwarding_chain": o(self.req, f"""SELECT id, CASE WHEN known THEN len(chain) END AS hops, CASE WHEN known AND len(chain) > 2 THEN true END AS spoofed, CASE WHEN known AND len(chain) > 2 THEN chain[1] END AS claimed_ip, CASE WHEN known THEN country END AS cf_ip_country
 FROM (SELECT *, {chain} AS chain, edge IS NOT NULL OR country IS NOT NULL OR len({chain}) >= 2 AS known
 FROM (SELECT id, CASE id % 4 WHEN 0 THEN NULL WHEN 1 THEN ip WHEN 2 THEN ip || ' , 10.0.0.1' ELSE ip || ',10.0.0.1,, 172.16.0.1 ' END AS xff, CASE WHEN id % 5 = 0 THEN ip END AS edge, CASE WHEN id % 7 = 0 THEN 'US' END AS country FROM req))"""),

@@ -113,6 +113,14 @@ def tor_flag(spark, sf_dir):
     return enrich.with_tor_flag(rows, exits).groupBy("ip", "is_tor").agg(F.count("*").alias("requests"))
 
 
+@query
+def address_locations(spark, sf_dir):
+    """Requests of each address, with its place among nested networks of both families."""
+    places = enrich.geography(*requests.derived_networks(spark, sf_dir))
+    rows = enrich.with_location(requests.derived(spark, sf_dir), places)
+    return rows.groupBy("ip", "ip_location").agg(F.count("*").alias("requests")).select("ip", "ip_location.*", "requests")
+
+
 @query
 def forwarding_chain(spark, sf_dir):
     rows = requests.derived(spark, sf_dir)

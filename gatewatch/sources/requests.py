@@ -45,6 +45,34 @@ FROM (SELECT event_id, ts, user_id AS u, event_type,
       FROM {events}) e
 """
 
+#: Nested networks of both families around the derived log's addresses, in the same two engines.
+CITIES_SQL = """
+SELECT network, concat('C', CAST(g % 5 AS STRING)) AS country, CASE WHEN g % 4 = 0 THEN '' ELSE concat('Town ', CAST(g % 7 AS STRING)) END AS city,
+  CAST(g % 90 AS DOUBLE) AS latitude, CAST(0 - g % 180 AS DOUBLE) AS longitude
+FROM (
+  SELECT DISTINCT g, CASE k
+      WHEN 0 THEN concat('34.', CAST(10 + g % 200 AS STRING), '.0.0/', CAST(12 + g % 5 AS STRING))
+      WHEN 1 THEN concat('34.', CAST(10 + g % 200 AS STRING), '.7.', CAST(1 + g % 250 AS STRING), '/', CAST(24 + g % 9 AS STRING))
+      WHEN 2 THEN concat('73.', CAST(g % 200 AS STRING), '.4.0/', CAST(8 + g % 20 AS STRING))
+      WHEN 3 THEN concat('2001:DB8:0:0:0:0:0:', CAST(g AS STRING), '/', CAST(106 + g % 23 AS STRING))
+      WHEN 4 THEN concat('192.42.116.', CAST(g % 256 AS STRING))
+      ELSE '2001:db8::/40' END AS network
+  FROM (SELECT CAST(floor(user_id / 5) AS INT) AS g, CAST(event_id % 6 AS INT) AS k FROM {events}) e
+) n
+"""
+NETWORKS_SQL = """
+SELECT network, 64000 + g % 40 AS asn, concat('Org ', CAST(g % 11 AS STRING)) AS org
+FROM (
+  SELECT DISTINCT g, CASE k
+      WHEN 0 THEN concat('34.', CAST(10 + g % 200 AS STRING), '.7.0/24')
+      WHEN 1 THEN '45.135.193.17/26'
+      WHEN 2 THEN concat('73.', CAST(g % 256 AS STRING), '.0.0/14')
+      WHEN 3 THEN concat('2001:db8::', CAST(g AS STRING), '/120')
+      ELSE '192.0.0.0/3' END AS network
+  FROM (SELECT CAST(floor(user_id / 5) AS INT) AS g, CAST(event_id % 5 AS INT) AS k FROM {events}) e
+) n
+"""
+
 #: Fixed value: the combined log format.
 _COMBINED = r'^(\S+) (\S+) (\S+) \[([^\]]+)\] "(\S+) (.+?) (\S+)" (\d+) (\d+|-) "([^"]*)" "([^"]*)"\z'
 _STAMP = r"^\d{2}/\w{3}/\d{4}:\d{2}:\d{2}:\d{2} [+-]\d{4}\z"
@@ -54,9 +82,17 @@ _DUMP = re.compile(r"logs_requests_\d{12}\.json$")
 
 def derived(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The derived log with ``route`` (the URL as it is, as in imported logs)."""
-    text = DERIVED_SQL.replace("{", "{{").replace("}", "}}").replace("{{events}}", "{events}")  # only this one is a place to fill
-    rows = spark.sql(text, events=spark.read.parquet(f"{sf_dir}/events.parquet"))
-    return rows.withColumn("route", F.col("full_url"))
+    return _from_events(spark, sf_dir, DERIVED_SQL).withColumn("route", F.col("full_url"))
+
+
+def derived_networks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Tables of cities and networks around the derived log's addresses."""
+    return _from_events(spark, sf_dir, CITIES_SQL), _from_events(spark, sf_dir, NETWORKS_SQL)
+
+
+def _from_events(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    text = text.replace("{", "{{").replace("}", "}}").replace("{{events}}", "{events}")  # only this one is a place to fill
+    return spark.sql(text, events=spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
 def window(rows: DataFrame, start, end) -> DataFrame:

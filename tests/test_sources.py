@@ -8,7 +8,7 @@ import json
 import pytest
 from gatewatch.operators import mining
 from gatewatch.operators.classify import classify
-from gatewatch.operators.enrich import with_ip_type, with_location, with_tor_flag
+from gatewatch.operators.enrich import geography, with_ip_type, with_location, with_tor_flag
 from gatewatch.sources import requests, sinks
 from gatewatch.streaming import live
 from pyspark.sql import functions as F
@@ -78,7 +78,7 @@ def test_enrichment(spark, tmp_path):
     assert [ip for ip, f in flags.items() if f] == ["1.2.3.4", "9.9.9.9"]
     cities = spark.createDataFrame([("1.0.0.0/8", "AU", "", -27.0, 0.0), ("1.2.3.0/24", "NZ", "Town", 1.0, 2.0)], "network string, country string, city string, latitude double, longitude double")
     nets = spark.createDataFrame([("1.2.0.0/16", 77, "Org")], "network string, asn int, org string")
-    at = {r.ip: r.ip_location for r in with_location(rows.drop("asn", "org"), cities, nets).collect()}
+    at = {r.ip: r.ip_location for r in with_location(rows.drop("asn", "org"), geography(cities, nets)).collect()}
     assert (at["1.2.3.4"].city, at["1.2.3.4"].asn, at["1.2.9.9"].country, at["1.2.9.9"].city, at["1.2.9.9"].longitude) == ("Town", 77, "AU", None, 0.0)
     assert at["127.0.0.1"] is None and at["::1"] is None and at["9.9.9.9"] is None
 
