@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_KEYS, documents, shuffle_partitions, small, written
+from .common import BROADCAST_KEYS, documents, shuffle_partitions, small, unused, written
 
 #: Bits of each hash value that are used; fewer only to force shared digests in tests.
 HASH_BITS = 64
@@ -79,16 +79,20 @@ def fingerprints(docs: DataFrame, text_col: str = "text", bits: int = HASH_BITS)
     Null counts as empty, empty texts share a fingerprint, an empty table stays empty. All rows and columns
     pass; a column called ``fingerprint`` is replaced.
     """
-    names = [F.col(c) for c in docs.columns if c != "fingerprint"]
-    rows = digests(docs.select(*names), text_col, "__d", bits)
-    shared = written(rows.groupBy("__d").count().where("count > 1").select(F.col("__d").alias("digest")), "fingerprint-shared").read()
+    names = [F.col(f"`{c}`") for c in docs.columns if c != "fingerprint"]
+    own = unused(docs, "__d")
+    while unused(docs, f"{own}_form") != f"{own}_form":
+        own = f"_{own}"
+    ordinal = unused(docs, "__ordinal")
+    rows = digests(docs.select(*names), text_col, own, bits)
+    shared = written(rows.groupBy(own).count().where("count > 1").select(F.col(own).alias("digest")), "fingerprint-shared").read()
     n = shared.count()
-    forms = rows.select(F.col("__d").alias("digest"), F.col("__d_form").alias("form")).join(small(shared, n, BROADCAST_KEYS), "digest")
+    forms = rows.select(F.col(own).alias("digest"), F.col(f"{own}_form").alias("form")).join(small(shared, n, BROADCAST_KEYS), "digest")
     apart = ordinals(forms) if n else None
     if apart is None:
-        return rows.select(*names, F.col("__d").alias("fingerprint"))
-    apart = apart.select(F.col("digest").alias("__d"), F.col("form").alias("__d_form"), "ordinal")
-    return rows.join(apart, ["__d", "__d_form"], "left").select(*names, _numbered("__d", "ordinal").alias("fingerprint"))
+        return rows.select(*names, F.col(own).alias("fingerprint"))
+    apart = apart.select(F.col("digest").alias(own), F.col("form").alias(f"{own}_form"), F.col("ordinal").alias(ordinal))
+    return rows.join(apart, [own, f"{own}_form"], "left").select(*names, _numbered(own, ordinal).alias("fingerprint"))
 
 
 def _numbered(name: str, ordinal: str) -> Column:

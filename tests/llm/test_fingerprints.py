@@ -51,3 +51,14 @@ def test_empty_and_single(spark):
     (r,) = fp.edit_stability(docs).collect()
     assert r.near_next == 1.0 and r.edited_sha256 == hashlib.sha256(b"aa").hexdigest()
     assert fp.fingerprints(docs.limit(0)).count() == 0
+
+
+def test_clashing_columns_pass(spark):
+    rows = [(1, "Tea", "mine", "form", 7), (2, "tea ", "x", "y", 8), (3, "cup", None, None, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __d string, __d_form string, __ordinal int")
+    for bits in (64, 1):
+        out = fp.fingerprints(docs, bits=bits)
+        assert out.columns == [*docs.columns, "fingerprint"]
+        got = sorted(out.collect())
+        assert [tuple(r)[:5] for r in got] == rows
+        assert got[0].fingerprint == got[1].fingerprint != got[2].fingerprint
