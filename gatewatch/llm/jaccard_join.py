@@ -39,6 +39,8 @@ PACK = 2_000_000
 OFTEN = 16
 #: Rounds of counting in how many of the remaining classes a shingle is.
 COUNTS = 2
+#: Bits of a flush's number within its task, and how far apart the homes of a task's flushes are (a prime).
+_TASK_SHIFT, _STRIDE = 24, 2_654_435_761
 #: What a packed row holds, in its column ``n``; ``class`` is the number of the flush, if it matters.
 _SETS, _ASKED, _HELD, _TOLD = range(4)
 
@@ -119,7 +121,7 @@ def _flushed(number: int, cls: np.ndarray, n: np.ndarray, owner: np.ndarray, has
     bucket = (hashes % np.uint64(buckets)).astype(np.int32)
     yield from _pack(bucket[~often], cls, n, owner[~often], hashes[~often])
     if often.any():
-        home = np.full(int(often.sum()), number % buckets, dtype=np.int32)
+        home = np.full(int(often.sum()), _home(number, buckets), dtype=np.int32)
         yield from _pack(home, cls, n, owner[often], hashes[often], kind=_HELD, flush=number)
         yield from _lists((values % np.uint64(buckets)).astype(np.int64), values, counts, _ASKED, number)
 
@@ -143,7 +145,13 @@ def _listed(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def _number(k: int) -> int:
     """Of a task's k-th flush; a repeated task gives the same."""
-    return TaskContext.get().partitionId() << 24 | k
+    return TaskContext.get().partitionId() << _TASK_SHIFT | k
+
+
+def _home(number: int, buckets: int) -> int:
+    """The bucket where a flush waits: tasks follow each other round the buckets, and so do each task's flushes."""
+    task, k = number >> _TASK_SHIFT, number & (1 << _TASK_SHIFT) - 1
+    return (task + k * _STRIDE) % buckets
 
 
 def _sets(words: int, buckets: int):
@@ -224,7 +232,7 @@ def _count(buckets: int):
             for _, v, c in asked:
                 total[np.searchsorted(every, v)] += c
             for flush, v, _ in asked:
-                yield from _lists(np.full(len(v), flush % buckets), v, total[np.searchsorted(every, v)], _TOLD, flush)
+                yield from _lists(np.full(len(v), _home(flush, buckets)), v, total[np.searchsorted(every, v)], _TOLD, flush)
             counts = total[np.searchsorted(every, values)]
         df = np.minimum(counts[where], _MOST).astype(np.int32) if len(hashes) else np.zeros(0, np.int32)
         many = df > 1

@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -98,3 +99,12 @@ def test_components(spark):
         for a, b in edges:
             root[a] = root[b] = min(root[a], root[b])
     assert got == root
+
+
+@pytest.mark.parametrize("buckets", [4, 64, 200, 4_096])
+@pytest.mark.parametrize("flushes", [1, 3])
+def test_flushes_of_all_tasks_spread_over_the_buckets(buckets, flushes):
+    homes = Counter(jj._home(task << 24 | k, buckets) for task in range(200) for k in range(flushes))
+    assert max(homes.values()) <= max(2, 3 * 200 * flushes / buckets)
+    alone = Counter(jj._home(k, buckets) for k in range(200))
+    assert max(alone.values()) <= max(2, 3 * 200 / buckets)
