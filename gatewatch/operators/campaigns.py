@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import subnet24, threat_band
 from ..tables import written
-from .epochs import MARKER_MS, millis
+from .epochs import MARKER_MS
 from .strategies import STRATEGIES, Context, Strategy
 
 #: The least confidence that fires, and how many samples a candidate carries.
@@ -58,7 +58,7 @@ def markers_for(markers: DataFrame, rows: DataFrame, as_of_ms: int) -> DataFrame
 def _first_seen(rows: DataFrame, value: str, most: int | None) -> DataFrame:
     """Distinct values of each fire in the order in which they were first seen, ``most`` at most."""
     group = ["strategy_id", "epoch", "key"]
-    seen = rows.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.min(F.struct(millis(F.col("created_at")).alias("ms"), "id")).alias("first"))
+    seen = rows.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.min(F.struct("first_ms", "first_id")).alias("first"))
     if most is not None:
         seen = seen.withColumn("nth", F.row_number().over(Window.partitionBy(*group).orderBy("first"))).where(F.col("nth") <= most)
     return seen.groupBy(*group).agg(F.transform(F.array_sort(F.collect_list(F.struct("first", F.col(value).alias("v")))), lambda x: x["v"]).alias(f"{value}_list"))
@@ -69,11 +69,11 @@ def candidates(context: Context, fired: DataFrame, strategies: tuple[Strategy, .
     observed = []
     for s in strategies:
         keys = fired.where(F.col("strategy_id") == s.strategy_id).select("epoch", "key")
-        rows = s.observed(context).select("epoch", F.col("key").cast("string").alias("key"), "id", "created_at", "route", "user_agent", "ip")
+        rows = s.observed(context).select("epoch", F.col("key").cast("string").alias("key"), "n", "first_ms", "first_id", "first_at", "last_at", "route", "user_agent", "ip")
         observed.append(rows.join(keys, ["epoch", "key"], "left_semi").withColumn("strategy_id", F.lit(s.strategy_id)))
     rows = written(reduce(DataFrame.unionByName, observed), "observed")
     group = ["strategy_id", "epoch", "key"]
-    span = rows.groupBy(*group).agg(F.min("created_at").alias("first_seen"), F.max("created_at").alias("last_seen"), F.count("*").alias("request_count"))
+    span = rows.groupBy(*group).agg(F.min("first_at").alias("first_seen"), F.max("last_at").alias("last_seen"), F.sum("n").alias("request_count"))
     out = fired.join(span, group)
     for value, most in (("route", SAMPLE_PATHS), ("user_agent", SAMPLE_AGENTS), ("ip", None)):
         out = out.join(_first_seen(rows, value, most), group, "left")

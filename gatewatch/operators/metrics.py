@@ -1,4 +1,7 @@
-"""Metrics of requests in epochs. Rows: ``epoch, id, created_at, ip, route, user_agent, asn, is_tor, threat_rank, is_attack``."""
+"""Metrics of requests in epochs, as :mod:`gatewatch.operators.panes` sums them up.
+
+Rows: ``epoch, n, first_ms, first_id, first_at, last_at, ip, route, user_agent, asn, is_tor, threat_rank, is_attack``.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import route_fingerprint, subnet24
+from ..tables import written
 from .epochs import millis
 
 
@@ -22,12 +26,11 @@ def per_ip(rows: DataFrame) -> DataFrame:
 
     A missing agent counts as one more distinct agent.
     """
-    t = millis(F.col("created_at"))
-    n = F.count("*")
+    n = F.sum("n")
     return rows.groupBy("epoch", "ip").agg(
         n.alias("volume"),
         F.count_distinct("route").alias("unique_paths"),
-        F.when(n < 2, F.lit(float("inf"))).otherwise((F.max(t) - F.min(t)) / 1000.0).alias("burst_sec"),
+        F.when(n < 2, F.lit(float("inf"))).otherwise((millis(F.max("last_at")) - millis(F.min("first_at"))) / 1000.0).alias("burst_sec"),
         ((F.count_distinct("user_agent") + F.max(F.col("user_agent").isNull().cast("int"))) / n).alias("ua_diversity"),
     )
 
@@ -57,22 +60,51 @@ def subnet_cohesion(rows: DataFrame) -> DataFrame:
 
 
 def fingerprints(rows: DataFrame) -> DataFrame:
-    """Each threatening address's route set (anonymity network included): ``epoch, asn, ip, fingerprint, n_routes, first_ms, first_id``."""
+    """Each threatening address's route set (anonymity network included): ``epoch, asn, ip, set_id, n_routes, first_ms, first_id``.
+
+    ``set_id`` is the set's size and the sums of its routes' hashes (128 bits), which do not depend on any order:
+    routes are summed where they are, and no row holds a set.
+    """
     found = rows.where(is_threat() & F.col("asn").isNotNull())
-    first = F.min(F.struct(millis(F.col("created_at")).alias("ms"), "id"))
-    sets = found.groupBy("epoch", "asn", "ip").agg(F.collect_set("route").alias("routes"), first.alias("first"))
-    return sets.select("epoch", "asn", "ip", route_fingerprint(F.col("routes")).alias("fingerprint"), F.size("routes").alias("n_routes"), F.col("first.ms").alias("first_ms"), F.col("first.id").alias("first_id"))
+    routes = found.groupBy("epoch", "asn", "ip", "route").agg(F.min(F.struct("first_ms", "first_id")).alias("first"))
+    hashes = [F.xxhash64(F.lit(salt), "route") for salt in (1, 2)]
+    halves = [x for h in hashes for x in (h.bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned(h, 32))]
+    sets = routes.groupBy("epoch", "asn", "ip").agg(F.count("*").alias("n_routes"), F.min("first").alias("first"), *[F.sum(x).alias(f"s{k}") for k, x in enumerate(halves)])
+    set_id = F.concat_ws("-", "n_routes", *[f"s{k}" for k in range(len(halves))])
+    return sets.select("epoch", "asn", "ip", set_id.alias("set_id"), F.col("n_routes").cast("int").alias("n_routes"), "first.first_ms", "first.first_id")
 
 
-def fingerprint_clusters(prints: DataFrame) -> DataFrame:
-    """Addresses with one route set of two routes or more: ``epoch, asn, fingerprint, ip_count, path_union_size, first_ms, first_id``."""
-    first = F.min(F.struct("first_ms", "first_id"))
-    found = prints.where("n_routes >= 2").groupBy("epoch", "asn", "fingerprint").agg(F.count("*").alias("ip_count"), F.max("n_routes").alias("path_union_size"), first.alias("first"))
-    return found.select("epoch", "asn", "fingerprint", "ip_count", "path_union_size", "first.first_ms", "first.first_id")
+def set_clusters(prints: DataFrame) -> DataFrame:
+    """Addresses with one route set of two routes or more: ``epoch, asn, set_id, member, ip_count, path_union_size, first_ms, first_id``.
+
+    ``member`` is the address that was seen first.
+    """
+    first = F.min(F.struct("first_ms", "first_id", "ip"))
+    found = prints.where("n_routes >= 2").groupBy("epoch", "asn", "set_id").agg(F.count("*").alias("ip_count"), F.max("n_routes").alias("path_union_size"), first.alias("first"))
+    return found.select("epoch", "asn", "set_id", F.col("first.ip").alias("member"), "ip_count", "path_union_size", "first.first_ms", "first.first_id")
+
 
+def with_fingerprints(clusters: DataFrame, rows: DataFrame) -> DataFrame:
+    """``clusters`` with ``fingerprint``, the digest of their routes. One member's routes are read for each cluster."""
+    routes = rows.where(is_threat() & F.col("asn").isNotNull()).select("epoch", "asn", F.col("ip").alias("member"), "route")
+    wanted = routes.join(clusters.select("epoch", "asn", "member"), ["epoch", "asn", "member"], "left_semi")
+    digests = wanted.groupBy("epoch", "asn", "member").agg(route_fingerprint(F.collect_set("route")).alias("fingerprint"))
+    return clusters.join(digests, ["epoch", "asn", "member"])
 
-def dominant_clusters(prints: DataFrame) -> DataFrame:
+
+def fingerprint_clusters(rows: DataFrame) -> DataFrame:
+    """All clusters of equal route sets: ``epoch, asn, fingerprint, ip_count, path_union_size``."""
+    clusters = written(set_clusters(fingerprints(rows)), "set-clusters")
+    return with_fingerprints(clusters, rows).select("epoch", "asn", "fingerprint", "ip_count", "path_union_size")
+
+
+def dominant_sets(prints: DataFrame) -> DataFrame:
     """The cluster with the most addresses of each network; of equal ones, the one that was seen first."""
-    best = F.min(F.struct((-F.col("ip_count")).alias("most"), "first_ms", "first_id", "fingerprint", "ip_count", "path_union_size"))
-    found = fingerprint_clusters(prints).groupBy("epoch", "asn").agg(best.alias("b"))
-    return found.select("epoch", "asn", "b.fingerprint", "b.ip_count", "b.path_union_size")
+    best = F.min(F.struct((-F.col("ip_count")).alias("most"), "first_ms", "first_id", "set_id", "member", "ip_count", "path_union_size"))
+    return set_clusters(prints).groupBy("epoch", "asn").agg(best.alias("b")).select("epoch", "asn", "b.set_id", "b.member", "b.ip_count", "b.path_union_size")
+
+
+def dominant_clusters(rows: DataFrame) -> DataFrame:
+    """``epoch, asn, fingerprint, ip_count, path_union_size`` of each network's dominant cluster."""
+    best = written(dominant_sets(fingerprints(rows)), "dominant-sets")
+    return with_fingerprints(best, rows).select("epoch", "asn", "fingerprint", "ip_count", "path_union_size")

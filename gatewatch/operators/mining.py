@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.regex import to_java
 from ..functions.scalars import sigmoid, subnet24
+from ..tables import written
 from .epochs import STEP_MS, millis
 from .metrics import subnet_cohesion
 
@@ -106,7 +107,9 @@ def score_tuning(rows: DataFrame, window_ms: int = STEP_MS) -> DataFrame:
     windows = threats.withColumn("epoch", epoch).where(F.lit(start) + F.col("epoch").cast("long") * window_ms < end)
     base = windows.groupBy("epoch", "subnet").agg(F.count_distinct("ip").alias("distinct_ips"), F.count_distinct("route").alias("union_size"), F.count_distinct(F.when(F.col("path_rank") > 0, F.col("route"))).alias("attack_path_count"), F.max("path_rank").alias("max_path_rank"))
     base = base.where("distinct_ips >= 3 AND attack_path_count >= 1")
-    same = windows.withColumns({"asn": F.lit(0), "is_tor": F.lit(False)})
+    base = written(base, "subnets-passed")
+    some = windows.join(base.select("epoch", "subnet"), ["epoch", "subnet"], "left_semi")  # cohesion only where it counts
+    same = written(some.withColumns({"asn": F.lit(0), "is_tor": F.lit(False)}).select("epoch", "asn", "ip", "route", "is_tor", "threat_rank", "path_rank").distinct(), "subnet-routes")
     alike = lambda attack, name: subnet_cohesion(same.withColumn("is_attack", attack)).select("epoch", "subnet", F.col("cohesion").alias(name))
     found = base.join(alike(F.col("path_rank") > 0, "cohesion_attack"), ["epoch", "subnet"]).join(alike(F.lit(True), "cohesion_all"), ["epoch", "subnet"])
     s, c, b = sigmoid((F.col("distinct_ips") - 5) / 2), sigmoid((F.col("cohesion_attack") - 0.4) / 0.12), sigmoid((F.col("attack_path_count") - 8) / 5)

@@ -8,6 +8,8 @@ interval that starts at or before it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -26,8 +28,23 @@ def _quad_digits(quad: Column) -> Column:
     return F.concat(*[F.lpad(F.lower(F.hex(F.split_part(quad, F.lit("."), F.lit(k)).cast("int"))), 2, "0") for k in range(1, 5)])
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of ``value``, which is computed once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _groups(text: Column) -> Column:
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, ":"))
+    return F.filter(F.split(text, ":", -1), lambda g: (text != "") | (g != ""))
+
+
+def _joined_groups(sides: Column) -> Column:
+    """The eight groups of what stands before and after ``::`` as 32 digits; null if they do not fit."""
+    short = F.size(sides) == 2
+    parts = F.transform(sides, _groups)
+    n = F.aggregate(parts, F.lit(0), lambda so_far, p: so_far + F.size(p))
+    filled = F.when(short & (n < 8), F.concat(parts[0], F.array_repeat(F.lit("0"), 8 - n), F.try_element_at(parts, F.lit(2)))).when(~short & (F.size(sides) == 1) & (n == 8), parts[0])
+    fits = lambda groups: F.when(F.forall(groups, lambda g: g.rlike(r"^[0-9a-f]{1,4}\z")), F.array_join(F.transform(groups, lambda g: F.lpad(g, 4, "0")), ""))
+    return _bound(filled, fits)
 
 
 def address_key(ip: Column) -> Column:
@@ -36,18 +53,11 @@ def address_key(ip: Column) -> Column:
     IPv6 may be shortened by one ``::`` and may end in an IPv4 address; zones (``%eth0``) and leading zeros in
     IPv4 parts make it no address.
     """
-    quad = F.regexp_extract(ip, rf"(^|:)({_QUAD})\z", 2)
-    tail = _quad_digits(F.when(quad != "", quad).otherwise(F.lit("0.0.0.0")))
-    plain = F.when(quad != "", F.concat(F.regexp_replace(ip, rf"{_QUAD}\z", ""), F.substring(tail, 1, 4), F.lit(":"), F.substring(tail, 5, 4))).otherwise(ip)
-    text = F.lower(plain)
-    sides = F.split(text, "::")
-    head, last = _groups(F.element_at(sides, 1)), _groups(F.when(F.size(sides) > 1, F.element_at(sides, 2)).otherwise(F.lit("")))
-    n = F.size(head) + F.size(last)
-    short = F.size(sides) == 2
-    filled = F.concat(head, F.when(short & (n < 8), F.array_repeat(F.lit("0"), 8 - n)).otherwise(F.array().cast("array<string>")), last)
-    fits = (F.size(filled) == 8) & (F.size(sides) <= 2) & F.forall(filled, lambda g: g.rlike(r"^[0-9a-f]{1,4}\z")) & (~short | (n < 8))
-    v6 = F.when(fits, F.array_join(F.transform(filled, lambda g: F.lpad(g, 4, "0")), ""))
-    return F.when(ip.rlike(rf"^{_QUAD}\z"), F.concat(F.lit(V4), tail)).when(ip.contains(":"), v6)
+    ends_in_quad = rf"^(.*:)({_QUAD})\z"
+    before, quad = (F.regexp_extract(ip, ends_in_quad, k) for k in (1, 2))
+    spelled = _bound(quad, lambda q: F.when(q != "", _bound(_quad_digits(q), lambda d: F.concat(before, F.substring(d, 1, 4), F.lit(":"), F.substring(d, 5, 4)))).otherwise(""))
+    v6 = _bound(F.when(ip.contains("."), spelled).otherwise(ip), lambda text: _bound(F.split(F.lower(text), "::", -1), _joined_groups))
+    return F.when(ip.rlike(rf"^{_QUAD}\z"), F.concat(F.lit(V4), _quad_digits(ip))).when(ip.contains(":"), v6)
 
 
 def _masked(key: Column, bits: Column, ones: bool) -> Column:

@@ -17,7 +17,7 @@ from ..catalogs import Catalog
 from ..functions.scalars import is_exploit_tool, is_ipv4, sigmoid, subnet24
 from ..tables import written
 from . import metrics
-from .epochs import MARKER_MS, millis
+from .epochs import MARKER_MS
 
 
 @dataclass(frozen=True)
@@ -72,7 +72,7 @@ class SubnetOverlap:
 
     def scored(self, context: Context, fired: dict[str, DataFrame]) -> DataFrame:
         grouped = self.observed(context).groupBy("epoch", "end_ms", "key").agg(
-            F.min_by("asn", F.struct(millis(F.col("created_at")), "id")).alias("asn"),
+            F.min_by("asn", F.struct("first_ms", "first_id")).alias("asn"),
             F.count_distinct("ip").alias("ips"),
             F.count_distinct(F.when(F.col("is_attack"), F.col("route"))).alias("attack"),
             F.count_distinct("route").alias("paths"),
@@ -97,8 +97,8 @@ class FingerprintCluster:
 
     def _members(self, context: Context) -> tuple[DataFrame, DataFrame]:
         prints = context.once("fingerprints", metrics.fingerprints)
-        best = metrics.dominant_clusters(prints)
-        return best, prints.join(best, ["epoch", "asn", "fingerprint"]).select("epoch", "asn", "ip")
+        best = context.once("dominant-sets", lambda _: metrics.dominant_sets(prints))
+        return best, prints.join(best, ["epoch", "asn", "set_id"]).select("epoch", "asn", "ip")
 
     def observed(self, context: Context) -> DataFrame:
         _, members = self._members(context)
@@ -109,7 +109,8 @@ class FingerprintCluster:
         best, members = self._members(context)
         rotation = members.join(context.once("per-ip", metrics.per_ip).select("epoch", "ip", "ua_diversity"), ["epoch", "ip"]).groupBy("epoch", "asn").agg(F.avg("ua_diversity").alias("rotation"))
         ends = context.rows.select("epoch", "end_ms").distinct()
-        found = best.where("ip_count >= 3 AND path_union_size >= 2").join(rotation, ["epoch", "asn"]).join(ends, "epoch").withColumn("key", F.col("asn"))
+        passed = metrics.with_fingerprints(best.where("ip_count >= 3 AND path_union_size >= 2"), context.rows)
+        found = passed.join(rotation, ["epoch", "asn"]).join(ends, "epoch").withColumn("key", F.col("asn"))
         turns, size, broad = sigmoid((F.col("rotation") - 0.8) / 0.1), sigmoid((F.col("ip_count") - 5) / 2), sigmoid((F.col("path_union_size") - 20) / 10)
         return _groups(
             found, F.concat(F.lit(f"{self.strategy_id}|asn="), F.col("asn").cast("string"), F.lit("|fp="), "fingerprint"), turns * 0.5 + size * 0.3 + broad * 0.2,
@@ -128,7 +129,7 @@ class ToolReputation:
         return context.rows.where(is_exploit_tool(F.col("user_agent"), context.catalog)).withColumn("key", F.col("ip"))
 
     def scored(self, context: Context, fired: dict[str, DataFrame]) -> DataFrame:
-        found = self.observed(context).groupBy("epoch", "end_ms", "key").agg(F.sort_array(F.collect_set("user_agent")).alias("agents"), F.count("*").alias("n"))
+        found = self.observed(context).groupBy("epoch", "end_ms", "key").agg(F.sort_array(F.collect_set("user_agent")).alias("agents"), F.sum("n").alias("n"))
         return _groups(found, F.concat(F.lit(f"{self.strategy_id}|ip="), "key"), F.lit(0.5), matchedUas=F.col("agents"), requestCount=F.col("n"))
 
 
@@ -143,7 +144,7 @@ class SingleBurst:
         return context.rows.where(metrics.is_threat()).withColumn("key", F.col("ip"))
 
     def scored(self, context: Context, fired: dict[str, DataFrame]) -> DataFrame:
-        groups = self.observed(context).where(is_ipv4(F.col("ip"))).groupBy("epoch", "end_ms", "key").agg(F.min_by("asn", F.struct(millis(F.col("created_at")), "id")).alias("asn"))
+        groups = self.observed(context).where(is_ipv4(F.col("ip"))).groupBy("epoch", "end_ms", "key").agg(F.min_by("asn", F.struct("first_ms", "first_id")).alias("asn"))
         groups = groups.withColumn("subnet", subnet24(F.col("key")))
         producer = fired.get(SubnetOverlap.strategy_id)
         if producer is not None:

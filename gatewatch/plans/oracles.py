@@ -7,7 +7,7 @@ from ..operators.epochs import MARKER_MS
 from ..operators.mining import ORDINARY_ROUTES
 from ..operators.strategies import STRATEGIES
 from ..sources.requests import CITIES_SQL, DERIVED_SQL, NETWORKS_SQL
-from .settings import KNOWN_ASN, MIN_CONFIDENCE, PAGE_ENDS, PROPOSALS, RECENT_ROWS, SIBLING, SINCE_ID, SLIDE_STEP_MS, SLIDE_WINDOW_MS, WINDOW_MS
+from .settings import FINE_STEP_MS, KNOWN_ASN, MIN_CONFIDENCE, PAGE_ENDS, PROPOSALS, RECENT_ROWS, SIBLING, SINCE_ID, SLIDE_STEP_MS, SLIDE_WINDOW_MS, WINDOW_MS
 
 _RANK = {"low": 1, "medium": 2, "high": 3}
 _ZERO = "CAST(0 AS DOUBLE)"
@@ -199,6 +199,8 @@ f AS (SELECT *, {co} * 0.5 + {s} * 0.3 + {b} * 0.2 AS baseline, {s} * 0.4 + grea
         epochs = lambda win, step: o(self.v4, f"""SELECT CAST(k AS INT) AS epoch, from_ms + k * {step} AS start_ms, least(from_ms + k * {step} + {win}, to_ms) AS end_ms, (SELECT count(*) FROM v4 WHERE ms >= b.from_ms + k * {step} AND ms < least(b.from_ms + k * {step} + {win}, b.to_ms)) AS requests
 FROM (SELECT DISTINCT from_ms, to_ms FROM v4) b, range(0, 100000) r(k) WHERE from_ms + k * {step} < to_ms""")
         score = lambda s: o(self.scores, f"SELECT epoch, key, identifier, round(confidence, 6) AS confidence FROM {s}")
+        first = f"greatest(0, CAST(floor((ms - from_ms - {WINDOW_MS}) / {FINE_STEP_MS}.0) AS BIGINT) + 1)"
+        sliding = f"s AS (SELECT *, CAST(unnest(range({first}, (ms - from_ms) // {FINE_STEP_MS} + 1)) AS INT) AS epoch FROM v4)"
         return {
             "classify_levels": o(self.cls, f"SELECT source, method, {level('threat_rank')} AS threat_level, count(*) AS requests FROM (SELECT *, {self.source()} AS source FROM cls) GROUP BY ALL"),
             "source_mix": o(self.req, f"SELECT {self.source()} AS source, count(*) AS requests FROM req GROUP BY ALL"),
@@ -236,6 +238,12 @@ FROM (SELECT id, CASE id % 4 WHEN 0 THEN NULL WHEN 1 THEN ip WHEN 2 THEN ip || '
             "recent_requests": o(self.req, f"SELECT id, created_at, ip, full_url FROM req ORDER BY created_at DESC, id DESC LIMIT {RECENT_ROWS}"),
             "epochs_tumbling": epochs(WINDOW_MS, WINDOW_MS), "epochs_sliding": epochs(SLIDE_WINDOW_MS, SLIDE_STEP_MS),
             "per_ip_metrics": o(self.metrics, "SELECT epoch, ip, volume, unique_paths, round(burst_sec, 3) AS burst_sec, round(ua_diversity, 6) AS ua_diversity FROM per_ip"),
+            "sliding_ip_metrics": o(self.v4, sliding, """SELECT epoch, ip, count(*) AS volume, count(DISTINCT route) AS unique_paths,
+  round(CASE WHEN count(*) < 2 THEN CAST('inf' AS DOUBLE) ELSE (max(ms) - min(ms)) / 1000.0 END, 3) AS burst_sec,
+  round((count(DISTINCT user_agent) + max(CAST(user_agent IS NULL AS INT))) / CAST(count(*) AS DOUBLE), 6) AS ua_diversity
+FROM s GROUP BY epoch, ip"""),
+            "sliding_asn_metrics": o(self.v4, sliding, """SELECT epoch, asn, count(DISTINCT ip) AS distinct_ips, count(DISTINCT CASE WHEN is_attack THEN route END) AS path_union_size
+FROM s WHERE threat_rank > 0 AND NOT coalesce(is_tor, false) AND asn IS NOT NULL GROUP BY epoch, asn"""),
             "asn_metrics": o(self.metrics, "SELECT epoch, asn, count(DISTINCT ip) AS distinct_ips, count(DISTINCT CASE WHEN is_attack THEN route END) AS path_union_size FROM nt WHERE asn IS NOT NULL GROUP BY ALL"),
             "subnet_cohesion": o(self.metrics, "SELECT epoch, asn, subnet, round(cohesion, 6) AS cohesion FROM cohesion"),
             "fingerprint_clusters": o(self.metrics, "SELECT epoch, asn, fingerprint, ip_count, path_union_size FROM groups"),

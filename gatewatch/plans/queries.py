@@ -16,7 +16,7 @@ from ..operators.strategies import STRATEGIES
 from ..sources import requests, sinks
 from .detect import context_of, detect
 from .oracles import Oracles
-from .settings import KNOWN_ASN, MIN_CONFIDENCE, PAGE_ENDS, PROPOSALS, RECENT_ROWS, SIBLING, SINCE_ID, SLIDE_STEP_MS, SLIDE_WINDOW_MS, WINDOW_MS
+from .settings import FINE_STEP_MS, KNOWN_ASN, MIN_CONFIDENCE, PAGE_ENDS, PROPOSALS, RECENT_ROWS, SIBLING, SINCE_ID, SLIDE_STEP_MS, SLIDE_WINDOW_MS, WINDOW_MS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -195,6 +195,18 @@ def per_ip_metrics(spark, sf_dir):
     return _rounded(_rounded(metrics.per_ip(_context(spark, sf_dir).rows), "ua_diversity"), "burst_sec", digits=3)
 
 
+@query
+def sliding_ip_metrics(spark, sf_dir):
+    """Address metrics of epochs that start every tenth of their length, from panes."""
+    rows = context_of(requests.derived(spark, sf_dir), WINDOW_MS, FINE_STEP_MS).rows
+    return _rounded(_rounded(metrics.per_ip(rows), "ua_diversity"), "burst_sec", digits=3)
+
+
+@query
+def sliding_asn_metrics(spark, sf_dir):
+    return metrics.per_asn(context_of(requests.derived(spark, sf_dir), WINDOW_MS, FINE_STEP_MS).rows)
+
+
 @query
 def asn_metrics(spark, sf_dir):
     return metrics.per_asn(_context(spark, sf_dir).rows)
@@ -207,12 +219,12 @@ def subnet_cohesion(spark, sf_dir):
 
 @query
 def fingerprint_clusters(spark, sf_dir):
-    return metrics.fingerprint_clusters(metrics.fingerprints(_context(spark, sf_dir).rows)).drop("first_ms", "first_id")
+    return metrics.fingerprint_clusters(_context(spark, sf_dir).rows)
 
 
 @query
 def dominant_cluster(spark, sf_dir):
-    return metrics.dominant_clusters(metrics.fingerprints(_context(spark, sf_dir).rows))
+    return metrics.dominant_clusters(_context(spark, sf_dir).rows)
 
 
 def _scores(k: int):
@@ -253,7 +265,7 @@ def candidate_report(spark, sf_dir):
 @query
 def known_answer_replay(spark, sf_dir):
     """Whether the network known for a cluster of equal route sets still shows one of three addresses or more."""
-    found = metrics.dominant_clusters(metrics.fingerprints(_context(spark, sf_dir).rows)).where(F.col("asn") == KNOWN_ASN)
+    found = metrics.dominant_clusters(_context(spark, sf_dir).rows).where(F.col("asn") == KNOWN_ASN)
     return found.select("epoch", "ip_count", "path_union_size", (F.col("ip_count") >= 3).alias("as_expected"))
 
 

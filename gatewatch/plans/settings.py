@@ -3,6 +3,8 @@
 #: Five days: the test data's events are sparse.
 WINDOW_MS = 432_000_000
 SLIDE_WINDOW_MS, SLIDE_STEP_MS = 432_000_000, 172_800_000
+#: A step of one tenth of the window, for metrics in overlapping epochs.
+FINE_STEP_MS = 43_200_000
 MIN_CONFIDENCE = 0.5
 SINCE_ID = 500
 RECENT_ROWS = 50

@@ -1,14 +1,16 @@
 """Scenarios of small request logs."""
 
 import datetime as dt
+import hashlib
 import itertools
 import json
 import math
+import random
 import re
 
 import pytest
 from gatewatch import catalogs
-from gatewatch.operators import campaigns, epochs, metrics
+from gatewatch.operators import campaigns, epochs, metrics, panes
 from gatewatch.operators.classify import add_rate_limits, check_addresses, classify, is_attack_path, path_severity
 from gatewatch.operators.strategies import STRATEGIES, FingerprintCluster, SingleBurst, SubnetOverlap, ToolReputation
 from gatewatch.plans.detect import context_of, detect
@@ -85,7 +87,7 @@ def test_dominant_cluster_is_the_largest_of_two_routes_or_more(spark):
     wide = [(f"198.51.{k}.9", r, 100 + 10 * k + j) for k in range(4) for j, r in enumerate(ROUTES[:3])]
     early = [(f"203.0.{k}.9", r, 10 * k + j) for k in range(4) for j, r in enumerate(ROUTES[3:5])]
     single = [(f"192.0.2.{k}", ROUTES[9], 200 + k) for k in range(9)]
-    best = lambda rows: [(r.ip_count, r.path_union_size) for r in metrics.dominant_clusters(metrics.fingerprints(context_of(log(spark, rows)).rows)).collect()]
+    best = lambda rows: [(r.ip_count, r.path_union_size) for r in metrics.dominant_clusters(context_of(log(spark, rows)).rows).collect()]
     assert best(wide + single) == [(4, 3)] and best(wide + early + single) == [(4, 2)] and best(single) == []  # of equal ones the first seen
 
 
@@ -294,3 +296,36 @@ def test_marker_scan(spark):
     rows = spark.createDataFrame([("1.1.1.1", 7), ("2.2.2.9", None)], "ip string, asn int")
     got = {(r.scope_value, r.ttl_ms) for r in campaigns.markers_for(marks, rows, 10).collect()}
     assert got == {("7", 10), ("2.2.2.0/24", 20)}
+
+
+@pytest.mark.parametrize(("window", "step"), [(10_000, 1_000), (10_000, 10_000), (4_000, 10_000), (6_000, 4_000)])
+def test_panes_give_the_epochs_of_single_requests(spark, window, step):
+    rng = random.Random(window + step)
+    data = [(rng.choice(["1.1.1.1", "1.1.1.2"]), rng.choice(["/", "/.env", "/x"]), rng.randint(0, 40_000) / 1000, {"ua": rng.choice(["a", "b", None])}) for _ in range(300)]
+    rows = classify(log(spark, data))
+    start, end = epochs.scan_range(rows)
+    size = panes.pane_ms(window, step)
+    whole = panes.in_panes(rows, start, end, size)
+    halves = [panes.in_panes(rows.where(F.col("id") % 2 == k), start, end, size) for k in (0, 1)]
+    merged = panes.merged(halves[0].unionAll(halves[1]))
+    assert sorted(map(repr, merged.collect())) == sorted(map(repr, whole.select(merged.columns).collect()))
+    got = {(r.epoch, r.ip): tuple(r)[2:] for r in metrics.per_ip(panes.in_epochs(merged, start, end, window, step)).collect()}
+    want = {}
+    single = epochs.in_epochs(rows, start, end, window, step).select("epoch", "end_ms", "ip", "route", "user_agent", epochs.millis(F.col("created_at")).alias("ms")).collect()
+    for key in {(r.epoch, r.ip) for r in single}:
+        mine = [r for r in single if (r.epoch, r.ip) == key]
+        times = [r.ms for r in mine]
+        want[key] = (len(mine), len({r.route for r in mine}), (max(times) - min(times)) / 1000 if len(mine) > 1 else math.inf, len({r.user_agent for r in mine}) / len(mine))
+    assert got == want
+    ends = {r.epoch: r.end_ms for r in panes.in_epochs(merged, start, end, window, step).select("epoch", "end_ms").distinct().collect()}
+    assert ends == {r.epoch: r.end_ms for r in single}
+
+
+def test_equal_route_sets_share_an_id_and_no_others(spark):
+    rows = [("10.0.0.1", "/.env", 0), ("10.0.0.1", "/.git/config", 1), ("10.0.1.2", "/.git/config", 2), ("10.0.1.2", "/.env", 3), ("10.0.1.2", "/.env", 4), ("10.0.2.3", "/.env", 5), ("10.0.2.3", "/phpinfo.php", 6), ("10.0.3.4", "/.env", 7)]
+    context = context_of(log(spark, rows))
+    prints = {r.ip: r.set_id for r in metrics.fingerprints(context.rows).collect()}
+    assert prints["10.0.0.1"] == prints["10.0.1.2"] and len(set(prints.values())) == 3
+    (best,) = metrics.dominant_clusters(context.rows).collect()
+    assert (best.ip_count, best.path_union_size, best.fingerprint) == (2, 2, hashlib.sha1(b"/.env\n/.git/config").hexdigest())
+    assert sorted((r.ip_count, r.path_union_size) for r in metrics.fingerprint_clusters(context.rows).collect()) == [(1, 2), (2, 2)]
