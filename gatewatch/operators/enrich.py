@@ -74,3 +74,10 @@ def with_location(rows: DataFrame, places: Geography, ip: str = "ip") -> DataFra
         return found.select(ip, F.when(F.col("c").isNotNull() | F.col("n").isNotNull(), where).alias("ip_location"))
 
     return per_distinct(rows.drop("ip_location"), ip, look_up)
+
+
+def enriched(rows: DataFrame, places: Geography, exits: DataFrame, catalog: Catalog | None = None, ip: str = "ip") -> DataFrame:
+    """``rows`` with ``ip_location``, ``ip_type`` (from the location's network and organisation) and ``is_tor``."""
+    located = with_location(rows, places, ip)
+    named = located.withColumns({"__network": F.col("ip_location.asn"), "__org": F.col("ip_location.org")})
+    return with_tor_flag(with_ip_type(named, catalog, "__network", "__org").drop("__network", "__org"), exits, ip)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import campaigns as records
+from ..tables import filesystem
 
 
 def append_requests(rows: DataFrame, path: str) -> None:
@@ -88,7 +89,7 @@ class CampaignStore(Protocol):
 class CampaignFolder:
     """Campaign records as numbered Parquet versions in a folder; an unfinished version does not count.
 
-    One writer at a time. Versions before the last stay, for readers that still use them.
+    One writer at a time. Versions before the last stay, for readers that still use them, until ``prune``.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
@@ -96,11 +97,10 @@ class CampaignFolder:
 
     def version(self) -> int:
         """The newest whole version; 0 without one."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path
-        fs = path(self.folder).getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(path(self.folder)):
+        where, fs = filesystem(self.spark, self.folder)
+        if not fs.exists(where):
             return 0
-        whole = [s.getPath() for s in fs.listStatus(path(self.folder)) if fs.exists(path(s.getPath(), "_SUCCESS"))]
+        whole = [s.getPath() for s in fs.listStatus(where) if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
         return max([int(p.getName().rpartition("=")[2]) for p in whole], default=0)
 
     def table(self, version: int | None = None) -> DataFrame | None:
@@ -111,6 +111,13 @@ class CampaignFolder:
     def put(self, table: DataFrame, version: int) -> None:
         table.write.mode("overwrite").parquet(f"{self.folder}/version={version}")
 
+    def prune(self, keep: int = 2) -> None:
+        """Only the newest versions stay, for readers of the one before the last."""
+        where, fs = filesystem(self.spark, self.folder)
+        found = sorted((int(s.getPath().getName().rpartition("=")[2]), s.getPath()) for s in fs.listStatus(where))
+        for _, old in found[:-keep]:
+            fs.delete(old, True)
+
     def _records(self) -> DataFrame:
         table = self.table()
         if table is None:

@@ -9,12 +9,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..catalogs import Catalog, load
-from ..functions.scalars import SENSITIVE_KEYS, forwarding_chain, redacted, source_of, token_claims, token_of
+from ..functions.scalars import SENSITIVE_KEYS, forwarding_chain, is_ipv4, redacted, source_of, token_claims, token_of
+from ..operators import panes
 from ..operators.campaigns import MIN_CONFIDENCE, fold, upsert
-from ..operators.classify import add_rate_limits, check_addresses, leveled, method_signals, url_signals
+from ..operators.classify import add_rate_limits, check_addresses, classify, leveled, method_signals, url_signals
+from ..operators.enrich import Geography, enriched
 from ..operators.epochs import MARKER_MS, WINDOW_MS, millis
-from ..plans.detect import detect
+from ..plans.detect import context_of_panes, detected
+from ..sources.refresh import Refreshed
 from ..sources.sinks import CampaignFolder
+from ..tables import Scratch, filesystem, written
 
 #: What a raw request has beyond the columns that are stored.
 _TRANSIENT = ("x_forwarded_for", "cf_connecting_ip", "cf_ip_country", "rate_tier", "rate_severity", "rate_count", "rate_limit", "cookies", "headers")
@@ -64,40 +68,97 @@ def level_windows(rows: DataFrame, window: str = "6 hours", late: str = "1 hour"
     return rows.withWatermark("created_at", late).groupBy(F.window("created_at", window).alias("w"), "threat_level").agg(F.count("*").alias("requests")).select("w.start", "w.end", "threat_level", "requests")
 
 
+class Capture:
+    """Micro-batches of captured rows, enriched and stored under ``folder``: ``batch=N``, so that a repeated batch replaces itself.
+
+    The lookups are asked at each batch: they are read again when they are due, and a failed read keeps the
+    last good version. Rows get ``ip_location``, ``ip_type`` and ``is_tor``.
+    """
+
+    def __init__(self, folder: str, places: Refreshed[Geography], exits: Refreshed[DataFrame], catalog: Catalog | None = None):
+        self.folder, self.places, self.exits, self.catalog = folder.rstrip("/"), places, exits, catalog
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        places, exits = self.places.value(), self.exits.value()
+        with Scratch():
+            rows = written(batch, "captured")
+            enriched(rows, places, exits, self.catalog).write.mode("overwrite").parquet(f"{self.folder}/batch={number}")
+
+
 class Detector:
     """Micro-batches into a request table, closed epochs into campaign records.
 
-    ``folder`` holds ``requests`` (a folder a batch, so that a repeated batch replaces itself) and numbered
-    versions of ``campaigns``. An epoch is closed when a request that is ``late_ms`` past its end has come;
-    every closed epoch is detected once, because a version's number says up to which epoch it goes. A request
-    that comes after its epoch was closed stays in ``requests`` and counts in no campaign.
+    ``folder`` holds ``requests`` (a folder a batch, so that a repeated batch replaces itself), ``panes`` (the
+    batch's requests classified and summed up by epoch) and numbered versions of ``campaigns``. A batch reads its
+    own rows; when epochs close, their panes and those that markers still reach back to are merged, and older
+    ones go. An epoch is closed when a request that is ``late_ms`` past its end has come; every closed epoch is
+    detected once, because a version's number says up to which epoch it goes. A request that comes after its
+    epoch was closed stays in ``requests`` and counts in no campaign. So the records do not depend on how
+    requests up to ``late_ms`` late are dealt to batches.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, start_ms: int, window_ms: int = WINDOW_MS, min_confidence: float = MIN_CONFIDENCE, late_ms: int = 0):
+    def __init__(self, spark: SparkSession, folder: str, start_ms: int, window_ms: int = WINDOW_MS, min_confidence: float = MIN_CONFIDENCE, late_ms: int = 0, catalog: Catalog | None = None):
         self.spark, self.folder, self.start_ms, self.window_ms, self.min_confidence, self.late_ms = spark, folder.rstrip("/"), start_ms, window_ms, min_confidence, late_ms
+        self.catalog = catalog or load()
         self.store = CampaignFolder(spark, f"{self.folder}/campaigns")
 
     def campaigns(self) -> DataFrame | None:
         return self.store.table()
 
     def __call__(self, batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{self.folder}/requests/batch={number}")
-        rows = self.spark.read.parquet(f"{self.folder}/requests").drop("batch")
-        newest = rows.agg(F.max(millis(F.col("created_at"))).alias("m")).first()["m"]
-        done = self.store.version()
-        closed = 0 if newest is None else max(0, (newest - self.late_ms - self.start_ms) // self.window_ms)
-        if closed <= done:
-            return
+        with Scratch():
+            batch.write.mode("overwrite").parquet(f"{self.folder}/requests/batch={number}")
+            rows = self.spark.read.schema(batch.schema).parquet(f"{self.folder}/requests/batch={number}")
+            done = self.store.version()
+            like = self._add_panes(rows, done, number)
+            newest = self._newest(rows, number)
+            closed = 0 if newest is None else max(0, (newest - self.late_ms - self.start_ms) // self.window_ms)
+            if closed > done:
+                self._close(done, closed, like)
+
+    def _add_panes(self, rows: DataFrame, done: int, number: int) -> DataFrame:
+        kept = classify(rows.where(is_ipv4(F.col("ip"))), self.catalog)
+        mine = panes.in_panes(kept, self.start_ms, None, self.window_ms).where(F.col("pane") >= done).withColumn("batch", F.lit(number))
+        mine.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("pane", "batch").parquet(f"{self.folder}/panes")
+        return mine.limit(0)
+
+    def _newest(self, rows: DataFrame, number: int) -> int | None:
+        """The latest time so far. Each batch writes it; all but the last two such notes go."""
+        own = rows.agg(F.max(millis(F.col("created_at"))).alias("newest"))
+        notes = f"{self.folder}/newest"
+        before = self._numbers(notes, "batch")
+        if before:
+            own = own.unionAll(self.spark.read.schema("newest long").parquet(*[f"{notes}/batch={n}" for n in before])).agg(F.max("newest").alias("newest"))
+        newest = own.first()["newest"]
+        self.spark.createDataFrame([(newest,)], "newest long").write.mode("overwrite").parquet(f"{notes}/batch={number}")
+        self._drop([f"{notes}/batch={n}" for n in sorted(before)[:-1] if n != number])
+        return newest
+
+    def _close(self, done: int, closed: int, like: DataFrame) -> None:
         # markers of the epochs before reach into the new ones, hence some epochs more are scored than folded
-        back = -(-MARKER_MS // self.window_ms)
-        first = max(0, done - back)
-        ends = self.start_ms + closed * self.window_ms
-        mine = rows.where((millis(F.col("created_at")) >= self.start_ms + first * self.window_ms) & (millis(F.col("created_at")) < ends))
-        found = detect(mine, self.min_confidence, window_ms=self.window_ms, step_ms=self.window_ms, from_ms=self.start_ms + first * self.window_ms, to_ms=ends)
+        first = max(0, done - -(-MARKER_MS // self.window_ms))
+        numbers = self._numbers(f"{self.folder}/panes", "pane")
+        wanted = [f"{self.folder}/panes/pane={n}" for n in numbers if first <= n < closed]
+        read = self.spark.read.option("basePath", f"{self.folder}/panes").parquet(*wanted) if wanted else like
+        summed = written(panes.merged(read).withColumn("pane", F.col("pane").cast("long") - first), "panes")
+        begin, end = self.start_ms + first * self.window_ms, self.start_ms + closed * self.window_ms
+        found = detected(context_of_panes(summed, begin, end, self.window_ms, self.window_ms, self.catalog), self.min_confidence)
         new = found.candidates.withColumn("epoch", F.col("epoch") + first).where(F.col("epoch") >= done)
         old = self.campaigns()
-        table = fold(new, source="live") if old is None else upsert(old, new, source="live")
-        self.store.put(table, closed)
+        self.store.put(fold(new, source="live") if old is None else upsert(old, new, source="live"), closed)
+        self.store.prune()
+        self._drop([f"{self.folder}/panes/pane={n}" for n in numbers if n < closed - -(-MARKER_MS // self.window_ms)])
+
+    def _numbers(self, folder: str, name: str) -> list[int]:
+        """Numbers of the folders ``name=N``."""
+        where, fs = filesystem(self.spark, folder)
+        found = [s.getPath().getName() for s in fs.listStatus(where)] if fs.exists(where) else []
+        return sorted(int(n.rpartition("=")[2]) for n in found if n.startswith(f"{name}="))
+
+    def _drop(self, folders: list[str]) -> None:
+        for folder in folders:
+            where, fs = filesystem(self.spark, folder)
+            fs.delete(where, True)
 
 
 def append_to(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

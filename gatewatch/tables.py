@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable
 
@@ -24,13 +25,51 @@ def scratch_dir(spark: SparkSession) -> str:
     return known.rstrip("/")
 
 
+_open = threading.local()
+
+
+class Scratch:
+    """Tables that are written inside go at the end, or with ``drop`` if ``keep`` is set.
+
+    >>> with Scratch(): ...
+
+    Scopes nest, and each thread has its own. Without any, tables go when the driver ends.
+    """
+
+    def __init__(self, keep: bool = False):
+        self.keep, self.paths = keep, []
+
+    def __enter__(self) -> Scratch:
+        _open.scopes = [*getattr(_open, "scopes", []), self]
+        return self
+
+    def __exit__(self, *error) -> None:
+        _open.scopes = _open.scopes[:-1]
+        if not self.keep or error[0] is not None:
+            self.drop()
+
+    def drop(self) -> None:
+        for where, fs in self.paths:
+            fs.delete(where, True)
+            fs.cancelDeleteOnExit(where)
+        self.paths = []
+
+
+def filesystem(spark: SparkSession, path: str):
+    """A path and its file system."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` after a trip through Parquet in the shared folder: lineage ends there, lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    where, fs = filesystem(spark, path)
+    fs.deleteOnExit(where)
+    if scopes := getattr(_open, "scopes", []):
+        scopes[-1].paths.append((where, fs))
     df.write.parquet(path)
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
 
 

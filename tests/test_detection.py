@@ -7,6 +7,7 @@ import json
 import math
 import random
 import re
+from pathlib import Path
 
 import pytest
 from gatewatch import catalogs
@@ -291,6 +292,32 @@ def test_live_detector_waits_for_late_requests(spark, tmp_path):
     assert key(live.campaigns()) == key(batch.campaigns) and batch.campaigns.count() > 0
 
 
+def test_live_detector_in_any_order_within_the_delay(spark, tmp_path):
+    """Batches read their own rows and the panes that close; nothing but the stored rows piles up."""
+    from gatewatch.streaming.live import Detector
+    from gatewatch.tables import scratch_dir
+
+    hour = 3_600_000
+    rng = random.Random(5)
+    rows = [(f"198.51.{100 + k % 2}.{k}", p, h * 3600 + 300 * k + 20 * j, {"ua": f"ua{j % 3}"}) for h in range(6) for k in range(8) for j, p in enumerate(ROUTES[: 8 + h]) if h != 3 or k < 2]
+    late = sorted(((r[2] + rng.random() * 3_590, k) for k, r in enumerate(rows)))
+    whole = log(spark, rows).drop("request_body")
+    live = Detector(spark, str(tmp_path), START, hour, 0.3, late_ms=hour)
+    tables = Path(scratch_dir(spark)) / "tables"
+    before = {p.name for p in tables.iterdir()} if tables.exists() else set()
+    size = -(-len(late) // 7)
+    for n in range(7):
+        ids = [k + 1 for _, k in late[n * size : (n + 1) * size]]
+        live(whole.where(F.col("id").isin(ids)), n)
+        assert {p.name for p in tables.iterdir()} <= before
+        assert len(list((tmp_path / "campaigns").glob("version=*"))) <= 2 and len(list((tmp_path / "newest").glob("batch=*"))) <= 2
+    closed = live.store.version()
+    assert closed >= 4 and min(int(p.name.rpartition("=")[2]) for p in (tmp_path / "panes").glob("pane=*")) >= closed - 8
+    batch = detect(whole, 0.3, window_ms=hour, step_ms=hour, from_ms=START, to_ms=START + closed * hour)
+    key = lambda t: sorted((r.identifier, r.times_fired, r.peak_confidence, r.contributing_ips, len(r.evidence_history)) for r in t.collect())
+    assert key(live.campaigns()) == key(batch.campaigns) and batch.campaigns.count() > 0
+
+
 def test_marker_scan(spark):
     marks = spark.createDataFrame([("ip", "1.1.1.1", "m", 10), ("asn", "7", "m", 20), ("asn_subnet", "2.2.2.0/24", "m", 30), ("asn_subnet", "9.9.9.0/24", "m", 30)], "scope_type string, scope_value string, marker_name string, expires_ms long")
     rows = spark.createDataFrame([("1.1.1.1", 7), ("2.2.2.9", None)], "ip string, asn int")

@@ -4,13 +4,16 @@ import gzip
 import hashlib
 import hmac
 import json
+from pathlib import Path
 
 import pytest
 from gatewatch.operators import mining
 from gatewatch.operators.classify import classify
 from gatewatch.operators.enrich import geography, with_ip_type, with_location, with_tor_flag
 from gatewatch.sources import requests, sinks
+from gatewatch.sources.refresh import Refreshed
 from gatewatch.streaming import live
+from gatewatch.tables import scratch_dir
 from pyspark.sql import functions as F
 
 LINES = [
@@ -168,6 +171,43 @@ def test_capture(spark, tmp_path):
     assert {"forwarding_chain", "threat_level", "source"} <= set(plain.columns) and "user_id" not in plain.columns
 
 
+def test_stored_rows_are_enriched_with_lookups_that_are_read_again(spark, tmp_path):
+    now, lists = [0.0], [["9.9.9.9 ", ""], None, ["1.1.1.1"]]
+    exits_file = tmp_path / "exits"
+
+    def read_exits():
+        found = lists.pop(0)
+        if found is None:
+            raise OSError("the list could not be fetched")
+        exits_file.write_text("\n".join(found))
+        return requests.read_exits(spark, str(exits_file))
+
+    cities = spark.createDataFrame([("1.1.0.0/16", "AU", "Town", 1.0, 2.0)], "network string, country string, city string, latitude double, longitude double")
+    nets = spark.createDataFrame([("1.1.1.0/24", 63949, "Org")], "network string, asn int, org string")
+    exits = Refreshed(read_exits, clock=lambda: now[0])
+    places = Refreshed(lambda: geography(cities, nets), clock=lambda: now[0])
+    store = live.Capture(str(tmp_path / "stored"), places, exits)
+    schema = "id long, ip string, route string, full_url string, method string, user_agent string, created_at timestamp"
+    (tmp_path / "in").mkdir()
+    stream = live.captured(live.requests_stream(spark, str(tmp_path / "in"), schema))
+    tables = Path(scratch_dir(spark)) / "tables"
+    for n, hours in enumerate([0, 1, 13, 26]):
+        now[0] = hours * 3_600.0
+        calm = {"route": "/", "full_url": "/", "method": "GET", "user_agent": "ua", "created_at": "2024-01-01T00:00:00Z"}
+        (tmp_path / "in" / f"{n}.json").write_text("\n".join(json.dumps(calm | {"id": 10 * n + k, "ip": ip}) for k, ip in enumerate(["1.1.1.1", "9.9.9.9", "::1"])))
+        live.each_batch(stream, store, str(tmp_path / "cp")).awaitTermination(120)
+        if n == 0:
+            left = len(list(tables.iterdir()))
+    got = {r.id: r for r in spark.read.parquet(str(tmp_path / "stored")).collect()}
+    assert [[got[10 * n + k].is_tor for k in range(3)] for n in range(4)] == [[False, True, False]] * 3 + [[True, False, False]]
+    assert (got[0].ip_location.city, got[0].ip_location.asn, got[0].ip_type) == ("Town", 63949, "hosting")
+    assert (got[1].ip_location, got[1].ip_type, got[2].ip_location, len(got), got[0].threat_level) == (None, None, None, 12, "none")
+    assert len(list(tables.iterdir())) <= left + 6 and not lists
+    with pytest.raises(OSError):
+        Refreshed(lambda: open(tmp_path / "none")).value()
+    assert Refreshed(lambda: open(tmp_path / "none"), otherwise="stand-in").value() == "stand-in"
+
+
 def test_recent(spark):
     rows = spark.createDataFrame([(k, dt.datetime(2024, 1, 1, k // 2)) for k in range(9)], "id long, created_at timestamp")
     assert [r.id for r in requests.recent(rows, 3).collect()] == [8, 7, 6] and requests.recent(rows.limit(0), 3).count() == 0
