@@ -109,27 +109,52 @@ def forwarding_chain(xff: Column, connecting_ip: Column, country: Column) -> Col
     )
 
 
+#: Tokens of JSON text; white space between them is left out.
+_JSON_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|[{}\[\],:]|[^\s{}\[\],:"]+')
+_OPENS, _CLOSES = ("{", "["), ("}", "]")
+
+
+def _no_json(name: str):
+    raise ValueError(name)
+
+
+def _without_sensitive(text: str, sensitive: re.Pattern) -> str:
+    """``text``, a JSON value, with the values of sensitive keys replaced; all other tokens stay as they are."""
+    tokens, out, at = _JSON_TOKEN.findall(text), [], 0
+    while at < len(tokens):
+        out.append(tokens[at])
+        at += 1
+        if tokens[at : at + 1] != [":"] or not sensitive.search(json.loads(out[-1])):
+            continue
+        out += [":", '"[REDACTED]"']
+        at, depth = at + 1, 0
+        while True:
+            depth += (tokens[at] in _OPENS) - (tokens[at] in _CLOSES)
+            at += 1
+            if not depth:
+                break
+    return "".join(out)
+
+
 def redacted(body: Column, keys: str = SENSITIVE_KEYS) -> Column:
     """JSON text with the values of sensitive keys replaced, at any depth.
 
-    Text without such a key stays as it is, as does text that is no JSON; JSON too deep to read is replaced whole.
+    Where there is such a key, white space between tokens goes; all other keys and values, repeated keys too,
+    keep every character. Text without such a key stays as it is, as does text that is no JSON; JSON too deep to
+    read is replaced whole.
     """
     sensitive = re.compile(keys, re.I)
 
     def one(text):
         found = []
-
-        def clean(pairs):
-            found.extend(k for k, _ in pairs if sensitive.search(k))
-            return {k: "[REDACTED]" if sensitive.search(k) else v for k, v in pairs}
-
+        note = lambda pairs: found.extend(k for k, _ in pairs if sensitive.search(k))
         try:
-            value = json.loads(text, object_pairs_hook=clean)
-            return json.dumps(value, separators=(",", ":"), ensure_ascii=False) if found else text
+            json.loads(text, object_pairs_hook=note, parse_int=str, parse_float=str, parse_constant=_no_json)
         except RecursionError:
             return '"[REDACTED]"'
         except ValueError:
             return text
+        return _without_sensitive(text, sensitive) if found else text
 
     @F.pandas_udf("string")
     def redact(texts: pd.Series) -> pd.Series:

@@ -80,7 +80,13 @@ def test_redaction_and_tokens(spark):
     same = ['{"n": 1e5, "n": 2}', "[" * 3]
     hidden = ['{"a":{"token":1},"a":2}', '{"\\u0074oken":1}', '{"a":' * 100_000]
     odd = spark.createDataFrame([(k, b) for k, b in enumerate(same + hidden)], "k int, b string").orderBy("k")
-    assert [r.r for r in odd.select(s.redacted(F.col("b")).alias("r")).collect()] == [*same, '{"a":2}', '{"token":"[REDACTED]"}', '"[REDACTED]"']
+    assert [r.r for r in odd.select(s.redacted(F.col("b")).alias("r")).collect()] == [*same, '{"a":{"token":"[REDACTED]"},"a":2}', '{"\\u0074oken":"[REDACTED]"}', '"[REDACTED]"']
+    kept = ['1e400', '1E5', '-0.10000000000000000000000001', '123456789012345678901234567890', '"\\u00e9\\/ \\" : {"', 'true', '[1.50,{"a":[]},{}]', '9' * 5_000]
+    around = [(k, '{ "x" : ' + v + ', "Secret":[{"a":[1,"]"]},2] ,"x":' + v + ' }') for k, v in enumerate(kept)]
+    got = spark.createDataFrame(around, "k int, b string").orderBy("k").select(s.redacted(F.col("b")).alias("r")).collect()
+    assert [r.r for r in got] == ['{"x":' + v + ',"Secret":"[REDACTED]","x":' + v + '}' for v in kept]
+    no_json = ['{"token":1', '{"token":NaN}', '{"token":1}}']
+    assert [r.r for r in spark.createDataFrame([(b,) for b in no_json], "b string").select(s.redacted(F.col("b")).alias("r")).collect()] == no_json
     code = lambda x: base64.urlsafe_b64encode(x).rstrip(b"=").decode()
 
     def token(claims, key=b"k"):
