@@ -22,15 +22,14 @@ from .common import bounded_batches, documents, shuffle_partitions, written
 from .lots import Numbered, lot_number
 from .pieces import sliced
 from .quotient_filter import Filter, Ngrams
-from .token_pool import SLICE_BYTES
 
 #: Characters that end a piece of text.
 ENDS = ".,;:!?\n\x0b\x0c\r"
 _TO_LINE = bytes.maketrans(ENDS.encode(), b"\n" * len(ENDS))
 #: Words and distinct words at which a lot is closed.
-LOT_WORDS, LOT_VOCABULARY = 4_000_000, 1_000_000
+LOT_WORDS, LOT_VOCABULARY = 1_000_000, 200_000
 #: Entries at which a task merges its filters, and of a bucket on average.
-TASK_ENTRIES, BUCKET_ENTRIES = 2_000_000, 2_000_000
+TASK_ENTRIES, BUCKET_ENTRIES = 500_000, 1_000_000
 #: Bits of the table of frequent n-grams: so many for each, up to the bound (32 MB).
 BITS_EACH, MOST_BITS = 16, 1 << 28
 
@@ -62,7 +61,7 @@ def word_lots(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
             )
 
         for batch in batches:
-            for a, b in sliced(batch.column(1), SLICE_BYTES):
+            for a, b in sliced(batch.column(1)):
                 stream: list[int] = []
                 for lang, text in zip(batch.column(0).slice(a, b - a).to_pylist(), batch.column(1).slice(a, b - a).to_pylist(), strict=True):
                     if lang not in known:
@@ -100,20 +99,20 @@ def numbered(words: DataFrame) -> DataFrame:
 
 
 def id_streams(streams: DataFrame, ids: DataFrame) -> DataFrame:
-    """Streams of corpus-wide ids (``ids``: of_lot, number, id); 0 between pieces and for all other words, once in a row."""
+    """Streams of corpus-wide ids (``ids``: of_lot, number, id, 0 for infrequent words); 0 between pieces and for those, once in a row."""
 
     def resolve(left: pa.Table, right: pa.Table) -> pa.Table:
         number, own = right.column("number").to_numpy(), right.column("id").to_numpy()
         column = left.column("stream").combine_chunks()
         flat = column.flatten().to_numpy()
         most = int(max(number.max(initial=-1), flat.max(initial=-1))) + 1
-        of = np.zeros(most + 1, dtype=np.int64)  # the last is for -1
+        of = np.zeros(most + 1, dtype=np.int32)  # the last is for -1
         of[number] = own
         x = of[flat]
         x = x[(x != 0) | (np.concatenate([[0], x[:-1]]) != 0)]
-        return pa.table([pa.array([x], pa.list_(pa.int64()))], names=["ids"])
+        return pa.table([pa.array([x], pa.list_(pa.int32()))], names=["ids"])
 
-    return streams.groupBy("lot").cogroup(ids.groupBy("of_lot")).applyInArrow(resolve, "ids array<long>")
+    return streams.groupBy("lot").cogroup(ids.groupBy("of_lot")).applyInArrow(resolve, "ids array<int>")
 
 
 def _windows(ids: np.ndarray, words: int) -> np.ndarray:
@@ -198,7 +197,7 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     cut, the larger count, then the phrase's bytes. Null texts are empty, a null language is ``und``, repeated
     rows each count, texts are read whole and an empty table has no phrases. Other columns do not pass.
 
-    1000 a n must stay below 10^38. Corpora of over 2^32 frequent words are refused.
+    1000 a n must stay below 10^38. Corpora of over 2^31 frequent words do not fit.
     """
     lots = written(word_lots(docs, text_col, lang_col), "word-lots").read()
     lists = lots.where("stream is null")
@@ -208,7 +207,8 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     known = listed.groupBy("lang", "words").agg(F.sum("counts").alias("f")).where(F.col("f") >= least)
     vocabulary = written(numbered(known.withColumnRenamed("words", "word")), "word-ids").read()
     n_words = vocabulary.count()
-    of_lot = listed.join(vocabulary.select("lang", F.col("word").alias("words"), "id"), ["lang", "words"]).select(F.col("lot").alias("of_lot"), F.col("numbers").alias("number"), "id")
+    ids = vocabulary.select("lang", F.col("word").alias("words"), "id")
+    of_lot = listed.join(ids, ["lang", "words"], "left").select(F.col("lot").alias("of_lot"), F.col("numbers").alias("number"), F.coalesce("id", F.lit(0)).cast("int").alias("id"))
     streams = written(id_streams(lots.where("stream is not null").select("lot", "stream"), of_lot), "word-streams").read()
     everything = totals.agg(F.sum("n")).first()[0] or 0
     buckets = max(2 * shuffle_partitions(docs.sparkSession), math.ceil(everything / BUCKET_ENTRIES))
