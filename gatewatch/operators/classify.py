@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..catalogs import Catalog, Pattern, load
+from ..functions.literals import mask_of, to_try
 from ..functions.regex import any_of, to_java
 from ..functions.scalars import is_valid_ip, level_of, rank_of
 from ..tables import per_distinct
@@ -41,20 +42,28 @@ def _names(values: list[str]) -> str:
     return "array(" + ", ".join("'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values) + ")"
 
 
-def scan(text: str, patterns: tuple[Pattern, ...], category: str, with_match: bool = False) -> Column:
+def screened(rows: DataFrame, text: str, patterns: tuple[Pattern, ...], mask: str) -> DataFrame:
+    """``rows`` with the column ``mask``, which tells :func:`scan` what patterns are worth trying on each text."""
+    return rows.withColumn(mask, mask_of(F.col(text), [p.pattern for p in patterns]))
+
+
+def scan(text: str, patterns: tuple[Pattern, ...], category: str, with_match: bool = False, mask: str | None = None) -> Column:
     """Signals of all patterns that the column ``text`` matches, in the catalog's order.
 
-    One alternation comes first, so that text without any match costs a single pass. Then each pattern is
-    tested as a literal (compiled once) and the numbers of those that match pick their descriptions.
+    Each pattern is tested as a literal (compiled once) and the numbers of those that match pick their
+    descriptions. Where there is a ``mask`` (see :func:`screened`), patterns without their literals in the text
+    are not tried; else one alternation comes first, so that text without any match costs a single pass.
     """
     chunks = []
     for at in range(0, len(patterns), _CHUNK):
-        tests = ", ".join(f"IF({text} RLIKE {_raw(to_java(p.pattern, p.ignore_case))}, {at + k + 1}, NULL)" for k, p in enumerate(patterns[at : at + _CHUNK]))
-        chunks.append(f"filter(array({tests}), n -> n IS NOT NULL)")
+        numbered = enumerate(patterns[at : at + _CHUNK], at)
+        tests = [(f"{to_try(mask, k)} AND " if mask else "") + f"{text} RLIKE {_raw(to_java(p.pattern, p.ignore_case))}" for k, p in numbered]
+        chunks.append(f"filter(array({', '.join(f'IF({t}, {at + k + 1}, NULL)' for k, t in enumerate(tests))}), n -> n IS NOT NULL)")
     severity, description = _names([p.severity for p in patterns]), _names([p.description for p in patterns])
     matched = text if with_match else "CAST(NULL AS STRING)"
     made = f"named_struct('category', '{category}', 'severity', element_at({severity}, n), 'description', element_at({description}, n), 'matched', {matched}, 'raw_xff', CAST(NULL AS STRING), 'tier', CAST(NULL AS STRING), 'count', CAST(NULL AS INT), 'limit', CAST(NULL AS INT))"
-    return F.expr(f"IF({text} RLIKE {_raw(any_of(patterns))}, transform(concat({', '.join(chunks)}), n -> {made}), CAST(array() AS {SIGNALS}))")
+    any_hit = f"exists(`{mask}`, w -> w <> 0)" if mask else f"{text} RLIKE {_raw(any_of(patterns))}"
+    return F.expr(f"IF({any_hit}, transform(concat({', '.join(chunks)}), n -> {made}), CAST(array() AS {SIGNALS}))")
 
 
 def url_signals(urls: DataFrame, catalog: Catalog) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..catalogs import load
 from ..functions import scalars
 from ..operators import campaigns, enrich, epochs, metrics, mining
-from ..operators.classify import classify, scan, url_signals
+from ..operators.classify import classify, scan, screened, url_signals
 from ..operators.strategies import STRATEGIES
 from ..sources import requests, sinks
 from .detect import context_of, detect
@@ -72,7 +72,9 @@ def _hit_counts(rows: DataFrame, signals, name: str) -> DataFrame:
 
 @query
 def body_threats_documents(spark, sf_dir):
-    return _hit_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), scan("text", load().bodies, "body"), "documents")
+    bodies = load().bodies
+    rows = screened(spark.read.parquet(f"{sf_dir}/documents.parquet").select("text"), "text", bodies, "mask")
+    return _hit_counts(rows, scan("text", bodies, "body", mask="mask"), "documents")
 
 
 @query
