@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bit_table import bit_table, held_in
 from .common import bounded_batches, documents, shuffle_partitions, written
 from .lots import Numbered, lot_number
 from .pieces import sliced
@@ -30,8 +31,6 @@ _TO_LINE = bytes.maketrans(ENDS.encode(), b"\n" * len(ENDS))
 LOT_WORDS, LOT_VOCABULARY = 1_000_000, 200_000
 #: Entries at which a task merges its filters, and of a bucket on average.
 TASK_ENTRIES, BUCKET_ENTRIES = 500_000, 1_000_000
-#: Bits of the table of frequent n-grams: so many for each, up to the bound (32 MB).
-BITS_EACH, MOST_BITS = 16, 1 << 28
 
 
 def word_lots(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
@@ -173,21 +172,6 @@ def frequent_ngrams(streams: DataFrame, words: int, bits: int, least: int, bucke
     return streams.mapInArrow(counted, "bucket long, filter binary").groupBy("bucket").applyInArrow(summed, "ids array<long>, f long, mark long")
 
 
-def bit_table(marks: DataFrame, n: int) -> np.ndarray:
-    """A table with the bits of all ``mark`` set: 16 bits for each of the ``n`` marks, but no more than the bound."""
-    bits = min(MOST_BITS, max(64, 1 << (max(1, n) * BITS_EACH - 1).bit_length()))
-    place = F.col("mark").bitwiseAND(bits - 1)
-    cells = marks.groupBy(F.shiftright(place, 6).alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, cast(mark & 63 as int))")).alias("bits")).toArrow()
-    out = np.zeros(bits >> 6, dtype=np.int64)
-    out[cells.column("cell").to_numpy()] = cells.column("bits").to_numpy()
-    return out
-
-
-def held_in(table: np.ndarray, marks: np.ndarray) -> np.ndarray:
-    place = marks & (len(table) * 64 - 1)
-    return (table[place >> 6] >> (place & 63) & 1).astype(bool)
-
-
 def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 100, longest: int = 5, top: int = 2000, percent: int = 100) -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score``: the first ``top`` phrases of each language by score.
 

@@ -17,19 +17,23 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bit_table import bit_table, held_in
 from .common import Table, bounded_batches, documents, shuffle_partitions, text_buckets, unused, written
 from .shingles import SLICE_BYTES, mixed
 
 #: Bytes that the rolling hash sees.
 SEEN = 16
 #: One place in so many is proposed as a cut.
-RARITY = 20
+RARITY = 16
 #: Least and largest bytes of a chunk (the last one of a text may be shorter).
 LEAST = 10
 LARGEST = 256
-#: Characters from which a run of shared chunks counts as a repeated passage. The chunks at a passage's ends
-#: take in what stands around it, so a run is about 75 bytes shorter than its passage.
+#: Characters from which a repeated passage counts. The chunks at its ends take in what stands around it, so a
+#: run of shared chunks is some 65 bytes shorter; shorter runs are therefore extended by what stands beside them.
 PASSAGE_CHARS = 120
+#: Bytes beside a chunk that are compared, from the smallest on.
+BESIDE = (8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128)
+_BASE = 0x9E3779B97F4A7C15 | 1
 _GEAR = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.uint32)
 
 
@@ -68,21 +72,62 @@ def cuts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nda
     return begin, end
 
 
-def chunks(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all chunks: the text's number, start and length in characters, and digest (two 64-bit numbers)."""
-    raw = [t.encode() for t in texts]
-    sizes = np.array([len(r) for r in raw], dtype=np.int64)
-    gap = b"\0" * SEEN
-    joined = gap + gap.join(raw) + gap
-    data = np.frombuffer(joined, dtype=np.uint8)
-    starts = SEEN + np.concatenate([[0], np.cumsum(sizes + SEEN)[:-1]]) if len(raw) else np.zeros(0, np.int64)
-    begin, end = cuts(data, starts, starts + sizes)
-    digest = xxhash.xxh3_128_digest
-    both = np.frombuffer(b"".join([digest(joined[a:b]) for a, b in zip(begin.tolist(), end.tolist(), strict=True)]), dtype=np.int64).reshape(-1, 2)
-    chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-    owner = np.searchsorted(starts, begin, side="right") - 1
-    # empty texts share a start with nothing: the last start up to the place is the text's own
-    return owner, chars[begin] - chars[starts[owner]] if len(begin) else begin, (chars[end] - chars[begin]) if len(begin) else begin, both
+class Chunks:
+    """Chunks of texts: ``owner`` (the text's number), ``start`` and ``size`` in characters, ``digest`` (two 64-bit numbers)."""
+
+    def __init__(self, texts: list[str]):
+        raw = [t.encode() for t in texts]
+        sizes = np.array([len(r) for r in raw], dtype=np.int64)
+        gap = b"\0" * SEEN
+        joined = gap + gap.join(raw) + gap
+        self.data = np.frombuffer(joined, dtype=np.uint8)
+        self.starts = SEEN + np.concatenate([[0], np.cumsum(sizes + SEEN)[:-1]]) if len(raw) else np.zeros(0, np.int64)
+        self.ends = self.starts + sizes
+        self.begin, self.end = cuts(self.data, self.starts, self.ends)
+        digest = xxhash.xxh3_128_digest
+        self.digest = np.frombuffer(b"".join([digest(joined[a:b]) for a, b in zip(self.begin.tolist(), self.end.tolist(), strict=True)]), dtype=np.int64).reshape(-1, 2)
+        self.chars = np.concatenate([[0], np.cumsum((self.data & 0xC0) != 0x80)])
+        # empty texts share a start with nothing: the last start up to the place is the text's own
+        self.owner = np.searchsorted(self.starts, self.begin, side="right") - 1
+        if len(self.begin):
+            self.start, self.size = self.chars[self.begin] - self.chars[self.starts[self.owner]], self.chars[self.end] - self.chars[self.begin]
+        else:
+            self.start = self.size = self.begin
+
+    def beside(self, some: np.ndarray) -> list[bytes]:
+        """Of some chunks: for each length in ``BESIDE``, on the left and on the right, a 32-bit hash and the characters.
+
+        A stretch that the text does not have has no characters.
+        """
+        length = np.array(BESIDE)
+        powers = np.full(len(self.data) + 1, _BASE, dtype=np.uint64)
+        powers[0] = 1
+        powers = np.multiply.accumulate(powers)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * powers[:-1])])
+        out = []
+        for left in (True, False):
+            a = (self.begin[some, None] - length) if left else np.broadcast_to(self.end[some, None], (len(some), len(length)))
+            b = np.broadcast_to(self.begin[some, None], a.shape) if left else a + length
+            there = (a >= self.starts[self.owner[some], None]) & (b <= self.ends[self.owner[some], None])
+            a, b = np.where(there, a, 0), np.where(there, b, 0)
+            value = mixed((sums[b] - sums[a]) * powers[len(self.data) - a]) >> np.uint64(32)
+            cut = 0 if left else 1  # a character counts if all of it is inside
+            out += [value.astype("<u4").view(np.uint8).reshape(len(some), -1), (self.chars[b + cut] - self.chars[a + cut]).astype(np.uint8)]
+        return [row.tobytes() for row in np.concatenate(out, axis=1)]
+
+
+def in_common(mine: bytes, other: bytes, left: bool) -> int:
+    """Characters beside two equal chunks that agree, by the longest of the compared lengths up to which all agree."""
+    n = len(BESIDE)
+    at = 0 if left else 5 * n
+    found = 0
+    for k in range(n):
+        same = mine[at + 4 * k : at + 4 * k + 4] == other[at + 4 * k : at + 4 * k + 4]
+        chars = mine[at + 4 * n + k]
+        if not (same and chars and other[at + 4 * n + k]):
+            break
+        found = chars
+    return found
 
 
 def _sliced(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[str]]]:
@@ -134,9 +179,9 @@ def _packed(buckets: int):
         held, waiting = [], 0
         for batch in batches:
             for rows, texts in _sliced(batch):
-                owner, start, _, both = chunks(texts)
-                held.append([both[:, 0], both[:, 1], rows[owner], start * 2, rows[owner]])
-                waiting += len(owner)
+                found = Chunks(texts)
+                held.append([found.digest[:, 0], found.digest[:, 1], rows[found.owner], found.start * 2, rows[found.owner]])
+                waiting += len(found.owner)
                 if waiting > 1_000_000:
                     yield from flush(held)
                     held, waiting = [], 0
@@ -166,18 +211,57 @@ def shared_chunks(rows: DataFrame) -> Table:
     return written(packed.repartitionById(buckets, F.col("bucket")).mapInArrow(_shared, kind), "shared-chunks")
 
 
-def occurrences(rows: DataFrame) -> DataFrame:
-    """``row, start, n_chars, hi, lo`` of all chunks of ``row, text``; an empty text has none."""
+def occurrences(rows: DataFrame, digests: np.ndarray) -> DataFrame:
+    """``row, start, n_chars, hi, lo, beside`` of the chunks of ``row, text`` whose digest may be in the bit table."""
+    table = rows.sparkSession.sparkContext.broadcast(digests)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, texts in _sliced(batch):
-                owner, start, n, both = chunks(texts)
-                for a in range(0, len(owner), 50_000):
-                    s = slice(a, a + 50_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(rows[owner[s]]), pa.array(start[s].astype(np.int64)), pa.array(n[s].astype(np.int64)), pa.array(both[s, 0]), pa.array(both[s, 1])], names=["row", "start", "n_chars", "hi", "lo"])
+                found = Chunks(texts)
+                some = np.flatnonzero(held_in(table.value, found.digest[:, 1]))
+                for a in range(0, len(some), 20_000):
+                    s = some[a : a + 20_000]
+                    columns = [rows[found.owner[s]], found.start[s].astype(np.int64), found.size[s].astype(np.int64), found.digest[s, 0], found.digest[s, 1]]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(found.beside(s), pa.binary())], names=["row", "start", "n_chars", "hi", "lo", "beside"])
 
-    return rows.select("row", "text").mapInArrow(run, "row bigint, start bigint, n_chars bigint, hi bigint, lo bigint")
+    return rows.select("row", "text").mapInArrow(run, "row bigint, start bigint, n_chars bigint, hi bigint, lo bigint, beside binary")
+
+
+def _compared(pairs: DataFrame) -> DataFrame:
+    """``row, run, left_side, more`` of pairs ``row, run, left_side, mine, other``: characters that both have beside a chunk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, mine, other = (batch.column(k).to_pylist() for k in (2, 3, 4))
+            more = [in_common(m, o, side) for side, m, o in zip(left, mine, other, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(more, pa.int64())], names=["row", "run", "left_side", "more"])
+
+    return pairs.select("row", "run", "left_side", "mine", "other").mapInArrow(run, "row bigint, run bigint, left_side boolean, more bigint")
+
+
+def _extended(found: DataFrame, short: DataFrame) -> DataFrame:
+    """``row, run, to_left, to_right``: by how many characters short runs go on, compared with other occurrences.
+
+    A run that is not kept is compared, at either end, with the first occurrence of its chunk there; a kept one
+    with all others of that chunk, of which the farthest counts.
+    """
+    ends = found.join(short.select("row", "run", "run_start", "run_last"), ["row", "run"])
+    side = F.explode(F.filter(F.array(F.when(F.col("start") == F.col("run_start"), F.lit(True)), F.when(F.col("start") == F.col("run_last"), F.lit(False))), lambda x: x.isNotNull()))
+    ends = written(ends.select("row", "run", "kept", "hi", "lo", F.col("beside").alias("mine"), side.alias("left_side")), "run-ends").read()
+    others = found.select("hi", "lo", F.col("beside").alias("other"), F.col("kept").alias("other_kept"))
+    pairs = ends.join(others, ["hi", "lo"]).where("kept <> other_kept")
+    farthest = _compared(pairs).groupBy("row", "run", "left_side").agg(F.max("more").alias("more"))
+    to = lambda side: F.max(F.when(F.col("left_side") == side, F.col("more")))
+    return farthest.groupBy("row", "run").agg(to(True).alias("to_left"), to(False).alias("to_right"))
+
+
+def _apart(runs: DataFrame) -> DataFrame:
+    """Runs whose extensions do not reach into each other: what lies between two belongs to the first, as far as it goes."""
+    in_row = Window.partitionBy("row").orderBy("run_start")
+    end = F.col("run_start") + F.col("total")
+    runs = runs.withColumn("to_right", F.least("to_right", F.coalesce(F.lead("run_start").over(in_row) - end, F.col("to_right"))))
+    return runs.withColumn("to_left", F.least("to_left", F.coalesce(F.col("run_start") - F.lag(end + F.col("to_right")).over(in_row), F.col("to_left"))))
 
 
 def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str = "row") -> tuple[DataFrame, bool]:
@@ -197,7 +281,8 @@ def repeated_passages(docs: DataFrame, passage_chars: int = PASSAGE_CHARS, id_co
     """Passages that occur several times: ``doc_id, start, n_chars, kept, first_doc_id, inside, row``.
 
     ``start`` and ``n_chars`` are in characters. A run of adjacent repeated chunks of at least
-    ``passage_chars`` is listed, cut where its chunks change between ``kept`` (the first occurrence) and
+    ``passage_chars`` is listed, also if it only gets there with what agrees beside its ends (up to 128 bytes
+    each, in steps of 8 to 16), cut where its chunks change between ``kept`` (the first occurrence) and
     repeated; ``first_doc_id`` is where the first of its chunks occurs first. ``inside`` passages have all
     their chunks in this row only, several times. Every row is a text of its own, also without an id or with
     another row's: ``row`` tells rows apart, by the number in ``row_col`` or else by that of :func:`numbered`,
@@ -209,19 +294,29 @@ def repeated_passages(docs: DataFrame, passage_chars: int = PASSAGE_CHARS, id_co
     if row_col is None:
         rows, apart = numbered(rows)
     shared = shared_chunks(rows).read()
-    found = occurrences(rows).join(shared, ["hi", "lo"])
+    n = shared.count()
+    found = occurrences(rows, bit_table(shared.select(F.col("lo").alias("mark")), n)).join(shared, ["hi", "lo"])
     in_row = Window.partitionBy("row").orderBy("start")
     found = found.withColumn("kept", (F.col("first_row") == F.col("row")) & (F.col("first_start") == F.col("start")))
     adjacent = F.coalesce(F.lag(F.col("start") + F.col("n_chars")).over(in_row) == F.col("start"), F.lit(False))
     found = found.withColumn("opens", (~adjacent).cast("int")).withColumn("turns", (~adjacent | (F.lag("kept").over(in_row) != F.col("kept"))).cast("int"))
     so_far = in_row.rowsBetween(Window.unboundedPreceding, 0)
-    found = found.withColumn("run", F.sum("opens").over(so_far)).withColumn("piece", F.sum("turns").over(so_far))
+    found = written(found.withColumn("run", F.sum("opens").over(so_far)).withColumn("piece", F.sum("turns").over(so_far)).drop("opens", "turns"), "shared-occurrences").read()
+    runs = found.groupBy("row", "run").agg(F.sum("n_chars").alias("total"), F.min("start").alias("run_start"), F.max("start").alias("run_last"))
+    possible = F.col("total").between(passage_chars - 2 * BESIDE[-1], passage_chars - 1)
+    more = _extended(found, runs.where(possible))
+    zero = F.lit(0)
+    long = runs.join(more, ["row", "run"], "left").withColumns({c: F.coalesce(c, zero) for c in ("to_left", "to_right")})
+    long = long.where(F.col("total") + F.col("to_left") + F.col("to_right") >= passage_chars)
+    long = _apart(long)
     pieces = found.groupBy("row", "run", "piece").agg(
-        F.min("start").alias("start"), F.sum("n_chars").alias("n_chars"), F.first("kept").alias("kept"),
+        F.min("start").alias("start"), F.max("start").alias("piece_last"), F.sum("n_chars").alias("n_chars"), F.first("kept").alias("kept"),
         F.min_by("first_row", "start").alias("first_row"), F.min("inside").alias("inside"),
     )
-    total = F.sum("n_chars").over(Window.partitionBy("row", "run"))
-    out = pieces.withColumn("total", total).where(F.col("total") >= passage_chars)
+    before = F.when(F.col("start") == F.col("run_start"), F.col("to_left")).otherwise(zero)
+    after = F.when(F.col("piece_last") == F.col("run_last"), F.col("to_right")).otherwise(zero)
+    out = pieces.join(long, ["row", "run"])
+    out = out.withColumns({"n_chars": F.col("n_chars") + before + after, "start": F.col("start") - before})
     if apart:
         ids = rows.select(F.col("row").alias("r"), "doc_id")
         first = ids.toDF("f", "first_doc_id")

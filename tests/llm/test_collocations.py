@@ -7,7 +7,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
-from gatewatch.llm import collocations
+from gatewatch.llm import bit_table, collocations
 from gatewatch.llm.quotient_filter import Filter, Ngrams
 
 
@@ -88,7 +88,7 @@ def test_empty_tables_and_a_full_bit_table(spark, monkeypatch):
     df = spark.createDataFrame(texts(), "text string, lang string")
     assert collocations.collocations(df.limit(0)).collect() == []
     assert collocations.collocations(df.where("text is null")).collect() == []
-    monkeypatch.setattr(collocations, "MOST_BITS", 64)  # every n-gram passes it
+    monkeypatch.setattr(bit_table, "MOST_BITS", 64)  # every n-gram passes it
     assert sorted(map(tuple, collocations.collocations(df, least=12).collect())) == by_hand(texts(), 12, 5, 2000)
 
 

@@ -13,15 +13,16 @@ def words(rng, n):
 def test_chunks_cover_texts_and_resist_shifts():
     rng = random.Random(1)
     texts = ["", "a", "é" * 700, words(rng, 400), "", "x" * 1000, words(rng, 3)]
-    owner, start, n, _ = sub.chunks(texts)
+    found = sub.Chunks(texts)
+    owner, start, n = found.owner, found.start, found.size
     for k, t in enumerate(texts):
         mine = owner == k
         assert n[mine].sum() == len(t)
         assert (start[mine] == np.cumsum(n[mine]) - n[mine]).all()
         assert all(len(t[a : a + m].encode()) <= sub.LARGEST + 3 for a, m in zip(start[mine], n[mine], strict=True))
     base = words(rng, 300)
-    _, _, _, a = sub.chunks([base])
-    _, _, _, b = sub.chunks([words(rng, 7) + base[:900] + "inserted" + base[900:]])
+    a = sub.Chunks([base]).digest
+    b = sub.Chunks([words(rng, 7) + base[:900] + "inserted" + base[900:]]).digest
     common = {tuple(x) for x in a.tolist()} & {tuple(x) for x in b.tolist()}
     assert len(common) > 0.9 * len(a)
 
@@ -29,7 +30,7 @@ def test_chunks_cover_texts_and_resist_shifts():
 def test_gear_is_the_rolling_hash():
     rng = random.Random(2)
     t = words(rng, 60)
-    begin = set(sub.chunks([t])[1].tolist())
+    begin = set(sub.Chunks([t]).start.tolist())
     raw, h, last, want = t.encode(), 0, -sub.LEAST, {0}
     for k, b in enumerate(raw[:-1]):
         h = ((h << 1) + int(sub._GEAR[b])) & 0xFFFF
@@ -70,10 +71,29 @@ def test_repeated_passages(spark):
     assert sub.repeated_passages(docs.limit(0)).count() == 0
 
 
+def beside(rows, seen, chunks, k, start, left):
+    """Characters beside the chunk of row ``k`` at ``start`` that agree with another occurrence, by whole texts."""
+    (n, digest) = next((n, d) for s, n, d in chunks[k] if s == start)
+    around = lambda r, s: (rows[r][1][:s] if left else rows[r][1][s + n :]).encode()
+    mine, most = around(k, start), 0
+    kept = seen[digest][0] == (k, start)
+    for other in seen[digest][1:] if kept else seen[digest][:1]:
+        theirs = around(*other)
+        agrees = 0
+        for w in sub.BESIDE:
+            a, b = (mine[-w:], theirs[-w:]) if left else (mine[:w], theirs[:w])
+            if len(a) < w or a != b:
+                break
+            agrees = len(a.decode(errors="ignore"))
+        most = max(most, agrees)
+    return most
+
+
 def by_hand(rows, least):
     """(place in ``rows``, start, length, kept, inside) of the passages, from the chunks of each text alone."""
     order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0))
-    chunks = {k: [tuple(x) for x in zip(*(c.tolist() for c in sub.chunks([rows[k][1] or ""])[1:3]), map(tuple, sub.chunks([rows[k][1] or ""])[3].tolist()), strict=True)] for k in order}
+    made = {k: sub.Chunks([rows[k][1] or ""]) for k in order}
+    chunks = {k: list(zip(c.start.tolist(), c.size.tolist(), map(tuple, c.digest.tolist()), strict=True)) for k, c in made.items()}
     seen = {}
     for k in order:
         for start, _, digest in chunks[k]:
@@ -87,11 +107,16 @@ def by_hand(rows, least):
             else:
                 runs, run = [*runs, run] if run else runs, []
         for run in runs:
-            if sum(n for _, n, _, _ in run) >= least:
+            total = sum(n for _, n, _, _ in run)
+            left, right = (beside(rows, seen, chunks, k, run[0][0], True), beside(rows, seen, chunks, k, run[-1][0], False)) if total < least else (0, 0)
+            if total + left + right >= least:
                 parts = [[run[0]]]
                 for c in run[1:]:
                     parts[-1].append(c) if c[2] == parts[-1][-1][2] else parts.append([c])
-                out += [(rows[k][0], p[0][0], sum(c[1] for c in p), p[0][2], all(c[3] for c in p)) for p in parts]
+                spans = [[p[0][0], sum(c[1] for c in p), p[0][2], all(c[3] for c in p)] for p in parts]
+                spans[0][0], spans[0][1] = spans[0][0] - left, spans[0][1] + left
+                spans[-1][1] += right
+                out += [(rows[k][0], *span) for span in spans]
     return sorted(out, key=repr)
 
 
@@ -115,3 +140,18 @@ def test_passages_of_any_rows(spark):
     assert once.count(a[100:200]) == 1
     with pytest.raises(ValueError, match="number"):
         sub.without_repeats(docs, sub.repeated_passages(docs))
+
+
+def test_short_passages_are_found(spark):
+    """Passages of 150 characters in two random texts each: at least 95 of 100 are found, and no text without one."""
+    rng = random.Random(11)
+    shared = [(words(rng, 40) * 2)[:150] for _ in range(400)]
+    rows = [(2 * k + d, f"{words(rng, rng.randint(20, 60))} {shared[k]} {words(rng, rng.randint(20, 60))}") for k in range(400) for d in range(2)]
+    rows += [(10_000 + k, words(rng, 80)) for k in range(100)]
+    got = sub.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    text = dict(rows)
+    wrong = [(r, text[r.doc_id][r.start : r.start + r.n_chars]) for r in got if text[r.doc_id][r.start : r.start + r.n_chars] not in text[r.first_doc_id]]
+    assert not wrong
+    found = {r.doc_id // 2 for r in got if not r.kept}
+    assert len(found) >= 380 and {r.doc_id // 2 for r in got if r.kept} == found and max(r.doc_id for r in got) < 800
+    assert min(r.n_chars for r in got) >= sub.PASSAGE_CHARS
