@@ -41,3 +41,12 @@ def test_a_hot_id_is_split(spark):
     got = shard(docs, 5, bucket_bytes=4_000).collect()
     sizes = [sum(r.shard == k for r in got) for k in range(5)]
     assert max(sizes) - min(sizes) <= 1 and all(sorted(r.slot for r in got if r.shard == k) == list(range(sizes[k])) for k in range(5))
+
+
+def test_a_crowded_table_has_one_order_whatever_its_partitions(spark):
+    rows = [(7, "same", k % 60, {"a": k % 2, "b": 1}) for k in range(900)] + [(7, f"t{k % 50}", k, None) for k in range(300)] + [(None, "none", k % 3, None) for k in range(400)] + [(k, "long " * 500, k, None) for k in range(100, 110)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, more int, tags map<string,int>")
+    runs = [[(r.position, r.doc_id, r.text, r.more, str(sorted((r.tags or {}).items()))) for r in external_shuffle(d, seed=2, bucket_bytes=4_000).collect()] for d in (docs.repartition(4), docs.repartition(7, "more"), docs.coalesce(1))]
+    assert sorted(runs[0], key=lambda x: x[0]) == sorted(runs[1], key=lambda x: x[0]) == sorted(runs[2], key=lambda x: x[0])
+    assert sorted(map(str, (x[1:] for x in runs[0]))) == sorted(str((d, t, m, str(sorted((g or {}).items())))) for d, t, m, g in rows)
+    assert [x[0] for x in sorted(runs[0], key=lambda x: x[0])] == list(range(len(rows)))
