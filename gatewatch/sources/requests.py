@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from ..catalogs import Catalog, load
 from ..functions.scalars import is_ipv4, source_of
 from ..operators.classify import classify
+from ..tables import filesystem
+from .dumps import requests_of
 
 #: The log that the test data implies, from its ``events`` table; the same text runs in other SQL engines.
 DERIVED_SQL = """
@@ -179,15 +181,18 @@ def latest_dump(spark: SparkSession, folder: str) -> str:
 def read_dump(spark: SparkSession, path: str) -> DataFrame:
     """Rows of a JSON dump ``{"logs_requests": [...]}``. Locations are text in it; malformed ones become null.
 
-    An object that spans lines is read by one task, however large. Where each line is an object of its own, as
-    :func:`gatewatch.sources.sinks.write_dump` writes them, all tasks read.
+    All tasks read, both where one object spans a whole file (see :mod:`gatewatch.sources.dumps`) and in a folder
+    of JSON lines, as :func:`gatewatch.sources.sinks.write_dump` writes it.
     """
-    kind = f"logs_requests array<struct<{_DUMPED.replace(' ', ':').replace(',:', ', ')}>>"
-    start = spark.read.text(path).where("trim(value) <> ''").first()
-    table = spark.read.schema(kind).option("multiLine", start is None or not start.value.rstrip().endswith("]}")).json(path)
-    if table.where("logs_requests IS NULL").limit(1).count():
-        raise ValueError("the dump has no list of requests")
-    rows = table.select(F.explode("logs_requests").alias("r")).select("r.*")
+    where, fs = filesystem(spark, path)
+    if fs.getFileStatus(where).isDirectory():
+        kind = f"array<struct<{_DUMPED.replace(' ', ':').replace(',:', ', ')}>>"
+        table = spark.read.schema(f"logs_requests {kind}").json(path)
+        if table.where("logs_requests IS NULL").limit(1).count():
+            raise ValueError("the dump has no list of requests")
+        rows = table.select(F.explode("logs_requests").alias("r")).select("r.*")
+    else:
+        rows = requests_of(spark, path).select(F.from_json("request", _DUMPED).alias("r")).select("r.*")
     located = rows.withColumns({"ip_location": F.from_json("ip_location", LOCATION), "created_at": F.to_timestamp("created_at")})
     return located.withColumn("asn", F.col("ip_location.asn"))
 
