@@ -126,7 +126,7 @@ def test_samples_are_bounded_and_skip_nulls(spark):
     assert len(whole) == sum(k % 2 >= 0 for k in range(50) if crc32(str(k).encode()) % 5) + (crc32(b"61") % 5 > 0)
     assert any(len(t) == 30_000 for t, _ in whole)
     few = samples.labelled_texts(docs, labels, "quality", learn, 100, bytes_per_class=20)
-    assert few == [x for y in (0, 1) for x in [z for z in whole if z[1] == y][:0]] + few and all(0 < sum(len(t) for t, y in few[:-1] if y == k) < 30_000 + 25 for k in (0, 1))
+    assert set(few) <= set(whole) and len(few) < len(whole) and all(0 < sum(len(t) for t, y in few[:-1] if y == k) < 30_000 + 25 for k in (0, 1))
     assert samples.best_cut([0.0, 1.0, 2.0, 3.0], [0, 0, 1, 1]) == 1.5
     a, b = samples.platt([-2, -1, 1, 2] * 20, [0, 0, 1, 1] * 20)
     assert a > 0 and abs(b) < 0.5
