@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.regex import to_java
 from ..functions.scalars import sigmoid, subnet24
-from ..tables import written
+from ..tables import small, written
 from .epochs import STEP_MS, millis
 from .metrics import subnet_cohesion
 
@@ -22,15 +22,21 @@ ORDINARY_ROUTES = (
 )
 
 
-def _samples(rows: DataFrame, group: list[str], value: Column, name: str, most: int | None) -> DataFrame:
-    """The first ``most`` distinct values (None: all) of each group, by the smallest id that has them."""
-    seen = rows.select(*group, "id", value.alias("v")).where("v IS NOT NULL").groupBy(*group, "v").agg(F.min("id").alias("at"))
-    top = seen if most is None else seen.withColumn("nth", F.row_number().over(Window.partitionBy(*group).orderBy("at", "v"))).where(F.col("nth") <= most)
-    return top.groupBy(*group).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda x: x["v"]).alias(name))
+def _samples(rows: DataFrame, group: list[str], wanted: dict[str, tuple[Column, int | None]]) -> DataFrame:
+    """For each name the first distinct values (so many, or None: all) of each group, by the smallest id that has them.
 
-
-def _joined(base: DataFrame, group: list[str], parts: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.join(b, group, "left"), parts, base)
+    All columns go through one aggregation and one ranking together, as pairs of name and value.
+    """
+    types = rows.select(*[value.alias(name) for name, (value, _) in wanted.items()]).schema
+    pairs = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), value.cast("string").alias("v")) for name, (value, _) in wanted.items()]))
+    seen = rows.select(*group, "id", pairs.alias("pair")).select(*group, "id", "pair.*").where("v IS NOT NULL").groupBy(*group, "name", "v").agg(F.min("id").alias("at"))
+    nth = F.row_number().over(Window.partitionBy(*group, "name").orderBy("at", "v"))
+    bounds = [(F.col("name") == name) & (F.col("nth") > most) for name, (_, most) in wanted.items() if most is not None]
+    top = seen.withColumn("nth", nth).where(~reduce(lambda x, y: x | y, bounds, F.lit(False)))
+    listed = lambda name: F.array_sort(F.collect_list(F.when(F.col("name") == name, F.struct("at", "v"))))
+    of_type = lambda name: lambda x: x["v"].cast(types[name].dataType)
+    found = top.groupBy(*group).agg(*[F.transform(listed(name), of_type(name)).alias(name) for name in wanted])
+    return found.select(*group, *[F.when(F.size(name) > 0, F.col(name)).alias(name) for name in wanted])
 
 
 def agent_text(rows: DataFrame) -> Column:
@@ -45,12 +51,12 @@ def uncaught_shapes(rows: DataFrame) -> DataFrame:
     group = ["method", "full_url"]
     calm = rows.where("threat_rank = 0")
     base = calm.groupBy(*group).agg(F.count("*").alias("count"), F.count_distinct("ip").alias("ip_count"))
-    parts = [_samples(calm, group, F.col("id"), "sample_ids", 5), _samples(calm, group, agent_text(calm), "user_agents", 5), _samples(calm, group, F.col("ip"), "ips", 10)]
+    wanted: dict[str, tuple[Column, int | None]] = {"sample_ids": (F.col("id"), 5), "user_agents": (agent_text(calm), 5), "ips": (F.col("ip"), 10)}
     for name, most in (("status_code", None), ("stored_level", None), ("request_body", 3)):
         if name in rows.columns:
             value = F.when(~F.col(name).isin("{}", ""), F.substring(name, 1, 300)) if name == "request_body" else F.col(name)
-            parts.append(_samples(calm, group, value, {"request_body": "request_bodies"}.get(name, f"{name}s"), most))
-    return _joined(base, group, parts).orderBy(F.col("count").desc(), "method", "full_url")
+            wanted[{"request_body": "request_bodies"}.get(name, f"{name}s")] = (value, most)
+    return base.join(_samples(calm, group, wanted), group, "left").orderBy(F.col("count").desc(), "method", "full_url")
 
 
 def cluster_key(kind: str, org: Column | None = None) -> Column:
@@ -74,15 +80,16 @@ def clusters(rows: DataFrame, kind: str) -> DataFrame:
     )
     n, ips, paths = F.col("request_count"), F.col("unique_ips"), F.col("unique_paths")
     enough = {"ip": (n >= 10) | (paths >= 5), "subnet": (ips >= 2) & ((n >= 10) | (paths >= 3)), "asn": (ips >= 3) & (paths >= 3)}[kind]
+    base = written(base.where(enough), "clusters")
+    keyed = keyed.join(small(base.select("key")), "key", "left_semi")  # samples of the clusters that count
     hits = keyed.groupBy("key", "full_url").agg(F.count("*").alias("n"), F.min("id").alias("at"))
     top = hits.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy(F.col("n").desc(), "at"))).where("nth <= 40")
     top = top.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", F.concat(F.col("n").cast("string"), F.lit("x "), "full_url").alias("v")))), lambda x: x["v"]).alias("top_paths"))
-    parts = [top, _samples(keyed, ["key"], F.col("ip"), "ips", 15), _samples(keyed, ["key"], agent_text(keyed), "user_agents", 8)]
+    wanted: dict[str, tuple[Column, int | None]] = {"ips": (F.col("ip"), 15), "user_agents": (agent_text(keyed), 8)}
     for name, most in (("asn", None), ("org", 5), ("ip_type", None)):
         if name in rows.columns:
-            value = F.when(F.col(name) != 0, F.col(name)) if name == "asn" else F.when(F.col(name) != "", F.col(name))
-            parts.append(_samples(keyed, ["key"], value, f"{name}s", most))
-    return _joined(base.where(enough), ["key"], parts).orderBy(F.col("request_count").desc(), "key")
+            wanted[f"{name}s"] = (F.when(F.col(name) != 0, F.col(name)) if name == "asn" else F.when(F.col(name) != "", F.col(name)), most)
+    return base.join(top, "key", "left").join(_samples(keyed, ["key"], wanted), "key", "left").orderBy(F.col("request_count").desc(), "key")
 
 
 def level_counts(rows: DataFrame, *by: str) -> DataFrame:
@@ -122,24 +129,26 @@ def validate_patterns(rows: DataFrame, proposals: list[dict], ordinary_routes: t
     """What proposals (``name, pattern, flags, target``) would catch.
 
     Shapes they hit, shapes and rows that nothing catches yet, and ordinary routes that they match by
-    mistake. Body proposals test the body and the URL, all others the URL.
+    mistake. Body proposals test the body and the URL, all others the URL. One scan tests all proposals.
     """
     spark: SparkSession = rows.sparkSession
-    shapes = rows.groupBy("method", "full_url").agg(F.count_if(F.col("threat_rank") == 0).alias("uncaught")) if "request_body" not in rows.columns else None
     ordinary = spark.createDataFrame([(r,) for r in ordinary_routes], "full_url string")
-    out = []
-    for p in proposals:
-        pattern = to_java(p["pattern"], "i" in p.get("flags", "i"))
-        body = p.get("target") == "BODY_THREATS" and shapes is None
-        if shapes is not None:
-            hit = shapes.where(F.col("full_url").rlike(pattern))
-        else:
-            test = F.col("full_url").rlike(pattern) | (F.coalesce(F.col("request_body").rlike(pattern), F.lit(False)) if body else F.lit(False))
-            hit = rows.where(test).groupBy("method", "full_url").agg(F.count_if(F.col("threat_rank") == 0).alias("uncaught"))
-        wrong = ordinary.where(F.col("full_url").rlike(pattern)).agg(F.count("*").alias("ordinary_hits"))
-        counts = hit.agg(F.count("*").alias("shapes_hit"), F.count_if(F.col("uncaught") > 0).alias("newly_caught_shapes"), F.coalesce(F.sum("uncaught"), F.lit(0)).alias("rows_newly_caught"))
-        out.append(counts.crossJoin(wrong).select(F.lit(p["name"]).alias("name"), F.lit(p.get("target", "PATH_THREATS")).alias("target"), "shapes_hit", "newly_caught_shapes", "rows_newly_caught", "ordinary_hits"))  # one row by one row
-    return reduce(DataFrame.unionAll, out)
+    patterns = [to_java(p["pattern"], "i" in p.get("flags", "i")) for p in proposals]
+    no = F.lit(False)
+
+    def test(p: dict, pattern: str) -> Column:
+        in_url = F.coalesce(F.col("full_url").rlike(pattern), no)
+        in_body = p.get("target") == "BODY_THREATS" and "request_body" in rows.columns
+        return in_url | F.coalesce(F.col("request_body").rlike(pattern), no) if in_body else in_url
+
+    tested = rows.select("method", "full_url", (F.col("threat_rank") == 0).alias("calm"), F.array(*[test(p, x) for p, x in zip(proposals, patterns, strict=True)]).alias("hit"))
+    each = range(len(proposals))
+    shapes = tested.groupBy("method", "full_url").agg(*[F.count_if(F.col("hit")[k]).alias(f"n{k}") for k in each], *[F.count_if(F.col("hit")[k] & F.col("calm")).alias(f"u{k}") for k in each])
+    found = [(F.count_if(F.col(f"n{k}") > 0).alias(f"s{k}"), F.count_if(F.col(f"u{k}") > 0).alias(f"w{k}"), F.coalesce(F.sum(f"u{k}"), F.lit(0)).alias(f"r{k}")) for k in each]
+    counts = shapes.agg(*[c for three in found for c in three])
+    wrong = ordinary.agg(*[F.count_if(F.col("full_url").rlike(x)).alias(f"o{k}") for k, x in enumerate(patterns)])
+    named = [F.struct(F.lit(p["name"]).alias("name"), F.lit(p.get("target", "PATH_THREATS")).alias("target"), F.col(f"s{k}").alias("shapes_hit"), F.col(f"w{k}").alias("newly_caught_shapes"), F.col(f"r{k}").alias("rows_newly_caught"), F.col(f"o{k}").alias("ordinary_hits")) for k, p in enumerate(proposals)]
+    return counts.crossJoin(wrong).select(F.explode(F.array(*named)).alias("p")).select("p.*")  # one row by one row
 
 
 def probes_by_asn(rows: DataFrame, word: str) -> DataFrame:
