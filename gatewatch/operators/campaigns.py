@@ -55,13 +55,20 @@ def markers_for(markers: DataFrame, rows: DataFrame, as_of_ms: int) -> DataFrame
     return active_markers(markers, as_of_ms).join(scopes, ["scope_type", "scope_value"], "left_semi")
 
 
-def _first_seen(rows: DataFrame, value: str, most: int | None) -> DataFrame:
-    """Distinct values of each fire in the order in which they were first seen, ``most`` at most."""
-    group = ["strategy_id", "epoch", "key"]
-    seen = rows.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.min(F.struct("first_ms", "first_id")).alias("first"))
-    if most is not None:
-        seen = seen.withColumn("nth", F.row_number().over(Window.partitionBy(*group).orderBy("first"))).where(F.col("nth") <= most)
-    return seen.groupBy(*group).agg(F.transform(F.array_sort(F.collect_list(F.struct("first", F.col(value).alias("v")))), lambda x: x["v"]).alias(f"{value}_list"))
+def _first_seen(rows: DataFrame, group: list[str], wanted: dict[str, int | None]) -> DataFrame:
+    """For each column its distinct values in each fire, in the order in which they were first seen, so many at most.
+
+    All columns go through one aggregation together, as pairs of name and value. Lists are called ``<column>_list``.
+    """
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("v")) for c in wanted]))
+    seen = rows.select(*group, "first_ms", "first_id", pairs.alias("pair")).select(*group, "first_ms", "first_id", "pair.*").where("v IS NOT NULL")
+    seen = seen.groupBy(*group, "name", "v").agg(F.min(F.struct("first_ms", "first_id")).alias("first"))
+    nth = F.row_number().over(Window.partitionBy(*group, "name").orderBy("first", "v"))
+    bounds = [(F.col("name") == c) & (F.col("nth") > most) for c, most in wanted.items() if most is not None]
+    top = seen.withColumn("nth", nth).where(~reduce(lambda x, y: x | y, bounds, F.lit(False)))
+    listed = lambda c: F.array_sort(F.collect_list(F.when(F.col("name") == c, F.struct("first", "v"))))
+    found = top.groupBy(*group).agg(*[F.transform(listed(c), lambda x: x["v"]).alias(f"{c}_list") for c in wanted])
+    return found.select(*group, *[F.when(F.size(f"{c}_list") > 0, F.col(f"{c}_list")).alias(f"{c}_list") for c in wanted])
 
 
 def candidates(context: Context, fired: DataFrame, strategies: tuple[Strategy, ...] = STRATEGIES) -> DataFrame:
@@ -74,9 +81,8 @@ def candidates(context: Context, fired: DataFrame, strategies: tuple[Strategy, .
     rows = written(reduce(DataFrame.unionByName, observed), "observed")
     group = ["strategy_id", "epoch", "key"]
     span = rows.groupBy(*group).agg(F.min("first_at").alias("first_seen"), F.max("last_at").alias("last_seen"), F.sum("n").alias("request_count"))
-    out = fired.join(span, group)
-    for value, most in (("route", SAMPLE_PATHS), ("user_agent", SAMPLE_AGENTS), ("ip", None)):
-        out = out.join(_first_seen(rows, value, most), group, "left")
+    samples = _first_seen(rows, group, {"route": SAMPLE_PATHS, "user_agent": SAMPLE_AGENTS, "ip": None})
+    out = fired.join(span, group).join(samples, group, "left")
     kinds = {s.strategy_id: s for s in strategies}
     pick = lambda of: F.create_map(*[F.lit(x) for k, s in kinds.items() for x in (k, of(s))])[F.col("strategy_id")]
     none = F.array().cast("array<string>")
