@@ -21,7 +21,7 @@ from ..sources.sinks import CampaignFolder
 from ..tables import Scratch, filesystem, written
 
 #: What a raw request has beyond the columns that are stored.
-_TRANSIENT = ("x_forwarded_for", "cf_connecting_ip", "cf_ip_country", "rate_tier", "rate_severity", "rate_count", "rate_limit", "cookies", "headers")
+_TRANSIENT = ("x_forwarded_for", "cf_connecting_ip", "cf_ip_country", "rate_tier", "rate_severity", "rate_count", "rate_limit", "cookies", "headers", "response_headers", "started_ms", "finished_ms")
 
 
 def requests_stream(spark: SparkSession, path: str, schema, skip_paths: tuple[str, ...] = ()) -> DataFrame:
@@ -46,7 +46,9 @@ def captured(rows: DataFrame, catalog: Catalog | None = None, secret: str | None
     Beside the columns of ``classified`` it reads those of these that are there: ``rate_tier, rate_severity,
     rate_count, rate_limit``; ``x_forwarded_for, cf_connecting_ip, cf_ip_country`` (they become
     ``forwarding_chain``); ``cookies`` and ``headers``, maps of text (with a secret, the first token by
-    ``token_names`` gives ``user_id`` and ``session_id``). None of them is stored. Bodies are scanned as they
+    ``token_names`` gives ``user_id`` and ``session_id``, and ``headers`` gives ``origin``); ``response_headers``, a
+    map of text (``content_length``, null unless a number); ``started_ms`` and ``finished_ms`` (``response_time_ms``).
+    Header names are in lower case. None of them is stored. Bodies are scanned as they
     came and stored redacted. Rows are independent of each other, so there is no state.
     """
     rows = check_addresses(classified(rows, catalog))
@@ -57,6 +59,12 @@ def captured(rows: DataFrame, catalog: Catalog | None = None, secret: str | None
     rows = rows.withColumn("forwarding_chain", forwarding_chain(*map(given, ("x_forwarded_for", "cf_connecting_ip", "cf_ip_country"))))
     if "request_body" in rows.columns:
         rows = rows.withColumn("request_body", redacted(F.col("request_body"), sensitive))
+    if "headers" in rows.columns:
+        rows = rows.withColumn("origin", F.try_element_at("headers", F.lit("origin")))
+    if "response_headers" in rows.columns:
+        rows = rows.withColumn("content_length", F.try_element_at("response_headers", F.lit("content-length")).try_cast("long"))
+    if {"started_ms", "finished_ms"} <= set(rows.columns):
+        rows = rows.withColumn("response_time_ms", F.col("finished_ms") - F.col("started_ms"))
     if secret is not None:
         claims = token_claims(token_of(given("cookies"), given("headers"), token_names), secret)
         rows = rows.withColumn("__claims", claims).withColumns({"user_id": F.col("__claims.user_id"), "session_id": F.col("__claims.session_id")})

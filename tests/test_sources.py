@@ -153,10 +153,12 @@ def test_capture(spark, tmp_path):
         {"id": 5, "ip": "1.1.1.1", "cookies": {"b": token}, "headers": {"a": ""}},
         {"id": 6, "ip": "1.1.1.1", "cookies": {"b": "forged"}, "headers": {"auth": token}},
         {"id": 7, "cookies": None, "headers": None},
+        {"id": 8, "headers": {"origin": "https://x.example"}, "response_headers": {"content-length": "512"}, "started_ms": 1_000, "finished_ms": 1_037},
+        {"id": 9, "headers": {}, "response_headers": {"content-length": "many"}},
     ]
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "rows.json").write_text("\n".join(json.dumps(calm | r) for r in rows))
-    schema = "id long, ip string, route string, full_url string, method string, user_agent string, created_at timestamp, request_body string, x_forwarded_for string, rate_tier string, rate_severity string, rate_count int, rate_limit int, cookies map<string,string>, headers map<string,string>"
+    schema = "id long, ip string, route string, full_url string, method string, user_agent string, created_at timestamp, request_body string, x_forwarded_for string, rate_tier string, rate_severity string, rate_count int, rate_limit int, cookies map<string,string>, headers map<string,string>, response_headers map<string,string>, started_ms long, finished_ms long"
     stored = live.captured(live.requests_stream(spark, str(tmp_path / "in"), schema), secret="k", token_names=("Auth", "b"))
     live.append_to(stored, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
     got = {r.id: r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
@@ -166,6 +168,7 @@ def test_capture(spark, tmp_path):
     assert (got[3].forwarding_chain.spoofed, got[3].forwarding_chain.claimed_ip, got[4].forwarding_chain) == (True, "9.9.9.9", None)
     assert got[4].request_body == '{"password":"[REDACTED]"}' and got[4].threat_details[0].category == "body"
     assert [(got[k].user_id, got[k].session_id) for k in (4, 5, 6, 7)] == [(None, None), (7, "s"), (7, "s"), (None, None)]
+    assert [(got[k].origin, got[k].content_length, got[k].response_time_ms) for k in (7, 8, 9)] == [(None, None, None), ("https://x.example", 512, 37), (None, None, None)]
     assert not set(live._TRANSIENT) & set(got[1].asDict())
     plain = live.captured(live.requests_stream(spark, str(tmp_path / "in"), "id long, ip string, route string, full_url string, method string, user_agent string"))
     assert {"forwarding_chain", "threat_level", "source"} <= set(plain.columns) and "user_id" not in plain.columns
