@@ -154,13 +154,17 @@ class LanguageFilter:
         return self.languages[best], float(votes[best] / total) if total > 0 else 0.0
 
 
-def learn(docs: DataFrame, usable, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> LanguageFilter:
+def learn(docs: DataFrame, usable, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS, least_share: float = LEAST_SHARE, few_rows: int = FEW_ROWS, most_grams: int | None = GRAMS_PER_LANGUAGE) -> LanguageFilter:
     """Learns the n-grams of each language from a bounded sample of its rows where ``usable`` holds.
 
     A language with up to ``sample_rows`` rows is learned from all of them, a larger one from those whose hash
     lies in the share that holds ``sample_rows`` on average. Each task counts the n-grams of its sampled texts;
     counts are summed per language and n-gram. Null texts and languages teach nothing, repeated rows count as
     often as they come, rows without an id share a hash and are drawn together, an empty table gives no languages.
+
+    Kept are n-grams in ``least_share`` of a language's learned rows and at least two of them (from ``few_rows`` on),
+    the ``most_grams`` most frequent. With a share of 0, ``few_rows`` None and ``most_grams`` None all n-grams are
+    kept; the filter's size does not depend on it, but its false positives do.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -190,10 +194,12 @@ def learn(docs: DataFrame, usable, text_col: str = "text", lang_col: str = "lang
 
     counts = sample.mapInArrow(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     learned = F.least("size", F.lit(sample_rows))
-    least = F.when(learned < FEW_ROWS, 1.0).otherwise(F.greatest(F.lit(2.0), learned * LEAST_SHARE))
+    least = learned * least_share if few_rows is None else F.when(learned < few_rows, 1.0).otherwise(F.greatest(F.lit(2.0), learned * least_share))
     frequent = counts.join(aimed, F.col("lang") == F.col("of")).where(F.col("n") >= least)
     nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram"))
-    top = frequent.withColumn("nth", nth).where(F.col("nth") <= GRAMS_PER_LANGUAGE).groupBy("lang").agg(F.collect_list("gram").alias("grams"))
+    if most_grams is not None:
+        frequent = frequent.withColumn("nth", nth).where(F.col("nth") <= most_grams)
+    top = frequent.groupBy("lang").agg(F.collect_list("gram").alias("grams"))
     grams = {r.lang: np.zeros(0, np.uint64) for r in sizes.select("lang").collect()}
     grams |= {r.lang: np.array(r.grams, dtype=np.int64).view(np.uint64) for r in top.collect()}
     return LanguageFilter(grams)

@@ -354,10 +354,11 @@ def _evidence(word: str, odds: dict[str, float]) -> float:
     return max([odds.get(word, 0.0), *(odds.get(f"~{marked[k : k + 4]}", 0.0) for k in range(len(marked) - 3))])
 
 
-def fit(texts: list[tuple[str, int]], shares: dict[int, float] | None = None, seed: int = 0) -> Network:
+def fit(texts: list[tuple[str, int]], shares: dict[int, float] | None = None, seed: int = 0, fit_windows: int | None = FIT_WINDOWS) -> Network:
     """Fits on texts with labels 0 and 1; with one class only, or none, all scores are that class's share.
 
-    ``shares`` are the classes' shares outside the sample, for the calibration.
+    ``shares`` are the classes' shares outside the sample, for the calibration. ``fit_windows`` bounds the windows of
+    each label that the network is trained on; None takes all of the texts.
     """
     net = Network(seed)
     y = np.array([label for _, label in texts], dtype=np.int64)
@@ -385,7 +386,8 @@ def fit(texts: list[tuple[str, int]], shares: dict[int, float] | None = None, se
         best = [max(map(memo.get, ws), default=0.0) for ws in found]
         top = max(best)
         sure += [ws for ws, b in zip(found, best, strict=True) if b >= max(2.5, 0.6 * top) or b == top]
-    pick = lambda xs: [xs[k] for k in rng.permutation(len(xs))[:FIT_WINDOWS]]
+    most = fit_windows if fit_windows is not None else max(len(sure), len(calm))
+    pick = lambda xs: [xs[k] for k in rng.permutation(len(xs))[:most]]
     pos, neg = pick(sure), pick(calm)
     passes = int(np.clip(40_000 / (len(pos) + len(neg)), 4, 30))
     train(net, pos + neg, np.array([1] * len(pos) + [0] * len(neg)), epochs=passes, seed=seed)
@@ -393,9 +395,9 @@ def fit(texts: list[tuple[str, int]], shares: dict[int, float] | None = None, se
     scorer = Scorer(net)
     score = lambda xs: scorer.logits([" ".join(ws) for ws in xs]) if xs else np.zeros(0)
     pos = [ws for ws, s in zip(pos, score(pos), strict=True) if s > 0] or pos
-    spare = calm if len(calm) <= 4 * FIT_WINDOWS else [calm[k] for k in rng.permutation(len(calm))[: 4 * FIT_WINDOWS]]
-    hard = [spare[k] for k in np.argsort(-score(spare))[:FIT_WINDOWS // 4]]
-    neg = neg[: FIT_WINDOWS * 3 // 4] + hard
+    spare = calm if len(calm) <= 4 * most else [calm[k] for k in rng.permutation(len(calm))[: 4 * most]]
+    hard = [spare[k] for k in np.argsort(-score(spare))[: most // 4]]
+    neg = (neg[: most * 3 // 4] if fit_windows is not None else neg) + hard
     train(net, pos + neg, np.array([1] * len(pos) + [0] * len(neg)), epochs=max(2, passes // 3), rate=0.01, seed=seed + 1)
     check = held if held.any() else np.ones(len(y), dtype=bool)
     margins = Scorer(net).logits([texts[k][0] for k in np.flatnonzero(check)])
@@ -426,10 +428,10 @@ def score(docs: DataFrame, net: Network, text_col: str = "text", score_col: str
     return docs.mapInArrow(run, schema)
 
 
-def fit_on(docs: DataFrame, label_rows: DataFrame, rows_per_class: int = ROWS_PER_CLASS) -> Network:
-    """Learns ``toxic`` from rows outside the held-out fold (crc32 of the id, mod 5, is 0)."""
+def fit_on(docs: DataFrame, label_rows: DataFrame, rows_per_class: int = ROWS_PER_CLASS, fit_windows: int | None = FIT_WINDOWS) -> Network:
+    """Learns ``toxic`` from rows outside the held-out fold (crc32 of the id, mod 5, is 0); see :func:`fit` for the bounds."""
     learn = fold(F.col("doc_id"), 5) != 0
-    return fit(labelled_texts(docs, label_rows, "toxic", learn, rows_per_class), class_shares(label_rows, "toxic", learn))
+    return fit(labelled_texts(docs, label_rows, "toxic", learn, rows_per_class), class_shares(label_rows, "toxic", learn), fit_windows=fit_windows)
 
 
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from zlib import crc32
 import numpy as np
 import pytest
 from gatewatch.llm import language, quality, samples, toxicity
+from pyspark.sql import functions as F
 
 SYLLABLES = {"aa": "ka lo mi ne ru ta", "bb": "sch ung ber lich tz ei", "cc": "ció ñas que dos bra el"}
 
@@ -213,3 +214,16 @@ def test_more_languages_than_a_word_has_bits(spark):
     asked = spark.createDataFrame([(k, text(lang)) for k, lang in enumerate(own)], "doc_id long, text string")
     got = {r.doc_id: r.lang_pred for r in language.identify(asked, model).collect()}
     assert got == dict(enumerate(own))
+
+
+def test_bounds_of_fitting_are_parameters(spark, toxic_corpus):
+    docs = spark.createDataFrame([(k, f"{w} common words here {k}", lang) for k, (w, lang) in enumerate([("unus", "aa"), ("zwei", "bb")] * 30)], "doc_id long, text string, lang string")
+    every = language.learn(docs, F.lit(True), least_share=0.0, few_rows=None, most_grams=None)
+    bounded = language.learn(docs, F.lit(True), most_grams=3)
+    for r in docs.collect():
+        grams = language._distinct_grams(r.text)
+        holds = lambda model, r=r, grams=grams: int(np.count_nonzero(model.containing(grams) & np.uint64(1 << model.languages.index(r.lang))))
+        assert holds(every) == len(grams) and holds(bounded) < len(grams)
+    net = toxicity.fit(toxic_corpus[:300], {0: 0.67, 1: 0.33}, fit_windows=None)
+    right = [(s > 0.5) == y for s, (_, y) in zip(toxicity.Scorer(net).scores([t for t, _ in toxic_corpus[300:500]]), toxic_corpus[300:500])]
+    assert np.mean(right) > 0.85
