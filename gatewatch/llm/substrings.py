@@ -94,37 +94,34 @@ class Chunks:
         else:
             self.start = self.size = self.begin
 
-    def beside(self, some: np.ndarray) -> list[bytes]:
-        """Of some chunks: for each length in ``BESIDE``, on the left and on the right, a 32-bit hash and the characters.
+    def beside(self, some: np.ndarray, left: bool) -> list[bytes]:
+        """Of some chunks: for each length in ``BESIDE`` on one side, a 32-bit hash, then the characters of each.
 
         A stretch that the text does not have has no characters.
         """
+        if not len(some):
+            return []
         length = np.array(BESIDE)
         powers = np.full(len(self.data) + 1, _BASE, dtype=np.uint64)
         powers[0] = 1
         powers = np.multiply.accumulate(powers)
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * powers[:-1])])
-        out = []
-        for left in (True, False):
-            a = (self.begin[some, None] - length) if left else np.broadcast_to(self.end[some, None], (len(some), len(length)))
-            b = np.broadcast_to(self.begin[some, None], a.shape) if left else a + length
-            there = (a >= self.starts[self.owner[some], None]) & (b <= self.ends[self.owner[some], None])
-            a, b = np.where(there, a, 0), np.where(there, b, 0)
-            value = mixed((sums[b] - sums[a]) * powers[len(self.data) - a]) >> np.uint64(32)
-            cut = 0 if left else 1  # a character counts if all of it is inside
-            out += [value.astype("<u4").view(np.uint8).reshape(len(some), -1), (self.chars[b + cut] - self.chars[a + cut]).astype(np.uint8)]
-        return [row.tobytes() for row in np.concatenate(out, axis=1)]
-
-
-def in_common(mine: bytes, other: bytes, left: bool) -> int:
+        a = (self.begin[some, None] - length) if left else np.broadcast_to(self.end[some, None], (len(some), len(length)))
+        b = np.broadcast_to(self.begin[some, None], a.shape) if left else a + length
+        there = (a >= self.starts[self.owner[some], None]) & (b <= self.ends[self.owner[some], None])
+        a, b = np.where(there, a, 0), np.where(there, b, 0)
+        value = mixed((sums[b] - sums[a]) * powers[len(self.data) - a]) >> np.uint64(32)
+        cut = 0 if left else 1  # a character counts if all of it is inside
+        chars = (self.chars[b + cut] - self.chars[a + cut]).astype(np.uint8)
+        return [row.tobytes() for row in np.concatenate([value.astype("<u4").view(np.uint8).reshape(len(some), -1), chars], axis=1)]
+
+
+def in_common(mine: bytes, other: bytes) -> int:
     """Characters beside two equal chunks that agree, by the longest of the compared lengths up to which all agree."""
-    n = len(BESIDE)
-    at = 0 if left else 5 * n
-    found = 0
+    n, found = len(BESIDE), 0
     for k in range(n):
-        same = mine[at + 4 * k : at + 4 * k + 4] == other[at + 4 * k : at + 4 * k + 4]
-        chars = mine[at + 4 * n + k]
-        if not (same and chars and other[at + 4 * n + k]):
+        chars = mine[4 * n + k]
+        if mine[4 * k : 4 * k + 4] != other[4 * k : 4 * k + 4] or not chars or not other[4 * n + k]:
             break
         found = chars
     return found
@@ -211,21 +208,33 @@ def shared_chunks(rows: DataFrame) -> Table:
     return written(packed.repartitionById(buckets, F.col("bucket")).mapInArrow(_shared, kind), "shared-chunks")
 
 
-def occurrences(rows: DataFrame, digests: np.ndarray) -> DataFrame:
-    """``row, start, n_chars, hi, lo, beside`` of the chunks of ``row, text`` whose digest may be in the bit table."""
-    table = rows.sparkSession.sparkContext.broadcast(digests)
+def occurrences(rows: DataFrame, shared: DataFrame, n: int) -> DataFrame:
+    """``row, start, n_chars, hi, lo, left, right`` of the chunks of ``row, text`` whose digest is (but for few) in ``shared``.
+
+    ``left`` and ``right`` are what stands beside a chunk where its neighbour there is not shared, else null.
+    """
+    marks = [bit_table(shared.select(F.col(c).alias("mark")), n) for c in ("hi", "lo")]
+    tables = rows.sparkSession.sparkContext.broadcast(marks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, texts in _sliced(batch):
                 found = Chunks(texts)
-                some = np.flatnonzero(held_in(table.value, found.digest[:, 1]))
+                held = held_in(tables.value[0], found.digest[:, 0]) & held_in(tables.value[1], found.digest[:, 1])
+                goes_on = held[1:] & held[:-1] & (found.owner[1:] == found.owner[:-1])
+                sides = []
+                for left in (True, False):
+                    open_ = np.flatnonzero(held & ~(np.append(False, goes_on) if left else np.append(goes_on, False)))
+                    beside = np.full(len(held), None, dtype=object)
+                    beside[open_] = found.beside(open_, left)
+                    sides.append(beside)
+                some = np.flatnonzero(held)
                 for a in range(0, len(some), 20_000):
                     s = some[a : a + 20_000]
                     columns = [rows[found.owner[s]], found.start[s].astype(np.int64), found.size[s].astype(np.int64), found.digest[s, 0], found.digest[s, 1]]
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(found.beside(s), pa.binary())], names=["row", "start", "n_chars", "hi", "lo", "beside"])
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), *(pa.array(x[s], pa.binary()) for x in sides)], names=["row", "start", "n_chars", "hi", "lo", "left", "right"])
 
-    return rows.select("row", "text").mapInArrow(run, "row bigint, start bigint, n_chars bigint, hi bigint, lo bigint, beside binary")
+    return rows.select("row", "text").mapInArrow(run, "row bigint, start bigint, n_chars bigint, hi bigint, lo bigint, left binary, right binary")
 
 
 def _compared(pairs: DataFrame) -> DataFrame:
@@ -233,8 +242,8 @@ def _compared(pairs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, mine, other = (batch.column(k).to_pylist() for k in (2, 3, 4))
-            more = [in_common(m, o, side) for side, m, o in zip(left, mine, other, strict=True)]
+            mine, other = (batch.column(k).to_pylist() for k in (3, 4))
+            more = [in_common(m, o) for m, o in zip(mine, other, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(more, pa.int64())], names=["row", "run", "left_side", "more"])
 
     return pairs.select("row", "run", "left_side", "mine", "other").mapInArrow(run, "row bigint, run bigint, left_side boolean, more bigint")
@@ -244,13 +253,16 @@ def _extended(found: DataFrame, short: DataFrame) -> DataFrame:
     """``row, run, to_left, to_right``: by how many characters short runs go on, compared with other occurrences.
 
     A run that is not kept is compared, at either end, with the first occurrence of its chunk there; a kept one
-    with all others of that chunk, of which the farthest counts.
+    with all others of that chunk, of which the farthest counts. Only occurrences whose neighbour on that side is not
+    shared itself have anything to compare.
     """
     ends = found.join(short.select("row", "run", "run_start", "run_last"), ["row", "run"])
     side = F.explode(F.filter(F.array(F.when(F.col("start") == F.col("run_start"), F.lit(True)), F.when(F.col("start") == F.col("run_last"), F.lit(False))), lambda x: x.isNotNull()))
-    ends = written(ends.select("row", "run", "kept", "hi", "lo", F.col("beside").alias("mine"), side.alias("left_side")), "run-ends").read()
-    others = found.select("hi", "lo", F.col("beside").alias("other"), F.col("kept").alias("other_kept"))
-    pairs = ends.join(others, ["hi", "lo"]).where("kept <> other_kept")
+    on_side = F.when(F.col("left_side"), F.col("left")).otherwise(F.col("right"))
+    ends = ends.select("row", "run", "kept", "hi", "lo", "left", "right", side.alias("left_side"))
+    ends = written(ends.select("row", "run", "kept", "hi", "lo", "left_side", on_side.alias("mine")).where("mine IS NOT NULL"), "run-ends").read()
+    others = found.where("left IS NOT NULL OR right IS NOT NULL").select("hi", "lo", "left", "right", F.col("kept").alias("other_kept"))
+    pairs = ends.join(others, ["hi", "lo"]).where("kept <> other_kept").withColumn("other", on_side).where("other IS NOT NULL")
     farthest = _compared(pairs).groupBy("row", "run", "left_side").agg(F.max("more").alias("more"))
     to = lambda side: F.max(F.when(F.col("left_side") == side, F.col("more")))
     return farthest.groupBy("row", "run").agg(to(True).alias("to_left"), to(False).alias("to_right"))
@@ -295,7 +307,7 @@ def repeated_passages(docs: DataFrame, passage_chars: int = PASSAGE_CHARS, id_co
         rows, apart = numbered(rows)
     shared = shared_chunks(rows).read()
     n = shared.count()
-    found = occurrences(rows, bit_table(shared.select(F.col("lo").alias("mark")), n)).join(shared, ["hi", "lo"])
+    found = occurrences(rows, shared, n).join(shared, ["hi", "lo"])
     in_row = Window.partitionBy("row").orderBy("start")
     found = found.withColumn("kept", (F.col("first_row") == F.col("row")) & (F.col("first_start") == F.col("start")))
     adjacent = F.coalesce(F.lag(F.col("start") + F.col("n_chars")).over(in_row) == F.col("start"), F.lit(False))

@@ -77,7 +77,15 @@ def beside(rows, seen, chunks, k, start, left):
     around = lambda r, s: (rows[r][1][:s] if left else rows[r][1][s + n :]).encode()
     mine, most = around(k, start), 0
     kept = seen[digest][0] == (k, start)
+
+    def goes_on(r, s):
+        """Whether the neighbour there is shared too: then it has nothing beside it."""
+        at = next(i for i, c in enumerate(chunks[r]) if c[0] == s) + (-1 if left else 1)
+        return 0 <= at < len(chunks[r]) and len(seen[chunks[r][at][2]]) > 1
+
     for other in seen[digest][1:] if kept else seen[digest][:1]:
+        if goes_on(*other):
+            continue
         theirs = around(*other)
         agrees = 0
         for w in sub.BESIDE:
