@@ -249,6 +249,19 @@ def _compared(pairs: DataFrame) -> DataFrame:
     return pairs.select("row", "run", "left_side", "mine", "other").mapInArrow(run, "row bigint, run bigint, left_side boolean, more bigint")
 
 
+def _paired(ends: DataFrame, found: DataFrame) -> DataFrame:
+    """``ends`` with ``other``: what stands there beside the first occurrence of its chunk, or beside all others for the first.
+
+    Each digest has one kept occurrence. Two joins, each with the kept one on a side of its own, so a chunk that occurs n
+    times gives some n pairs, where one join would try n * n.
+    """
+    beside = F.explode(F.array(*[F.struct(F.lit(side == "left").alias("left_side"), F.col(side).alias("other")) for side in ("left", "right")]))
+    others = found.where("left IS NOT NULL OR right IS NOT NULL").select("hi", "lo", "kept", beside.alias("b")).select("hi", "lo", "kept", "b.*").where("other IS NOT NULL")
+    first, later = others.where("kept").drop("kept"), others.where("NOT kept").drop("kept").distinct()
+    place = ["hi", "lo", "left_side"]
+    return ends.where("NOT kept").join(first, place).unionByName(ends.where("kept").join(later, place))
+
+
 def _extended(found: DataFrame, short: DataFrame) -> DataFrame:
     """``row, run, to_left, to_right``: by how many characters short runs go on, compared with other occurrences.
 
@@ -261,8 +274,7 @@ def _extended(found: DataFrame, short: DataFrame) -> DataFrame:
     on_side = F.when(F.col("left_side"), F.col("left")).otherwise(F.col("right"))
     ends = ends.select("row", "run", "kept", "hi", "lo", "left", "right", side.alias("left_side"))
     ends = written(ends.select("row", "run", "kept", "hi", "lo", "left_side", on_side.alias("mine")).where("mine IS NOT NULL"), "run-ends").read()
-    others = found.where("left IS NOT NULL OR right IS NOT NULL").select("hi", "lo", "left", "right", F.col("kept").alias("other_kept"))
-    pairs = ends.join(others, ["hi", "lo"]).where("kept <> other_kept").withColumn("other", on_side).where("other IS NOT NULL")
+    pairs = _paired(ends, found)
     farthest = _compared(pairs).groupBy("row", "run", "left_side").agg(F.max("more").alias("more"))
     to = lambda side: F.max(F.when(F.col("left_side") == side, F.col("more")))
     return farthest.groupBy("row", "run").agg(to(True).alias("to_left"), to(False).alias("to_right"))

@@ -163,3 +163,16 @@ def test_short_passages_are_found(spark):
     found = {r.doc_id // 2 for r in got if not r.kept}
     assert len(found) >= 380 and {r.doc_id // 2 for r in got if r.kept} == found and max(r.doc_id for r in got) < 800
     assert min(r.n_chars for r in got) >= sub.PASSAGE_CHARS
+
+
+def test_ends_meet_other_occurrences_by_equality_alone(spark):
+    """A chunk that occurs n times is paired some n times: no join tries all its occurrences with each other."""
+    n = 50
+    found = spark.createDataFrame([(1, 2, k == 0, bytes([k]), b"r" if k % 2 else None) for k in range(n)], "hi long, lo long, kept boolean, left binary, right binary")
+    ends = spark.createDataFrame([(k, 0, k == 0, 1, 2, True, b"m") for k in range(n)], "row long, run long, kept boolean, hi long, lo long, left_side boolean, mine binary")
+    pairs = sub._paired(ends, found)
+    got = sorted((r.row, bytes(r.other)) for r in pairs.collect())
+    assert got == sorted([(0, bytes([k])) for k in range(1, n)] + [(k, bytes([0])) for k in range(1, n)])
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert len(joins) == 2 and not any("NOT" in line or "kept" in line for line in joins)
