@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bit_table import bit_table, held_in
-from .common import bounded_batches, documents, shuffle_partitions, written
+from .common import BATCH_ROWS, bounded_batches, documents, shuffle_partitions, written
 from .lots import Numbered, lot_number
 from .pieces import sliced
 from .quotient_filter import Filter, Ngrams
@@ -29,31 +29,38 @@ ENDS = ".,;:!?\n\x0b\x0c\r"
 _TO_LINE = bytes.maketrans(ENDS.encode(), b"\n" * len(ENDS))
 #: Words and distinct words at which a lot is closed.
 LOT_WORDS, LOT_VOCABULARY = 1_000_000, 200_000
+#: Numbers of a stream, and words of a lot's list, in one row: readers of written tables take 4,096 rows at once.
+ROW_WORDS, ROW_VOCABULARY = 2_000, 250
 #: Entries at which a task merges its filters, and of a bucket on average.
 TASK_ENTRIES, BUCKET_ENTRIES = 500_000, 1_000_000
 
 
 def word_lots(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
-    """Streams of lot-local word numbers (-1 between pieces), and each lot's words by language with their counts."""
+    """Streams of lot-local word numbers (-1 between pieces), and each lot's words by language with their counts.
+
+    Both are cut into short rows; ``part`` is a stream row's place in its lot. Only lists have ``lang``.
+    """
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made, held = 0, 0
+        made, held, part = 0, 0, 0
         numbers: count = count()
         known: dict[str, Numbered] = {}
         totals = np.zeros(0, dtype=np.int64)
 
         def closed() -> pa.RecordBatch:
-            langs = [lang for lang, words in known.items() if words]
-            places = [list(known[lang].values()) for lang in langs]
+            cut = [(lang, words[a : a + ROW_VOCABULARY]) for lang, words in ((lang, list(found)) for lang, found in known.items()) for a in range(0, len(words), ROW_VOCABULARY)]
+            langs = [lang for lang, _ in cut]
+            places = [[known[lang][w] for w in words] for lang, words in cut]
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([lot_number(made)] * len(langs), pa.int64()),
+                    pa.nulls(len(langs), pa.int64()),
                     pa.nulls(len(langs), pa.list_(pa.int32())),
                     pa.array(langs, pa.string()),
                     pa.array(places, pa.list_(pa.int32())),
-                    pa.array([[w.decode() for w in known[lang]] for lang in langs], pa.list_(pa.string())),
+                    pa.array([[w.decode() for w in words] for _, words in cut], pa.list_(pa.string())),
                     pa.array([totals[p] for p in places], pa.list_(pa.int64())),
                 ],
                 names=names,
@@ -75,16 +82,18 @@ def word_lots(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
                 grown[: len(totals)] = totals
                 grown[: len(counts)] += counts
                 totals, held = grown, held + len(flat)
-                kept = pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([pa.array([lot_number(made)]), kept, *(pa.nulls(1, t) for t in (pa.string(), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.int64())))], names=names)
+                ends = np.append(np.arange(0, len(flat), ROW_WORDS), len(flat))
+                kept, n = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)), len(ends) - 1
+                yield pa.RecordBatch.from_arrays([pa.array([lot_number(made)] * n, pa.int64()), pa.array(np.arange(part, part + n)), kept, *(pa.nulls(n, t) for t in (pa.string(), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.int64())))], names=names)
+                part += n
                 if held >= LOT_WORDS or len(totals) >= LOT_VOCABULARY:
                     yield closed()
                     made, held, numbers, known, totals = made + 1, 0, count(), {}, np.zeros(0, dtype=np.int64)
         if len(totals):
             yield closed()
 
-    schema = "lot long, stream array<int>, lang string, numbers array<int>, words array<string>, counts array<long>"
-    names = ["lot", "stream", "lang", "numbers", "words", "counts"]
+    schema = "lot long, part long, stream array<int>, lang string, numbers array<int>, words array<string>, counts array<long>"
+    names = ["lot", "part", "stream", "lang", "numbers", "words", "counts"]
     return rows.mapInArrow(run, schema)
 
 
@@ -97,21 +106,26 @@ def numbered(words: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(offsets), "part").withColumn("id", F.col("offset") + place + 1).drop("part", "row", "offset")  # one row a shuffle partition
 
 
-def id_streams(streams: DataFrame, ids: DataFrame) -> DataFrame:
-    """Streams of corpus-wide ids (``ids``: of_lot, number, id, 0 for infrequent words); 0 between pieces and for those, once in a row."""
+def id_streams(streams: DataFrame, ids: DataFrame, longest: int) -> DataFrame:
+    """Streams of corpus-wide ids (``ids``: of_lot, number, id, 0 for infrequent words); 0 between pieces and for those, once in a row.
+
+    A row's n-grams of up to ``longest`` words are those that start at its first ``own`` places; what follows is
+    the next row's begin, then a 0.
+    """
 
     def resolve(left: pa.Table, right: pa.Table) -> pa.Table:
         number, own = right.column("number").to_numpy(), right.column("id").to_numpy()
-        column = left.column("stream").combine_chunks()
-        flat = column.flatten().to_numpy()
+        flat = left.sort_by("part").column("stream").combine_chunks().flatten().to_numpy()
         most = int(max(number.max(initial=-1), flat.max(initial=-1))) + 1
         of = np.zeros(most + 1, dtype=np.int32)  # the last is for -1
         of[number] = own
         x = of[flat]
         x = x[(x != 0) | (np.concatenate([[0], x[:-1]]) != 0)]
-        return pa.table([pa.array([x], pa.list_(pa.int32()))], names=["ids"])
+        starts = range(0, len(x), ROW_WORDS)
+        rows = [np.append(x[a : a + ROW_WORDS + longest - 1], np.int32(0)) for a in starts]
+        return pa.table([pa.array(rows, pa.list_(pa.int32())), pa.array([min(ROW_WORDS, len(x) - a) for a in starts], pa.int32())], names=["ids", "own"])
 
-    return streams.groupBy("lot").cogroup(ids.groupBy("of_lot")).applyInArrow(resolve, "ids array<int>")
+    return streams.groupBy("lot").cogroup(ids.groupBy("of_lot")).applyInArrow(resolve, "ids array<int>, own int")
 
 
 def _windows(ids: np.ndarray, words: int) -> np.ndarray:
@@ -141,9 +155,12 @@ def frequent_ngrams(streams: DataFrame, words: int, bits: int, least: int, bucke
                 yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in some], pa.int64()), pa.array([x for _, x in some], pa.binary())], names=["bucket", "filter"])
 
         for batch in batches:
-            for ids in batch.column(0):
-                x = ids.values.to_numpy()
+            for a in range(0, batch.num_rows, BATCH_ROWS):
+                ids, own = (c.slice(a, BATCH_ROWS) for c in batch.columns)
+                x, length = ids.flatten().to_numpy(), ids.value_lengths().to_numpy()
+                in_row = np.arange(len(x)) - np.repeat(np.cumsum(length) - length, length)
                 at = np.flatnonzero(_windows(x, words))
+                at = at[in_row[at] < np.repeat(own.to_numpy(), length)[at]]
                 if table.value is not None and len(at):
                     begins = np.flatnonzero(_windows(x, words - 1))
                     marks = parts.marks(parts.permuted([x[begins + k] for k in range(words - 1)]))
@@ -169,7 +186,7 @@ def frequent_ngrams(streams: DataFrame, words: int, bits: int, least: int, bucke
         arrays = [pa.FixedSizeListArray.from_arrays(pa.array(ids.reshape(-1)), words).cast(pa.list_(pa.int64())), pa.array(total.counts[kept]), pa.array(grams.marks(limbs))]
         return pa.table(arrays, names=["ids", "f", "mark"])
 
-    return streams.mapInArrow(counted, "bucket long, filter binary").groupBy("bucket").applyInArrow(summed, "ids array<long>, f long, mark long")
+    return streams.select("ids", "own").mapInArrow(counted, "bucket long, filter binary").groupBy("bucket").applyInArrow(summed, "ids array<long>, f long, mark long")
 
 
 def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 100, longest: int = 5, top: int = 2000, percent: int = 100) -> DataFrame:
@@ -184,7 +201,7 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     1000 a n must stay below 10^38. Corpora of over 2^31 frequent words do not fit.
     """
     lots = written(word_lots(docs, text_col, lang_col), "word-lots").read()
-    lists = lots.where("stream is null")
+    lists = lots.where("lang is not null")
     size = F.expr("aggregate(counts, 0L, (x, y) -> x + y)")
     totals = written(lists.groupBy("lang").agg(F.sum(size).alias("n")), "word-totals").read()
     listed = lists.select("lot", "lang", F.explode(F.arrays_zip("numbers", "words", "counts")).alias("x")).select("lot", "lang", "x.*")
@@ -193,7 +210,7 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     n_words = vocabulary.count()
     ids = vocabulary.select("lang", F.col("word").alias("words"), "id")
     of_lot = listed.join(ids, ["lang", "words"], "left").select(F.col("lot").alias("of_lot"), F.col("numbers").alias("number"), F.coalesce("id", F.lit(0)).cast("int").alias("id"))
-    streams = written(id_streams(lots.where("stream is not null").select("lot", "stream"), of_lot), "word-streams").read()
+    streams = written(id_streams(lots.where("lang is null").select("lot", "part", "stream"), of_lot, longest), "word-streams").read()
     everything = totals.agg(F.sum("n")).first()[0] or 0
     buckets = max(2 * shuffle_partitions(docs.sparkSession), math.ceil(everything / BUCKET_ENTRIES))
     found, shorter = [], None

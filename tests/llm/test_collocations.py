@@ -109,3 +109,17 @@ def test_exact_beyond_64_bits(spark):
     words = spark.createDataFrame([(1, "aa", "x", big + 1, 7 * big), (2, "aa", "y", big + 3, 7 * big)], "id long, lang string, word string, f long, n long")
     row = collocations._ranked(phrases, words, 5, 2000, 100).first()
     assert row.score == 1000 * big * 7 * big // ((big + 1) * (big + 3)) and row.phrase == "x y"
+
+
+def test_rows_of_written_tables_are_short(spark, monkeypatch):
+    """Readers take thousands of rows at once: no row holds a lot, and no n-gram is lost or counted twice where rows end."""
+    for name, value in (("LOT_WORDS", 700), ("ROW_WORDS", 7), ("ROW_VOCABULARY", 5)):
+        monkeypatch.setattr(collocations, name, value, raising=False)
+    kept, real = {}, collocations.written
+    monkeypatch.setattr(collocations, "written", lambda df, name: kept.setdefault(name, real(df, name)))
+    rows = texts()
+    df = spark.createDataFrame(rows, "text string, lang string").repartition(3)
+    assert sorted(map(tuple, collocations.collocations(df, least=12).collect())) == by_hand(rows, 12, 5, 2000)
+    sizes = kept["word-lots"].read().selectExpr("max(size(stream)) as s", "max(size(words)) as w").first()
+    assert (sizes.s, sizes.w) == (7, 5)
+    assert kept["word-streams"].read().selectExpr("max(size(ids)) as s").first().s <= 7 + 4 + 1
