@@ -108,15 +108,16 @@ def score_tuning(rows: DataFrame, window_ms: int = STEP_MS) -> DataFrame:
     A last request exactly on a window's start belongs to none.
     """
     threats = rows.where("threat_rank > 0 AND NOT coalesce(is_tor, false)").withColumn("subnet", subnet24(F.col("ip"))).where("subnet IS NOT NULL")
-    bounds = threats.agg(F.min(millis(F.col("created_at"))).alias("a"), F.max(millis(F.col("created_at"))).alias("b")).first()
+    threats = written(threats.select(millis(F.col("created_at")).alias("ms"), "subnet", "ip", "route", "path_rank"), "subnet-threats")  # classified once
+    bounds = threats.agg(F.min("ms").alias("a"), F.max("ms").alias("b")).first()
     start, end = (bounds.a, bounds.b) if bounds.a is not None else (0, 0)
-    epoch = F.floor((millis(F.col("created_at")) - start) / window_ms).cast("int")
-    windows = threats.withColumn("epoch", epoch).where(F.lit(start) + F.col("epoch").cast("long") * window_ms < end)
+    windows = threats.withColumn("epoch", F.floor((F.col("ms") - start) / window_ms).cast("int")).where(F.lit(start) + F.col("epoch").cast("long") * window_ms < end)
+    windows = written(windows.select("epoch", "subnet", "ip", "route", "path_rank").distinct(), "window-routes")  # equal requests once
     base = windows.groupBy("epoch", "subnet").agg(F.count_distinct("ip").alias("distinct_ips"), F.count_distinct("route").alias("union_size"), F.count_distinct(F.when(F.col("path_rank") > 0, F.col("route"))).alias("attack_path_count"), F.max("path_rank").alias("max_path_rank"))
     base = base.where("distinct_ips >= 3 AND attack_path_count >= 1")
     base = written(base, "subnets-passed")
     some = windows.join(base.select("epoch", "subnet"), ["epoch", "subnet"], "left_semi")  # cohesion only where it counts
-    same = written(some.withColumns({"asn": F.lit(0), "is_tor": F.lit(False)}).select("epoch", "asn", "ip", "route", "is_tor", "threat_rank", "path_rank").distinct(), "subnet-routes")
+    same = some.withColumns({"asn": F.lit(0), "is_tor": F.lit(False), "threat_rank": F.lit(1)})
     alike = lambda attack, name: subnet_cohesion(same.withColumn("is_attack", attack)).select("epoch", "subnet", F.col("cohesion").alias(name))
     found = base.join(alike(F.col("path_rank") > 0, "cohesion_attack"), ["epoch", "subnet"]).join(alike(F.lit(True), "cohesion_all"), ["epoch", "subnet"])
     s, c, b = sigmoid((F.col("distinct_ips") - 5) / 2), sigmoid((F.col("cohesion_attack") - 0.4) / 0.12), sigmoid((F.col("attack_path_count") - 8) / 5)
