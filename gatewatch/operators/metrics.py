@@ -21,6 +21,11 @@ def not_tor() -> Column:
     return ~F.coalesce("is_tor", F.lit(False))
 
 
+def exact_sum(x: Column) -> Column:
+    """The sum of fractions from 0 to 1 as a double that does not depend on their order: equal groups give equal sums."""
+    return F.sum(x.cast("decimal(18,17)")).cast("double")
+
+
 def per_ip(rows: DataFrame) -> DataFrame:
     """Volume, distinct routes, seconds from first to last (infinite for one request) and agent diversity of all requests.
 
@@ -54,7 +59,7 @@ def subnet_cohesion(rows: DataFrame) -> DataFrame:
     routes = found.where("is_attack").select(*place, "ip", "route").distinct().join(sets, [*place, "ip"])
     other = routes.select(*place, "route", F.col("ip").alias("ip2"), F.col("routes").alias("routes2"))
     shared = routes.join(other, [*place, "route"]).where("ip < ip2").groupBy(*place, "ip", "ip2", "routes", "routes2").agg(F.count("*").alias("both"))
-    likeness = shared.groupBy(*place).agg(F.sum(F.col("both") / (F.col("routes") + F.col("routes2") - F.col("both"))).alias("total"))
+    likeness = shared.groupBy(*place).agg(exact_sum(F.col("both") / (F.col("routes") + F.col("routes2") - F.col("both"))).alias("total"))
     pairs = F.col("n") * (F.col("n") - 1) / 2
     return sizes.join(likeness, place, "left").select(*place, F.when(F.col("n") > 1, F.coalesce("total", F.lit(0.0)) / pairs).otherwise(F.lit(0.0)).alias("cohesion"))
 

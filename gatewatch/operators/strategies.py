@@ -107,7 +107,7 @@ class FingerprintCluster:
 
     def scored(self, context: Context, fired: dict[str, DataFrame]) -> DataFrame:
         best, members = self._members(context)
-        rotation = members.join(context.once("per-ip", metrics.per_ip).select("epoch", "ip", "ua_diversity"), ["epoch", "ip"]).groupBy("epoch", "asn").agg(F.avg("ua_diversity").alias("rotation"))
+        rotation = members.join(context.once("per-ip", metrics.per_ip).select("epoch", "ip", "ua_diversity"), ["epoch", "ip"]).groupBy("epoch", "asn").agg((metrics.exact_sum(F.col("ua_diversity")) / F.count("*")).alias("rotation"))
         ends = context.rows.select("epoch", "end_ms").distinct()
         passed = metrics.with_fingerprints(best.where("ip_count >= 3 AND path_union_size >= 2"), context.rows)
         found = passed.join(rotation, ["epoch", "asn"]).join(ends, "epoch").withColumn("key", F.col("asn"))
