@@ -15,6 +15,8 @@ SIGNAL = "struct<category:string,severity:string,description:string,matched:stri
 SIGNALS = f"array<{SIGNAL}>"
 #: Patterns in one array expression; longer ones outgrow the JVM's limit on generated methods.
 _CHUNK = 40
+#: Columns that only classification itself reads.
+_PARTS = ("path_signals", "url_signals", "url_rank", "method_signals", "line_signals", "method_rank", "body_signals")
 
 
 def signal(category: str, severity: str | Column, description: str | Column, matched: Column | None = None, **more: Column) -> Column:
@@ -67,16 +69,18 @@ def scan(text: str, patterns: tuple[Pattern, ...], category: str, with_match: bo
 
 
 def url_signals(urls: DataFrame, catalog: Catalog) -> DataFrame:
-    """``path_signals``, ``url_signals``, ``is_attack`` and ``path_rank`` of each row's ``full_url``."""
+    """``path_signals``, ``url_signals``, ``is_attack``, ``path_rank`` and ``url_rank`` (of both) of each row's ``full_url``."""
     found = urls.withColumns({"path_signals": scan("full_url", catalog.paths, "path", True), "url_signals": scan("full_url", catalog.bodies, "url")})
-    return found.withColumns({"is_attack": F.size("path_signals") > 0, "path_rank": top_rank(F.col("path_signals"))})
+    path = top_rank(F.col("path_signals"))
+    return found.withColumns({"is_attack": F.size("path_signals") > 0, "path_rank": path, "url_rank": F.greatest(path, top_rank(F.col("url_signals")))})
 
 
 def method_signals(methods: DataFrame, catalog: Catalog) -> DataFrame:
-    """``method_signals`` (exact names) and ``line_signals`` (body patterns in a malformed method)."""
+    """``method_signals`` (exact names), ``line_signals`` (body patterns in a malformed method) and ``method_rank`` (of both)."""
     method = F.col("method")
     exact = F.filter(F.array(*[F.when(method == p.pattern, signal("method", p.severity, p.description, method)) for p in catalog.methods]), lambda x: x.isNotNull())
-    return methods.withColumns({"method_signals": exact.cast(SIGNALS), "line_signals": scan("method", catalog.bodies, "method")})
+    found = methods.withColumns({"method_signals": exact.cast(SIGNALS), "line_signals": scan("method", catalog.bodies, "method")})
+    return found.withColumn("method_rank", F.greatest(top_rank(F.col("method_signals")), top_rank(F.col("line_signals"))))
 
 
 def body_signals(rows: DataFrame, catalog: Catalog) -> Column:
@@ -100,7 +104,7 @@ def classify(requests: DataFrame, catalog: Catalog | None = None, body_is_object
     null, not empty, at level none. A null URL or method matches nothing; columns of these names are replaced.
     """
     catalog = catalog or load()
-    made = ["threat_level", "threat_rank", "threat_details", "is_attack", "path_rank", "path_signals", "url_signals", "method_signals", "line_signals"]
+    made = ["threat_level", "threat_rank", "threat_details", "is_attack", "path_rank", *_PARTS]
     rows = requests.drop(*made)
     rows = per_distinct(rows, "full_url", lambda u: url_signals(u, catalog))
     rows = per_distinct(rows, "method", lambda m: method_signals(m, catalog))
@@ -108,13 +112,21 @@ def classify(requests: DataFrame, catalog: Catalog | None = None, body_is_object
 
 
 def leveled(rows: DataFrame, catalog: Catalog, body_is_object: bool = True) -> DataFrame:
-    """Level and details of rows that have the signals of their URL and method, which go."""
-    body = body_signals(rows, catalog) if body_is_object else no_signals()
-    agent = F.when(F.coalesce("user_agent", F.lit("")) == "", F.array(signal("agent", "low", "no user agent")).cast(SIGNALS)).otherwise(no_signals())
-    rows = rows.withColumn("threat_details", F.concat("path_signals", "method_signals", body, "url_signals", "line_signals", agent))
-    rows = rows.withColumn("threat_rank", top_rank(F.col("threat_details")))
+    """Level and details of rows that have the signals and ranks of their URL and method, which go.
+
+    The rank comes from the parts' ranks, so that queries that do not show details do not make them; bodies of
+    requests that are at the highest rank already are read for the details alone.
+    """
+    no_agent = F.coalesce("user_agent", F.lit("")) == ""
+    agent = F.when(no_agent, F.array(signal("agent", "low", "no user agent")).cast(SIGNALS)).otherwise(no_signals())
+    rows = rows.withColumn("body_signals", body_signals(rows, catalog) if body_is_object else no_signals())
+    known = F.greatest("url_rank", "method_rank", F.when(no_agent, rank_of(F.lit("low"))).otherwise(0))
+    rows = rows.withColumns({
+        "threat_rank": F.when(known == rank_of(F.lit("high")), known).otherwise(F.greatest(known, top_rank(F.col("body_signals")))),
+        "threat_details": F.concat("path_signals", "method_signals", "body_signals", "url_signals", "line_signals", agent),
+    })
     rows = rows.withColumns({"threat_level": level_of(F.col("threat_rank")), "threat_details": F.when(F.size("threat_details") > 0, F.col("threat_details"))})
-    return rows.drop("path_signals", "url_signals", "method_signals", "line_signals")
+    return rows.drop(*_PARTS)
 
 
 def _with_signal(rows: DataFrame, when: Column, added: Column, rank: Column) -> DataFrame:

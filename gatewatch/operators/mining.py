@@ -107,8 +107,9 @@ def score_tuning(rows: DataFrame, window_ms: int = STEP_MS) -> DataFrame:
 
     A last request exactly on a window's start belongs to none.
     """
-    threats = rows.where("threat_rank > 0 AND NOT coalesce(is_tor, false)").withColumn("subnet", subnet24(F.col("ip"))).where("subnet IS NOT NULL")
-    threats = written(threats.select(millis(F.col("created_at")).alias("ms"), "subnet", "ip", "route", "path_rank"), "subnet-threats")  # classified once
+    threats = rows.where("threat_rank > 0 AND NOT coalesce(is_tor, false)").select(millis(F.col("created_at")).alias("ms"), "ip", "route", "path_rank")
+    # classified once; the /24 comes after: pushed below, its condition repeats what makes an address, in a method too long for the JVM to compile
+    threats = written(threats, "threats").withColumn("subnet", subnet24(F.col("ip"))).where("subnet IS NOT NULL")
     bounds = threats.agg(F.min("ms").alias("a"), F.max("ms").alias("b")).first()
     start, end = (bounds.a, bounds.b) if bounds.a is not None else (0, 0)
     windows = threats.withColumn("epoch", F.floor((F.col("ms") - start) / window_ms).cast("int")).where(F.lit(start) + F.col("epoch").cast("long") * window_ms < end)

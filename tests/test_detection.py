@@ -73,6 +73,20 @@ def test_classification(spark):
     assert last.threat_level == "medium" and last.threat_details[0].description == "burst rate limit exceeded (9/5)"
 
 
+def test_ranks_are_those_of_the_details_without_making_them(spark):
+    union, hello = '{"q": "1 UNION SELECT name FROM users"}', '{"q": "hello"}'
+    requests = itertools.product(("/", "/.env", "/search?q=1 UNION SELECT 1", None), ("GET", "PROPFIND", "GET<script>", None), (union, hello, "{}", None), ("ua", "", None))
+    rows = classify(spark.createDataFrame([*requests], "full_url string, method string, request_body string, user_agent string"))
+    assert not {"url_rank", "method_rank", "body_signals"} & set(rows.columns)
+    order = {"low": 1, "medium": 2, "high": 3}
+    found = rows.collect()
+    assert {r.threat_rank for r in found} == {0, 1, 2, 3}
+    assert all(r.threat_rank == max((order[s.severity] for s in r.threat_details or []), default=0) for r in found)
+    assert all((r.threat_level == "none") == (r.threat_details is None) for r in found)
+    plan = rows.select("threat_rank")._jdf.queryExecution().executedPlan().toString()
+    assert "url_rank" in plan and "path_signals" not in plan
+
+
 def test_agents_and_bursts_of_an_address(spark):
     """A missing agent is one more agent; the burst is the time from first to last."""
     cases = {"198.51.100.4": (6, 6), "198.51.100.5": (6, 2), "198.51.100.6": (5, 1)}

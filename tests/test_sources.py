@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import hmac
 import json
+import re
 from pathlib import Path
 
 import pytest
@@ -106,6 +107,23 @@ def test_mining(spark):
     assert len(tuned) == 1 and tuned[0].distinct_ips == 3 and tuned[0].cohesion_attack == 1.0
 
 
+def test_score_tuning_reads_requests_in_methods_that_the_jvm_compiles(spark, tmp_path, monkeypatch):
+    events = spark.range(60).selectExpr("id AS event_id", "timestamp_ntz'2024-01-01' AS ts", "id AS user_id", "'signup' AS event_type", """'{"k": 3}' AS props""")
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    first = []
+    monkeypatch.setattr(mining, "written", lambda df, name: first.append(df) or df)
+    mining.score_tuning(classify(requests.derived(spark, str(tmp_path))))
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = first[0].select("*")
+        code = rows._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", code)]
+    assert sizes and max(sizes) < 8000  # bytes; the JVM leaves longer methods to its interpreter
+
+
 def test_streaming(spark, tmp_path):
     schema = "id long, ip string, route string, full_url string, method string, user_agent string, created_at timestamp"
     rows = [(1, "1.1.1.1", "/.env", "/.env", "GET", "ua", dt.datetime(2024, 1, 1)), (2, "1.1.1.1", "/health", "/health", "GET", "ua", dt.datetime(2024, 1, 1)), (3, "1.1.1.1", "/", "/", "GET", None, dt.datetime(2024, 1, 1, 1))]
