@@ -124,6 +124,16 @@ def test_score_tuning_reads_requests_in_methods_that_the_jvm_compiles(spark, tmp
     assert sizes and max(sizes) < 8000  # bytes; the JVM leaves longer methods to its interpreter
 
 
+def test_score_tuning_classifies_requests_once(spark, tmp_path, monkeypatch):
+    events = spark.range(60).selectExpr("id AS event_id", "timestamp_ntz'2024-01-01' + make_interval(0, 0, 0, 0, 0, id) AS ts", "id AS user_id", "'signup' AS event_type", """'{"k": 3}' AS props""")
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    made, write = [], mining.written
+    monkeypatch.setattr(mining, "written", lambda df, name: made.append(df) or write(df, name))
+    made.append(mining.score_tuning(classify(requests.derived(spark, str(tmp_path)))))
+    from_events = [any("events.parquet" in f for f in df.inputFiles()) for df in made]
+    assert from_events[0] and not any(from_events[1:])  # all that follows reads written tables
+
+
 def test_streaming(spark, tmp_path):
     schema = "id long, ip string, route string, full_url string, method string, user_agent string, created_at timestamp"
     rows = [(1, "1.1.1.1", "/.env", "/.env", "GET", "ua", dt.datetime(2024, 1, 1)), (2, "1.1.1.1", "/health", "/health", "GET", "ua", dt.datetime(2024, 1, 1)), (3, "1.1.1.1", "/", "/", "GET", None, dt.datetime(2024, 1, 1, 1))]
